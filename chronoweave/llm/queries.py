@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from chronoweave.llm.minhash import near_duplicates
 from chronoweave.llm.packing import pack_documents
 from chronoweave.llm.piece_codec import encode_pieces
 from chronoweave.llm.token_counts import count_tokens
@@ -20,6 +21,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), percent=85)
+
+
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), with_texts=False)
 
@@ -30,6 +35,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_piece_codec": op4_piece_codec,
     "op8_token_counts": op8_token_counts,
 }
