@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chronoweave.llm.minhash import near_duplicates
 from chronoweave.llm.packing import pack_documents
 from chronoweave.llm.piece_codec import encode_pieces
+from chronoweave.llm.suffix_dedup import remove_repeats
 from chronoweave.llm.token_counts import count_tokens
 
 
@@ -25,6 +26,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), percent=85)
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir), length=200)
+
+
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), with_texts=False)
 
@@ -36,6 +41,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_piece_codec": op4_piece_codec,
     "op8_token_counts": op8_token_counts,
 }
