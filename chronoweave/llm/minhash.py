@@ -7,11 +7,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoweave.llm.arrow import slices, with_id_and_text
-from chronoweave.llm.components import connected
+from chronoweave.llm.buckets import bucket_components
 from chronoweave.llm.hashing import Shingler, constants, mix
 from chronoweave.session import materialise
 
@@ -146,12 +145,8 @@ def near_duplicates(
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept.
 
     Documents are linked where 100 * |common shingles| >= percent * |union|. Copies
-    of a set are one class. A bucket of a band compares all of its classes with its
-    smallest one; then, as long as a bucket holds several components, up to
-    ``pivots`` (four times as many each round) of the classes outside the first
-    one's component are compared with those of other components, so that each pair
-    of a bucket that could join two components is decided and pairs inside a
-    component are not made. With 32 bands of 8 rows a pair at 0.85 is in no common
+    of a set are one class; the classes that share a band's key are compared as
+    bucket_components() says. With 32 bands of 8 rows a pair at 0.85 is in no common
     bucket with a chance of 4e-5, at 0.8 of 2e-3 (use rows=6 for 3e-5 there);
     a batch prunes a pair above the threshold with a chance of about ``miss``.
 
@@ -166,39 +161,10 @@ def near_duplicates(
     members = materialise(base.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep"), "members")
     reps = members.where("doc_id = rep").select("doc_id").distinct()
     banded = some.select("doc_id", "keys").join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-    buckets = materialise(banded.join(shared, "key"), "buckets")
     verifier = Verifier(texts, some, words, bands * rows, batch, percent, miss)
-
-    asked = materialise(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "asked")
-    links = verifier.links(asked)
     twice = members.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("top")).where("v <> top")
-    links = links.union(members.join(twice, "doc_id").select(F.col("rep").alias("u"), "v").where("u <> v"))  # one doc_id, several texts
-    found = materialise(connected(links), "components")
-    wide = buckets.where("n > 2")
-    retired = None
-    while True:
-        label = wide.join(found.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        label = materialise(label.join(found.select(F.col("id").alias("pivot"), F.col("component").alias("main")), "pivot", "left").withColumn("main", F.coalesce("main", "pivot")), "labels")
-        apart = label.where("c <> main")
-        fresh = apart if retired is None else apart.join(retired, ["key", "id"], "left_anti")
-        turn = F.row_number().over(W.partitionBy("key").orderBy("id"))
-        chosen = materialise(fresh.select("key", "id", "c").withColumn("turn", turn).where(F.col("turn") <= pivots).drop("turn"), "pivots")
-        if chosen.isEmpty():
-            break
-        others = label.where("id <> pivot").select("key", F.col("id").alias("id2"), F.col("c").alias("c2"))
-        pairs = chosen.join(others, "key").where("c <> c2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        new = materialise(pairs.join(asked, ["a", "b"], "left_anti"), "asked")
-        done = chosen.select("key", "id")
-        retired = done if retired is None else retired.union(done)
-        pivots *= 4
-        if new.isEmpty():
-            continue
-        asked = asked.union(new)
-        more = verifier.links(new)
-        if not more.isEmpty():
-            links = links.union(more)
-            found = materialise(connected(found.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more)), "components")
+    known = members.join(twice, "doc_id").select(F.col("rep").alias("u"), "v").where("u <> v")  # one doc_id, several texts
+    found = bucket_components(banded, verifier.links, known, pivots)
     out = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from chronoweave.llm.embedding_dedup import near_vectors
 from chronoweave.llm.minhash import near_duplicates
 from chronoweave.llm.packing import pack_documents
 from chronoweave.llm.piece_codec import encode_pieces
@@ -38,12 +39,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_piece_codec": op4_piece_codec,
     "op8_token_counts": op8_token_counts,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 #: None of the ten can be said in SQL; tests/llm holds them against brute force.
