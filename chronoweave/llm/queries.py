@@ -11,8 +11,10 @@ from chronoweave.llm.embedding_dedup import near_vectors
 from chronoweave.llm.minhash import near_duplicates
 from chronoweave.llm.packing import pack_documents
 from chronoweave.llm.piece_codec import encode_pieces
+from chronoweave.llm.quality import score_quality
 from chronoweave.llm.suffix_dedup import remove_repeats
 from chronoweave.llm.token_counts import count_tokens
+from chronoweave.llm.toxicity import score_toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +37,14 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), with_texts=False)
 
 
+def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -48,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_piece_codec": op4_piece_codec,
+    "op6_ordinal_toxicity": op6_ordinal_toxicity,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_token_counts": op8_token_counts,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
