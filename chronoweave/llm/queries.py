@@ -12,6 +12,7 @@ from chronoweave.llm.minhash import near_duplicates
 from chronoweave.llm.packing import pack_documents
 from chronoweave.llm.piece_codec import encode_pieces
 from chronoweave.llm.quality import score_quality
+from chronoweave.llm.simhash import compare_with_next
 from chronoweave.llm.suffix_dedup import remove_repeats
 from chronoweave.llm.token_counts import count_tokens
 from chronoweave.llm.toxicity import score_toxicity
@@ -49,6 +50,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(_documents(spark, sf_dir))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ordinal_toxicity": op6_ordinal_toxicity,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_token_counts": op8_token_counts,
+    "op9_simhash_fingerprints": op9_simhash_fingerprints,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
