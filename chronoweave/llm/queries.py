@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from chronoweave.llm.embedding_dedup import near_vectors
+from chronoweave.llm.lattice_lm import score_texts
 from chronoweave.llm.minhash import near_duplicates
 from chronoweave.llm.packing import pack_documents
 from chronoweave.llm.piece_codec import encode_pieces
@@ -38,6 +39,10 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), with_texts=False)
 
 
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_piece_codec": op4_piece_codec,
+    "op5_lattice_lm": op5_lattice_lm,
     "op6_ordinal_toxicity": op6_ordinal_toxicity,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_token_counts": op8_token_counts,
