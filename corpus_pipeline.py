@@ -1,16 +1,65 @@
-"""From raw documents to packed training sequences, in stages."""
+"""From raw documents to packed training sequences, in five stages."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chronoweave.llm.minhash import near_duplicates
+from chronoweave.llm.packing import pack_documents
+from chronoweave.llm.quality import score_quality
+from chronoweave.llm.suffix_dedup import remove_repeats
+from chronoweave.llm.toxicity import score_toxicity
 from chronoweave.session import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def _reject(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't in ids; rows without a doc_id stay."""
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't predict to be good go."""
+    scores = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _reject(docs, scores.where("predicted = 0"))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that ordinal regression finds toxic go."""
+    scores = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _reject(docs, scores.where("toxic"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (similarity 0.8 of five-word shingles) the document with the smallest id stays."""
+    groups = near_duplicates(docs, percent=80, bands=40, rows=6)
+    return _reject(docs, groups.where("not kept"))
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that start in two places are removed in all; n_chars is counted anew and no row goes."""
+    kept = remove_repeats(docs, length=200, with_text=True).where("n_removed > 0").select("doc_id", F.col("kept_text"))
+    joined = docs.join(kept, "doc_id", "left").withColumn("text", F.coalesce("kept_text", "text"))
+    return joined.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's tokens are packed into sequences of 2048: one row a piece, see pack_documents()."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), size=2048)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("toxicity", toxicity),
+    ("near_copies", near_copies),
+    ("repeats", repeats),
+    ("packing", packing),
+]
 
 #: The stages run models and tokenizers that SQL can't express; tests/llm compares them with brute force.
 ORACLE_SQL: str | None = None
