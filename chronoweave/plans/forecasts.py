@@ -178,8 +178,8 @@ def linear_trend_forecast(spark, d):
 def ecm_two_stage(spark, d):
     """Level regression, then the changes on the other series' changes and the last level error, by covariances."""
     j = daily(spark, d).select("ts", "y").join(shipped(spark, d).select("ts", F.col("y").alias("x")), "ts").withColumn("series_id", F.lit("all"))
-    line = j.agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
-    e = j.crossJoin(F.broadcast(line)).withColumn("e", F.col("y") - F.col("a") - F.col("b") * F.col("x"))  # one row
+    line = j.agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a")).first()
+    e = j.withColumn("e", F.col("y") - line["a"] - line["b"] * F.col("x"))
     w = X.ordered()
     g = e.select((F.col("y") - F.lag("y").over(w)).alias("dy"), (F.col("x") - F.lag("x").over(w)).alias("dx"), F.lag("e").over(w).alias("e1")).where("dy IS NOT NULL")
     m = g.agg(F.var_pop("dx").alias("xx"), F.var_pop("e1").alias("ee"), F.covar_pop("dx", "e1").alias("xe"), F.covar_pop("dx", "dy").alias("xy"), F.covar_pop("e1", "dy").alias("ey"))

@@ -50,5 +50,5 @@ SHIPPED = "l AS (SELECT 'lines' AS series_id, date_trunc('day', l_shipdate)::TIM
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles rounded: engines add in other orders."""
-    return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """Doubles rounded, as engines add in other orders, and without negative zeros."""
+    return df.select(*((F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))

@@ -1 +1,278 @@
-"""x"""
+"""Queries on diagnostics, dynamics, signals, simulation and text."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from chronoweave.catalogue import query
+from chronoweave.operators import diagnostics as G
+from chronoweave.operators import dynamics as N
+from chronoweave.operators import signal as S
+from chronoweave.operators import text as T
+from chronoweave.operators import windows as X
+from chronoweave.plans.panels import DAILY, FULL, SHIPPED, daily, hourly_full, rounded, shipped, table
+
+
+@query(f"WITH {FULL}, c AS (SELECT series_id, ts, y - avg(y) OVER (PARTITION BY series_id) AS x FROM p), k AS (SELECT unnest(range(25)) AS lag), n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i FROM c), v AS (SELECT series_id, sum(x * x) AS v FROM c GROUP BY 1) SELECT a.series_id, lag, round(sum(a.x * b.x) / any_value(v), 6) AS r FROM n a, k JOIN n b ON b.series_id = a.series_id AND b.i = a.i - lag JOIN v ON v.series_id = a.series_id GROUP BY 1, 2")
+def acf_24(spark, d):
+    return rounded(G.acf(hourly_full(spark, d), 24))
+
+
+@query(f"WITH {FULL}, n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i FROM p), k AS (SELECT unnest(range(6)) AS lag) SELECT a.series_id, lag, round(sum(a.y * b.y), 4) AS r FROM n a, k JOIN n b ON b.series_id = a.series_id AND b.i = a.i - lag GROUP BY 1, 2")
+def raw_autocorrelation(spark, d):
+    return rounded(G.acf(hourly_full(spark, d), 5, centred=False), 4)
+
+
+@query(f"WITH {FULL}, e AS (SELECT series_id, ts, y - avg(y) OVER (PARTITION BY series_id) AS e FROM p), s AS (SELECT *, e - lag(e) OVER (PARTITION BY series_id ORDER BY ts) AS s FROM e) SELECT series_id, round(sum(s * s) / sum(e * e), 6) AS dw FROM s GROUP BY 1")
+def durbin_watson(spark, d):
+    p = hourly_full(spark, d)
+    mean = p.groupBy("series_id").agg(F.avg("y").alias("m"))
+    return rounded(G.durbin_watson(p.join(mean, "series_id").withColumn("e", F.col("y") - F.col("m"))))
+
+
+@query(f"WITH {FULL}, e AS (SELECT series_id, ts, y - avg(y) OVER (PARTITION BY series_id) AS e FROM p) SELECT series_id, ts, round(sum(e) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) / (stddev_samp(e) OVER (PARTITION BY series_id) * sqrt(count(e) OVER (PARTITION BY series_id))), 6) + 0.0 AS cusum FROM e")
+def cusum_path(spark, d):
+    p = hourly_full(spark, d)
+    mean = p.groupBy("series_id").agg(F.avg("y").alias("m"))
+    out = G.cusum(p.join(mean, "series_id").withColumn("e", F.col("y") - F.col("m")))
+    return rounded(out.select("series_id", "ts", "cusum"))
+
+
+@query(f"WITH {FULL}, s AS (SELECT series_id, row_number() OVER w AS k, sum(y) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS a, count(*) OVER z AS n, sum(y) OVER z AS t, var_pop(y) OVER z AS v FROM p WINDOW w AS (PARTITION BY series_id ORDER BY ts), z AS (PARTITION BY series_id)), g AS (SELECT *, a * a / k + (t - a) ** 2 / (n - k) - t * t / n AS gain FROM s WHERE k < n) SELECT series_id, k, round(gain, 3) AS gain, gain > 3 * ln(n) * v AS change FROM g QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(gain, 6) DESC, k) = 1")
+def amoc_changepoint(spark, d):
+    return rounded(G.amoc(hourly_full(spark, d)), 3)
+
+
+@query(f"WITH {FULL}, n AS (SELECT series_id, y, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i FROM p), k AS (SELECT unnest(range(33)) AS k), f AS (SELECT series_id, k, sum(y * cos(-2 * pi() * k * i / 64)) AS re, sum(y * sin(-2 * pi() * k * i / 64)) AS im FROM n, k WHERE i < 64 GROUP BY 1, 2) SELECT series_id, k, round(sqrt(re * re + im * im), 4) AS magnitude FROM f")
+def dft_spectrum(spark, d):
+    return rounded(S.dft(hourly_full(spark, d), 64).select("series_id", "k", "magnitude"), 4)
+
+
+@query(f"WITH {DAILY}, {SHIPPED}, j AS (SELECT d.y AS a, l.y AS b FROM d JOIN l USING (ts)), k AS (SELECT unnest(range(50)) / 49.0::DOUBLE AS a_) SELECT round(a_, 6) AS a, round(avg((a * (1 - a_) + b * a_ - b) ** 2) / 1e6, 4) AS mse FROM j, k GROUP BY a_")
+def domain_blend(spark, d):
+    j = daily(spark, d).select("ts", F.col("y").alias("s")).join(shipped(spark, d).select("ts", F.col("y").alias("t")), "ts")
+    return S.blend(j, "s", "t").select(F.round("a", 6).alias("a"), F.round(F.col("mse") / 1e6, 4).alias("mse"))
+
+
+@query("SELECT t, round(exp(-0.1 * t) * sin(2 * pi() * t / 10), 6) + 0.0 AS response FROM (SELECT unnest(range(50)) AS t)")
+def impulse_curve(spark, d):
+    return S.impulse_curve(spark).select("t", (F.round("response", 6) + 0.0).alias("response"))
+
+
+@query(f"WITH {FULL}, c AS (SELECT series_id, ts, y, stddev_samp(y) OVER (PARTITION BY series_id) AS s FROM p) SELECT series_id, ts, round(y - 1.96 * s, 6) AS lo, round(y + 1.96 * s, 6) AS hi FROM c")
+def confidence_ribbon(spark, d):
+    p = hourly_full(spark, d)
+    w = p.groupBy("series_id").agg((1.96 * F.stddev_samp("y")).alias("w"))
+    return rounded(S.ribbon(p.join(w, "series_id"), "y", "w").select("series_id", "ts", "lo", "hi"))
+
+
+_STATS = "(SELECT event_type AS series_id, avg(value) AS mx, avg(user_id) AS my, var_samp(value) + 1e-6 AS a, covar_samp(value, user_id) AS b, var_samp(user_id) + 1e-6 AS c FROM events GROUP BY 1)"
+
+
+@query(f"WITH e AS (SELECT *, sqrt((a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b)) AS r1, sqrt(greatest((a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b), 0)) AS r2, atan2(2 * b, a - c) / 2 AS tilt FROM {_STATS}), g AS (SELECT e.*, i, 2 * pi() * i / 99 AS t FROM e, (SELECT unnest(range(100)) AS i)) SELECT series_id, i, round(mx + r1 * cos(t) * cos(tilt) - r2 * sin(t) * sin(tilt), 4) AS x, round(my + r1 * cos(t) * sin(tilt) + r2 * sin(t) * cos(tilt), 4) AS y FROM g")
+def covariance_ellipse(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("series_id"), F.col("value").alias("a1"), F.col("user_id").cast("double").alias("b1"))
+    return rounded(S.ellipse(e, "a1", "b1"), 4)
+
+
+@query(f"WITH {DAILY}, n AS (SELECT ts, y, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n, lag(y) OVER (ORDER BY ts) AS before FROM d) SELECT ts, CASE WHEN i < n / 2 THEN 'pre' ELSE 'post' END AS period, round(y, 6) AS y, round(before, 6) AS before FROM n")
+def pre_post_lag(spark, d):
+    p = X.numbered(X.lags(daily(spark, d), 1))
+    n = p.count()
+    return rounded(p.select("ts", F.when(F.col("i") < n / 2, "pre").otherwise("post").alias("period"), "y", F.col("lag_1").alias("before")))
+
+
+_WORDS = ("the", "and", "der", "que", "les")
+
+
+@query("WITH c AS (SELECT lang, lower(regexp_replace(text, '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS c FROM documents) SELECT lang, " + ", ".join(f"sum((length(c) - length(replace(c, '{w}', ''))) // {len(w)})::BIGINT AS {w}" for w in _WORDS) + " FROM c GROUP BY 1")
+def keyword_trend(spark, d):
+    return T.keyword_trend(table(spark, d, "documents"), ["lang"], _WORDS)
+
+
+@query("WITH t AS (SELECT unnest(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' ')) AS term FROM documents) SELECT term, count(*) AS n FROM t WHERE length(term) > 1 GROUP BY 1 ORDER BY n DESC, term LIMIT 1000")
+def term_counts_top(spark, d):
+    return T.term_counts(table(spark, d, "documents")).orderBy(F.col("n").desc(), "term").limit(1000)
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages")
+def page_links(spark, d):
+    return T.links(table(spark, d, "pages"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def page_titles(spark, d):
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query()
+def page_records(spark, d):
+    r = T.records(table(spark, d, "pages"))
+    return r.select("page_id", "title", F.length("text").alias("n_chars"), F.size("fields").alias("n_fields"))
+
+
+@query()
+def lda_topics(spark, d):
+    return T.topics(table(spark, d, "documents"), k=4)[0]
+
+
+@query()
+def pacf_24(spark, d):
+    return G.pacf(hourly_full(spark, d), 24)
+
+
+@query()
+def adf_test(spark, d):
+    return G.adf(hourly_full(spark, d))
+
+
+def _pairs(spark, d):
+    a, b = daily(spark, d).select("ts", "y"), shipped(spark, d).select("ts", F.col("y").alias("x"))
+    return a.join(b, "ts").select(F.lit("orders~lines").alias("series_id"), "ts", "y", "x")
+
+
+@query()
+def cointegration_test(spark, d):
+    return G.cointegration(_pairs(spark, d))
+
+
+@query()
+def granger_test(spark, d):
+    return G.granger(_pairs(spark, d))
+
+
+@query()
+def ccm_hourly(spark, d):
+    """Cross mapping of clicks and views, both ways."""
+    p = hourly_full(spark, d).where("series_id IN ('click', 'view')")
+    wide = p.groupBy("ts").pivot("series_id", ["click", "view"]).agg(F.first("y")).dropna().withColumn("series_id", F.lit("click~view"))
+    f = lambda v: pd.DataFrame({"click_to_view": [N.cross_map(v[:, 0], v[:, 1])], "view_to_click": [N.cross_map(v[:, 1], v[:, 0])]})
+    return N.per_series(wide, f, "click_to_view double, view_to_click double", "click", "view")
+
+
+@query()
+def fnn_ratio(spark, d):
+    f = lambda y: pd.DataFrame({"dims": np.arange(1, 6), "ratio": [N.false_neighbours(y, k) for k in range(1, 6)]})
+    return N.per_series(hourly_full(spark, d), f, "dims long, ratio double")
+
+
+@query()
+def kalman_track(spark, d):
+    return N.per_series(hourly_full(spark, d), N.kalman, "t long, position double, velocity double")
+
+
+@query()
+def dtw_pairs(spark, d):
+    """Distances of every two daily profiles of event types: a few series of 24 values."""
+    prof = hourly_full(spark, d).groupBy("series_id", F.hour("ts").alias("h")).agg(F.avg("y").alias("y")).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "y"))), lambda s: s["y"]).alias("v"))
+
+    @F.pandas_udf("double")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([N.dtw(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(a, b)])
+
+    other = prof.select(F.col("series_id").alias("other"), F.col("v").alias("w"))
+    return prof.join(other, F.col("series_id") < F.col("other")).select("series_id", "other", distance("v", "w").alias("dtw"))
+
+
+def _wide(spark, d):
+    p = hourly_full(spark, d).where("series_id IN ('click', 'view')")
+    return p.groupBy("ts").pivot("series_id", ["click", "view"]).agg(F.first("y")).dropna().withColumn("series_id", F.lit("click~view"))
+
+
+@query()
+def var_forecast(spark, d):
+    def f(v):
+        p = N.var_order(v)
+        out = N.var_path(v, N.var_fit(v, p)[0], 24)
+        mixed = N.varma_path(v, 1, 24)
+        return pd.DataFrame({"h": np.arange(1, 25), "order": p, "click": out[:, 0], "view": out[:, 1], "click_varma": mixed[:, 0], "view_varma": mixed[:, 1]})
+
+    return N.per_series(_wide(spark, d), f, "h long, order long, click double, view double, click_varma double, view_varma double", "click", "view")
+
+
+@query()
+def impulse_response(spark, d):
+    def f(v):
+        psi, share = N.impulse(N.var_fit(v, 2)[0], 2, 20, np.array([[1.0, 0.0], [-0.5, 1.0]]))
+        t, i, j = np.indices(psi.shape)
+        return pd.DataFrame({"t": t.ravel(), "of": i.ravel(), "shock": j.ravel(), "response": psi.ravel(), "share": share.ravel()})
+
+    return N.per_series(_wide(spark, d), f, "t long, of long, shock long, response double, share double", "click", "view")
+
+
+@query()
+def garch_vol(spark, d):
+    def f(y):
+        r = np.diff(np.log(y))
+        w = N.garch(r)
+        return pd.DataFrame({"h": np.arange(1, 11), "omega": w[0], "alpha": w[1], "beta": w[2], "variance": N.variance_path(r, w, 10)})
+
+    return N.per_series(daily(spark, d), f, "h long, omega double, alpha double, beta double, variance double")
+
+
+@query()
+def gibbs_changepoint(spark, d):
+    n = table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("ts")).agg(F.count("*").cast("double").alias("y")).withColumn("series_id", F.lit("orders"))
+    return N.per_series(n, N.gibbs_change, "change_at double, rate_before double, rate_after double")
+
+
+@query()
+def bayes_ar(spark, d):
+    return N.per_series(hourly_full(spark, d), N.bayes_ar, "parameter string, mean double, lo double, hi double")
+
+
+@query()
+def bayes_rw(spark, d):
+    return N.per_series(hourly_full(spark, d), N.random_walk_posterior, "t long, mean double, lo double, hi double")
+
+
+@query()
+def monte_carlo(spark, d):
+    paths = N.monte_carlo(spark, daily(spark, d), "2001-12-31", 200)
+    last = paths.agg(F.max("step")).first()[0]
+    end = paths.where(F.col("step") == last)
+    return end.agg(F.avg("price").alias("mean"), F.stddev_pop("price").alias("sd"), F.percentile("price", F.lit(0.05)).alias("p5"), F.percentile("price", F.lit(0.95)).alias("p95"), F.count("*").alias("paths"))
+
+
+@query()
+def bootstrap_ci(spark, d):
+    return N.per_series(hourly_full(spark, d), lambda y: N.bootstrap_band(y, 24), "h long, mean double, lo double, hi double")
+
+
+@query()
+def robust_decomposition(spark, d):
+    return N.per_series(hourly_full(spark, d), lambda y: N.robust_decompose(y, 24), "t long, trend double, seasonal double, resid double")
+
+
+@query()
+def fft_filter(spark, d):
+    f = lambda y: pd.DataFrame({"t": np.arange(len(y)), "low": S.low_pass(y), "top": S.strongest(y, 5)})
+    return N.per_series(hourly_full(spark, d), f, "t long, low double, top double")
+
+
+@query()
+def stft_frames(spark, d):
+    return N.per_series(hourly_full(spark, d), S.stft_db, "frame long, bin long, db double")
+
+
+@query()
+def latent_factors(spark, d):
+    return S.latent_factors(hourly_full(spark, d), 3)
+
+
+@query()
+def imputation(spark, d):
+    """Every seventh value is taken away; the mean fill with draws and a cubic spline put values back."""
+
+    def f(y):
+        hole = np.where(np.arange(len(y)) % 7 == 3, np.nan, y)
+        return pd.DataFrame({"t": np.arange(len(y)), "y": y, "drawn": N.impute(hole), "cubic": N.cubic_fill(hole)})
+
+    return N.per_series(hourly_full(spark, d), f, "t long, y double, drawn double, cubic double")
+
+
+@query()
+def synthetic_series(spark, d):
+    return N.synthetic(spark, 200)
