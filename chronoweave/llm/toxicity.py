@@ -80,12 +80,12 @@ def _telling_words(sample: DataFrame, features: int, least: int) -> list[tuple[s
     bad, good = n["bad"] or 0, n["good"] or 0
     odds = F.log((F.col("bad") + 0.5) / (bad - F.col("bad") + 0.5)) - F.log((F.col("good") + 0.5) / (good - F.col("good") + 0.5))
     spread = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    rows = counts.where(F.col("bad") + F.col("good") >= least).select("word", (odds / spread).alias("z"))
+    rows = counts.where(F.col("bad") + F.col("good") >= least).select("word", (odds / spread).alias("z")).where(F.abs("z") >= 2)
     return [(r["word"], r["z"]) for r in rows.orderBy(F.abs("z").desc(), "word").limit(features).collect()]
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, train: Column | None = None, label: str = "toxic", most: int = 20_000, features: int = 2048, least: int = 5, z: float = 4.0, threshold: float = 0.5
+    docs: DataFrame, labels: DataFrame, train: Column | None = None, label: str = "toxic", most: int = 20_000, features: int = 2048, least: int = 5, z: float = 3.0, threshold: float = 0.5
 ) -> DataFrame:
     """Per row of docs: doc_id, expected_severity (0 to 3), grade (0 to 3), p_toxic and toxic (p_toxic >= threshold).
 
