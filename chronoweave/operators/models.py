@@ -323,7 +323,7 @@ def forecast(panel: DataFrame, models: dict[str, Model], h: int, fallback: Model
     """
     names = F.explode(F.array(*map(F.lit, models)))
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("ts")["y"].to_numpy(float)
         status = "ok"
         try:

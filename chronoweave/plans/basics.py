@@ -106,11 +106,11 @@ def rolling_mean_std_7_14(spark, d):
 
 @query(
     f"WITH {FULL}, f AS (SELECT series_id, ts, y, avg(y) {_frame(20)} AS m, stddev_samp(y) {_frame(20)} AS s, count(y) {_frame(20)} AS n, quantile_cont(y, 0.25) {_frame(20)} AS a, quantile_cont(y, 0.75) {_frame(20)} AS b FROM p) "
-    "SELECT series_id, ts, round(y, 6) AS y, CASE WHEN n = 20 THEN round(m, 6) END AS mean, CASE WHEN n = 20 THEN round(m - 2 * s, 6) END AS lower, CASE WHEN n = 20 THEN round(m + 2 * s, 6) END AS upper, "
-    "CASE WHEN n = 20 THEN round(a, 6) END AS q25, CASE WHEN n = 20 THEN round(b, 6) END AS q75 FROM f"
+    "SELECT series_id, ts, round(y, 8) AS y, CASE WHEN n = 20 THEN round(m, 8) END AS mean, CASE WHEN n = 20 THEN round(m - 2 * s, 8) END AS lower, CASE WHEN n = 20 THEN round(m + 2 * s, 8) END AS upper, "
+    "CASE WHEN n = 20 THEN round(a, 8) END AS q25, CASE WHEN n = 20 THEN round(b, 8) END AS q75 FROM f"
 )
 def rolling_bands(spark, d):
-    return rounded(X.rolling_band(hourly_full(spark, d), 20, 2.0))
+    return rounded(X.rolling_band(hourly_full(spark, d), 20, 2.0), 8)
 
 
 _SOFAR = "OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
