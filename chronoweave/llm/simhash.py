@@ -75,6 +75,21 @@ def fingerprint(docs: DataFrame, bits: int = 256) -> DataFrame:
     return map_texts(with_id_and_text(docs), make, "doc_id long, fingerprint string", ["doc_id", "fingerprint"])
 
 
+class BitTest:
+    """The pairs of a tile by their bits."""
+
+    def __init__(self, table: pa.Table, radius: int):
+        raw = bytes.fromhex("".join(table["fingerprint"].to_pylist()))
+        self.bits, self.radius = np.frombuffer(raw, np.uint8).reshape(table.num_rows, -1), radius
+
+    def likely(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        i, j = np.nonzero(np.bitwise_count(self.bits[a][:, None] ^ self.bits[b]).sum(axis=2) <= self.radius)
+        return list(zip(a[i].tolist(), b[j].tolist()))
+
+    def same(self, i: int, j: int) -> bool:
+        return i != j
+
+
 def within_radius(prints: DataFrame, radius: int, bits: int = 256) -> DataFrame:
     """(doc_id, component_id): groups of fingerprints linked by at most ``radius`` different bits.
 
@@ -106,7 +121,8 @@ def within_radius(prints: DataFrame, radius: int, bits: int = 256) -> DataFrame:
     check: Callable[[DataFrame], DataFrame] = lambda pairs: materialise(
         pairs.join(of("b"), "b").join(of("a"), "a").where(apart <= radius).select(F.col("a").alias("u"), F.col("b").alias("v")), "verified"
     )
-    found = bucket_components(banded, check)
+    payload = lambda ids: classes.select("id", "fingerprint").join(ids, "id")
+    found = bucket_components(banded, check, payload, lambda table: BitTest(table, radius))
     named = prints.join(classes, "fingerprint", "left").join(found, "id", "left")
     return named.select("doc_id", F.coalesce("component", "id", "doc_id").alias("component_id"))
 
@@ -133,8 +149,12 @@ def compare_with_next(docs: DataFrame, bits: int = 256, ranges: int | None = Non
     spark = docs.sparkSession
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = with_id_and_text(docs)
+    if docs.isEmpty():
+        return spark.createDataFrame([], _PAIRED)
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    cuts = np.unique(np.array(texts.select(key.alias("k")).stat.approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.25 / ranges), np.float64)).astype(np.int64)
+    shares = [i / ranges for i in range(1, ranges)]
+    found = texts.select(key.alias("k")).stat.approxQuantile("k", shares, 0.25 / ranges) if shares else []
+    cuts = np.unique(np.array(found, np.float64)).astype(np.int64)
 
     @F.pandas_udf("int")
     def range_of(k: pd.Series) -> pd.Series:
