@@ -50,6 +50,20 @@ def _linked(pairs: DataFrame, cosine: float) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
 
+class CosineTest:
+    """The pairs of a tile by their exact cosines."""
+
+    def __init__(self, table: pa.Table, cosine: float):
+        self.units, self.cosine = _units(_matrix(table["x"].combine_chunks())), cosine
+
+    def likely(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        i, j = np.nonzero(self.units[a] @ self.units[b].T >= self.cosine)
+        return list(zip(a[i].tolist(), b[j].tolist()))
+
+    def same(self, i: int, j: int) -> bool:
+        return i != j
+
+
 def _direct_links(classes: DataFrame, cosine: float) -> DataFrame:
     """(id, others): how many vectors of other classes each class is linked with.
 
@@ -128,7 +142,9 @@ def near_vectors(
         reps = classes.where(F.size("x") == size)
         of = lambda c, v, r=reps: r.select(F.col("id").alias(c), F.col("x").alias(v))
         check = lambda pairs, of=of: materialise(_linked(pairs.join(of("b", "y"), "b").join(of("a", "x"), "a"), cosine), "verified")
-        part = bucket_components(_filed(reps.select("id", "x"), LatticeHash(size, tables, blocks, scale, probes)), check)
+        payload = lambda ids, r=reps: r.select("id", "x").join(ids, "id")
+        filed = _filed(reps.select("id", "x"), LatticeHash(size, tables, blocks, scale, probes))
+        part = bucket_components(filed, check, payload, lambda table: CosineTest(table, cosine))
         direct = _direct_links(reps.join(part, "id"), cosine)
         found, links = (part, direct) if found is None else (found.union(part), links.union(direct))
     out = rows.join(classes.withColumnRenamed("x", "cx"), F.col("ok") & (F.col("x") == F.col("cx")), "left").drop("cx")

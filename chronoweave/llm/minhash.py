@@ -102,6 +102,33 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
+class SetTest:
+    """The pairs of a tile by their signatures, batch after batch, then by their whole sets."""
+
+    def __init__(self, table: pa.Table, size: int, batch: int, percent: int, miss: float):
+        self.sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, size)
+        sets = table["shingles"].combine_chunks()
+        self.sets = [np.sort(x) for x in np.split(sets.flatten().to_numpy(), np.cumsum(sets.value_lengths().to_numpy())[:-1])]
+        self.n = np.array([len(x) for x in self.sets])
+        self.batch, self.percent = batch, percent
+        self.steps = [(k, fewest_matches(k, percent / 100, miss)) for k in range(batch, size + 1, batch)]
+
+    def likely(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        low, high = np.minimum(self.n[a][:, None], self.n[b]), np.maximum(self.n[a][:, None], self.n[b])
+        i, j = np.nonzero(100 * low >= self.percent * high)
+        i, j = a[i], b[j]
+        same = np.zeros(len(i), np.int64)
+        for k, least in self.steps:
+            same = same + (self.sig[i, k - self.batch : k] == self.sig[j, k - self.batch : k]).sum(axis=1)
+            i, j, same = i[same >= least], j[same >= least], same[same >= least]
+        order = np.argsort(-same, kind="stable")
+        return list(zip(i[order].tolist(), j[order].tolist()))
+
+    def same(self, i: int, j: int) -> bool:
+        common = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+        return 100 * common >= self.percent * (self.n[i] + self.n[j] - common)
+
+
 class Verifier:
     """Decides pairs of documents exactly; keeps the sets of documents whose pairs got that far."""
 
@@ -126,6 +153,11 @@ class Verifier:
         union = F.size("s_a") + F.size("s_b") - F.col("same")
         return materialise(both.where(100 * F.col("same") >= self.percent * union).select(F.col("a").alias("u"), F.col("b").alias("v")), "verified")
 
+    def payload(self, ids: DataFrame) -> DataFrame:
+        """(id, sig, shingles) of ids (id)."""
+        self.fetch(ids.select(F.col("id").alias("a"), F.col("id").alias("b")))
+        return self.sets.join(self.sigs.select(F.col("doc_id").alias("id"), "sig"), "id")
+
     def fetch(self, pairs: DataFrame) -> None:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         if self.sets is not None:
@@ -140,7 +172,7 @@ class Verifier:
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 80, words: int = 5, bands: int = 32, rows: int = 8, batch: int = 32, miss: float = 1e-6, pivots: int = 16
+    docs: DataFrame, percent: int = 80, words: int = 5, bands: int = 32, rows: int = 8, batch: int = 32, miss: float = 1e-6
 ) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept.
 
@@ -164,7 +196,8 @@ def near_duplicates(
     verifier = Verifier(texts, some, words, bands * rows, batch, percent, miss)
     twice = members.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("top")).where("v <> top")
     known = members.join(twice, "doc_id").select(F.col("rep").alias("u"), "v").where("u <> v")  # one doc_id, several texts
-    found = bucket_components(banded, verifier.links, known, pivots)
+    test = lambda table: SetTest(table, bands * rows, batch, percent, miss)
+    found = bucket_components(banded, verifier.links, verifier.payload, test, known)
     out = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
