@@ -17,6 +17,10 @@ _U = np.uint64
 _LOW = _U(0xFFFFFF)
 #: Bytes of text that are scanned at once; positions in them fit 24 bits.
 BLOCK = 1 << 20
+#: Different segments of one name that a task compares by itself.
+ALIKE = 1024
+#: Ids that are broadcast at most (8 MB); beyond it the join is shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 class Segmenter:
@@ -65,12 +69,6 @@ class Segmenter:
         spans = self.roll.ranges(prefix, first, last + length).view(np.int64)
         return doc[first], first - starts[doc[first]], last - first + 1, names, spans
 
-    def strings(self, text: bytes, start: int, count: int) -> np.ndarray:
-        """The hashes of the strings of a segment."""
-        data = np.frombuffer(text[start : start + count + self.length - 1], np.uint8)
-        at = np.arange(count)
-        return self.roll.ranges(self.roll.prefix(data), at, at + self.length).view(np.int64)
-
 
 class LevelFamily:
     """A logarithmic family of suffix arrays over named suffixes.
@@ -168,13 +166,90 @@ def _shards(entries: DataFrame, batches_of: int) -> DataFrame:
             family.add(LevelFamily.array(*(np.concatenate(c) for c in zip(*rows))))
         found = family.matches()
         if len(found):
-            alone = np.ones(len(found), bool)
-            same = found["name"][1:] == found["name"][:-1]
-            alone[1:] &= ~same
-            alone[:-1] &= ~same
-            yield pa.RecordBatch.from_arrays([pa.array(found["name"]), pa.array(found["span"]), pa.array(found["times"] > 1), pa.array(~alone)], names=["name", "span", "repeated", "probe"])
+            first = np.flatnonzero(np.concatenate([[True], found["name"][1:] != found["name"][:-1]]))
+            alike = np.repeat(np.diff(np.append(first, len(found))), np.diff(np.append(first, len(found))))
+            yield pa.RecordBatch.from_arrays([pa.array(found["name"]), pa.array(found["span"]), pa.array(found["times"] > 1), pa.array(alike)], names=["name", "span", "repeated", "alike"])
+
+    return entries.mapInArrow(run, "name long, span long, repeated boolean, alike long")
+
 
-    return entries.mapInArrow(run, "name long, span long, repeated boolean, probe boolean")
+def _affected(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The docs whose doc_id is in rows, and the others, read apart; the others are None where there are too many ids to broadcast."""
+    ids = rows.select("doc_id").distinct()
+    if ids.count() > BROADCAST_IDS:
+        return docs.join(ids, "doc_id", "left_semi"), None
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi"), docs.join(F.broadcast(ids), "doc_id", "left_anti")
+
+
+def _spelled(near: DataFrame, probes: DataFrame, segmenter: Segmenter) -> DataFrame:
+    """The probed segments with the bytes that their strings cover."""
+
+    def run(batches):
+        for part in slices(batches):
+            rows = []
+            for doc_id, text, at in zip(*(part.column(i).to_pylist() for i in range(3))):
+                raw = text.encode()
+                rows += [(s["name"], doc_id, s["start"], s["repeated"], s["alike"], raw[s["start"] : s["start"] + s["n"] + segmenter.length - 1]) for s in at]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["name", "doc_id", "start", "repeated", "alike", "bytes"])
+
+    return near.join(probes, "doc_id").select("doc_id", "text", "at").mapInArrow(run, "name long, doc_id long, start long, repeated boolean, alike long, bytes binary")
+
+
+def _strings(segmenter: Segmenter, starts: list[int], texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Row, start and hash of each string of segments."""
+    lengths = np.array([len(t) for t in texts])
+    counts = lengths - segmenter.length + 1
+    prefix = segmenter.roll.prefix(np.frombuffer(b"".join(texts), np.uint8))
+    row = np.repeat(np.arange(len(texts)), counts)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = (np.cumsum(lengths) - lengths)[row] + step
+    return row, np.asarray(starts)[row] + step, segmenter.roll.ranges(prefix, at, at + segmenter.length).view(np.int64)
+
+
+def _near_matches(rows: DataFrame, segmenter: Segmenter) -> DataFrame:
+    """Runs of repeated strings (doc_id, start, end) among segments that start alike; a name's rows are neighbours."""
+    length = segmenter.length
+
+    def decide(name, doc, start, known, texts):
+        row, p, h = _strings(segmenter, start, texts)
+        _, back, times = np.unique(h, return_inverse=True, return_counts=True)
+        hit = (times[back] > 1) & ~np.array(known)[row]
+        row, p = row[hit], p[hit]
+        if not len(p):
+            return None
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (p[1:] != p[:-1] + 1)])
+        last = np.concatenate([new[1:], [True]])
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(doc)[row[new]]), pa.array(p[new]), pa.array(p[last] + length)], names=["doc_id", "start", "end"])
+
+    def run(batches):
+        held: list[list] = [[], [], [], [], []]
+        for part in slices(batches, 4096):
+            for column, i in zip(held, (0, 1, 2, 3, 4)):
+                column += part.column(i).to_pylist()
+            names = held[0]
+            cut = next((i for i in range(len(names) - 1, 0, -1) if names[i] != names[i - 1]), 0)
+            if cut and (out := decide(*(c[:cut] for c in held))) is not None:
+                yield out
+            held = [c[cut:] for c in held]
+        if held[0] and (out := decide(*held)) is not None:
+            yield out
+
+    return rows.select("name", "doc_id", "start", "repeated", "bytes").mapInArrow(run, "doc_id long, start long, end long")
+
+
+def _wide_matches(rows: DataFrame, segmenter: Segmenter) -> DataFrame:
+    """As _near_matches() for names that very many segments share: strings are counted over all tasks."""
+
+    def run(batches):
+        for part in slices(batches, 1024):
+            doc, start, known, texts = (part.column(i).to_pylist() for i in range(4))
+            row, p, h = _strings(segmenter, start, texts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(doc)[row]), pa.array(p), pa.array(h), pa.array(np.asarray(known)[row])], names=["doc_id", "start", "string", "repeated"])
+
+    found = rows.select("doc_id", "start", "repeated", "bytes").mapInArrow(run, "doc_id long, start long, string long, repeated boolean")
+    twice = found.groupBy("string").agg(F.count("*").alias("c")).where("c > 1").select("string")
+    return found.where("not repeated").join(twice, "string", "left_semi").select("doc_id", "start", (F.col("start") + segmenter.length).alias("end"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, batch_rows: int = 1 << 16) -> DataFrame:
@@ -182,37 +257,25 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, batch_row
 
     ``docs`` has doc_id (unique) and text. A segment whose bytes occur again is
     repeated as a whole. Of segments that start alike but differ, where matches
-    begin or end, each string is looked up: of each distinct one among them once.
+    begin or end, each string is looked up: one segment of each kind, with those
+    of the same name in one task, or, of a name that more than ALIKE kinds share, by
+    a count over all tasks.
     """
     segmenter = Segmenter(length, gram)
     entries = _scan(docs, segmenter, False)
     flagged = materialise(_shards(entries.repartition("name"), batch_rows), "matches")
     where = materialise(_scan(docs, segmenter, True).join(flagged, ["name", "span"]), "segments")
     whole = where.where("repeated").select("doc_id", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
-    owner = where.where("probe").groupBy("name", "span").agg(F.min(F.struct("doc_id", "start", "n")).alias("o"), F.first("repeated").alias("repeated"))
-    probes = materialise(
-        owner.select("o.*", "repeated").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "repeated")).alias("at")), "probes"
-    )
-
-    def look(batches):
-        for part in slices(batches):
-            cols: list[list] = [[], [], [], []]
-            for doc_id, text, at in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                raw = text.encode()
-                for s in at:
-                    h = segmenter.strings(raw, s["start"], s["n"])
-                    for c, v in zip(cols, (np.full(len(h), doc_id), s["start"] + np.arange(len(h)), h, np.full(len(h), s["repeated"]))):
-                        c.append(v)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["doc_id", "p", "string", "repeated"])
-
-    n = probes.count()
-    near = docs.join(F.broadcast(probes.select("doc_id")) if n <= 1_000_000 else probes.select("doc_id"), "doc_id", "left_semi")
-    strings = near.join(probes, "doc_id").select("doc_id", "text", "at").mapInArrow(look, "doc_id long, p long, string long, repeated boolean")
-    strings = materialise(strings, "strings")
-    twice = strings.groupBy("string").agg(F.count("*").alias("c")).where("c > 1").select("string")
-    single = strings.where("not repeated").join(twice, "string", "left_semi").select("doc_id", F.col("p").alias("start"), (F.col("p") + length).alias("end"))
-    found = whole.union(single).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    owner = where.where("alike > 1").groupBy("name", "span").agg(F.min(F.struct("doc_id", "start", "n")).alias("o"), F.first("repeated").alias("repeated"), F.first("alike").alias("alike"))
+    at = F.struct("o.start", "o.n", "name", "repeated", "alike")
+    probes = materialise(owner.select("o.doc_id", at.alias("at")).groupBy("doc_id").agg(F.collect_list("at").alias("at")), "probes")
+    spelled = materialise(_spelled(_affected(docs, probes)[0], probes, segmenter), "spelled")
+    some = spelled.where(F.col("alike") <= ALIKE).repartition("name").sortWithinPartitions("name")
+    found = whole.union(_near_matches(some, segmenter))
+    many = spelled.where(F.col("alike") > ALIKE)
+    if not many.isEmpty():
+        found = found.union(_wide_matches(many, segmenter))
+    found = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     return found.select("doc_id", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
 
@@ -238,7 +301,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, with_text
     Further columns don't matter.
     """
     texts = with_id_and_text(docs)
-    spans = repeated_spans(texts.where("doc_id is not null"), length, gram)
+    spans = materialise(repeated_spans(texts.where("doc_id is not null"), length, gram), "spans")
+    hit, clear = _affected(texts, spans)
 
     def cut(batches):
         for part in slices(batches):
@@ -257,4 +321,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, with_text
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names[: len(cols)])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, spans array<array<long>>" * with_text
-    return texts.join(spans, "doc_id", "left").select("doc_id", "text", "starts", "ends").mapInArrow(cut, schema)
+    if clear is None:
+        return texts.join(spans, "doc_id", "left").select("doc_id", "text", "starts", "ends").mapInArrow(cut, schema)
+    cut_rows = hit.join(spans, "doc_id").select("doc_id", "text", "starts", "ends").mapInArrow(cut, schema)
+    whole = clear.select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"),
+        *([F.col("text").alias("kept_text"), F.array().cast("array<array<bigint>>").alias("spans")] if with_text else []),
+    )
+    return cut_rows.union(whole)
