@@ -22,7 +22,7 @@ _START = 0x110000  # the code of a word's own marker, which no character has
 
 
 def _codes(words: list[str], length: int) -> np.ndarray:
-    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), length)
 
 
 class Lattice:
@@ -50,21 +50,45 @@ class Lattice:
         self.usable[used] = True
         self.usable[self.byte_id[self.byte_id >= 0]] = True
         self.longest = max(len(names[i]) for i in used)
-        hashes = np.array([self.whole(names[i]) for i in used], _U)
-        order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], np.array(used)[order]
-        self.single = np.sort(np.array([ord(names[i]) for i in used if len(names[i]) == 1 and names[i] != MARK], np.int64))
+        # all beginnings of pieces by their hashes, with the piece's id or -1 where it is no piece itself
+        starts: dict[int, int] = {}
+        for i in used:
+            h = 0
+            for k, c in enumerate(names[i]):
+                h = self.extend(h, _START if k == 0 and c == MARK else ord(c))
+                starts.setdefault(h, -1)
+            starts[h] = i
+        self.hashes = np.array(list(starts), _U)
+        self.ids = np.array(list(starts.values()))
+        self.tables = self._tables()
         scores = np.array([sp.get_score(i) for i in range(self.n)])
         rank = np.where(scores < -1e6, self.n, -scores)
         self.weights = self.normal(1.0 / (rank + 10.0))
 
     @staticmethod
-    def whole(piece: str) -> int:
-        h = 0
-        for k, c in enumerate(piece):
-            code = _START if k == 0 and c == MARK else ord(c)
-            h = (h * int(_BASE) + int(mix(np.array([code], _U))[0])) % (1 << 64)
-        return h
+    def extend(h: int, code: int) -> int:
+        return (h * int(_BASE) + int(mix(np.array([code], _U))[0])) % (1 << 64)
+
+    def _tables(self) -> list[tuple[np.uint64, np.uint64, np.ndarray]]:
+        """Places of the hashes by some of their bits; what collides goes to the next, smaller table."""
+        out, rest, shift, bits = [], np.arange(len(self.hashes)), 44, 20
+        while len(rest):
+            slots = ((self.hashes[rest] >> _U(shift)) & _U((1 << bits) - 1)).astype(np.int64)
+            _, first = np.unique(slots, return_index=True)
+            table = np.full(1 << bits, -1, np.int32)
+            table[slots[first]] = rest[first]
+            out.append((_U(shift), _U((1 << bits) - 1), table))
+            rest, shift, bits = np.delete(rest, first), shift - 12, max(bits - 4, 12)
+        return out
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The places of hashes, -1 where they are no beginning of a piece."""
+        out = np.full(len(h), -1, np.int64)
+        for shift, mask, table in self.tables:
+            at = table[((h >> shift) & mask).astype(np.int64)]
+            hit = (at >= 0) & (self.hashes[at] == h)
+            out[hit] = at[hit]
+        return out
 
     def normal(self, counts: np.ndarray, ends: float | None = None) -> np.ndarray:
         """Weights from counts of pieces and of word ends; at first a fifth of what follows a piece are ends."""
@@ -76,70 +100,74 @@ class Lattice:
             return np.append(w, np.log(ends / (rest + ends)))
 
     def _arcs(self, words: list[str], length: int):
-        """(from, to, piece ids or -1, byte counts of single characters that are no piece) over words of one length."""
+        """(from, to, rows, piece ids, spelled): the rows whose characters there are a piece, and those whose one
+        character is none, with its bytes' ids. A row is followed only as long as a piece can go on."""
         codes = np.concatenate([np.full((len(words), 1), _START, np.int64), _codes(words, length).astype(np.int64)], axis=1)
-        named = mix(codes.astype(_U))
-        n = length + 1
-        prefix = np.zeros((len(words), n + 1), _U)
+        named = mix(codes.astype(_U)).T.copy()
         with np.errstate(over="ignore"):
-            for j in range(n):
-                prefix[:, j + 1] = prefix[:, j] * _BASE + named[:, j]
-            for to in range(1, n + 1):
-                power = _U(1)
-                for at in range(to - 1, max(-1, to - 1 - self.longest), -1):
-                    power = power * _BASE
-                    h = prefix[:, to] - prefix[:, at] * power
-                    spot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                    yield at, to, np.where(self.hashes[spot] == h, self.ids[spot], -1), codes[:, at] if to == at + 1 else None
+            for at in range(length + 1):
+                rows, h = np.arange(len(words)), named[at]
+                for to in range(at + 1, min(at + self.longest, length + 1) + 1):
+                    if to > at + 1:
+                        h = h * _BASE + named[to - 1][rows]
+                    place = self.find(h)
+                    ids = np.where(place >= 0, self.ids[place], -1)
+                    spelled = self._bytes(codes[:, at], ids) if to == at + 1 else []
+                    whole = ids >= 0
+                    yield at, to, rows[whole], ids[whole], spelled
+                    going = place >= 0
+                    rows, h = rows[going], h[going]
+                    if not len(rows):
+                        break
 
     def _bytes(self, codes: np.ndarray, found: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """For rows whose character is no piece: the ids of its bytes."""
-        out = []
-        for row in np.flatnonzero(found < 0):
-            if codes[row] != _START:
-                out.append((int(row), self.byte_id[list(chr(int(codes[row])).encode("utf-8", "surrogatepass"))]))
-        return out
+        rows = np.flatnonzero((found < 0) & (codes != _START))
+        return [(int(r), self.byte_id[list(chr(int(codes[r])).encode("utf-8", "surrogatepass"))]) for r in rows]
 
     def run(self, words: list[str], weights: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
         """The log of each word's marginal probability by the forward recursion; adds expected counts if given."""
         out = np.full(len(words), -np.inf)
         lengths = np.array([len(w) for w in words])
-        safe = np.append(weights[:-1], -np.inf)  # piece -1 has no weight
         for length in np.unique(lengths):
             rows = np.flatnonzero(lengths == length)
             for at in range(0, len(rows), 4096):
                 some = rows[at : at + 4096]
-                out[some] = self._length([words[i] for i in some], int(length), safe, weights[-1], counts)
+                out[some] = self._length([words[i] for i in some], int(length), weights, counts)
         return out
 
-    def _length(self, words: list[str], length: int, safe: np.ndarray, end: float, counts: np.ndarray | None) -> np.ndarray:
-        n = length + 1
+    def _length(self, words: list[str], length: int, weights: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
+        n, end = length + 1, weights[-1]
         alpha = np.full((n + 1, len(words)), -np.inf)
         alpha[0] = 0.0
         kept = []
-        for at, to, ids, codes in self._arcs(words, length):
-            w = safe[ids]
-            spelled = self._bytes(codes, ids) if codes is not None else []
+        for at, to, rows, ids, spelled in self._arcs(words, length):
+            w = weights[ids]
+            if len(rows):
+                alpha[to, rows] = np.logaddexp(alpha[to, rows], alpha[at, rows] + w)
             for row, parts in spelled:
-                w[row] = safe[parts].sum()
-            if not (w > -np.inf).any():
-                continue
-            alpha[to] = np.logaddexp(alpha[to], alpha[at] + w)
+                alpha[to, row] = np.logaddexp(alpha[to, row], alpha[at, row] + weights[parts].sum())
             if counts is not None:
-                kept.append((at, to, ids, w, spelled))
+                kept.append((at, to, rows, ids, w, spelled))
         total = alpha[n] + end
         if counts is not None:
             beta = np.full((n + 1, len(words)), -np.inf)
             beta[n] = end
+            seen_ids, seen_shares = [], []
             with np.errstate(invalid="ignore"):
-                # arcs come by where they end: walked backwards each position is complete before it is left
-                for at, to, ids, w, spelled in reversed(kept):
-                    beta[at] = np.logaddexp(beta[at], w + beta[to])
-                    share = np.nan_to_num(np.exp(alpha[at] + w + beta[to] - total))
-                    real = ids >= 0
-                    np.add.at(counts, ids[real], share[real])
+                # arcs come by where they begin: walked backwards each position is complete before it is used
+                for at, to, rows, ids, w, spelled in reversed(kept):
+                    if len(rows):
+                        after = w + beta[to, rows]
+                        beta[at, rows] = np.logaddexp(beta[at, rows], after)
+                        seen_ids.append(ids)
+                        seen_shares.append(np.nan_to_num(np.exp(alpha[at, rows] + after - total[rows])))
                     for row, parts in spelled:
-                        np.add.at(counts, parts, share[row])
+                        after = weights[parts].sum() + beta[to, row]
+                        beta[at, row] = np.logaddexp(beta[at, row], after)
+                        np.add.at(counts, parts, np.nan_to_num(np.exp(alpha[at, row] + after - total[row])))
+            if seen_ids:
+                counts += np.bincount(np.concatenate(seen_ids), np.concatenate(seen_shares), len(counts))
             counts[-1] += np.isfinite(total).sum()
         return total
 
@@ -175,9 +203,13 @@ def _expected(counts: DataFrame, lattice: Lattice, weights: np.ndarray) -> np.nd
     """Expected counts of pieces and ends over the distinct words: one row a piece and task."""
 
     def run(batches):
-        total = np.zeros(lattice.n + 1)
-        for part in slices(batches, 8192):
-            lattice.run(part.column(0).to_pylist(), weights, total)
+        total, held = np.zeros(lattice.n + 1), []
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            if len(held) >= 65536:
+                lattice.run(held, weights, total)
+                held = []
+        lattice.run(held, weights, total)
         at = np.flatnonzero(total)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
@@ -238,9 +270,8 @@ def score_texts(docs: DataFrame, model_path: str, train: Column | None = None, r
 
     def run(batches):
         place = {w: i for i, w in enumerate(known_words)}
-        for part in slices(batches):
-            texts = part.column(1).to_pylist()
-            split = [words_of(t) for t in texts]
+        for part in slices(batches, 2048):  # many words at once keep numpy busy
+            split = [words_of(t) for t in part.column(1).to_pylist()]
             tails = [Counter(w for w in words if w not in place) for words in split]
             rare = list(set().union(*tails))
             marginal = dict(zip(rare, (lattice.run(rare, weights) / np.log(10)).tolist() if rare else ()))
@@ -249,9 +280,11 @@ def score_texts(docs: DataFrame, model_path: str, train: Column | None = None, r
                 at = np.fromiter((place[w] for w in words if w in place), np.int64)
                 for c, v in zip(cols, (len(words) + 1, len(at) + (ends > 0), base_of[at].sum() + end_base, score_of[at].sum() + end_score)):
                     c.append(v)
-            rows = [[{"word": w, "times": n, "sub": marginal[w]} for w, n in t.items()] for t in tails]
-            kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64()), ("sub", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(rows, kind)], names=["doc_id", "n", "known", "base", "sc", "tail"])
+            flat = [w for t in tails for w in t]
+            fields = [pa.array(flat, pa.string()), pa.array([n for t in tails for n in t.values()], pa.int64()), pa.array([marginal[w] for w in flat], pa.float64())]
+            bounds = np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32)
+            tail = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(fields, ["word", "times", "sub"]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), tail], names=["doc_id", "n", "known", "base", "sc", "tail"])
 
     kinds = "doc_id long, n long, known long, base double, sc double, tail array<struct<word: string, times: long, sub: double>>"
     read = materialise(texts.mapInArrow(run, kinds).withColumn("row", F.monotonically_increasing_id()), "scored")

@@ -24,15 +24,14 @@ def lattice():
 def by_hand(lattice, word):
     """All segmentations of a word, one after another."""
     chars = [0x110000, *map(ord, word)]
-    hashes = dict(zip(lattice.hashes.tolist(), lattice.ids.tolist()))
+    known = dict(zip(lattice.hashes.tolist(), lattice.ids.tolist()))
 
     def weight(part):
-        text = ("▁" if part[0] == 0x110000 else chr(part[0])) + "".join(map(chr, part[1:]))
-        if 0x110000 in part[1:] or (part[0] != 0x110000 and text.startswith("▁")):
-            i = None
-        else:
-            i = hashes.get(lattice.whole(text))
-        if i is not None:
+        h = 0
+        for code in part:
+            h = lattice.extend(h, code)
+        i = known.get(h, -1)
+        if i >= 0:
             return math.exp(lattice.weights[i])
         if len(part) == 1 and part[0] != 0x110000:
             return math.exp(sum(lattice.weights[lattice.byte_id[b]] for b in chr(part[0]).encode()))
