@@ -17,8 +17,8 @@ _U = np.uint64
 _LOW = _U(0xFFFFFF)
 #: Bytes of text that are scanned at once; positions in them fit 24 bits.
 BLOCK = 1 << 20
-#: Different segments of one name that a task compares by itself.
-ALIKE = 1024
+#: Different segments of one name that a task compares by itself: about 5 MB of bytes and 22 MB of hashes.
+ALIKE = 16384
 #: Ids that are broadcast at most (8 MB); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 

@@ -104,7 +104,7 @@ def repeated(texts, length):
     return out
 
 
-@pytest.mark.parametrize("alike", [1, 1024])
+@pytest.mark.parametrize("alike", [1, 16384])
 def test_repeats_equal_brute_force(spark, alike, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "ALIKE", alike)
     rng = random.Random(5)
