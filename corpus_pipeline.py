@@ -35,16 +35,37 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _reject(docs, scores.where("toxic"))
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """One row of those with the same doc_id and text, the one with the least other values; rows without a doc_id stay."""
+    twice = materialise(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return docs
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.join(twice, "doc_id", "left_semi")
+    if others:
+        one = rows.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("o")).select("doc_id", "text", "o.*")
+    else:
+        one = rows.select("doc_id", "text").distinct()
+    return _reject(docs, twice).union(one.select(*docs.columns))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (similarity 0.8 of five-word shingles) the document with the smallest id stays."""
+    """Of each group of near-duplicates (similarity 0.8 of five-word shingles) the document with the smallest id stays, repeated rows once."""
+    docs = _once(docs)
     groups = near_duplicates(docs, percent=80, bands=40, rows=6)
     return _reject(docs, groups.where("not kept"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes that start in two places are removed in all; n_chars is counted anew and no row goes."""
-    kept = remove_repeats(docs, length=200, with_text=True).where("n_removed > 0").select("doc_id", F.col("kept_text"))
-    joined = docs.join(kept, "doc_id", "left").withColumn("text", F.coalesce("kept_text", "text"))
+    """Strings of 200 bytes that start in two places are removed in all; n_chars is counted anew and no row goes.
+
+    Rows are told apart by a number of their own, as rows may share a doc_id; those without a doc_id have none and stay whole.
+    """
+    number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    rows = materialise(docs.withColumn("row_", number), "rows")
+    cut = remove_repeats(rows.select(F.col("row_").alias("doc_id"), "text"), length=200, with_text=True)
+    kept = cut.where("n_removed > 0").select(F.col("doc_id").alias("row_"), "kept_text")
+    joined = rows.join(kept, "row_", "left").withColumn("text", F.coalesce("kept_text", "text"))
     return joined.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -27,3 +27,27 @@ def test_registration():
     names = e.queries()
     assert {f"op{n}_" for n in range(1, 11)} <= {k[: k.index("_") + 1] for k in names if k.startswith("op")} and "pipeline" in names
     assert set(e.oracle_sql()) <= set(names)
+
+
+def test_repeated_rows(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    row = lambda i, text, source="a": (i, text, "en", source, len(text) if text else 0)
+    long, other, third = words("hot", 90), words("other", 90), words("third", 90)
+    unlike = [row(3, words("one", 60)), row(3, words("two", 60)), row(None, words("none", 60))]
+    docs = spark.createDataFrame([row(1, long, s) for s in "cab" * 10] + [row(2, long)] + [row(4, other)] * 2 + [row(5, third)] + [row(6, "")] * 2 + unlike, columns)
+    kept = corpus_pipeline.near_copies(spark, docs, DATA)
+    want = sorted(map(str, [row(1, long), row(4, other), row(5, third), row(6, ""), *unlike]))
+    assert kept.columns == docs.columns and sorted(str(tuple(r)) for r in kept.collect()) == want
+    left = corpus_pipeline.repeats(spark, spark.createDataFrame(kept.collect(), columns), DATA)
+    assert sorted(str(tuple(r)) for r in left.collect()) == want
+
+
+def test_repeats_rows_that_share_an_id(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    again = words("again", 60)
+    texts = [(1, again), (1, again), (1, words("one", 60)), (1, "<" + words("two", 60) + again), (None, again)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in texts], "doc_id long, text string, n_chars long")
+    left = corpus_pipeline.repeats(spark, docs, DATA)
+    want = [(1, ""), (1, ""), (1, words("one", 60)), (1, "<" + words("two", 60)), (None, again)]
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(str((i, t, len(t))) for i, t in want)
