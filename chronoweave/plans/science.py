@@ -47,9 +47,17 @@ def amoc_changepoint(spark, d):
 
 @query(f"WITH {FULL}, n AS (SELECT series_id, y, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i FROM p), k AS (SELECT unnest(range(33)) AS k), f AS (SELECT series_id, k, sum(y * cos(-2 * pi() * k * i / 64)) AS re, sum(y * sin(-2 * pi() * k * i / 64)) AS im FROM n, k WHERE i < 64 GROUP BY 1, 2) SELECT series_id, k, round(sqrt(re * re + im * im), 4) AS magnitude FROM f")
 def dft_spectrum(spark, d):
+    """The transform of the first 64 values in built-ins, as its SQL; full_spectrum takes whole series."""
     return rounded(S.dft(hourly_full(spark, d), 64).select("series_id", "k", "magnitude"), 4)
 
 
+@query()
+def full_spectrum(spark, d):
+    """The spectrum of every whole series; frequencies in cycles an hour."""
+    f = lambda y: S.spectrum(y).rename_axis("k").reset_index()
+    return N.per_series(hourly_full(spark, d), f, "k long, frequency double, re double, im double, magnitude double, phase double")
+
+
 @query(f"WITH {DAILY}, {SHIPPED}, j AS (SELECT d.y AS a, l.y AS b FROM d JOIN l USING (ts)), k AS (SELECT unnest(range(50)) / 49.0::DOUBLE AS a_) SELECT round(a_, 6) AS a, round(avg((a * (1 - a_) + b * a_ - b) ** 2) / 1e6, 4) AS mse FROM j, k GROUP BY a_")
 def domain_blend(spark, d):
     j = daily(spark, d).select("ts", F.col("y").alias("s")).join(shipped(spark, d).select("ts", F.col("y").alias("t")), "ts")

@@ -1,10 +1,13 @@
 """Every registered query against its SQL in DuckDB, on the smallest tables."""
 
+import cmath
 import glob
 import math
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from chronoweave import catalogue
@@ -55,3 +58,17 @@ def test_matches_sql(spark, con, name):
 @pytest.mark.parametrize("name", ["adf_test", "kalman_track", "monte_carlo", "page_records", "granger_test"])
 def test_gives_rows(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_full_spectrum(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    series = {"a": rng.standard_normal(150), "b": rng.standard_normal(37)}
+    rows = [(k, pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i), float(y)) for k, v in series.items() for i, y in enumerate(v)]
+    pd.DataFrame(rows, columns=["event_type", "ts", "value"]).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    got = {(r["series_id"], r["k"]): r for r in catalogue.QUERIES["full_spectrum"](spark, str(tmp_path)).collect()}
+    want = {(s, k): sum(y * cmath.exp(-2j * math.pi * k * i / len(v)) for i, y in enumerate(v)) for s, v in series.items() for k in range(len(v) // 2 + 1)}
+    assert got.keys() == want.keys()
+    for key, f in want.items():
+        r = got[key]
+        assert abs(complex(r["re"], r["im"]) - f) < 1e-9 and abs(r["magnitude"] - abs(f)) < 1e-9
+        assert r["frequency"] == pytest.approx(key[1] / len(series[key[0]]))
