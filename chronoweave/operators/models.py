@@ -146,22 +146,247 @@ def arima(p: int = 1, d: int = 1, q: int = 1) -> Model:
     return fit
 
 
-def auto_arima(max_p: int = 2, max_q: int = 2, d: tuple[int, ...] = (0, 1)) -> Model:
-    """The order with the least corrected AIC; differencing d is compared on the same number of values."""
+#: A search of auto-ARIMA: season (1: none), differences, seasonal differences.
+Spec = tuple[int, int, int]
+
+
+def arima_specs(max_d: int = 2, seasons: tuple[int, ...] = (4, 7, 24)) -> list[Spec]:
+    return [(1, d, 0) for d in range(max_d + 1)] + [(s, d, k) for s in seasons for d in range(max_d + 1) for k in (0, 1)]
+
+
+def lag_polynomial(coefs: np.ndarray, step: int = 1) -> np.ndarray:
+    """1 + coefs[0] B^step + coefs[1] B^(2 step) + ..."""
+    out = np.zeros(len(coefs) * step + 1)
+    out[0], out[step::step] = 1.0, coefs
+    return out
+
+
+def divide(x: np.ndarray, coefs: np.ndarray, step: int = 1, block: int = 32) -> np.ndarray:
+    """e with e[t] + sum(coefs[k - 1] * e[t - k * step]) = x[t] and zeros before the start, in blocks; x may have several columns."""
+    q, rows = len(coefs), -(-len(x) // step)
+    if not q or not x.size:
+        return x
+    wide = x.reshape(len(x), -1)
+    v = np.zeros((rows * step, wide.shape[1]))
+    v[: len(x)] = wide
+    v = v.reshape(rows, -1)  # the step interleaved series side by side
+    size = min(block, rows)
+    psi = np.zeros(size)
+    psi[0] = 1.0
+    for j in range(1, size):
+        m = min(j, q)
+        psi[j] = -(coefs[:m] @ psi[j - m : j][::-1])
+    i = np.arange(size)
+    solve = np.where(i[:, None] >= i, psi[np.abs(i[:, None] - i)], 0.0)
+    carry = np.zeros((size, q))  # what the last q values (newest first) add to a block's first rows
+    for j in range(min(q, size)):
+        carry[j, : q - j] = coefs[j:]
+    carry = solve @ carry
+    e, last = np.zeros(v.shape), np.zeros((q, v.shape[1]))
+    for at in range(0, rows, size):
+        n = min(size, rows - at)
+        e[at : at + n] = solve[:n, :n] @ v[at : at + n] - carry[:n] @ last
+        last = np.concatenate([e[at : at + n][::-1], last])[:q]
+    return e.reshape(rows * step, -1)[: len(x)].reshape(x.shape)
+
+
+def sarima_fit(y: np.ndarray, spec: Spec, order: tuple[int, int, int, int, int], skip: int) -> dict:
+    """Conditional least squares of ARIMA(p, d, q)(P, D, Q)[season] with or without a constant; order is (p, q, P, Q, constant).
+
+    Errors are counted from value skip on, whatever the order, so that the corrected AIC of all orders
+    is about the same values. Raises ValueError where there are too few values or where a root of one of the
+    polynomials is within 1.01 of zero.
+    """
+    (season, d, ds), (p, q, sp, sq, const) = spec, order
+    ends = np.cumsum([const, p, q, sp, sq])
+    k, n = int(ends[-1]), len(y) - skip
+    if n < 3 * (k + 1):
+        raise ValueError("too few values")
+    gone = np.ones(1)
+    for _ in range(d):
+        gone = np.convolve(gone, [1.0, -1.0])
+    for _ in range(ds):
+        gone = np.convolve(gone, lag_polynomial(np.array([-1.0]), season))
+    z = np.convolve(y, gone, "valid")
+
+    def split(w):
+        return (w[0] if const else 0.0), w[ends[0] : ends[1]], w[ends[1] : ends[2]], w[ends[2] : ends[3]], w[ends[3] :]
+
+    def errors(w):
+        c, phi, theta_, sphi, stheta = split(w)
+        ar = np.convolve(lag_polynomial(-phi), lag_polynomial(-sphi, season))
+        e = divide(divide(np.convolve(z, ar, "valid") - c, stheta, season), theta_)
+        return e[len(e) - n :], e
+
+    def slopes(w, e):
+        """The derivatives of the errors: those of the constant and the lags of z go through the same division as the errors."""
+        c, phi, theta_, sphi, stheta = split(w)
+        m, whole = len(e), lambda x, lag: x[len(x) - lag - len(e) : len(x) - lag]
+        zs, zp = np.convolve(z, lag_polynomial(-sphi, season), "valid"), np.convolve(z, lag_polynomial(-phi), "valid")
+        of = lambda cols: divide(divide(np.column_stack(cols), stheta, season), theta_) if cols else np.empty((m, 0))
+        late = lambda x, lags: np.column_stack([np.concatenate([np.zeros(min(i, m)), x[: max(m - i, 0)]]) for i in lags]) if lags else np.empty((m, 0))
+        lags = of([np.ones(m)] * const + [whole(zs, i) for i in range(1, p + 1)] + [whole(zp, season * i) for i in range(1, sp + 1)])
+        plain = late(divide(e, theta_), list(range(1, q + 1)))
+        seasonal = late(divide(e, stheta, season), [season * i for i in range(1, sq + 1)])
+        return -np.column_stack([lags[:, : const + p], plain, lags[:, const + p :], seasonal])[m - n :]
+
+    def loss(w):
+        with np.errstate(all="ignore"):
+            e = errors(w)[0]
+            v = float(e @ e)
+        return v if np.isfinite(v) else np.inf
+
+    def start():
+        """Hannan and Rissanen's regression on lags and on the errors of a long autoregression."""
+        far = max(p, q, 1, season * max(sp, sq))
+        longer = [*range(1, max(p + q, 4) + 1), *([season * i for i in range(1, sp + sq + 1) if season * i > max(p + q, 4)])]
+        if len(z) - max(longer) - far < 3 * (k + len(longer)):
+            return np.zeros(k)
+        e0 = ols(*design(z, longer))[1]
+        tail = z[len(z) - len(e0) :]
+        at = np.arange(far, len(tail))
+        cols = [np.ones(len(at))] * const + [tail[at - i] for i in range(1, p + 1)] + [e0[at - i] for i in range(1, q + 1)]
+        cols += [tail[at - season * i] for i in range(1, sp + 1)] + [e0[at - season * i] for i in range(1, sq + 1)]
+        w = ols(np.column_stack(cols), tail[at])[0]
+        w[const:] = np.clip(w[const:], -0.9, 0.9)
+        return w
+
+    w = np.zeros(k)
+    if k:
+        w = min((start(), w), key=loss)
+        best, damp = loss(w), 1e-3
+        for _ in range(40):  # Levenberg and Marquardt
+            e, path = errors(w)
+            slope = slopes(w, path)
+            g, h = slope.T @ e, slope.T @ slope
+            if not np.isfinite(h).all():
+                break
+            before = best
+            while damp < 1e6:
+                new = w - np.linalg.lstsq(h + damp * np.diag(np.diag(h) + 1e-12), g, rcond=None)[0]
+                if (v := loss(new)) < best:
+                    w, best, damp = new, v, damp / 10
+                    break
+                damp *= 10
+            if before - best <= 1e-7 * before:
+                break
+    c, phi, theta_, sphi, stheta = split(w)
+    for poly in (-phi, theta_, -sphi, stheta):
+        if len(poly) and np.abs(np.roots(lag_polynomial(poly)[::-1])).min(initial=np.inf) < 1.01:
+            raise ValueError("a root within 1.01")
+    tail, e = errors(w)
+    var = float(tail @ tail) / n
+    if not np.isfinite(var):
+        raise ValueError("not finite")
+    m = k + 1
+    aicc = n * np.log(max(var, 1e-300)) + 2 * m + 2 * m * (m + 1) / max(n - m - 1, 1)
+    ar = np.convolve(np.convolve(lag_polynomial(-phi), lag_polynomial(-sphi, season)), gone)
+    ma = np.convolve(lag_polynomial(theta_), lag_polynomial(stheta, season))
+    return {"order": (p, d, q), "seasonal": (sp, ds, sq, season), "c": c, "ar": ar, "ma": ma, "e": e, "sigma": var**0.5, "aicc": aicc}
+
+
+def sarima_path(y: np.ndarray, m: dict, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """The forecast and its error's deviation at each step, from the whole lag polynomials."""
+    ar, ma = m["ar"], m["ma"]
+    n, back = len(y), max(len(m["ar"]), len(m["ma"]))
+    v = np.concatenate([np.zeros(back), y, np.zeros(h)])
+    e = np.concatenate([np.zeros(back + n - len(m["e"])), m["e"], np.zeros(h)])
+    psi = np.zeros(back + h)
+    for i in range(h):
+        t, j = back + n + i, back + i
+        v[t] = m["c"] - ar[1:] @ v[t - len(ar) + 1 : t][::-1] + ma[1:] @ e[t - len(ma) + 1 : t][::-1]
+        psi[j] = (ma[i] if i < len(ma) else 0.0) - ar[1:] @ psi[j - len(ar) + 1 : j][::-1]
+    return v[back + n :], m["sigma"] * np.sqrt(np.cumsum(psi[back:] ** 2))
+
+
+def arima_skip(n: int, specs: list[Spec], max_p: int = 5, max_seasonal: int = 2) -> tuple[int, list[Spec]]:
+    """The first value whose error counts and the specs that a series of n values can hold: a season needs 40 values beyond what its lags use up."""
+    lost = lambda s: s[1] + max_p + (s[0] * (1 + max_seasonal) if s[0] > 1 else 0)
+    held = [s for s in specs if s[0] == 1 or n - lost(s) >= 40]
+    return max((lost(s) for s in held), default=0), held
+
+
+def arima_search(y: np.ndarray, spec: Spec, skip: int, max_p: int = 5, max_q: int = 5, max_seasonal: int = 2) -> dict:
+    """Hyndman and Khandakar's stepwise search: the neighbour with the least corrected AIC is taken until none is better."""
+    season, d, ds = spec
+    top, seasonal = (max_p, max_q, max_seasonal, max_seasonal), season > 1
+    seen: dict[tuple, dict | None] = {}
+
+    def tried(orders) -> None:
+        for o in orders:
+            if o in seen or any(v < 0 or v > t for v, t in zip(o, top)) or (o[4] and d + ds > 1) or (not seasonal and o[2] + o[3]):
+                continue
+            try:
+                seen[o] = sarima_fit(y, spec, o, skip)
+            except (ValueError, np.linalg.LinAlgError):
+                seen[o] = None
+
+    s, c = int(seasonal), int(d + ds <= 1)
+    tried([(2, 2, s, s, c), (0, 0, 0, 0, c), (1, 0, s, 0, c), (0, 1, 0, s, c), (0, 0, 0, 0, 0)])
+    at = None
+    while True:
+        found = [(m["aicc"], o) for o, m in seen.items() if m]
+        if not found:
+            raise ValueError("no order fits")
+        best = min(found)[1]
+        if best == at:
+            return seen[at]
+        at = best
+        moves = [(i, j, 0, 0) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j] + [(0, 0, i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+        tried([(*(a + b for a, b in zip(at, step)), at[4]) for step in moves] + [(*at[:4], 1 - at[4])])
+
+
+def _searched(y: np.ndarray, h: int, spec: Spec, specs: list[Spec], max_p: int, max_q: int) -> tuple[dict, np.ndarray, np.ndarray] | None:
+    """The best model of one spec with its forecast; None where the series is too short for it."""
+    skip, held = arima_skip(len(y), specs, max_p)
+    if spec not in held:
+        return None
+    scale = float(y.std()) if y.std() > 1e-9 * np.abs(y).max(initial=0) else 1.0
+    try:
+        m = arima_search(y / scale, spec, skip, max_p, max_q)
+    except ValueError:
+        return None
+    mean, sd = sarima_path(y / scale, m, h)
+    return m, mean * scale, sd * scale
+
+
+def auto_arima(max_p: int = 5, max_q: int = 5, max_d: int = 2, seasons: tuple[int, ...] = (4, 7, 24)) -> Model:
+    """The least corrected AIC over the searches of every season, difference and seasonal difference; auto_arima_rows() deals them out."""
+    specs = arima_specs(max_d, seasons)
 
     def fit(y: np.ndarray, h: int):
-        found = []
-        for k in d:
-            for p in range(max_p + 1):
-                for q in range(max_q + 1):
-                    if p + q:
-                        found.append(arima_fit(y[max(d) - k :], p, k, q))
-        m = min(found, key=lambda m: m["aicc"])
-        return arima_path(y, m, h), m["sigma"] * np.sqrt(np.cumsum(_psi(m, h) ** 2))
+        y = y.astype(float)
+        found = [r for s in specs if (r := _searched(y, h, s, specs, max_p, max_q))]
+        if not found:
+            raise ValueError("no order fits")
+        return min(found, key=lambda r: r[0]["aicc"])[1:]
 
     return fit
 
 
+def auto_arima_rows(panel: DataFrame, h: int, fallback: Model, max_p: int = 5, max_q: int = 5, max_d: int = 2, seasons: tuple[int, ...] = (4, 7, 24), z: float = Z90) -> DataFrame:
+    """As forecast() with auto_arima(): each search is a row of its own, fitted by itself, and the best of a series is kept."""
+    specs = arima_specs(max_d, seasons)
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values("ts")["y"].to_numpy(float)
+        found = _searched(y, h, specs[key[1]], specs, max_p, max_q)
+        if found is not None and np.isfinite(found[1]).all():
+            m, mean, sd = found
+            return pd.DataFrame({"series_id": [key[0]], "rank": [m["aicc"]], "spec": [key[1]], "yhat": [mean], "sd": [sd], "status": ["ok"]})
+        if key[1]:
+            return pd.DataFrame(columns=["series_id", "rank", "spec", "yhat", "sd", "status"])
+        mean, sd = fallback(y, h)  # of the first spec only: ranks behind every fit
+        return pd.DataFrame({"series_id": [key[0]], "rank": [np.inf], "spec": [key[1]], "yhat": [mean], "sd": [sd], "status": ["ValueError: no order fits"]})
+
+    dealt = panel.where("y IS NOT NULL").select(KEY, "ts", "y", F.explode(F.sequence(F.lit(0), F.lit(len(specs) - 1))).alias("spec"))
+    each = dealt.repartition(len(specs), KEY, "spec").groupBy(KEY, "spec").applyInPandas(fit, "series_id string, rank double, spec int, yhat array<double>, sd array<double>, status string")
+    best = each.groupBy(KEY).agg(F.min_by(F.struct("yhat", "sd", "status"), F.struct("rank", "spec")).alias("b"))
+    step = best.select(KEY, "b.status", F.posexplode(F.arrays_zip("b.yhat", "b.sd")).alias("i", "v"))
+    band = lambda s: F.col("v.yhat") + s * z * F.col("v.sd")
+    return step.select(KEY, F.lit("auto_arima").alias("model"), (F.col("i") + 1).cast("long").alias("h"), F.col("v.yhat").alias("yhat"), band(-1).alias("lo"), band(1).alias("hi"), "status")
+
+
 def sarima(p: int = 1, q: int = 1, season: int = 24) -> Model:
     """ARMA on seasonal differences, added up again season by season."""
 

@@ -142,6 +142,42 @@ def test_models_follow_a_seasonal_series(name):
         assert np.abs(mean - want).max() < 1.5
 
 
+def test_polynomial_division_equals_the_recursion():
+    rng = np.random.default_rng(4)
+    x, w = rng.standard_normal((150, 2)), np.array([0.5, -0.2, 0.1])
+    for step in (1, 7):
+        e = np.zeros(x.shape)
+        for t in range(150):
+            e[t] = x[t] - sum(w[k - 1] * e[t - k * step] for k in (1, 2, 3) if t >= k * step)
+        assert models.divide(x, w, step) == pytest.approx(e) and models.divide(x[:, 0], w, step) == pytest.approx(e[:, 0])
+
+
+def test_auto_arima_searches_walks_and_high_orders():
+    rng = np.random.default_rng(6)
+    assert {(1, 2, 0), (4, 0, 1), (7, 1, 1), (24, 2, 0), (24, 0, 1)} <= set(models.arima_specs())
+    walk = np.cumsum(rng.standard_normal(200))
+    m = models.arima_search(walk, (1, 1, 0), 7, 0, 0)
+    assert models.arima_search(walk, (1, 1, 0), 7)["aicc"] <= m["aicc"]
+    assert m["order"] == (0, 1, 0) and models.sarima_path(walk, m, 5)[0] == pytest.approx(walk[-1] + m["c"] * np.arange(1, 6))
+    z = np.zeros(600)
+    for t in range(4, 600):
+        z[t] = -0.8 * z[t - 4] + rng.standard_normal()
+    m = models.arima_search(z, (1, 0, 0), 7)
+    assert m["order"][0] >= 4 and m["ar"][4] == pytest.approx(0.8, abs=0.15)
+
+
+def test_auto_arima_deals_out_seasons(spark):
+    rng = np.random.default_rng(7)
+    y = np.tile([10.0, 30.0, 5.0, 22.0], 30) + 0.2 * rng.standard_normal(120)
+    rows = [("a", i, float(v)) for i, v in enumerate(y)] + [("short", i, float(i + 2)) for i in range(3)]
+    panel = spark.createDataFrame(rows, "series_id string, ts long, y double")
+    out = models.auto_arima_rows(panel, 8, models.naive(), 1, 1, 1, (4,)).orderBy("series_id", "h").collect()
+    assert [r["h"] for r in out] == [*range(1, 9)] * 2
+    assert {r["status"] for r in out[:8]} == {"ok"} and {(r["yhat"], r["status"]) for r in out[8:]} == {(4.0, "ValueError: no order fits")}
+    assert [r["yhat"] for r in out[:8]] == pytest.approx([10, 30, 5, 22] * 2, abs=1)
+    assert [r["yhat"] for r in out[:8]] == pytest.approx(models.auto_arima(1, 1, 1, (4,))(y, 8)[0])
+
+
 def test_failing_models_fall_back(primer):
     def bad(y, h):
         raise ValueError("no")
