@@ -248,6 +248,7 @@ def _features(spark, d):
 
 
 def _fitted(spark, d, model):
+    """One-step scores: the lags of a held-out hour are true values, also those within the held-out day."""
     f = _features(spark, d)
     out = model.fit(f.where("part = 'train'")).transform(f.where("part = 'test'"))
     return V.score(out.withColumnRenamed("prediction", "yhat"), ["series_id"])
