@@ -153,7 +153,7 @@ def granger_test(spark, d):
 
 @query()
 def ccm_hourly(spark, d):
-    """Cross mapping of clicks and views, both ways."""
+    """Cross mapping of one stated pair, clicks and views, both ways; other pairs are left out."""
     p = hourly_full(spark, d).where("series_id IN ('click', 'view')")
     wide = p.groupBy("ts").pivot("series_id", ["click", "view"]).agg(F.first("y")).dropna().withColumn("series_id", F.lit("click~view"))
     f = lambda v: pd.DataFrame({"click_to_view": [N.cross_map(v[:, 0], v[:, 1])], "view_to_click": [N.cross_map(v[:, 1], v[:, 0])]})
@@ -185,6 +185,7 @@ def dtw_pairs(spark, d):
 
 
 def _wide(spark, d):
+    """The stated pair of clicks and views; other series are left out."""
     p = hourly_full(spark, d).where("series_id IN ('click', 'view')")
     return p.groupBy("ts").pivot("series_id", ["click", "view"]).agg(F.first("y")).dropna().withColumn("series_id", F.lit("click~view"))
 
