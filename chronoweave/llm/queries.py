@@ -76,5 +76,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
-#: None of the ten can be said in SQL; tests/llm holds them against brute force.
+#: None of the ten can be said in SQL; tests/llm holds them against brute force, but op6 and op7 by their behaviour only.
 ORACLE_SQL: dict[str, str] = {}

@@ -82,7 +82,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing),
 ]
 
-#: The stages run models and tokenizers that SQL can't express; tests/llm compares them with brute force.
+#: The stages run models and tokenizers that SQL can't express; tests/llm checks what they must keep, without a brute-force run.
 ORACLE_SQL: str | None = None
 
 
