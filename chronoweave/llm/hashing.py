@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 _U = np.uint64
@@ -52,39 +54,63 @@ class RollingHash:
             return mix((prefix[end] - prefix[start]) * self.down[start] + (end - start).astype(_U))
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+class WordCodes(dict):
+    """64 bits of a keyed BLAKE2 of each word; words of up to 64 bytes are kept, at most ``most`` of them before it starts anew."""
+
+    def __init__(self, most: int = 200_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        code = int.from_bytes(blake2b(word, digest_size=8, key=b"chronoweave").digest(), "little")
+        if len(word) <= 64:
+            self[word] = code
+        return code
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), _U, len(words))
+
+
+def words_of(text: str) -> list[bytes]:
+    """Runs of other characters than space and \\t to \\r, A-Z in lower case (of bytes only A-Z have one)."""
+    return text.encode().lower().split()
 
 
 class Shingler:
-    """Word shingles of texts as 64-bit hashes; words are runs of other characters than space and \\t to \\r, A-Z in lower case."""
+    """Word shingles of texts as 64-bit hashes of their words' codes."""
 
     def __init__(self, words: int = 5):
-        self.words, self.roll, self.k = words, RollingHash(), constants(words + 1, 99)
-
-    def word_hashes(self, texts: list[str]) -> list[np.ndarray]:
-        """The hash of each word of each text."""
-        raw = [t.encode().lower() for t in texts]  # of bytes only A-Z have a lower case
-        joined = b"\n".join(raw) + b"\n"
-        data = np.frombuffer(joined, np.uint8)
-        word = np.concatenate([[False], ~_SPACE[data]])
-        edge = np.flatnonzero(word[1:] != word[:-1])
-        start, end = edge[::2], edge[1::2]
-        hashes = self.roll.ranges(self.roll.prefix(data), start, end)
-        stops = np.cumsum([len(r) + 1 for r in raw])
-        return np.split(hashes, np.searchsorted(start, stops[:-1]))
-
-    def sets(self, texts: list[str]) -> list[np.ndarray]:
-        """Each text's sorted distinct shingles; with fewer words the whole sequence as one; without words none."""
-        out = []
+        self.words, self.codes, self.k = words, WordCodes(), constants(words + 1, 99)
+
+    def shingles(self, words: list[bytes]) -> np.ndarray:
+        """A text's sorted distinct shingles; with fewer words the whole sequence as one; without words none."""
+        if not words:
+            return np.empty(0, _U)
+        h, n = self.codes.of(words), min(self.words, len(words))
         with np.errstate(over="ignore"):
-            for h in self.word_hashes(texts):
-                if not len(h):
-                    out.append(h)
-                    continue
-                n = min(self.words, len(h))
-                total = np.full(len(h) - n + 1, n, _U) * self.k[self.words]
-                for i in range(n):
-                    total += mix(h[i : len(h) - n + 1 + i] + self.k[i]) * self.k[i]
-                out.append(np.unique(mix(total)))
-        return out
+            total = np.full(len(h) - n + 1, n, _U) * self.k[self.words]
+            for i in range(n):
+                total += mix(h[i : len(h) - n + 1 + i] + self.k[i]) * self.k[i]
+            return np.unique(mix(total))
+
+
+def common_shingles(a: list[bytes], b: list[bytes], words: int) -> tuple[int, int, int]:
+    """The sizes of two texts' sets of shingles and of what they have in common, by the words themselves; both have words.
+
+    Words are numbered by a table of both texts; a shingle's number grows word by
+    word as the rank of (number so far, next word), so that equal numbers are equal words.
+    """
+    table: dict[bytes, int] = {}
+    numbers = np.fromiter((table.setdefault(w, len(table)) for side in (a, b) for w in side), np.int64, len(a) + len(b))
+    sides = [numbers[: len(a)], numbers[len(a) :]]
+    n = min(words, max(len(a), len(b)))
+    counts = [max(1, len(side) - n + 1) for side in sides]
+    sides = [np.concatenate([side, np.full(max(0, n - len(side)), len(table))]) for side in sides]  # a shorter text is one shingle of its own
+    at = np.concatenate([side[:c] for side, c in zip(sides, counts)])
+    for i in range(1, n):
+        after = np.concatenate([side[i : i + c] for side, c in zip(sides, counts)])
+        at = np.unique(at * (len(table) + 1) + after, return_inverse=True)[1]
+    left, right = np.unique(at[: counts[0]]), np.unique(at[counts[0] :])
+    return len(left), len(right), len(np.intersect1d(left, right, assume_unique=True))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
 from math import comb
 
 import numpy as np
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.arrow import slices, with_id_and_text
 from chronoweave.llm.buckets import bucket_components
-from chronoweave.llm.hashing import Shingler, constants, mix
-from chronoweave.session import materialise
+from chronoweave.llm.hashing import Shingler, common_shingles, constants, mix, words_of
+from chronoweave.session import intermediate, materialise
 
 #: Ids that are broadcast at most (8 MB); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
@@ -43,21 +44,20 @@ class Signer:
 
 
 def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, the band keys and the signature (16 bits a value)."""
+    """doc_id, n_shingles, a SHA-256 of the sequence of words, the band keys and the signature (16 bits a value)."""
 
     def run(batches):
         shingler, signer = Shingler(words), Signer(bands, rows)
         for part in slices(batches):
-            sets = shingler.sets(part.column(1).to_pylist())
+            split = [words_of(t) for t in part.column(1).to_pylist()]
+            digest = pa.array([sha256(b" ".join(w)).digest() for w in split], pa.binary())
+            sets = [shingler.shingles(w) for w in split]
             low = [signer.signature(s) for s in sets]
-            with np.errstate(over="ignore"):
-                one = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                two = np.array([mix(s ^ np.uint64(0xA5A5)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             keys = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * bands, np.concatenate([signer.keys(x) for x in low]))
             brief = pa.array([x.astype(np.uint16).tobytes() for x in low], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), keys, brief], names=["doc_id", "n_shingles", "k1", "k2", "keys", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), digest, keys, brief], names=["doc_id", "n_shingles", "digest", "keys", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>, sig binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, sig binary")
 
 
 def fewest_matches(n: int, threshold: float, miss: float) -> int:
@@ -91,26 +91,13 @@ def plausible(pairs: DataFrame, size: int, batch: int, threshold: float, miss: f
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    def run(batches):
-        shingler = Shingler(words)
-        for part in slices(batches):
-            sets = shingler.sets(part.column(1).to_pylist())
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, np.concatenate(sets).view(np.int64))], names=["id", "shingles"])
-
-    return docs.mapInArrow(run, "id long, shingles array<long>")
-
-
-class SetTest:
-    """The pairs of a tile by their signatures, batch after batch, then by their whole sets."""
+class TextTest:
+    """The pairs of a tile by their signatures, batch after batch, then by the words of their shingles."""
 
-    def __init__(self, table: pa.Table, size: int, batch: int, percent: int, miss: float):
+    def __init__(self, table: pa.Table, words: int, size: int, batch: int, percent: int, miss: float):
         self.sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, size)
-        sets = table["shingles"].combine_chunks()
-        self.sets = [np.sort(x) for x in np.split(sets.flatten().to_numpy(), np.cumsum(sets.value_lengths().to_numpy())[:-1])]
-        self.n = np.array([len(x) for x in self.sets])
-        self.batch, self.percent = batch, percent
+        self.n, self.texts = table["n"].to_numpy(), table["text"]
+        self.words, self.batch, self.percent = words, batch, percent
         self.steps = [(k, fewest_matches(k, percent / 100, miss)) for k in range(batch, size + 1, batch)]
 
     def likely(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -125,21 +112,26 @@ class SetTest:
         return list(zip(i[order].tolist(), j[order].tolist()))
 
     def same(self, i: int, j: int) -> bool:
-        common = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
-        return 100 * common >= self.percent * (self.n[i] + self.n[j] - common)
+        return linked(words_of(self.texts[i].as_py()), words_of(self.texts[j].as_py()), self.words, self.percent)
+
+
+def linked(a: list[bytes], b: list[bytes], words: int, percent: int) -> bool:
+    """Whether two texts' sets of shingles have at least percent of their union in common."""
+    n, m, common = common_shingles(a, b, words)
+    return 100 * common >= percent * (n + m - common)
 
 
 class Verifier:
-    """Decides pairs of documents exactly; keeps the sets of documents whose pairs got that far."""
+    """Decides pairs of documents by the words of their shingles; keeps the texts of documents whose pairs got that far."""
 
     def __init__(self, docs: DataFrame, base: DataFrame, words: int, size: int, batch: int, percent: int, miss: float):
         self.docs, self.words, self.percent = docs, words, percent
         self.prune = lambda pairs: plausible(pairs, size, batch, percent / 100, miss)
         self.sigs = base.select("doc_id", F.col("n_shingles").alias("n"), "sig")
-        self.sets: DataFrame | None = None
+        self.texts: DataFrame | None = None
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets have at least percent of their union in common, as a written table."""
+        """The pairs (a, b) that are linked, as a written table (u, v)."""
         of = lambda c: self.sigs.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
         near = (
             pairs.join(of("b"), "b").join(of("a"), "a")
@@ -148,27 +140,34 @@ class Verifier:
         )
         left = materialise(self.prune(near), "plausible")
         self.fetch(left)
-        of = lambda c: self.sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}"))
-        both = left.join(of("b"), "b").join(of("a"), "a").withColumn("same", F.size(F.array_intersect("s_a", "s_b")))
-        union = F.size("s_a") + F.size("s_b") - F.col("same")
-        return materialise(both.where(100 * F.col("same") >= self.percent * union).select(F.col("a").alias("u"), F.col("b").alias("v")), "verified")
+        of = lambda c: self.texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+        words, percent = self.words, self.percent
+
+        def run(batches):
+            for part in slices(batches):
+                texts = zip(part.column(2).to_pylist(), part.column(3).to_pylist())
+                yes = [linked(words_of(x), words_of(y), words, percent) for x, y in texts]
+                yield part.select([0, 1]).filter(pa.array(yes, pa.bool_())).rename_columns(["u", "v"])
+
+        both = left.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
+        return materialise(both.mapInArrow(run, "u long, v long"), "verified")
 
     def payload(self, ids: DataFrame) -> DataFrame:
-        """(id, sig, shingles) of ids (id)."""
+        """(id, sig, n, text) of ids (id)."""
         self.fetch(ids.select(F.col("id").alias("a"), F.col("id").alias("b")))
-        return self.sets.join(self.sigs.select(F.col("doc_id").alias("id"), "sig"), "id")
+        wanted = ids.join(self.texts.withColumnRenamed("doc_id", "id"), "id")
+        return wanted.join(self.sigs.withColumnRenamed("doc_id", "id"), "id")
 
     def fetch(self, pairs: DataFrame) -> None:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        if self.sets is not None:
-            ids = ids.join(self.sets.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+        if self.texts is not None:
+            ids = ids.join(self.texts, "doc_id", "left_anti")
         ids = materialise(ids, "ids")
         n = ids.count()
-        if n == 0 and self.sets is not None:
+        if n == 0 and self.texts is not None:
             return
-        wanted = self.docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-        new = materialise(shingle_sets(wanted, self.words), "sets")
-        self.sets = new if self.sets is None else self.sets.unionByName(new)
+        new = materialise(self.docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi"), "texts")
+        self.texts = new if self.texts is None else self.texts.unionByName(new)
 
 
 def near_duplicates(
@@ -176,28 +175,35 @@ def near_duplicates(
 ) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept.
 
-    Documents are linked where 100 * |common shingles| >= percent * |union|. Copies
-    of a set are one class; the classes that share a band's key are compared as
+    Documents are linked where 100 * |common shingles| >= percent * |union|; each link
+    is confirmed on the words themselves. Texts with the same words in a row (by SHA-256) are one class; the
+    classes that share a band's key are compared as
     bucket_components() says. With 32 bands of 8 rows a pair at 0.85 is in no common
     bucket with a chance of 4e-5, at 0.8 of 2e-3 (use rows=6 for 3e-5 there);
     a batch prunes a pair above the threshold with a chance of about ``miss``.
+    n_shingles counts 64-bit hashes of a text's shingles, which collide in a text of 20,000
+    words with a chance of 1e-11.
 
     A null or empty text, or one of white space, has no shingles and links with
     nothing. Rows that share a doc_id count as one document. A null doc_id links
-    with nothing and is kept. Further columns don't matter; no rows give no rows.
+    with nothing and is kept. Very long texts are compared whole. Further columns don't matter; no rows give no rows.
     """
     texts = with_id_and_text(docs)
-    base = materialise(signed(texts, words, bands, rows), "signed")
-    some = base.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = materialise(base.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep"), "members")
-    reps = members.where("doc_id = rep").select("doc_id").distinct()
-    banded = some.select("doc_id", "keys").join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    verifier = Verifier(texts, some, words, bands * rows, batch, percent, miss)
-    twice = members.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("top")).where("v <> top")
-    known = members.join(twice, "doc_id").select(F.col("rep").alias("u"), "v").where("u <> v")  # one doc_id, several texts
-    test = lambda table: SetTest(table, bands * rows, batch, percent, miss)
-    found = bucket_components(banded, verifier.links, verifier.payload, test, known)
-    out = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    with intermediate(docs.sparkSession) as keep:
+        base = materialise(signed(texts, words, bands, rows), "signed")
+        some = base.where("n_shingles > 0 and doc_id is not null")
+        # classes is a table of its own, so that Spark can split the rows of a hot one in the join
+        classes = materialise(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+        kept = some.select("doc_id", "n_shingles", "digest").join(classes, "digest").drop("digest")
+        alone = base.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("rep"))
+        members = materialise(kept.union(alone), "members")
+        reps = members.where("doc_id = rep").select("doc_id").distinct()
+        banded = some.select("doc_id", "keys").join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+        verifier = Verifier(texts, some, words, bands * rows, batch, percent, miss)
+        twice = members.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("top")).where("v <> top")
+        known = members.join(twice, "doc_id").select(F.col("rep").alias("u"), "v").where("u <> v")  # one doc_id, several texts
+        test = lambda table: TextTest(table, words, bands * rows, batch, percent, miss)
+        found = bucket_components(banded, verifier.links, verifier.payload, test, known)
+        out = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
+        component = F.coalesce("component", "rep", "doc_id")
+        return keep(out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.arrow import map_texts, with_id_and_text
 from chronoweave.llm.buckets import bucket_components
-from chronoweave.llm.hashing import Shingler, constants, mix
+from chronoweave.llm.hashing import WordCodes, constants, mix, words_of
 from chronoweave.session import materialise
 
 _U = np.uint64
@@ -30,13 +30,13 @@ class SimHash:
 
     def __init__(self, bits: int = 256):
         self.lanes = constants(bits // 64, 21)
-        self.words = Shingler(1)
+        self.codes = WordCodes()
 
     def terms(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each text its distinct terms' hashes and their weights."""
         out = []
         with np.errstate(over="ignore"):
-            for h in self.words.word_hashes(texts):
+            for h in (self.codes.of(words_of(t)) for t in texts):
                 pairs = mix(h[:-1] * _U(0x9E3779B97F4A7C15) + h[1:])
                 used, times = np.unique(np.concatenate([h, pairs]), return_counts=True)
                 out.append((used, (times**0.25).astype(np.float32)))

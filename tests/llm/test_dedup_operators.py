@@ -11,6 +11,7 @@ import pytest
 from chronoweave.llm import suffix_dedup
 from chronoweave.llm.components import connected
 from chronoweave.llm.embedding_dedup import near_vectors
+from chronoweave.llm.hashing import common_shingles
 from chronoweave.llm.lattice import minimal_vectors, nearest_e8
 from chronoweave.llm.minhash import fewest_matches, near_duplicates
 from chronoweave.llm.simhash import SimHash, compare_with_next, fingerprint, within_radius
@@ -48,8 +49,8 @@ def components(n, linked):
     return [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("percent", [85, 80])
-def test_near_duplicates_equal_brute_force(spark, percent):
+@pytest.mark.parametrize("percent, bands, rows", [(85, 32, 8), (80, 40, 6)])  # as op2 and the pipeline have them
+def test_near_duplicates_equal_brute_force(spark, percent, bands, rows):
     texts = [*near_copies(), "", "  \n", "A b", "a B", "one two three four five", None]
     texts += texts[:10]
     sets = []
@@ -63,7 +64,7 @@ def test_near_duplicates_equal_brute_force(spark, percent):
 
     want = components(len(texts), linked)
     d = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, component_id int")
-    got = near_duplicates(d, percent=percent, bands=40, rows=6).collect()
+    got = near_duplicates(d, percent=percent, bands=bands, rows=rows).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
     assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(s) for i, s in enumerate(sets)}
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
@@ -76,6 +77,37 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert near_duplicates(d.limit(0)).count() == 0
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_texts_that_share_no_word_stay_apart(spark):
+    """Polynomials modulo 2^64 collide on these whatever their base."""
+    texts = [t for n in (1024, 2048, 4096) for t in (thue_morse(n), thue_morse(n).translate(str.maketrans("ab", "ba")))]
+    texts += [" ".join([t] * 3 + list("cdefghij")) for t in texts[:2]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(d, percent=85).collect()} == {i: i for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_common_shingles_equal_sets_of_words(seed):
+    rng = random.Random(seed)
+    for _ in range(50):
+        a, b = ([rng.choice([b"x", b"y", b"zz"]) for _ in range(rng.randint(1, 30))] for _ in range(2))
+        x, y = ({tuple(s[i : i + 5]) for i in range(max(1, len(s) - 4))} for s in (a, b))
+        assert common_shingles(a, b, 5) == (len(x), len(y), len(x & y))
+
+
+def test_very_long_texts_are_compared_whole(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    other = [*words[:56_000], *(f"v{i}" for i in range(3_000))]
+    d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:40_000])), (4, "x" * 500_000)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(d, percent=85).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     rng = np.random.default_rng(0)
     for k in (32, 64, 128, 256):
