@@ -112,5 +112,19 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, ve
 FROM vectors LEFT JOIN lowest ON vec_id = id LEFT JOIN (SELECT a, count(*) AS n FROM both_ GROUP BY a) AS counted ON vec_id = counted.a
 """
 
-#: The other eight run tokenizers, models or byte strings that SQL can't express; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_minhash_near_dedup": _OP2, "op10_embedding_near_dedup": _OP10}
+#: Bytes are pairs of hexadecimal digits here, so that substr() counts in bytes.
+_OP3 = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(0, strlen(h) // 2 - 199)) AS i FROM texts),
+strings AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS s FROM starts),
+hits AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM strings SEMI JOIN (SELECT s FROM strings GROUP BY s HAVING count(*) > 1) AS twice USING (s)),
+numbered AS (SELECT doc_id, i, count_if(coalesce(gap, 999) > 200) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hits),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY doc_id, k),
+parts AS (SELECT doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0))) AS x, h FROM runs JOIN texts USING (doc_id)),
+cut AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS n, string_agg(x, '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS x FROM parts GROUP BY doc_id)
+SELECT doc_id, strlen(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(x, h))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id)
+"""
+
+#: The other seven run tokenizers or models that SQL can't express; tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {"op2_minhash_near_dedup": _OP2, "op3_suffix_array_dedup": _OP3, "op10_embedding_near_dedup": _OP10}

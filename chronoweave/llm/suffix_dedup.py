@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings with a logarithmic family of sparse suffix arrays."""
+"""Removal of long repeated byte strings with a logarithmic family of suffix arrays."""
 
 from __future__ import annotations
 
@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.arrow import slices, with_id_and_text
 from chronoweave.llm.hashing import RollingHash
-from chronoweave.session import materialise
+from chronoweave.llm.suffix_array import SuffixArray
+from chronoweave.session import intermediate, materialise
 
 _U = np.uint64
 _LOW = _U(0xFFFFFF)
 #: Bytes of text that are scanned at once; positions in them fit 24 bits.
 BLOCK = 1 << 20
-#: Different segments of one name that a task compares by itself: about 5 MB of bytes and 22 MB of hashes.
-ALIKE = 16384
+#: Bytes of strings that a shard of the family holds on average, of all batches together.
+SHARD = 1 << 20
+#: Different segments of one name that stay together in a shard (1.5 MB of bytes); beyond it strings are counted over all tasks.
+ALIKE = 4096
 #: Ids that are broadcast at most (8 MB); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -30,8 +33,8 @@ class Segmenter:
     its first length - gram + 1 bytes, whose first ``gram`` bytes have the least hash (the last
     one of equals). That choice depends on the string alone: equal strings choose
     the same suffix at the same distance. Neighbouring strings that choose the
-    same suffix are a segment. It has two names, hashes of bytes: that of the
-    suffix's first ``gram`` bytes and that of all bytes that its strings cover.
+    same suffix are a segment. Its name is a hash of the suffix's first ``gram`` bytes;
+    names only choose what is compared, so that a collision costs time and nothing else.
     """
 
     def __init__(self, length: int, gram: int = 32):
@@ -39,14 +42,14 @@ class Segmenter:
         self.roll = RollingHash(11)
 
     def segments(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """doc (index), start, count, name of the suffix, name of the covered bytes; for all texts together."""
+        """doc (index), start, count and name of the segments of all texts together."""
         length, gram = self.length, self.gram
         data = np.frombuffer(b"".join(texts), np.uint8)
         stops = np.cumsum([len(t) for t in texts], dtype=np.int64)
         starts = stops - [len(t) for t in texts]
         if len(data) < length:
             e = np.empty(0, np.int64)
-            return e, e, e, e, e
+            return e, e, e, e
         prefix = self.roll.prefix(data)
         at = np.arange(len(data) - gram + 1)
         named = self.roll.ranges(prefix, at, at + gram)
@@ -65,80 +68,34 @@ class Segmenter:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(pos)) - 1
         first, last = first[inside[first]], last[inside[first]]
-        names = named[chosen[first]].view(np.int64)
-        spans = self.roll.ranges(prefix, first, last + length).view(np.int64)
-        return doc[first], first - starts[doc[first]], last - first + 1, names, spans
+        return doc[first], first - starts[doc[first]], last - first + 1, named[chosen[first]].view(np.int64)
 
 
-class LevelFamily:
-    """A logarithmic family of suffix arrays over named suffixes.
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
-    Every level is an array of (name, span, times) in the order of the names, which
-    stand for the suffixes' bytes as ranks do in prefix doubling. A new batch is
-    sorted, merge-scanned against each level for long matches and then joins
-    the family: levels of about the same size are merged, so that a suffix is
-    merged about log(n) times and there are about log(n) levels.
-    """
-
-    def __init__(self):
-        self.levels: list[np.ndarray] = []
-        self.matched: list[np.ndarray] = []
-
-    KIND = np.dtype([("name", np.int64), ("span", np.int64), ("times", np.int64)])
-
-    @classmethod
-    def array(cls, name: np.ndarray, span: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """The suffix array of a batch: sorted, equal entries added up."""
-        order = np.lexsort((span, name))
-        name, span, times = name[order], span[order], times[order]
-        new = np.ones(len(name), bool)
-        new[1:] = (name[1:] != name[:-1]) | (span[1:] != span[:-1])
-        first = np.flatnonzero(new)
-        out = np.empty(len(first), cls.KIND)
-        out["name"], out["span"] = name[first], span[first]
-        out["times"] = np.add.reduceat(times, first) if len(first) else 0
-        return out
-
-    def add(self, batch: np.ndarray) -> None:
-        inner = batch["name"][1:] == batch["name"][:-1]
-        within = np.unique(np.concatenate([batch["name"][1:][inner], batch["name"][batch["times"] > 1]]))
-        self.matched.append(within)
-        for level in self.levels:
-            self.matched.append(np.intersect1d(batch["name"], level["name"]))
-        while self.levels and len(self.levels[-1]) < 2 * len(batch):
-            level = self.levels.pop()
-            batch = self.array(*(np.concatenate([level[c], batch[c]]) for c in ("name", "span", "times")))
-        self.levels.append(batch)
 
-    def matches(self) -> np.ndarray:
-        """All entries whose suffix starts like another one, with how often the entry and its name occur."""
-        names = np.unique(np.concatenate(self.matched)) if self.matched else np.empty(0, np.int64)
-        found = [level[np.isin(level["name"], names, kind="sort")] for level in self.levels]
-        return self.array(*(np.concatenate([x[c] for x in found]) for c in ("name", "span", "times"))) if found else np.empty(0, self.KIND)
-
-
-def _scan(docs: DataFrame, segmenter: Segmenter, keep_docs: bool) -> DataFrame:
-    """The segments of all texts; without documents only their names and how often each occurs in a batch."""
+def _scan(keyed: DataFrame, segmenter: Segmenter) -> DataFrame:
+    """The segments of all texts with 128 bits of a BLAKE2 of the bytes that they cover."""
 
     def run(batches):
         for part in slices(batches):
-            ids, texts = part.column(0).to_pylist(), [t.encode() for t in part.column(1).to_pylist()]
+            rows, texts = part.column(0).to_numpy(), [t.encode() for t in part.column(1).to_pylist()]
             at = 0
             while at < len(texts):
                 to, held = at + 1, len(texts[at])
                 while to < len(texts) and held + len(texts[to]) <= BLOCK:
                     held, to = held + len(texts[to]), to + 1
-                doc, start, count, name, span = _long(segmenter, texts[at:to])
-                if keep_docs:
-                    owner = pa.array(ids[at:to], pa.int64()).take(pa.array(doc))
-                    yield pa.RecordBatch.from_arrays([owner, pa.array(start), pa.array(count), pa.array(name), pa.array(span)], names=["doc_id", "start", "n", "name", "span"])
-                else:
-                    one = LevelFamily.array(name, span, np.ones(len(name), np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(one["name"]), pa.array(one["span"]), pa.array(one["times"])], names=["name", "span", "times"])
+                doc, start, count, name = _long(segmenter, texts[at:to])
+                some = texts[at:to]
+                reach = segmenter.length - 1
+                codes = b"".join(_digest(some[d][s : s + n + reach]) for d, s, n in zip(doc.tolist(), start.tolist(), count.tolist()))
+                codes = np.frombuffer(codes, np.int64).reshape(-1, 2)
+                cols = [rows[at:to][doc], start, count.astype(np.int32), name, codes[:, 0], codes[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["row", "start", "n", "name", "d1", "d2"])
                 at = to
 
-    kinds = "doc_id long, start long, n long, name long, span long" if keep_docs else "name long, span long, times long"
-    return docs.mapInArrow(run, kinds)
+    return keyed.select("row", "text").mapInArrow(run, "row long, start long, n int, name long, d1 long, d2 long")
 
 
 def _long(segmenter: Segmenter, texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -147,38 +104,16 @@ def _long(segmenter: Segmenter, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         return segmenter.segments(texts)
     step = BLOCK - segmenter.length + 1
     found = [segmenter.segments([texts[0][at : at + BLOCK]]) for at in range(0, len(texts[0]) - segmenter.length + 1, step)]
-    doc, start, count, name, span = (np.concatenate(c) for c in zip(*found))
-    return doc, start + np.repeat(np.arange(len(found)) * step, [len(f[0]) for f in found]), count, name, span
-
+    doc, start, count, name = (np.concatenate(c) for c in zip(*found))
+    return doc, start + np.repeat(np.arange(len(found)) * step, [len(f[0]) for f in found]), count, name
 
-def _shards(entries: DataFrame, batches_of: int) -> DataFrame:
-    """Runs a family on each shard of names: entries whose name occurs more than once, with repeated (the bytes occur again)."""
 
-    def run(batches):
-        family, rows, held = LevelFamily(), [], 0
-        for part in batches:
-            rows.append([part.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
-            held += part.num_rows
-            if held >= batches_of:
-                family.add(LevelFamily.array(*(np.concatenate(c) for c in zip(*rows))))
-                rows, held = [], 0
-        if held:
-            family.add(LevelFamily.array(*(np.concatenate(c) for c in zip(*rows))))
-        found = family.matches()
-        if len(found):
-            first = np.flatnonzero(np.concatenate([[True], found["name"][1:] != found["name"][:-1]]))
-            alike = np.repeat(np.diff(np.append(first, len(found))), np.diff(np.append(first, len(found))))
-            yield pa.RecordBatch.from_arrays([pa.array(found["name"]), pa.array(found["span"]), pa.array(found["times"] > 1), pa.array(alike)], names=["name", "span", "repeated", "alike"])
-
-    return entries.mapInArrow(run, "name long, span long, repeated boolean, alike long")
-
-
-def _affected(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The docs whose doc_id is in rows, and the others, read apart; the others are None where there are too many ids to broadcast."""
-    ids = rows.select("doc_id").distinct()
+def _affected(keyed: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of keyed that are in rows, and the others, read apart; the others are None where there are too many to broadcast."""
+    ids = rows.select("row").distinct()
     if ids.count() > BROADCAST_IDS:
-        return docs.join(ids, "doc_id", "left_semi"), None
-    return docs.join(F.broadcast(ids), "doc_id", "left_semi"), docs.join(F.broadcast(ids), "doc_id", "left_anti")
+        return keyed.join(ids, "row", "left_semi"), None
+    return keyed.join(F.broadcast(ids), "row", "left_semi"), keyed.join(F.broadcast(ids), "row", "left_anti")
 
 
 def _spelled(near: DataFrame, probes: DataFrame, segmenter: Segmenter) -> DataFrame:
@@ -187,99 +122,154 @@ def _spelled(near: DataFrame, probes: DataFrame, segmenter: Segmenter) -> DataFr
     def run(batches):
         for part in slices(batches):
             rows = []
-            for doc_id, text, at in zip(*(part.column(i).to_pylist() for i in range(3))):
+            for row, text, at in zip(*(part.column(i).to_pylist() for i in range(3))):
                 raw = text.encode()
-                rows += [(s["name"], doc_id, s["start"], s["repeated"], s["alike"], raw[s["start"] : s["start"] + s["n"] + segmenter.length - 1]) for s in at]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["name", "doc_id", "start", "repeated", "alike", "bytes"])
-
-    return near.join(probes, "doc_id").select("doc_id", "text", "at").mapInArrow(run, "name long, doc_id long, start long, repeated boolean, alike long, bytes binary")
-
-
-def _strings(segmenter: Segmenter, starts: list[int], texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Row, start and hash of each string of segments."""
-    lengths = np.array([len(t) for t in texts])
-    counts = lengths - segmenter.length + 1
-    prefix = segmenter.roll.prefix(np.frombuffer(b"".join(texts), np.uint8))
-    row = np.repeat(np.arange(len(texts)), counts)
-    step = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = (np.cumsum(lengths) - lengths)[row] + step
-    return row, np.asarray(starts)[row] + step, segmenter.roll.ranges(prefix, at, at + segmenter.length).view(np.int64)
-
-
-def _near_matches(rows: DataFrame, segmenter: Segmenter) -> DataFrame:
-    """Runs of repeated strings (doc_id, start, end) among segments that start alike; a name's rows are neighbours."""
-    length = segmenter.length
-
-    def decide(name, doc, start, known, texts):
-        row, p, h = _strings(segmenter, start, texts)
-        _, back, times = np.unique(h, return_inverse=True, return_counts=True)
-        hit = (times[back] > 1) & ~np.array(known)[row]
-        row, p = row[hit], p[hit]
-        if not len(p):
-            return None
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (p[1:] != p[:-1] + 1)])
-        last = np.concatenate([new[1:], [True]])
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(doc)[row[new]]), pa.array(p[new]), pa.array(p[last] + length)], names=["doc_id", "start", "end"])
+                rows += [(s["name"], row, s["start"], s["alike"], raw[s["start"] : s["start"] + s["n"] + segmenter.length - 1]) for s in at]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["name", "row", "start", "alike", "bytes"])
+
+    return near.join(probes, "row").select("row", "text", "at").mapInArrow(run, "name long, row long, start long, alike long, bytes binary")
 
-    def run(batches):
-        held: list[list] = [[], [], [], [], []]
-        for part in slices(batches, 4096):
-            for column, i in zip(held, (0, 1, 2, 3, 4)):
-                column += part.column(i).to_pylist()
-            names = held[0]
-            cut = next((i for i in range(len(names) - 1, 0, -1) if names[i] != names[i - 1]), 0)
-            if cut and (out := decide(*(c[:cut] for c in held))) is not None:
-                yield out
-            held = [c[cut:] for c in held]
-        if held[0] and (out := decide(*held)) is not None:
-            yield out
 
-    return rows.select("name", "doc_id", "start", "repeated", "bytes").mapInArrow(run, "doc_id long, start long, end long")
+class SuffixFamily:
+    """A logarithmic family of suffix arrays; each level is a written table with one row a shard.
 
+    A new batch gets suffix arrays of its own. They are merge-scanned against every
+    level: both arrays are walked in byte order, and what starts with the same
+    ``length`` bytes on both sides is a match. Then the batch is a level itself, and levels of the
+    same size are merged before the next one comes, so that n batches make about
+    log(n) levels and each suffix is merged about log(n) times. Segments of one name are in
+    the same shard of every level.
+    """
+
+    LEVEL = (
+        "shard int, text binary, bounds array<int>, owner array<long>, at array<long>, suffixes array<int>, shared array<short>, "
+        "runs array<struct<row: long, start: long, end: long>>"
+    )
+
+    def __init__(self, length: int, shards: int):
+        self.length, self.shards = length, shards
+        self.levels: list[tuple[int, DataFrame]] = []
+        self.matched: list[DataFrame] = []
+
+    def add(self, batch: DataFrame) -> None:
+        """batch: (name, row, start, bytes)."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (n, one), (m, two) = self.levels.pop(), self.levels.pop()
+            self.levels.append((n + m, materialise(self._merged(two, one), "level")))
+        length = self.length
+
+        def build(table: pa.Table) -> pa.Table:
+            array = SuffixArray.build(table["bytes"].to_pylist(), table["row"].to_numpy(), table["start"].to_numpy(), length)
+            return _level(table["shard"][0].as_py(), array)
+
+        placed = batch.select(F.pmod(F.xxhash64("name"), F.lit(self.shards)).cast("int").alias("shard"), "row", "start", "bytes")
+        new = materialise(placed.groupBy("shard").applyInArrow(build, self.LEVEL), "level")
+        self.matched += [new.select(F.inline("runs")), *(materialise(self._scanned(level, new), "matches") for _, level in self.levels)]
+        self.levels.append((1, new))
+
+    def _merged(self, one: DataFrame, two: DataFrame) -> DataFrame:
+        length = self.length
+
+        def merge(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return left if left.num_rows else right
+            return _level(left["shard"][0].as_py(), _array(left, length).merge(_array(right, length)))
+
+        return one.groupBy("shard").cogroup(two.groupBy("shard")).applyInArrow(merge, self.LEVEL)
+
+    def _scanned(self, level: DataFrame, new: DataFrame) -> DataFrame:
+        length = self.length
+
+        def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return _run_table(*[np.empty(0, np.int64)] * 3)
+            a, b = _array(left, length), _array(right, length)
+            both = a.merge(b)
+            return _run_table(*both.runs(both.repeated() & ~np.concatenate([a.repeated(), b.repeated()])))
+
+        columns = ["shard", "text", "bounds", "owner", "at", "suffixes", "shared"]
+        return level.select(*columns).groupBy("shard").cogroup(new.select(*columns).groupBy("shard")).applyInArrow(scan, "row long, start long, end long")
+
+    def matches(self) -> DataFrame:
+        """(row, start, end): runs of bytes covered by strings of length bytes that start in two places."""
+        out = self.matched[0]
+        for more in self.matched[1:]:
+            out = out.union(more)
+        return out
 
-def _wide_matches(rows: DataFrame, segmenter: Segmenter) -> DataFrame:
-    """As _near_matches() for names that very many segments share: strings are counted over all tasks."""
 
-    def run(batches):
-        for part in slices(batches, 1024):
-            doc, start, known, texts = (part.column(i).to_pylist() for i in range(4))
-            row, p, h = _strings(segmenter, start, texts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(doc)[row]), pa.array(p), pa.array(h), pa.array(np.asarray(known)[row])], names=["doc_id", "start", "string", "repeated"])
+def _run_table(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
+    return pa.table({"row": row.astype(np.int64), "start": start.astype(np.int64), "end": end.astype(np.int64)})
+
+
+def _level(shard: int, array: SuffixArray) -> pa.Table:
+    runs = _run_table(*array.runs(array.repeated()))
+    lists = [(array.bounds, np.int32), (array.owner, np.int64), (array.at, np.int64), (array.order, np.int32), (array.shared, np.int16)]
+    cols = [pa.ListArray.from_arrays(np.array([0, len(x)], np.int32), pa.array(x.astype(t))) for x, t in lists]
+    structs = pa.StructArray.from_arrays([runs[c].combine_chunks() for c in runs.column_names], runs.column_names)
+    cols.append(pa.ListArray.from_arrays(np.array([0, len(structs)], np.int32), structs))
+    return pa.Table.from_arrays([pa.array([shard], pa.int32()), pa.array([array.text.tobytes()], pa.binary()), *cols], names=["shard", "text", "bounds", "owner", "at", "suffixes", "shared", "runs"])
+
 
-    found = rows.select("doc_id", "start", "repeated", "bytes").mapInArrow(run, "doc_id long, start long, string long, repeated boolean")
-    twice = found.groupBy("string").agg(F.count("*").alias("c")).where("c > 1").select("string")
-    return found.where("not repeated").join(twice, "string", "left_semi").select("doc_id", "start", (F.col("start") + segmenter.length).alias("end"))
+def _array(level: pa.Table, length: int) -> SuffixArray:
+    bounds, owner, at, order, shared = (level[c].combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("bounds", "owner", "at", "suffixes", "shared"))
+    return SuffixArray(length, np.frombuffer(level["text"][0].as_py(), np.uint8), bounds, owner, at, order, shared)
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, batch_rows: int = 1 << 16) -> DataFrame:
-    """doc_id, starts and ends (arrays, sorted) of the bytes covered by strings of ``length`` bytes that start elsewhere too.
+def _wide_matches(rows: DataFrame, length: int) -> DataFrame:
+    """Matches in segments of names that very many of them share: strings are counted over all tasks, by 128 bits of a BLAKE2."""
 
-    ``docs`` has doc_id (unique) and text. A segment whose bytes occur again is
-    repeated as a whole. Of segments that start alike but differ, where matches
-    begin or end, each string is looked up: one segment of each kind, with those
-    of the same name in one task, or, of a name that more than ALIKE kinds share, by
-    a count over all tasks.
+    def run(batches):
+        for part in slices(batches, 64):
+            row, start, codes = [], [], []
+            for r, s, text in zip(*(part.column(i).to_pylist() for i in range(3))):
+                n = len(text) - length + 1
+                row += [r] * n
+                start += range(s, s + n)
+                codes += [_digest(text[i : i + length]) for i in range(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(start, pa.int64()), pa.array(codes, pa.binary())], names=["row", "start", "string"])
+
+    found = materialise(rows.select("row", "start", "bytes").mapInArrow(run, "row long, start long, string binary"), "strings")
+    twice = materialise(found.groupBy("string").agg(F.count("*").alias("c")).where("c > 1").select("string"), "twice")
+    return found.join(twice, "string").select("row", "start", (F.col("start") + length).alias("end"))
+
+
+def repeated_spans(keyed: DataFrame, length: int = 200, gram: int = 32, batches: int = 4) -> DataFrame:
+    """row, starts and ends (arrays, sorted) of the bytes covered by strings of ``length`` bytes that start elsewhere too.
+
+    ``keyed`` has row (unique) and text. Segments whose name occurs once hold no repeated
+    string. Of the others, those whose bytes occur again (by 128 bits of a BLAKE2) are repeated as a
+    whole. Those that start alike but differ, where matches begin or end, go to a
+    SuffixFamily, one segment of each kind, in ``batches`` batches; of a name that more than
+    ALIKE kinds share, which would be one shard, the strings are counted over all tasks.
     """
     segmenter = Segmenter(length, gram)
-    entries = _scan(docs, segmenter, False)
-    flagged = materialise(_shards(entries.repartition("name"), batch_rows), "matches")
-    where = materialise(_scan(docs, segmenter, True).join(flagged, ["name", "span"]), "segments")
-    whole = where.where("repeated").select("doc_id", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
-    owner = where.where("alike > 1").groupBy("name", "span").agg(F.min(F.struct("doc_id", "start", "n")).alias("o"), F.first("repeated").alias("repeated"), F.first("alike").alias("alike"))
-    at = F.struct("o.start", "o.n", "name", "repeated", "alike")
-    probes = materialise(owner.select("o.doc_id", at.alias("at")).groupBy("doc_id").agg(F.collect_list("at").alias("at")), "probes")
-    spelled = materialise(_spelled(_affected(docs, probes)[0], probes, segmenter), "spelled")
-    some = spelled.where(F.col("alike") <= ALIKE).repartition("name").sortWithinPartitions("name")
-    found = whole.union(_near_matches(some, segmenter))
-    many = spelled.where(F.col("alike") > ALIKE)
+    segments = materialise(_scan(keyed, segmenter), "segments")
+    names = segments.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
+    live = materialise(segments.join(materialise(names, "names"), "name"), "live")
+    kind = ["name", "d1", "d2"]
+    kinds = materialise(live.groupBy(*kind).agg(F.count("*").alias("times"), F.min(F.struct("row", "start", "n")).alias("o")), "kinds")
+    again = live.join(materialise(kinds.where("times > 1").select(*kind), "again"), kind)
+    found = again.select("row", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
+    shared = materialise(kinds.groupBy("name").agg(F.count("*").alias("alike")).where("alike > 1"), "shared")
+    at = F.struct("o.start", "o.n", "name", "alike")
+    probes = materialise(kinds.join(shared, "name").select("o.row", at.alias("at")).groupBy("row").agg(F.collect_list("at").alias("at")), "probes")
+    spelled = materialise(_spelled(_affected(keyed, probes)[0], probes, segmenter), "spelled")
+    some, many = spelled.where(F.col("alike") <= ALIKE), spelled.where(F.col("alike") > ALIKE)
+    bytes_ = some.agg(F.sum(F.octet_length("bytes"))).first()[0]
+    if bytes_:
+        family = SuffixFamily(length, -(-bytes_ // SHARD))
+        for i in range(batches):
+            family.add(some.where(F.pmod(F.xxhash64("row", "start"), F.lit(batches)) == i))
+        found = found.union(family.matches())
     if not many.isEmpty():
-        found = found.union(_wide_matches(many, segmenter))
-    found = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return found.select("doc_id", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+        found = found.union(_wide_matches(many, length))
+    found = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return found.select("row", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
 
-def _merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+def _runs(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     """Maximal runs of bytes from sorted spans; spans that touch are one run."""
     out: list[list[int]] = []
     for s, e in zip(starts, ends):
@@ -290,42 +280,51 @@ def _merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def cut_repeats(keyed: DataFrame, length: int = 200, gram: int = 32, with_text: bool = False) -> DataFrame:
+    """As remove_repeats(), with row too: per row of keyed, which has row (unique), doc_id and text (not null)."""
+    with intermediate(keyed.sparkSession) as keep:
+        spans = materialise(repeated_spans(keyed, length, gram), "spans")
+        hit, clear = _affected(keyed, spans)
+
+        def cut(batches):
+            for part in slices(batches):
+                rows = []
+                for row, doc_id, text, starts, ends in zip(*(part.column(i).to_pylist() for i in range(5))):
+                    raw, runs = text.encode(), _runs(starts or [], ends or [])
+                    kept, at = [], 0
+                    for s, e in runs:
+                        kept.append(raw[at:s])
+                        at = e
+                    left = b"".join([*kept, raw[at:]])
+                    rows.append((row, doc_id, len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left.decode(errors="ignore"), [list(r) for r in runs]))
+                cols = [list(c) for c in zip(*rows)][: 8 if with_text else 6]
+                kinds = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.list_(pa.list_(pa.int64()))]
+                names = ["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names[: len(cols)])
+
+        schema = "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, spans array<array<long>>" * with_text
+        columns = ["row", "doc_id", "text", "starts", "ends"]
+        if clear is None:
+            return keep(keyed.join(spans, "row", "left").select(*columns).mapInArrow(cut, schema))
+        cut_rows = hit.join(spans, "row").select(*columns).mapInArrow(cut, schema)
+        whole = clear.select(
+            "row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"),
+            *([F.col("text").alias("kept_text"), F.array().cast("array<array<bigint>>").alias("spans")] if with_text else []),
+        )
+        return keep(cut_rows.union(whole))
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 32, with_text: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if with_text, kept_text and spans.
 
     Each byte covered by a string of ``length`` bytes that also starts anywhere else in
     docs is removed, in all places where it occurs; strings don't cross documents
     and are judged on the input. kept_text drops bytes of characters that were cut
-    through. A null or empty text has no bytes and nothing is removed. doc_ids
-    should be unique and not null (rows with a null doc_id are kept whole).
-    Further columns don't matter.
+    through. A null or empty text has no bytes and nothing is removed. Rows are told apart by a number of
+    their own: those that share a doc_id or have none are compared and cut as any other, and
+    repeated rows of ``length`` bytes or more lose all their bytes. Texts of any
+    length are read whole. Further columns don't matter; no rows give no rows.
     """
-    texts = with_id_and_text(docs)
-    spans = materialise(repeated_spans(texts.where("doc_id is not null"), length, gram), "spans")
-    hit, clear = _affected(texts, spans)
-
-    def cut(batches):
-        for part in slices(batches):
-            rows = []
-            for doc_id, text, starts, ends in zip(*(part.column(i).to_pylist() for i in range(4))):
-                raw, runs = text.encode(), _merged(starts or [], ends or [])
-                kept, at = [], 0
-                for s, e in runs:
-                    kept.append(raw[at:s])
-                    at = e
-                left = b"".join([*kept, raw[at:]])
-                rows.append((doc_id, len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left.decode(errors="ignore"), [list(r) for r in runs]))
-            cols = [list(c) for c in zip(*rows)][: 7 if with_text else 5]
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.list_(pa.list_(pa.int64()))]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names[: len(cols)])
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, spans array<array<long>>" * with_text
-    if clear is None:
-        return texts.join(spans, "doc_id", "left").select("doc_id", "text", "starts", "ends").mapInArrow(cut, schema)
-    cut_rows = hit.join(spans, "doc_id").select("doc_id", "text", "starts", "ends").mapInArrow(cut, schema)
-    whole = clear.select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"),
-        *([F.col("text").alias("kept_text"), F.array().cast("array<array<bigint>>").alias("spans")] if with_text else []),
-    )
-    return cut_rows.union(whole)
+    with intermediate(docs.sparkSession) as keep:
+        keyed = materialise(with_id_and_text(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "keyed")
+        return keep(cut_repeats(keyed, length, gram, with_text).drop("row"))

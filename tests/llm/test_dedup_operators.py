@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoweave.llm import suffix_dedup
 from chronoweave.llm.components import connected
@@ -15,7 +16,8 @@ from chronoweave.llm.hashing import common_shingles
 from chronoweave.llm.lattice import minimal_vectors, nearest_e8
 from chronoweave.llm.minhash import fewest_matches, near_duplicates
 from chronoweave.llm.simhash import SimHash, compare_with_next, fingerprint, within_radius
-from chronoweave.llm.suffix_dedup import LevelFamily, remove_repeats
+from chronoweave.llm.suffix_array import SuffixArray
+from chronoweave.llm.suffix_dedup import SuffixFamily, remove_repeats
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -136,9 +138,11 @@ def repeated(texts, length):
     return out
 
 
-@pytest.mark.parametrize("alike", [1, 16384])
-def test_repeats_equal_brute_force(spark, alike, monkeypatch):
+@pytest.mark.parametrize("alike, shard, ids", [(1, 1 << 20, 0), (4096, 1 << 20, 1_000_000), (40, 2000, 1_000_000)])
+def test_repeats_equal_brute_force(spark, alike, shard, ids, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "ALIKE", alike)
+    monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_IDS", ids)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdé ") for _ in range(rng.randint(1, 9)))
     texts = [" ".join(word() for _ in range(rng.randint(0, 80))) for _ in range(60)]
@@ -162,14 +166,47 @@ def test_kept_texts_are_what_is_left(spark):
     assert got == {1: ("x1", [[2, 2 + len(p)]]), 2: ("y2z", [[2, 2 + len(p)]]), 3: ("q", [])}
 
 
-def test_levels_grow_geometrically():
-    family = LevelFamily()
-    rng = np.random.default_rng(1)
-    for _ in range(64):
-        names = rng.integers(0, 1 << 60, 100)
-        family.add(LevelFamily.array(names, names, np.ones(100, np.int64)))
-    assert len(family.levels) <= 8 and sum(map(len, family.levels)) == 6400
-    assert len(family.matches()) == 0
+def test_repeats_of_200_bytes_with_null_and_repeated_ids(spark):
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefghij klmnop\n") for _ in range(n))
+    p, hot = noise(700), noise(260)
+    data = [(1, "x" * 10 + p), (1, noise(17) + "z" * 400), (2, p + noise(90)), (None, noise(40) + p[100:450] + noise(30)), (None, noise(900)), (3, None)]
+    data += [(4, noise(rng.randint(0, 300)) + hot[rng.randint(0, 80) :] + noise(rng.randint(0, 300))) for _ in range(40)]
+    long = noise(1_300_000)
+    data += [(5, long), (6, noise(50) + long[1_048_300:1_048_900] + noise(20)), (7, p), (7, p)]
+    want = repeated([(t or "").encode() for _, t in data], 200)
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = remove_repeats(d).collect()
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    assert sorted(map(key, got)) == sorted(key((i, *w)) for (i, _), w in zip(data, want))
+
+
+def test_suffix_arrays_are_in_byte_order():
+    rng = random.Random(7)
+    for length in (3, 8, 20):
+        make = lambda n: [bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randint(0, 60))) for _ in range(n)]
+        sides = [make(12), make(7)]
+        one, two = (SuffixArray.build(s, np.arange(len(s)), np.zeros(len(s), int), length) for s in sides)
+        both = one.merge(two)
+        strings = sorted(s[i : i + length] for side in sides for s in side for i in range(len(s) - length + 1))
+        of = lambda a: [a.text[p : p + length].tobytes() for p in a.order]
+        assert of(both) == strings and len(of(one)) + len(of(two)) == len(strings)
+        common = lambda x, y: next((k for k in range(length) if x[k] != y[k]), length)
+        assert both.shared.tolist()[1:] == [common(x, y) for x, y in zip(strings, strings[1:])]
+        times = Counter(strings)
+        assert both.repeated()[both.order].tolist() == [times[s] > 1 for s in strings]
+
+
+def test_levels_grow_geometrically(spark):
+    family = SuffixFamily(20, 2)
+    rng = random.Random(8)
+    data = [(n % 5, n, 0, bytes(rng.choice(b"abcd") for _ in range(60))) for n in range(49)] + [(4, 49, 7, b"x" + bytes(9) * 3)]
+    data.append((4, 50, 3, data[4][3][10:40]))
+    d = spark.createDataFrame(data, "name long, row long, start long, bytes binary")
+    for i in range(6):
+        family.add(d.where(F.col("row") % 6 == i))
+    assert [n for n, _ in family.levels] == [4, 1, 1] and len(family.matched) == 1 + 2 + 2 + 3 + 2 + 3
+    assert sorted(tuple(r) for r in family.matches().distinct().collect()) == [(4, 10, 40), (49, 8, 35), (50, 3, 33)]
 
 
 def test_e8_points_are_nearest():
