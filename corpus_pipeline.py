@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from chronoweave.llm.minhash import near_duplicates
 from chronoweave.llm.packing import pack_documents
 from chronoweave.llm.quality import score_quality
-from chronoweave.llm.suffix_dedup import remove_repeats
+from chronoweave.llm.suffix_dedup import cut_repeats
 from chronoweave.llm.toxicity import score_toxicity
-from chronoweave.session import materialise
+from chronoweave.session import intermediate, materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -59,13 +59,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that start in two places are removed in all; n_chars is counted anew and no row goes.
 
-    Rows are told apart by a number of their own, as rows may share a doc_id; those without a doc_id have none and stay whole.
+    Rows are told apart by a number of their own; those that share a doc_id or have none are cut as any other.
     """
-    number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
-    rows = materialise(docs.withColumn("row_", number), "rows")
-    cut = remove_repeats(rows.select(F.col("row_").alias("doc_id"), "text"), length=200, with_text=True)
-    kept = cut.where("n_removed > 0").select(F.col("doc_id").alias("row_"), "kept_text")
-    joined = rows.join(kept, "row_", "left").withColumn("text", F.coalesce("kept_text", "text"))
+    number = next(c for c in (f"row_{i}" for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    cut = cut_repeats(rows.select(F.col(number).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), length=200, with_text=True)
+    kept = cut.where("n_removed > 0").select(F.col("row").alias(number), F.col("kept_text").alias(f"{number}_text"))
+    joined = rows.join(kept, number, "left").withColumn("text", F.coalesce(f"{number}_text", "text"))
     return joined.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -88,7 +88,9 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages in order to documents; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    with intermediate(spark) as keep:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in STAGES:
+            with intermediate(spark) as stay:
+                docs = stay(materialise(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        return keep(docs)
