@@ -9,11 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.llm import suffix_dedup
+from chronoweave.llm import embedding_dedup, suffix_dedup
 from chronoweave.llm.components import connected
 from chronoweave.llm.embedding_dedup import near_vectors
 from chronoweave.llm.hashing import common_shingles
-from chronoweave.llm.lattice import minimal_vectors, nearest_e8
+from chronoweave.llm.lattice import LatticeHash, minimal_vectors, nearest_e8
 from chronoweave.llm.minhash import fewest_matches, near_duplicates
 from chronoweave.llm.simhash import SimHash, compare_with_next, fingerprint, within_radius
 from chronoweave.llm.suffix_array import SuffixArray
@@ -219,26 +219,61 @@ def test_e8_points_are_nearest():
     assert (((x[:, None] - e[:, None] - v[None]) ** 2).sum(axis=2) >= d[:, None] - 1e-9).all()
 
 
-def test_near_vectors_equal_brute_force(spark):
+def vector_links(vectors, cosine=0.95):
+    u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = u @ u.T >= cosine
+    np.fill_diagonal(near, False)
+    return near
+
+
+@pytest.mark.parametrize("block, side", [(512, 1024), (16, 2)])
+def test_near_vectors_equal_brute_force(spark, block, side, monkeypatch):
+    """Clusters, a chain that winds through many directions, copies, and vectors of another length."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "SIDE", side)
     rng = np.random.default_rng(3)
-    x = rng.standard_normal((300, 64))
-    x[:120] = x[0] + rng.standard_normal((120, 64)) * rng.uniform(0.05, 0.3, (120, 1))
+    x = rng.standard_normal((460, 64))
+    x[:120] = x[0] + rng.standard_normal((120, 64)) * rng.uniform(0.05, 0.22, (120, 1))
     x[130] = x[129]
-    data = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
-    data += [(900, None), (901, [0.0] * 64), (902, [float("nan")] * 64), (903, [None] * 64), (904, [1.0, 2.0])]
+    for i in range(200, 400):  # steps of 8 degrees
+        step = rng.standard_normal(64)
+        last = x[i - 1] / np.linalg.norm(x[i - 1])
+        step -= (step @ last) * last
+        x[i] = np.cos(np.radians(8)) * last + np.sin(np.radians(8)) * step / np.linalg.norm(step)
+    x = x.astype(np.float32).astype(np.float64)
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [None, [0.0] * 64, [float("nan")] * 64, [None] * 64, [1.0, None], []]
+    data += [(900 + i, v) for i, v in enumerate(odd)] + [(950, [1.0, 2.0]), (951, [2.0, 4.0]), (952, [-2.0, 1.0]), (None, data[0][1])]
     d = spark.createDataFrame(data, "vec_id long, embedding array<float>").selectExpr("*", "1 AS id")
-    u = np.array([v for _, v in data[:300]], np.float32).astype(np.float64)
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    near = u @ u.T >= 0.95
-    want = components(300, lambda i, j: near[i, j])
+    near = vector_links(x)
+    want = components(len(x), lambda i, j: near[i, j])
     got = {r["vec_id"]: r for r in near_vectors(d).collect()}
-    links = near.sum(axis=1) - 1
-    right = sum(got[i]["n_links"] == links[i] and got[i]["component_id"] == want[i] for i in range(300))
-    assert right >= 298  # candidates come from hashing
-    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 905))
+    assert {i: (got[i]["n_links"], got[i]["component_id"]) for i in range(len(x))} == {i: (near[i].sum(), want[i]) for i in range(len(x))}
+    assert len(set(want[200:400])) == 1 and all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 906))
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in (950, 951, 952)] == [(1, 950), (1, 950), (0, 952)]
+    assert (got[None]["n_links"], got[None]["component_id"]) == (0, None)
     assert near_vectors(d.limit(0)).count() == 0
 
 
+def test_rows_that_share_a_vector_id(spark):
+    data = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [1.0, 1.0]), (4, [1.0, 1.0])]
+    d = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_vectors(d).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 4), (4, 1, 4)]
+
+
+@pytest.mark.parametrize("dim, cosine, least", [(64, 0.9505, 0.99), (384, 0.9505, 0.99), (64, 0.97, 0.999), (64, 0.99, 0.9999)])
+def test_planted_pairs_share_a_cell(dim, cosine, least):
+    rng = np.random.default_rng(9)
+    a, step = rng.standard_normal((2, 4000, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    step -= (step * a).sum(axis=1, keepdims=True) * a
+    b = cosine * a + np.sqrt(1 - cosine**2) * step / np.linalg.norm(step, axis=1, keepdims=True)
+    hasher = LatticeHash(dim, 10, 2, 0.7, 4)
+    recall = np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(hasher.keys(a), hasher.keys(b))])
+    assert recall >= least
+
+
 def test_fingerprints_and_edits(spark):
     rng = random.Random(4)
     texts = [" ".join(f"t{rng.randrange(3000)}" for _ in range(rng.randint(0, 300))) for _ in range(60)] + ["é", "", None]
