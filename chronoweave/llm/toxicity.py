@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.arrow import map_texts, slices, with_id_and_text
 from chronoweave.llm.samples import fold, labelled_sample
+from chronoweave.session import intermediate, materialise
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -84,47 +86,56 @@ def _telling_words(sample: DataFrame, features: int, least: int) -> list[tuple[s
     return [(r["word"], r["z"]) for r in rows.orderBy(F.abs("z").desc(), "word").limit(features).collect()]
 
 
+def counted(place: dict[str, int], text: str) -> tuple[list[int], list[int]]:
+    """The places of a text's features and how often each occurs: at most one entry a feature, however long the text is."""
+    n = Counter(place[w] for w in words_of(text) if w in place)
+    return list(n), list(n.values())
+
+
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, train: Column | None = None, label: str = "toxic", most: int = 20_000, features: int = 2048, least: int = 5, z: float = 3.0, threshold: float = 0.5
 ) -> DataFrame:
     """Per row of docs: doc_id, expected_severity (0 to 3), grade (0 to 3), p_toxic and toxic (p_toxic >= threshold).
 
+    Features are the words that tell the classes apart: of those in at least ``least`` labelled
+    rows with |z| >= 2 (log odds of the classes) the ``features`` with the largest |z|; other words
+    have no weight. Values are log(1 + count), counted over whole texts.
+
     Labels say toxic or not; the grades to learn are 0 for clean rows and, for
-    toxic ones, 1 to 3 by thirds of how many of their words tell of toxicity (z
-    value of the log odds at least ``z``). Vocabulary, grades and weights come from at
-    most ``most`` labelled rows for which ``train`` holds (by default those whose crc32 of
-    the doc_id as text isn't 2 mod 4). Words are counted over whole texts. A null
-    or empty text has no words and the score of one; without labels of both kinds
+    toxic ones, 1 to 3 by thirds of how often words occur that tell of toxicity (z at
+    least ``z``). So grades above 0 say how much telling language a toxic row holds, which is
+    all that such labels bear out; only grade 0 against the others is learnt from people's marks.
+
+    Vocabulary, grades and weights come from at most ``most`` labelled rows for which ``train`` holds (by
+    default those whose crc32 of the doc_id as text isn't 2 mod 4); at most ``features`` entries of each go to the
+    driver. A null or empty text has no words and the score of one; without labels of both kinds
     severity is 0 and nothing is toxic. Rows repeat as in docs; a null doc_id stays
-    null; further columns don't matter.
+    null and isn't learnt from. Rows that share a doc_id are each scored by their own text and each learnt from with that id's
+    label; of several labels for one doc_id each counts. Further columns don't matter.
     """
     texts = with_id_and_text(docs)
     train = fold("doc_id", 4) != 2 if train is None else train
-    picked = F.broadcast(labelled_sample(labels, label, train, most))
-    sample = texts.join(picked, "doc_id")
-    telling = _telling_words(sample, features, least)
-    place = {w: i for i, (w, _) in enumerate(telling)}
-    tells = np.array([s >= z for _, s in telling], bool)
+    with intermediate(docs.sparkSession):
+        sample = materialise(texts.join(F.broadcast(labelled_sample(labels, label, train, most)), "doc_id"), "sample")
+        telling = _telling_words(sample, features, least)
+        place = {w: i for i, (w, _) in enumerate(telling)}
 
-    def sparse(batches):
-        for part in slices(batches):
-            found = [[place[w] for w in words_of(t) if w in place] for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "y", "at"])
+        def sparse(batches):
+            for part in slices(batches):
+                at, n = zip(*(counted(place, t) for t in part.column(1).to_pylist()))
+                cols = [part.column(0), part.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "y", "at", "n"])
 
-    rows = sample.mapInArrow(sparse, "doc_id long, y int, at array<int>").toPandas().sort_values("doc_id")
-    model = _fit(rows["y"].to_numpy(int), [np.asarray(a, int) for a in rows["at"]], tells) if len(set(rows["y"])) == 2 else None
+        rows = sample.mapInArrow(sparse, "doc_id long, y int, at array<int>, n array<int>").toPandas().sort_values("doc_id")
+    y, at, n = rows["y"].to_numpy(int), [np.asarray(a, int) for a in rows["at"]], [np.asarray(c, int) for c in rows["n"]]
+    model = _fit(y, at, n, np.array([s >= z for _, s in telling], bool)) if len(set(y)) == 2 else None
 
     def make():
         def work(ids, texts):
             severity, p, grade = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int32)
             if model:
-                z = np.zeros(len(ids))
-                for i, t in enumerate(texts):
-                    at = [place[w] for w in words_of(t) if w in place]
-                    if at:
-                        used, times = np.unique(at, return_counts=True)
-                        z[i] = model.w[used] @ np.log1p(times)
-                above = model.above(z)
+                found = [counted(place, t) for t in texts]
+                above = model.above(np.array([model.w[a] @ np.log1p(c) if a else 0.0 for a, c in found]))
                 severity, p, grade = above.sum(axis=1), above[:, 0], (above >= 0.5).sum(axis=1).astype(np.int32)
             return [pa.array(ids, pa.int64()), pa.array(severity), pa.array(grade), pa.array(p)]
 
@@ -134,12 +145,13 @@ def score_toxicity(
     return out.withColumn("toxic", F.col("p_toxic") >= threshold if model else F.lit(False))
 
 
-def _fit(y: np.ndarray, at: list[np.ndarray], tells: np.ndarray) -> OrdinalRegression:
-    hits = np.array([tells[a].sum() for a in at])
+def grades_of(y: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """0 for clean rows, for toxic ones 1 to 3 by thirds of their hits."""
     cuts = np.quantile(hits[y == 1], [1 / 3, 2 / 3])
-    grade = np.where(y == 1, 1 + (hits > cuts[0]).astype(int) + (hits > cuts[1]), 0)
-    pairs = [np.unique(a, return_counts=True) for a in at]
-    rows = np.repeat(np.arange(len(at)), [len(u) for u, _ in pairs])
-    cols = np.concatenate([u for u, _ in pairs]) if pairs else np.empty(0, int)
-    values = np.log1p(np.concatenate([c for _, c in pairs])) if pairs else np.empty(0)
-    return OrdinalRegression(4).fit(rows, cols.astype(int), values, len(at), len(tells), grade)
+    return np.where(y == 1, 1 + (hits > cuts[0]).astype(int) + (hits > cuts[1]), 0)
+
+
+def _fit(y: np.ndarray, at: list[np.ndarray], n: list[np.ndarray], tells: np.ndarray) -> OrdinalRegression:
+    grade = grades_of(y, np.array([c[tells[a]].sum() for a, c in zip(at, n)]))
+    rows = np.repeat(np.arange(len(at)), [len(a) for a in at])
+    return OrdinalRegression(4).fit(rows, np.concatenate(at), np.log1p(np.concatenate(n)), len(at), len(tells), grade)
