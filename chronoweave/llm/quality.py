@@ -181,7 +181,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, train: Column | None = Non
     crc32 of the doc_id as text isn't 2 mod 4. Only texts go into a score. A null or
     empty text has the features of no term and a score as any other; without
     labels of both kinds every score is the labels' mean (0.5 without any). Rows
-    repeat as in docs; a null doc_id stays null; further columns don't matter.
+    repeat as in docs; a null doc_id stays null and isn't learnt from. Rows that share a doc_id are each
+    scored by their own text and each learnt from with that id's label; of several labels for one doc_id each counts.
+    Further columns don't matter. Words share ``space.buckets`` hashed rows, which bounds the table; in
+    a corpus of very many words a row stands for all words of its bucket, mostly for its commonest.
     """
     texts = with_id_and_text(docs)
     train = fold("doc_id", 4) != 2 if train is None else train
