@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
-from math import log10
+from collections.abc import Iterator
+from math import exp, inf, log1p, log10
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from chronoweave.session import materialise
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
+#: Words of more characters are scored one by one.
+LONG = 200
 _START = 0x110000  # the code of a word's own marker, which no character has
 
 
@@ -58,6 +61,7 @@ class Lattice:
                 h = self.extend(h, _START if k == 0 and c == MARK else ord(c))
                 starts.setdefault(h, -1)
             starts[h] = i
+        self.starts = starts
         self.hashes = np.array(list(starts), _U)
         self.ids = np.array(list(starts.values()))
         self.tables = self._tables()
@@ -99,6 +103,11 @@ class Lattice:
             w = np.log(np.where(self.begins, c / first, c / (rest + ends)))
             return np.append(w, np.log(ends / (rest + ends)))
 
+    def counts(self, strength: float) -> np.ndarray:
+        """The vocabulary's own weights as counts that add up to about ``strength``: the prior of what is learnt."""
+        p = np.exp(self.weights)
+        return np.append(np.where(self.usable, p[:-1], 0.0), p[-1]) * strength / 2
+
     def _arcs(self, words: list[str], length: int):
         """(from, to, rows, piece ids, spelled): the rows whose characters there are a piece, and those whose one
         character is none, with its bytes' ids. A row is followed only as long as a piece can go on."""
@@ -126,49 +135,94 @@ class Lattice:
         return [(int(r), self.byte_id[list(chr(int(codes[r])).encode("utf-8", "surrogatepass"))]) for r in rows]
 
     def run(self, words: list[str], weights: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
-        """The log of each word's marginal probability by the forward recursion; adds expected counts if given."""
-        out = np.full(len(words), -np.inf)
+        """The log of each word's marginal probability by the forward recursion; adds expected counts if given.
+
+        weights may be several rows, which give as many rows of results.
+        """
+        each = np.atleast_2d(weights)
+        out = np.full((len(each), len(words)), -np.inf)
         lengths = np.array([len(w) for w in words])
-        for length in np.unique(lengths):
+        for length in np.unique(lengths[lengths <= LONG]):
             rows = np.flatnonzero(lengths == length)
             for at in range(0, len(rows), 4096):
                 some = rows[at : at + 4096]
-                out[some] = self._length([words[i] for i in some], int(length), weights, counts)
-        return out
+                out[:, some] = self._length([words[i] for i in some], int(length), each, counts)
+        for i in np.flatnonzero(lengths > LONG):
+            out[:, i] = [self._alone(words[i], w, counts) for w in each]
+        return out.reshape(*weights.shape[:-1], len(words))
 
     def _length(self, words: list[str], length: int, weights: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
-        n, end = length + 1, weights[-1]
-        alpha = np.full((n + 1, len(words)), -np.inf)
+        n, end = length + 1, weights[:, -1:]
+        alpha = np.full((n + 1, len(weights), len(words)), -np.inf)
         alpha[0] = 0.0
         kept = []
         for at, to, rows, ids, spelled in self._arcs(words, length):
-            w = weights[ids]
             if len(rows):
-                alpha[to, rows] = np.logaddexp(alpha[to, rows], alpha[at, rows] + w)
+                alpha[to][:, rows] = np.logaddexp(alpha[to][:, rows], alpha[at][:, rows] + weights[:, ids])
             for row, parts in spelled:
-                alpha[to, row] = np.logaddexp(alpha[to, row], alpha[at, row] + weights[parts].sum())
+                alpha[to, :, row] = np.logaddexp(alpha[to, :, row], alpha[at, :, row] + weights[:, parts].sum(axis=1))
             if counts is not None:
-                kept.append((at, to, rows, ids, w, spelled))
+                kept.append((at, to, rows, ids, spelled))
         total = alpha[n] + end
         if counts is not None:
-            beta = np.full((n + 1, len(words)), -np.inf)
-            beta[n] = end
-            seen_ids, seen_shares = [], []
-            with np.errstate(invalid="ignore"):
-                # arcs come by where they begin: walked backwards each position is complete before it is used
-                for at, to, rows, ids, w, spelled in reversed(kept):
-                    if len(rows):
-                        after = w + beta[to, rows]
-                        beta[at, rows] = np.logaddexp(beta[at, rows], after)
-                        seen_ids.append(ids)
-                        seen_shares.append(np.nan_to_num(np.exp(alpha[at, rows] + after - total[rows])))
-                    for row, parts in spelled:
-                        after = weights[parts].sum() + beta[to, row]
-                        beta[at, row] = np.logaddexp(beta[at, row], after)
-                        np.add.at(counts, parts, np.nan_to_num(np.exp(alpha[at, row] + after - total[row])))
-            if seen_ids:
-                counts += np.bincount(np.concatenate(seen_ids), np.concatenate(seen_shares), len(counts))
-            counts[-1] += np.isfinite(total).sum()
+            self._expect(kept, alpha[:, 0], total[0], weights[0], counts)
+        return total
+
+    @staticmethod
+    def _expect(kept: list, alpha: np.ndarray, total: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> None:
+        """Adds the expected counts of pieces and ends: each arc's share of the word's probability."""
+        beta = np.full(alpha.shape, -np.inf)
+        beta[-1] = weights[-1]
+        seen_ids, seen_shares = [], []
+        with np.errstate(invalid="ignore"):
+            # arcs come by where they begin: walked backwards each position is complete before it is used
+            for at, to, rows, ids, spelled in reversed(kept):
+                if len(rows):
+                    after = weights[ids] + beta[to, rows]
+                    beta[at, rows] = np.logaddexp(beta[at, rows], after)
+                    seen_ids.append(ids)
+                    seen_shares.append(np.nan_to_num(np.exp(alpha[at, rows] + after - total[rows])))
+                for row, parts in spelled:
+                    after = weights[parts].sum() + beta[to, row]
+                    beta[at, row] = np.logaddexp(beta[at, row], after)
+                    np.add.at(counts, parts, np.nan_to_num(np.exp(alpha[at, row] + after - total[row])))
+        if seen_ids:
+            counts += np.bincount(np.concatenate(seen_ids), np.concatenate(seen_shares), len(counts))
+        counts[-1] += np.isfinite(total).sum()
+
+    def _arcs_at(self, codes: list[int], named: list[int], at: int) -> Iterator[tuple[int, list[int]]]:
+        """(to, piece ids) of the pieces of one word that begin at a position."""
+        h, found = 0, False
+        for to in range(at + 1, min(at + self.longest, len(codes)) + 1):
+            h = (h * int(_BASE) + named[to - 1]) % (1 << 64)
+            place = self.starts.get(h)
+            if place is not None and place >= 0:
+                yield to, [place]
+            if to == at + 1 and (place is None or place < 0) and codes[at] != _START:
+                yield to, self.byte_id[list(chr(codes[at]).encode("utf-8", "surrogatepass"))].tolist()
+            if place is None:
+                return
+
+    def _alone(self, word: str, weights: np.ndarray, counts: np.ndarray | None) -> float:
+        """As _length() for one very long word, position by position: time and memory in proportion to its length."""
+        codes = [_START, *map(ord, word)]
+        named = mix(np.array(codes, _U)).tolist()
+        w = weights.tolist()
+        add = lambda x, y: y if x == -inf else x if y == -inf else max(x, y) + log1p(exp(-abs(x - y)))
+        alpha = [0.0] + [-inf] * len(codes)
+        for at in range(len(codes)):
+            for to, ids in self._arcs_at(codes, named, at):
+                alpha[to] = add(alpha[to], alpha[at] + sum(w[i] for i in ids))
+        total = alpha[-1] + w[-1]
+        if counts is not None and total > -inf:
+            beta = [-inf] * len(codes) + [w[-1]]
+            for at in range(len(codes) - 1, -1, -1):
+                for to, ids in self._arcs_at(codes, named, at):
+                    after = sum(w[i] for i in ids) + beta[to]
+                    beta[at] = add(beta[at], after)
+                    for i in ids:
+                        counts[i] += exp(alpha[at] + after - total)
+            counts[-1] += 1
         return total
 
 
@@ -220,24 +274,25 @@ def _expected(counts: DataFrame, lattice: Lattice, weights: np.ndarray) -> np.nd
     return out
 
 
-def score_texts(docs: DataFrame, model_path: str, train: Column | None = None, rounds: int = 3, head: int = 200_000) -> DataFrame:
-    """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
+def score_texts(docs: DataFrame, model_path: str, train: Column | None = None, strength: float = 1e5, rounds: int = 1, head: int = 200_000) -> DataFrame:
+    """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score (log10 probabilities).
 
     The tokens are a text's words and one end. base_score is the smoothed unigram
     score of the tokens' counts in the rows to learn from (``train``; by default those
-    whose crc32 of the doc_id as text isn't 1 mod 5). score is the marginal
-    probability of the text over all segmentations of its words: into the pieces
-    of the existing vocabulary, or, for words of the training rows, as one whole.
-    The pieces' weights start at the vocabulary's scores and are fitted to all
-    distinct training words by ``rounds`` of expectation maximisation; whole words weigh
-    as often as they occur, and together as much as the Good-Turing estimate of
-    words seen before. As no piece crosses white space, a text's forward recursion is
+    whose crc32 of the doc_id as text isn't 1 mod 5). lattice_score is the marginal
+    probability of the text over all segmentations of its words into the pieces of the existing
+    vocabulary, weighted by its own scores alone: nothing is learnt. score is that of the model that learns: the
+    vocabulary's weights count as ``strength`` occurrences to which ``rounds`` of expectation maximisation add
+    the expected counts of all distinct training words, and a word of the training rows has one more
+    segmentation, itself as a whole, which weighs as often as it occurs; whole words together weigh as much as the
+    Good-Turing estimate of words seen before. As no piece crosses white space, a text's forward recursion is
     the sum of its words'.
 
     Words in at most the ``head`` most frequent go to the tasks as a table of proven
     size; all others are looked up by a join, each once a text. A null or empty
-    text is the end alone. Rows repeat as in docs; a null doc_id is in neither
-    fold's remainder and not learnt from; further columns don't matter. Without
+    text is the end alone. Rows repeat as in docs; those that share a doc_id are each scored
+    and learnt from by their own text. A null doc_id is in neither fold's remainder
+    and not learnt from. Words of any length are scored whole. Further columns don't matter. Without
     rows to learn from scores are those of the vocabulary alone and base_score is 0.
     """
     texts = with_id_and_text(docs)
@@ -253,16 +308,19 @@ def score_texts(docs: DataFrame, model_path: str, train: Column | None = None, r
             break
         least, room = c, room - sizes[c]
     lattice = Lattice(model_path)
-    weights = lattice.weights
+    own = weights = lattice.weights
+    prior = lattice.counts(strength)
     for _ in range(rounds if types else 0):
-        found = _expected(counts, lattice, weights)
-        weights = lattice.normal(found[:-1] + 0.05, float(found[-1]))
+        found = _expected(counts, lattice, weights) + prior
+        weights = lattice.normal(found[:-1], float(found[-1]))
+    both = np.stack([weights, own])
     seen = 1.0 - max(sizes.get(1, 0), 1) / total if types else 0.0  # Good-Turing: words that occur once stand for unseen ones
     floor = total + 0.5 * (types + 2)  # V counts the end
     top = counts.where(F.col("c") >= least).toPandas() if sizes else None
     known_words = top["word"].tolist() if top is not None else []
     known_counts = top["c"].to_numpy(np.float64) if top is not None else np.empty(0)
-    sub = np.exp(lattice.run(known_words, weights)) if known_words else np.empty(0)
+    sub, own_of = lattice.run(known_words, both) if known_words else np.empty((2, 0))
+    sub, own_of = np.exp(sub), own_of / np.log(10)
     base_of = np.log10((known_counts + 0.5) / floor) if known_words else np.empty(0)
     score_of = np.log10(seen * known_counts / total + (1 - seen) * sub) if known_words else np.empty(0)
     end_base = log10((ends + 0.5) / floor) if total else 0.0
@@ -274,19 +332,21 @@ def score_texts(docs: DataFrame, model_path: str, train: Column | None = None, r
             split = [words_of(t) for t in part.column(1).to_pylist()]
             tails = [Counter(w for w in words if w not in place) for words in split]
             rare = list(set().union(*tails))
-            marginal = dict(zip(rare, (lattice.run(rare, weights) / np.log(10)).tolist() if rare else ()))
-            cols: list[list] = [[], [], [], []]
-            for words in split:
+            found = (lattice.run(rare, both) / np.log(10)).T.tolist() if rare else []
+            marginal = dict(zip(rare, found))
+            cols: list[list] = [[], [], [], [], []]
+            for words, rest in zip(split, tails):
                 at = np.fromiter((place[w] for w in words if w in place), np.int64)
-                for c, v in zip(cols, (len(words) + 1, len(at) + (ends > 0), base_of[at].sum() + end_base, score_of[at].sum() + end_score)):
+                plain = own_of[at].sum() + sum(n * marginal[w][1] for w, n in rest.items())
+                for c, v in zip(cols, (len(words) + 1, len(at) + (ends > 0), base_of[at].sum() + end_base, score_of[at].sum() + end_score, plain)):
                     c.append(v)
             flat = [w for t in tails for w in t]
-            fields = [pa.array(flat, pa.string()), pa.array([n for t in tails for n in t.values()], pa.int64()), pa.array([marginal[w] for w in flat], pa.float64())]
+            fields = [pa.array(flat, pa.string()), pa.array([n for t in tails for n in t.values()], pa.int64()), pa.array([marginal[w][0] for w in flat], pa.float64())]
             bounds = np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32)
             tail = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(fields, ["word", "times", "sub"]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), tail], names=["doc_id", "n", "known", "base", "sc", "tail"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64()), tail], names=["doc_id", "n", "known", "base", "sc", "own", "tail"])
 
-    kinds = "doc_id long, n long, known long, base double, sc double, tail array<struct<word: string, times: long, sub: double>>"
+    kinds = "doc_id long, n long, known long, base double, sc double, own double, tail array<struct<word: string, times: long, sub: double>>"
     read = materialise(texts.mapInArrow(run, kinds).withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = read.select("row", F.inline("tail")).join(counts.where(F.col("c") < least), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     either = F.log10(seen * F.col("c") / max(total, 1) + (1 - seen) * F.pow(F.lit(10.0), "sub"))
@@ -301,5 +361,5 @@ def score_texts(docs: DataFrame, model_path: str, train: Column | None = None, r
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return out.select(
         "doc_id", (fold("doc_id", 5) == 1).alias("held_out"), F.col("n").alias("n_tokens"), plus("known", "known_").cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), plus("base", "base_").alias("base_score"), plus("sc", "sc_").alias("score"),
+        F.lit(total).cast("long").alias("train_tokens"), plus("base", "base_").alias("base_score"), plus("sc", "sc_").alias("score"), F.col("own").alias("lattice_score"),
     )
