@@ -24,13 +24,13 @@ def _reject(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't predict to be good go."""
+    """Documents that the quality classifier doesn't predict to be good go; of rows that share a doc_id all go if one is rejected, rows without one stay."""
     scores = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _reject(docs, scores.where("predicted = 0"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that ordinal regression finds toxic go."""
+    """Documents that ordinal regression finds toxic go; of rows that share a doc_id all go if one is rejected, rows without one stay."""
     scores = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _reject(docs, scores.where("toxic"))
 
@@ -59,7 +59,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that start in two places are removed in all; n_chars is counted anew and no row goes.
 
-    Rows are told apart by a number of their own; those that share a doc_id or have none are cut as any other.
+    Rows are told apart by a number of their own; those that share a doc_id or have none are cut as any other. A null text stays null, as its n_chars.
     """
     number = next(c for c in (f"row_{i}" for i in range(len(docs.columns) + 1)) if c not in docs.columns)
     rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
@@ -82,7 +82,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing),
 ]
 
-#: The stages run models and tokenizers that SQL can't express; tests/llm checks what they must keep, without a brute-force run.
+#: The stages run models and tokenizers that SQL can't express; tests/llm holds near_copies and repeats against brute force.
 ORACLE_SQL: str | None = None
 
 
