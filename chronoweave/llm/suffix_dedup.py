@@ -184,11 +184,10 @@ class SuffixFamily:
         def scan(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows or not right.num_rows:
                 return _run_table(*[np.empty(0, np.int64)] * 3)
-            a, b = _array(left, length), _array(right, length)
-            both = a.merge(b)
-            return _run_table(*both.runs(both.repeated() & ~np.concatenate([a.repeated(), b.repeated()])))
+            both = _array(left, length).merge(_array(right, length))
+            return _run_table(*both.runs(both.repeated()))
 
-        columns = ["shard", "text", "bounds", "owner", "at", "suffixes", "shared"]
+        columns = ["shard", "text", "bounds", "owner", "at", "suffixes"]
         return level.select(*columns).groupBy("shard").cogroup(new.select(*columns).groupBy("shard")).applyInArrow(scan, "row long, start long, end long")
 
     def matches(self) -> DataFrame:
@@ -213,8 +212,9 @@ def _level(shard: int, array: SuffixArray) -> pa.Table:
 
 
 def _array(level: pa.Table, length: int) -> SuffixArray:
-    bounds, owner, at, order, shared = (level[c].combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("bounds", "owner", "at", "suffixes", "shared"))
-    return SuffixArray(length, np.frombuffer(level["text"][0].as_py(), np.uint8), bounds, owner, at, order, shared)
+    """A level's array; a merge works out anew what its suffixes share."""
+    bounds, owner, at, order = (level[c].combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("bounds", "owner", "at", "suffixes"))
+    return SuffixArray(length, np.frombuffer(level["text"][0].as_py(), np.uint8), bounds, owner, at, order, np.zeros(len(order), np.int64))
 
 
 def _wide_matches(rows: DataFrame, length: int) -> DataFrame:
@@ -245,9 +245,10 @@ def repeated_spans(keyed: DataFrame, length: int = 200, gram: int = 32, batches:
     ALIKE kinds share, which would be one shard, the strings are counted over all tasks.
     """
     segmenter = Segmenter(length, gram)
-    segments = materialise(_scan(keyed, segmenter), "segments")
-    names = segments.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
-    live = materialise(segments.join(materialise(names, "names"), "name"), "live")
+    with intermediate(keyed.sparkSession) as keep:
+        segments = materialise(_scan(keyed, segmenter), "segments")
+        names = segments.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
+        live = keep(materialise(segments.join(materialise(names, "names"), "name"), "live"))
     kind = ["name", "d1", "d2"]
     kinds = materialise(live.groupBy(*kind).agg(F.count("*").alias("times"), F.min(F.struct("row", "start", "n")).alias("o")), "kinds")
     again = live.join(materialise(kinds.where("times > 1").select(*kind), "again"), kind)

@@ -1,6 +1,14 @@
 """The pipeline's stages: each works on what the one before has kept."""
 
+import collections
+import itertools
+import os
+import random
+
+import pytest
+
 import corpus_pipeline
+from chronoweave import session
 from chronoweave.llm.minhash import near_duplicates
 from chronoweave.llm.suffix_dedup import remove_repeats
 
@@ -49,5 +57,44 @@ def test_repeats_rows_that_share_an_id(spark):
     texts = [(1, again), (1, again), (1, words("one", 60)), (1, "<" + words("two", 60) + again), (None, again)]
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in texts], "doc_id long, text string, n_chars long")
     left = corpus_pipeline.repeats(spark, docs, DATA)
-    want = [(1, ""), (1, ""), (1, words("one", 60)), (1, "<" + words("two", 60)), (None, again)]
+    want = [(1, ""), (1, ""), (1, words("one", 60)), (1, "<" + words("two", 60)), (None, "")]
     assert sorted(map(str, map(tuple, left.collect()))) == sorted(str((i, t, len(t))) for i, t in want)
+
+
+def test_near_copies_and_repeats_equal_brute_force(spark):
+    rng = random.Random(3)
+    words = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(400)) for _ in range(n)]
+    base, passage = words(90), " ".join(words(60))
+    texts = [" ".join([*base[:k], rng.choice(base), *base[k + 1 :]]) for k in range(0, 90, 9)]
+    texts += [" ".join(words(rng.randint(0, 80))) + " " + passage[rng.randint(0, 30) :] for _ in range(12)] + [" ".join(words(50)) for _ in range(10)] + ["", None, texts[0]]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").split() for t in texts)]
+    low = list(range(len(texts)))
+    for _ in texts:
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low[i] = low[j] = min(low[i], low[j])
+    docs = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, row_0 string, n_chars long")
+    kept = corpus_pipeline.near_copies(spark, docs, DATA).collect()
+    assert sorted(r["doc_id"] for r in kept) == [i for i in range(len(texts)) if low[i] == i]
+    raw = {r["doc_id"]: (r["text"] or "").encode() for r in kept}
+    times = collections.Counter(t[i : i + 200] for t in raw.values() for i in range(len(t) - 199))
+    want = {}
+    for k, t in raw.items():
+        gone = {j for i in range(len(t) - 199) if times[t[i : i + 200]] > 1 for j in range(i, i + 200)}
+        want[k] = bytes(c for j, c in enumerate(t) if j not in gone).decode()
+    left = corpus_pipeline.repeats(spark, spark.createDataFrame(kept, docs.schema), DATA)
+    assert left.columns == docs.columns
+    null = {r["doc_id"] for r in kept if r["text"] is None}
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in left.collect()} == {k: (None, None) if k in null else (t, len(t)) for k, t in want.items()}
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch, empty):
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path / "shared"))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 0" if empty else "doc_id < 40")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = [x for x in os.listdir(tmp_path / "shared" / "chronoweave") if not x.startswith(("placed", "pieces"))]
+    assert len(left) == 1 and left[0].startswith("pipeline-packing-")
+    assert (out.count() == 0) == empty
