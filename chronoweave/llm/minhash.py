@@ -92,12 +92,13 @@ def plausible(pairs: DataFrame, size: int, batch: int, threshold: float, miss: f
 
 
 class TextTest:
-    """The pairs of a tile by their signatures, batch after batch, then by the words of their shingles."""
+    """The pairs of a tile by their signatures, batch after batch, then by hashes of their shingles, then by the words themselves."""
 
     def __init__(self, table: pa.Table, words: int, size: int, batch: int, percent: int, miss: float):
         self.sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, size)
         self.n, self.texts = table["n"].to_numpy(), table["text"]
         self.words, self.batch, self.percent = words, batch, percent
+        self.shingler, self.sets = Shingler(words), {}
         self.steps = [(k, fewest_matches(k, percent / 100, miss)) for k in range(batch, size + 1, batch)]
 
     def likely(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -111,7 +112,15 @@ class TextTest:
         order = np.argsort(-same, kind="stable")
         return list(zip(i[order].tolist(), j[order].tolist()))
 
+    def hashes(self, i: int) -> np.ndarray:
+        if i not in self.sets:
+            self.sets[i] = self.shingler.shingles(words_of(self.texts[i].as_py()))
+        return self.sets[i]
+
     def same(self, i: int, j: int) -> bool:
+        common = len(np.intersect1d(self.hashes(i), self.hashes(j), assume_unique=True))
+        if 100 * common < self.percent * (self.n[i] + self.n[j] - common):
+            return False
         return linked(words_of(self.texts[i].as_py()), words_of(self.texts[j].as_py()), self.words, self.percent)
 
 

@@ -251,8 +251,8 @@ def repeated_spans(keyed: DataFrame, length: int = 200, gram: int = 32, batches:
         live = keep(materialise(segments.join(materialise(names, "names"), "name"), "live"))
     kind = ["name", "d1", "d2"]
     kinds = materialise(live.groupBy(*kind).agg(F.count("*").alias("times"), F.min(F.struct("row", "start", "n")).alias("o")), "kinds")
-    again = live.join(materialise(kinds.where("times > 1").select(*kind), "again"), kind)
-    found = again.select("row", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
+    counted = materialise(live.join(kinds.select(*kind, "times"), kind).select("row", "start", "n", "times"), "counted")  # a row for each live segment
+    found = counted.where("times > 1").select("row", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
     shared = materialise(kinds.groupBy("name").agg(F.count("*").alias("alike")).where("alike > 1"), "shared")
     at = F.struct("o.start", "o.n", "name", "alike")
     probes = materialise(kinds.join(shared, "name").select("o.row", at.alias("at")).groupBy("row").agg(F.collect_list("at").alias("at")), "probes")
