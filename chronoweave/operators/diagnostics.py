@@ -63,6 +63,14 @@ def cusum(df: DataFrame, col: str = "e") -> DataFrame:
     return d.withColumn("cusum", F.col("t_") / (F.col("s_") * F.sqrt("n_"))).drop("t_", "s_", "n_")
 
 
+def cusum_test(df: DataFrame, col: str = "e") -> DataFrame:
+    """(series_id, sup, p): the largest |cusum| and how likely a Brownian bridge goes that far."""
+    top = cusum(df, col).groupBy(KEY).agg(F.max(F.abs("cusum")).alias("sup"))
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: 2 * F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2 * k * k * F.col("sup") * F.col("sup")))
+    p = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+    return top.select(KEY, "sup", F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)).alias("p"))
+
+
 def amoc(df: DataFrame) -> DataFrame:
     """At most one change of the mean: the split with the least sum of squares, its gain and whether it beats 3 log n penalties of variance."""
     w = W.partitionBy(KEY).orderBy("ts")

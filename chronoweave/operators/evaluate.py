@@ -27,6 +27,25 @@ def fraction(df: DataFrame, share: float, by: str = KEY) -> DataFrame:
     return df.withColumn("n_", F.count("*").over(w)).withColumn("part", F.when(r <= F.floor(F.col("n_") * share), "train").otherwise("test")).drop("n_")
 
 
+def split_at(df: DataFrame, time: str) -> DataFrame:
+    """Adds part: train for rows before a time, else test."""
+    return df.withColumn("part", F.when(F.col("ts") < F.lit(time).cast("timestamp_ntz"), "train").otherwise("test"))
+
+
+def hashed_split(df: DataFrame, key: str, percent: int) -> DataFrame:
+    """Adds part by a hash of the key: about percent of the rows are train, the same ones at every run."""
+    number = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    return df.withColumn("part", F.when(number % 100 < percent, "train").otherwise("test"))
+
+
+def naive_backtest(df: DataFrame, season: int, windows: int, by: str = KEY) -> DataFrame:
+    """Seasonal-naive forecasts of the last ``windows`` seasons, one cutoff each: (series, cutoff, h, y, yhat) from one window and one join."""
+    r = F.row_number().over(W.partitionBy(by).orderBy(F.col("ts").desc())) - 1
+    d = df.withColumn("r_", r).where(F.col("r_") < season * (windows + 1)).withColumns({"k_": F.floor(F.col("r_") / season), "h": season - F.col("r_") % season})
+    test = d.where(F.col("k_") < windows).select(by, F.col("k_").alias("cutoff"), "h", "y")
+    return test.join(d.where("k_ > 0").select(by, (F.col("k_") - 1).alias("cutoff"), "h", F.col("y").alias("yhat")), [by, "cutoff", "h"])
+
+
 def folds(n: int, scheme: str, k: int = 5, window: int = 0, step: int = 0) -> list[tuple[int, int, int, int, int]]:
     """(fold, train_from, train_to, test_from, test_to), ends excluded, of n rows in order.
 

@@ -81,10 +81,20 @@ def calendar(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumns({n: f(ts).cast("long") for n, f in parts.items()})
 
 
-def asof_join(left: DataFrame, right: DataFrame, value: str, by: str = KEY) -> DataFrame:
-    """Each left row with the latest right value at or before its time: one union and one window, no range join."""
+def asof_join(left: DataFrame, right: DataFrame, value: str, by: str = KEY, within: str = "day") -> DataFrame:
+    """Each left row with the latest right value at or before its time, without a range join.
+
+    One union and one window for each series and ``within`` (hour, day, month), so that a long series
+    is spread over tasks; what was last known before is carried over from the last values of the earlier
+    ones, one row each.
+    """
     both = left.withColumn("r_", F.lit(None).cast("double")).withColumn("k_", F.lit(1)).unionByName(
         right.select(by, "ts", F.col(value).alias("r_"), F.lit(0).alias("k_")), allowMissingColumns=True
     )
-    w = W.partitionBy(by).orderBy("ts", "k_").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("r_", ignorenulls=True).over(w)).where("k_ = 1").drop("r_", "k_")
+    both = both.withColumn("b_", F.date_trunc(within, "ts"))
+    known = F.when(F.col("r_").isNotNull(), F.col("ts"))
+    ends = both.groupBy(by, "b_").agg(F.max_by("r_", known).alias("end_"))
+    carried = ends.withColumn("before_", F.last("end_", ignorenulls=True).over(W.partitionBy(by).orderBy("b_").rowsBetween(W.unboundedPreceding, -1))).drop("end_")
+    w = W.partitionBy(by, "b_").orderBy("ts", "k_").rowsBetween(W.unboundedPreceding, 0)
+    here = both.withColumn("here_", F.last("r_", ignorenulls=True).over(w)).where("k_ = 1")
+    return here.join(carried, [by, "b_"]).withColumn(value, F.coalesce("here_", "before_")).drop("r_", "k_", "b_", "here_", "before_")

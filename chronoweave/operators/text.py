@@ -53,6 +53,12 @@ def topics(docs: DataFrame, k: int = 5, vocabulary: int = 1000, words: int = 10,
     return top, model.transform(d).withColumn("topic", dominant).select(*docs.columns, "topic")
 
 
+def first_links(pages: DataFrame, n: int, html: str = "html") -> DataFrame:
+    """(page_id, place, link) of the first n href values in their order, from 0."""
+    found = F.posexplode(F.slice(F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), 1), 1, n)).alias("place", "link")
+    return pages.select("page_id", found).withColumn("place", F.col("place").cast("long"))
+
+
 def links(pages: DataFrame, html: str = "html", containing: str = "") -> DataFrame:
     """(page_id, link) of all href values that contain a string."""
     found = F.explode(F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), 1))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoweave.catalogue import query
 from chronoweave.operators import aggregates as A
-from chronoweave.operators import clean, evaluate, grid, reshape
+from chronoweave.operators import clean, evaluate, grid, reshape, text
 from chronoweave.operators import windows as X
 from chronoweave.plans.panels import DAILY, FULL, HOURLY, RAW, SHIPPED, SPINE, daily, hourly, hourly_full, raw_events, rounded, shipped, table
 
@@ -189,6 +190,57 @@ def distinct_types(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
 
 
+@query("SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS place FROM events")
+def sorted_values(spark, d):
+    """Every row with its place in ascending order."""
+    e = table(spark, d, "events").select("event_type", "event_id", "value")
+    return e.withColumn("place", F.row_number().over(W.partitionBy("event_type").orderBy(F.col("value").asc_nulls_last(), "event_id")).cast("long"))
+
+
+@query("SELECT o_orderkey AS order_id, o_totalprice AS y FROM orders")
+def renamed_columns(spark, d):
+    return table(spark, d, "orders").withColumnsRenamed({"o_orderkey": "order_id", "o_totalprice": "y"}).select("order_id", "y")
+
+
+@query(f"WITH {SPINE} SELECT series_id, ts, round(y, 6) AS y FROM gaps WHERE y IS NOT NULL")
+def drop_missing(spark, d):
+    """The grid's empty hours are NULL rows, which are dropped again."""
+    return rounded(grid.on_grid(hourly(spark, d), "hour").dropna(subset=["y"]))
+
+
+@query("WITH s AS (SELECT event_type AS series_id, unnest(generate_series(min(ts), max(ts), INTERVAL 15 MINUTES)) AS ts FROM events GROUP BY 1) SELECT s.series_id, s.ts, round(value, 6) AS y FROM s LEFT JOIN events e ON e.event_type = s.series_id AND e.ts = s.ts")
+def asfreq_raw_15min(spark, d):
+    """Raw rows put on a grid from the first one on: all that are off the grid are lost."""
+    return rounded(grid.on_grid(raw_events(spark, d), "15min"))
+
+
+@query("SELECT CASE WHEN ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % 100 < 80 THEN 'train' ELSE 'test' END AS part, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY 1")
+def random_split(spark, d):
+    """A split by a hash of the key: random, and the same whatever the partitions."""
+    o = evaluate.hashed_split(table(spark, d, "orders"), "o_orderkey", 80)
+    return o.groupBy("part").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+
+
+@query(f"WITH {DAILY} SELECT CASE WHEN ts < TIMESTAMP '1997-01-01' THEN 'train' ELSE 'test' END AS part, count(*) AS n, min(ts) AS first, max(ts) AS last FROM d GROUP BY 1")
+def split_at_time(spark, d):
+    p = evaluate.split_at(daily(spark, d), "1997-01-01")
+    return p.groupBy("part").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+@query(f"WITH {FULL}, s AS (SELECT series_id, ts, y - lag(y) OVER w > 0 AS up FROM p WINDOW w AS (PARTITION BY series_id ORDER BY ts)), g AS (SELECT series_id, up, lag(up) OVER (PARTITION BY series_id ORDER BY ts) AS guess FROM s) SELECT series_id, round(avg((up = guess)::INT), 6) AS accuracy FROM g GROUP BY 1")
+def direction_accuracy(spark, d):
+    """How often an hour moves as the one before it did."""
+    w = X.ordered()
+    s = hourly_full(spark, d).withColumn("up", F.col("y") - F.lag("y").over(w) > 0)
+    return rounded(evaluate.accuracy(s.withColumn("guess", F.lag("up").over(w)), ["series_id"], "up", "guess"))
+
+
+@query("WITH l AS (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS x FROM pages) SELECT page_id, k - 1 AS place, x[k] AS link FROM (SELECT page_id, x, unnest(range(1, least(len(x), 3) + 1)) AS k FROM l)")
+def first_links(spark, d):
+    """The first three links of each page in their order."""
+    return text.first_links(table(spark, d, "pages"), 3)
+
+
 @query("SELECT DISTINCT o_custkey, o_orderstatus FROM orders")
 def dedup_rows(spark, d):
     return table(spark, d, "orders").select("o_custkey", "o_orderstatus").dropDuplicates()
@@ -279,9 +331,13 @@ def tabulate_by_year(spark, d):
     return A.tabulate(table(spark, d, "orders"), F.year("o_orderdate").cast("double"))
 
 
-@query("SELECT event_type AS series_id, round(avg(value), 6) AS mean, round(stddev_samp(value) / sqrt(count(value)), 6) AS se, round(avg(value) - 2.04523 * stddev_samp(value) / sqrt(count(value)), 6) AS lower, round(avg(value) + 2.04523 * stddev_samp(value) / sqrt(count(value)), 6) AS upper FROM events GROUP BY 1")
+_Z = 1.959963984540054  # the 0.975 quantile of the normal distribution
+_T = f"{_Z} + {(_Z**3 + _Z) / 4} / (n - 1) + {(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96} / (n - 1) ** 2 + {(3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384} / (n - 1) ** 3 + {(79 * _Z**9 + 776 * _Z**7 + 1482 * _Z**5 - 1920 * _Z**3 - 945 * _Z) / 92160} / (n - 1) ** 4"
+
+
+@query(f"WITH m AS (SELECT event_type AS series_id, count(value) AS n, avg(value) AS mean, stddev_samp(value) / sqrt(count(value)) AS se FROM events GROUP BY 1), q AS (SELECT *, {_T} AS t FROM m) SELECT series_id, n, round(mean, 6) AS mean, round(se, 6) AS se, round(t, 6) AS t, round(mean - t * se, 6) AS lower, round(mean + t * se, 6) AS upper FROM q")
 def mean_t_interval(spark, d):
-    return rounded(A.mean_interval(raw_events(spark, d), 2.04523))  # the 0.975 quantile of t with 29 degrees
+    return rounded(A.mean_interval(raw_events(spark, d)))
 
 
 @query("SELECT date_trunc('day', ts)::DATE AS day, nullif(count(*) FILTER (event_type = 'click'), 0) AS click, nullif(count(*) FILTER (event_type = 'purchase'), 0) AS purchase, nullif(count(*) FILTER (event_type = 'view'), 0) AS view FROM events GROUP BY 1")
@@ -319,7 +375,7 @@ def asof_last_view(spark, d):
     e = table(spark, d, "events").withColumn("series_id", F.lit("all"))
     left = e.where("event_type = 'click'").select("series_id", "event_id", "ts")
     right = e.where("event_type = 'view'").select("series_id", "ts", F.col("value").alias("latest"))
-    return rounded(grid.asof_join(left, right, "latest").select("event_id", "ts", "latest"))
+    return rounded(grid.asof_join(left, right, "latest", within="day").select("event_id", "ts", "latest"))
 
 
 _H = "customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey JOIN orders o ON o.o_custkey = c.c_custkey"

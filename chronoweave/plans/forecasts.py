@@ -60,8 +60,7 @@ def best_model_per_series(spark, d):
 
 @query(f"WITH {FULL}, q AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) - 1 AS r FROM p), c AS (SELECT unnest([0, 1, 2]) AS cutoff), t AS (SELECT q.series_id, cutoff, y, 24 - (r - 24 * cutoff) AS h FROM q, c WHERE r >= 24 * cutoff AND r < 24 * cutoff + 24), s AS (SELECT q.series_id, cutoff, y AS f, 48 - (r - 24 * cutoff) AS h FROM q, c WHERE r >= 24 * cutoff + 24 AND r < 24 * cutoff + 48) SELECT series_id, cutoff::BIGINT AS cutoff, {_METRICS} FROM t JOIN s USING (series_id, cutoff, h) GROUP BY 1, 2")
 def naive_cv(spark, d):
-    out = M.backtest(hourly_full(spark, d), {"seasonal_naive": M.naive(24)}, 24, 24, 3)
-    return rounded(V.score(out, ["series_id", "cutoff"]))
+    return rounded(V.score(V.naive_backtest(hourly_full(spark, d), 24, 3), ["series_id", "cutoff"]))
 
 
 @query(f"WITH {FULL}, f AS (SELECT series_id, list_reduce(list(y ORDER BY ts), lambda a, x: 0.5 * x + 0.5 * a) AS level FROM p GROUP BY 1) SELECT series_id, round(level, 6) AS level FROM f")

@@ -160,15 +160,37 @@ def ccm_hourly(spark, d):
     return N.per_series(wide, f, "click_to_view double, view_to_click double", "click", "view")
 
 
-@query()
+@query(f"WITH {FULL}, l AS (SELECT series_id, list(y ORDER BY ts) AS x FROM p GROUP BY 1), k AS (SELECT unnest(range(1, 6)) AS k), i AS (SELECT series_id, x, k, len(x) - k AS n, unnest(range(1, len(x) - k + 1)) AS i FROM l, k), ij AS (SELECT *, unnest(range(1, n + 1)) AS j FROM i), r AS (SELECT series_id, k, n, list_distance(x[i + 1:i + k], x[j + 1:j + k]) / (list_distance(x[i:i + k - 1], x[j:j + k - 1]) + 1e-10) > 10 AS hit FROM ij) SELECT series_id, k AS dims, round(count_if(hit) / any_value(n), 6) AS ratio FROM r GROUP BY 1, 2")
 def fnn_ratio(spark, d):
     f = lambda y: pd.DataFrame({"dims": np.arange(1, 6), "ratio": [N.false_neighbours(y, k) for k in range(1, 6)]})
-    return N.per_series(hourly_full(spark, d), f, "dims long, ratio double")
+    return rounded(N.per_series(hourly_full(spark, d), f, "dims long, ratio double"))
 
 
-@query()
+_KALMAN = (
+    "n AS (SELECT series_id, y, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS t FROM p), "
+    "f AS (SELECT series_id, (-1)::BIGINT AS t, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1.0::DOUBLE AS p, 0.0::DOUBLE AS q, 1.0::DOUBLE AS s FROM n WHERE t = 0 UNION ALL "
+    "SELECT series_id, t, a + p / (p + 1) * (z - a), b + q / (p + 1) * (z - a), p - p / (p + 1) * p, q - p / (p + 1) * q, s - q / (p + 1) * q FROM ("
+    "SELECT f.series_id, n.t, n.y AS z, a + 0.1 * b AS a, b, p + 0.2 * q + 0.01 * s + 0.1 AS p, q + 0.1 * s AS q, s + 0.1 AS s FROM f JOIN n ON n.series_id = f.series_id AND n.t = f.t + 1))"
+)
+
+
+@query(f"WITH RECURSIVE {FULL}, {_KALMAN} SELECT series_id, t, round(a, 6) AS position, round(b, 6) AS velocity FROM f WHERE t >= 0")
 def kalman_track(spark, d):
-    return N.per_series(hourly_full(spark, d), N.kalman, "t long, position double, velocity double")
+    return rounded(N.per_series(hourly_full(spark, d), N.kalman, "t long, position double, velocity double"))
+
+
+@query(f"WITH {FULL}, c AS (SELECT series_id, ts, y AS x, lead(y) OVER (PARTITION BY series_id ORDER BY ts) - y AS dy FROM p), r AS (SELECT series_id, count(dy) AS n, regr_slope(dy, x) AS b, regr_sxx(dy, x) AS xx, regr_syy(dy, x) AS yy FROM c WHERE dy IS NOT NULL GROUP BY 1), t AS (SELECT series_id, n, b / sqrt((yy - b * b * xx) / (n - 2) / xx) AS t FROM r) SELECT series_id, round(t, 6) AS statistic, 0 AS lags, round(-3.43035 - 6.5393 / n - 16.786 / n ** 2, 6) AS crit_1, round(-2.86154 - 2.8903 / n - 4.234 / n ** 2, 6) AS crit_5, round(-2.56677 - 1.5384 / n - 2.809 / n ** 2, 6) AS crit_10, t < -2.86154 - 2.8903 / n - 4.234 / n ** 2 AS stationary FROM t")
+def dickey_fuller(spark, d):
+    """The test without lags of differences; adf_test chooses their number."""
+    return rounded(G.adf(hourly_full(spark, d), 0))
+
+
+@query(f"WITH {FULL}, e AS (SELECT series_id, ts, y - avg(y) OVER (PARTITION BY series_id) AS e FROM p), c AS (SELECT series_id, abs(sum(e) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) / (stddev_samp(e) OVER (PARTITION BY series_id) * sqrt(count(e) OVER (PARTITION BY series_id)))) AS c FROM e), m AS (SELECT series_id, max(c) AS sup FROM c GROUP BY 1) SELECT series_id, round(any_value(sup), 6) AS sup, round(least(1, greatest(0, sum(2 * (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * sup * sup)))), 6) AS p FROM m, (SELECT unnest(range(1, 101)) AS k) GROUP BY series_id")
+def cusum_test(spark, d):
+    """The largest cumulated residual and its p by the distribution of a Brownian bridge's largest value."""
+    p = hourly_full(spark, d)
+    mean = p.groupBy("series_id").agg(F.avg("y").alias("m"))
+    return rounded(G.cusum_test(p.join(mean, "series_id").withColumn("e", F.col("y") - F.col("m"))))
 
 
 @query()
@@ -282,6 +304,6 @@ def imputation(spark, d):
     return N.per_series(hourly_full(spark, d), f, "t long, y double, drawn double, cubic double")
 
 
-@query()
+@query("SELECT 'synthetic' AS series_id, TIMESTAMP '2020-01-01' + to_days(i::INT) AS ts, round(10 + 40 * i / 199.0 + 10 * sin(2 * pi() * i / 30), 6) AS y FROM (SELECT unnest(range(200)) AS i)")
 def synthetic_series(spark, d):
-    return N.synthetic(spark, 200)
+    return rounded(N.synthetic(spark, 200))

@@ -47,14 +47,21 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_wave(spark: SparkSession, path: str) -> DataFrame:
-    """WAV files (16 bit) as (path, rate, samples) with samples from -1 to 1; several channels are averaged."""
+    """WAV files (8, 16, 24 or 32 bit) as (path, rate, samples) with samples from -1 to 1; several channels are averaged."""
 
     @F.pandas_udf("rate long, samples array<float>")
     def decode(content: pd.Series) -> pd.DataFrame:
         out = []
         for raw in content:
             with wave.open(io.BytesIO(raw)) as w:
-                x = np.frombuffer(w.readframes(w.getnframes()), np.int16).reshape(-1, w.getnchannels()).mean(axis=1) / 32768
+                width, data = w.getsampwidth(), np.frombuffer(w.readframes(w.getnframes()), np.uint8)
+                if width == 1:  # these have no sign
+                    x = data.astype(np.float64) / 128 - 1
+                else:  # little-endian numbers, moved to the top of 32 bits
+                    wide = np.zeros((len(data) // width, 4), np.uint8)
+                    wide[:, 4 - width :] = data.reshape(-1, width)
+                    x = wide.view("<i4")[:, 0] / 2.0**31
+                x = x.reshape(-1, w.getnchannels()).mean(axis=1)
                 out.append((w.getframerate(), x.astype(np.float32)))
         return pd.DataFrame(out, columns=["rate", "samples"])
 

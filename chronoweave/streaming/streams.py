@@ -26,10 +26,16 @@ def distinct_rows(stream: DataFrame, keys: list[str], late: str = "2 hours") ->
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def smoothed(stream: DataFrame, alpha: float = 0.5, by: str = "series_id") -> DataFrame:
-    """Simple exponential smoothing with the level as state: (series_id, ts, y, level) of each row, in order within a batch."""
+def smoothed(stream: DataFrame, alpha: float = 0.5, by: str = "series_id", late: str = "2 hours", idle: int = 7 * 24 * 3600) -> DataFrame:
+    """Simple exponential smoothing with the level as state: (series_id, ts, y, level) of each row, in order within a batch.
+
+    Rows later than ``late`` are dropped; a series without rows for ``idle`` seconds of event time loses its state and starts anew.
+    """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         level = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values("ts")
         out = []
@@ -38,10 +44,12 @@ def smoothed(stream: DataFrame, alpha: float = 0.5, by: str = "series_id") -> Da
             out.append(level)
         if level is not None:
             state.update((float(level),))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + idle * 1000)
         yield pd.DataFrame({by: key[0], "ts": rows["ts"], "y": rows["y"], "level": out})
 
-    return stream.dropna(subset=["y"]).groupBy(by).applyInPandasWithState(
-        step, f"{by} string, ts timestamp, y double, level double", "level double", "append", GroupStateTimeout.NoTimeout
+    timed = stream.dropna(subset=["y"]).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy(by).applyInPandasWithState(
+        step, f"{by} string, ts timestamp, y double, level double", "level double", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
