@@ -15,7 +15,41 @@ from chronoweave.operators import windows as X
 from chronoweave.plans.panels import DAILY, FULL, SHIPPED, daily, hourly_full, rounded, shipped, table
 
 
-@query(f"WITH {FULL}, c AS (SELECT series_id, ts, y - avg(y) OVER (PARTITION BY series_id) AS x FROM p), k AS (SELECT unnest(range(25)) AS lag), n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i FROM c), v AS (SELECT series_id, sum(x * x) AS v FROM c GROUP BY 1) SELECT a.series_id, lag, round(sum(a.x * b.x) / any_value(v), 6) AS r FROM n a, k JOIN n b ON b.series_id = a.series_id AND b.i = a.i - lag JOIN v ON v.series_id = a.series_id GROUP BY 1, 2")
+#: Each series' transform at frequencies 0 to n / 2 from p, as sums over its n values i.
+_DFT = (
+    "n AS (SELECT series_id, ts, y, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM p), "
+    "k AS (SELECT series_id, n, unnest(range(n // 2 + 1)) AS k FROM (SELECT DISTINCT series_id, n FROM n)), "
+    "f AS (SELECT series_id, n, k, sum(y * cos(-2 * pi() * ((k * i) % n) / n)) AS re, sum(y * sin(-2 * pi() * ((k * i) % n) / n)) AS im FROM n JOIN k USING (series_id, n) GROUP BY ALL)"
+)
+
+#: Lists a of d * d covariances, the last row the one to explain; each step of w sweeps one more regressor out of the rest.
+_SWEEP = (
+    "w AS (SELECT series_id, 0::BIGINT AS k, d, rows, a FROM m UNION ALL SELECT series_id, k + 1, d, rows, list_transform(range(d * d), lambda t: CASE "
+    "WHEN t // d = k AND t % d = k THEN 1 / a[t + 1] WHEN t // d = k THEN a[t + 1] / a[k * d + k + 1] WHEN t % d = k THEN -a[t + 1] / a[k * d + k + 1] "
+    "ELSE a[t + 1] - a[(t // d) * d + k + 1] * a[k * d + t % d + 1] / a[k * d + k + 1] END) FROM w WHERE k < d - 1)"
+)
+_CROSS = (
+    "c AS (SELECT series_id, t, j, d, x - avg(x) OVER (PARTITION BY series_id, j) AS z FROM v), "
+    "s AS (SELECT p.series_id, p.d, p.j AS i, q.j, count(*) AS rows, sum(p.z * q.z) AS s FROM c p JOIN c q ON p.series_id = q.series_id AND p.t = q.t GROUP BY ALL), "
+    "m AS (SELECT series_id, d::BIGINT AS d, rows, list(s ORDER BY i, j) AS a FROM s GROUP BY ALL)"
+)
+#: Statistic t, its lags and rows of the Dickey-Fuller regressions on e (series_id, ts, y), the number of lags by AIC on common rows.
+_ADF = (
+    "l AS (SELECT series_id, y, row_number() OVER g - 1 AS t, lead(y) OVER g - y AS dy, count(*) OVER (PARTITION BY series_id) AS n FROM e WINDOW g AS (PARTITION BY series_id ORDER BY ts)), "
+    "top AS (SELECT *, least(floor(12 * (n / 100) ** 0.25)::BIGINT, greatest(0, n // 2 - 3)) AS top FROM l), "
+    "u AS (SELECT *, unnest(range(top + 2)) AS j FROM top WHERE t >= top AND dy IS NOT NULL), "
+    "v AS (SELECT u.series_id, u.t, j, top + 2 AS d, CASE WHEN j = 0 THEN u.y WHEN j <= top THEN b.dy ELSE u.dy END AS x FROM u JOIN l b ON b.series_id = u.series_id AND b.t = u.t - CASE WHEN j <= top THEN j ELSE 0 END), "
+    f"{_CROSS}, {_SWEEP}, "
+    "o AS (SELECT series_id, k - 1 AS lags, rows, a[d] / sqrt(a[d * d] / (rows - k - 1) * a[1]) AS t, rows * ln(a[d * d] / rows) + 2 * (k + 1) AS aic FROM w WHERE k > 0), "
+    "best AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY aic, lags) = 1)"
+)
+
+_ACF = (
+    "c AS (SELECT series_id, ts, y - avg(y) OVER (PARTITION BY series_id) AS x FROM p), k AS (SELECT unnest(range(25)) AS lag), n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i FROM c), v AS (SELECT series_id, sum(x * x) AS v FROM c GROUP BY 1), acf AS (SELECT a.series_id, lag, sum(a.x * b.x) / any_value(v) AS r FROM n a, k JOIN n b ON b.series_id = a.series_id AND b.i = a.i - lag JOIN v ON v.series_id = a.series_id GROUP BY 1, 2)"
+)
+
+
+@query(f"WITH {FULL}, {_ACF} SELECT series_id, lag, round(r, 6) AS r FROM acf")
 def acf_24(spark, d):
     return rounded(G.acf(hourly_full(spark, d), 24))
 
@@ -51,11 +85,13 @@ def dft_spectrum(spark, d):
     return rounded(S.dft(hourly_full(spark, d), 64).select("series_id", "k", "magnitude"), 4)
 
 
-@query()
+@query(f"WITH {FULL}, {_DFT}, r AS (SELECT series_id, k, k / n AS frequency, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im, sqrt(re * re + im * im) AS magnitude FROM f) SELECT series_id, k, round(frequency, 6) AS frequency, re, im, round(magnitude, 5) AS magnitude, round(atan2(im, re), 4) + 0.0 AS phase FROM r")
 def full_spectrum(spark, d):
-    """The spectrum of every whole series; frequencies in cycles an hour."""
+    """The spectrum of every whole series; frequencies in cycles an hour, the phase that of the rounded parts."""
     f = lambda y: S.spectrum(y).rename_axis("k").reset_index()
-    return N.per_series(hourly_full(spark, d), f, "k long, frequency double, re double, im double, magnitude double, phase double")
+    out = N.per_series(hourly_full(spark, d), f, "k long, frequency double, re double, im double, magnitude double, phase double")
+    out = out.select("series_id", "k", F.round("frequency", 6).alias("frequency"), *((F.round(c, 5) + 0.0).alias(c) for c in ("re", "im", "magnitude")))
+    return out.withColumn("phase", F.round(F.atan2("im", "re"), 4) + 0.0)
 
 
 @query(f"WITH {DAILY}, {SHIPPED}, j AS (SELECT d.y AS a, l.y AS b FROM d JOIN l USING (ts)), k AS (SELECT unnest(range(50)) / 49.0::DOUBLE AS a_) SELECT round(a_, 6) AS a, round(avg((a * (1 - a_) + b * a_ - b) ** 2) / 1e6, 4) AS mse FROM j, k GROUP BY a_")
@@ -126,14 +162,24 @@ def lda_topics(spark, d):
     return T.topics(table(spark, d, "documents"), k=4)[0]
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {FULL}, {_ACF}, "
+    "r AS (SELECT series_id, list(r ORDER BY lag) AS r FROM acf GROUP BY 1), "
+    "f AS (SELECT series_id, r, 0::BIGINT AS k, []::DOUBLE[] AS phi, 1.0::DOUBLE AS v, 1.0::DOUBLE AS p FROM r UNION ALL "
+    "SELECT series_id, r, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - g * phi[k + 1 - j]), g), v * (1 - g * g), g FROM ("
+    "SELECT *, (r[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j])), 0)) / v AS g FROM f WHERE k < 24)) "
+    "SELECT series_id, k AS lag, round(p, 6) AS r FROM f"
+)
 def pacf_24(spark, d):
-    return G.pacf(hourly_full(spark, d), 24)
+    return rounded(G.pacf(hourly_full(spark, d), 24))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {FULL}, e AS (SELECT * FROM p), {_ADF} SELECT series_id, round(t, 6) AS statistic, lags, round(-3.43035 - 6.5393 / rows - 16.786 / rows ** 2, 6) AS crit_1, "
+    "round(-2.86154 - 2.8903 / rows - 4.234 / rows ** 2, 6) AS crit_5, round(-2.56677 - 1.5384 / rows - 2.809 / rows ** 2, 6) AS crit_10, t < -2.86154 - 2.8903 / rows - 4.234 / rows ** 2 AS stationary FROM best"
+)
 def adf_test(spark, d):
-    return G.adf(hourly_full(spark, d))
+    return rounded(G.adf(hourly_full(spark, d)))
 
 
 def _pairs(spark, d):
@@ -141,23 +187,45 @@ def _pairs(spark, d):
     return a.join(b, "ts").select(F.lit("orders~lines").alias("series_id"), "ts", "y", "x")
 
 
-@query()
+_PAIRS = f"{DAILY}, {SHIPPED}, q AS (SELECT 'orders~lines' AS series_id, ts, d.y, l.y AS x FROM d JOIN l USING (ts))"
+
+
+@query(
+    f"WITH RECURSIVE {_PAIRS}, g AS (SELECT series_id, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM q GROUP BY 1), e AS (SELECT series_id, ts, y - a - b * x AS y FROM q JOIN g USING (series_id)), "
+    f"{_ADF.replace('l AS (SELECT', 'lv AS (SELECT').replace('FROM l)', 'FROM lv)').replace('JOIN l b', 'JOIN lv b')} "
+    "SELECT series_id, round(t, 6) AS statistic, lags, round(-3.33613 - 6.1101 / rows - 6.823 / rows ** 2, 6) AS crit_5, t < -3.33613 - 6.1101 / rows - 6.823 / rows ** 2 AS cointegrated FROM best"
+)
 def cointegration_test(spark, d):
-    return G.cointegration(_pairs(spark, d))
+    return rounded(G.cointegration(_pairs(spark, d)))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_PAIRS}, lagged AS (SELECT series_id, row_number() OVER g AS t, [lag(y) OVER g, lag(y, 2) OVER g, lag(x) OVER g, lag(x, 2) OVER g, y] AS xs FROM q WINDOW g AS (PARTITION BY series_id ORDER BY ts)), "
+    f"v AS (SELECT series_id, t, 5 AS d, unnest(range(5)) AS j, unnest(xs) AS x FROM lagged WHERE t > 2), {_CROSS}, {_SWEEP}, "
+    "o AS (SELECT series_id, max(rows) - 5 AS df, max(a[25]) FILTER (k = 2) AS short, max(a[25]) FILTER (k = 4) AS long FROM w GROUP BY 1), "
+    "b AS (SELECT series_id, df, (short - long) / 2 / (long / df) AS f FROM o) "
+    "SELECT series_id, round(f, 6) AS f, round((1 + 2 * f / df) ** (-df / 2), 6) AS p, (1 + 2 * f / df) ** (-df / 2) < 0.05 AS causes FROM b"
+)
 def granger_test(spark, d):
-    return G.granger(_pairs(spark, d))
+    return rounded(G.granger(_pairs(spark, d)))
 
 
-@query()
+_CLICK_VIEW = "u AS (SELECT a.ts, a.y AS click, b.y AS view FROM p a JOIN p b ON a.ts = b.ts AND a.series_id = 'click' AND b.series_id = 'view' WHERE a.y IS NOT NULL AND b.y IS NOT NULL)"
+
+
+@query(
+    f"WITH {FULL}, {_CLICK_VIEW}, s AS (SELECT 'click_to_view' AS way, ts, click AS s, view AS t FROM u UNION ALL SELECT 'view_to_click', ts, view, click FROM u), "
+    "z AS (SELECT way, row_number() OVER g AS i, s, t AS t0, lead(t, 10) OVER g AS t1, lead(t, 20) OVER g AS t2 FROM s WINDOW g AS (PARTITION BY way ORDER BY ts)), z_ AS (SELECT * FROM z WHERE t2 IS NOT NULL), "
+    "near AS (SELECT a.way, a.i, a.s, b.s AS other, 1 / (sqrt((a.t0 - b.t0) ** 2 + (a.t1 - b.t1) ** 2 + (a.t2 - b.t2) ** 2) + 1e-9) AS w FROM z_ a JOIN z_ b ON a.way = b.way AND a.i <> b.i QUALIFY row_number() OVER (PARTITION BY a.way, a.i ORDER BY w DESC, b.i) <= 4), "
+    "g AS (SELECT way, i, any_value(s) AS s, sum(w * other) / sum(w) AS guess FROM near GROUP BY 1, 2) "
+    "SELECT 'click~view' AS series_id, round(corr(s, guess) FILTER (way = 'click_to_view'), 6) AS click_to_view, round(corr(s, guess) FILTER (way = 'view_to_click'), 6) AS view_to_click FROM g"
+)
 def ccm_hourly(spark, d):
     """Cross mapping of one stated pair, clicks and views, both ways; other pairs are left out."""
     p = hourly_full(spark, d).where("series_id IN ('click', 'view')")
     wide = p.groupBy("ts").pivot("series_id", ["click", "view"]).agg(F.first("y")).dropna().withColumn("series_id", F.lit("click~view"))
     f = lambda v: pd.DataFrame({"click_to_view": [N.cross_map(v[:, 0], v[:, 1])], "view_to_click": [N.cross_map(v[:, 1], v[:, 0])]})
-    return N.per_series(wide, f, "click_to_view double, view_to_click double", "click", "view")
+    return rounded(N.per_series(wide, f, "click_to_view double, view_to_click double", "click", "view"))
 
 
 @query(f"WITH {FULL}, l AS (SELECT series_id, list(y ORDER BY ts) AS x FROM p GROUP BY 1), k AS (SELECT unnest(range(1, 6)) AS k), i AS (SELECT series_id, x, k, len(x) - k AS n, unnest(range(1, len(x) - k + 1)) AS i FROM l, k), ij AS (SELECT *, unnest(range(1, n + 1)) AS j FROM i), r AS (SELECT series_id, k, n, list_distance(x[i + 1:i + k], x[j + 1:j + k]) / (list_distance(x[i:i + k - 1], x[j:j + k - 1]) + 1e-10) > 10 AS hit FROM ij) SELECT series_id, k AS dims, round(count_if(hit) / any_value(n), 6) AS ratio FROM r GROUP BY 1, 2")
@@ -193,7 +261,13 @@ def cusum_test(spark, d):
     return rounded(G.cusum_test(p.join(mean, "series_id").withColumn("e", F.col("y") - F.col("m"))))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {FULL}, h AS (SELECT series_id, hour(ts) AS h, avg(y) AS y FROM p GROUP BY ALL), r AS (SELECT series_id, list(y ORDER BY h) AS v FROM h GROUP BY 1), "
+    "f AS (SELECT a.series_id, b.series_id AS other, a.v, b.v AS w, []::DOUBLE[] AS l, 0::BIGINT AS c, len(b.v) AS m FROM r a JOIN r b ON a.series_id < b.series_id UNION ALL "
+    "SELECT series_id, other, v, w, list_append(l, (v[c // m + 1] - w[c % m + 1]) ** 2 + CASE WHEN c = 0 THEN 0 ELSE "
+    "least(CASE WHEN c >= m THEN l[c - m + 1] END, CASE WHEN c % m > 0 THEN l[c] END, CASE WHEN c >= m AND c % m > 0 THEN l[c - m] END) END), c + 1, m FROM f WHERE c < len(v) * m) "
+    "SELECT series_id, other, round(l[c], 6) AS dtw FROM f WHERE c = len(v) * m"
+)
 def dtw_pairs(spark, d):
     """Distances of every two daily profiles of event types: a few series of 24 values."""
     prof = hourly_full(spark, d).groupBy("series_id", F.hour("ts").alias("h")).agg(F.avg("y").alias("y")).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "y"))), lambda s: s["y"]).alias("v"))
@@ -203,7 +277,7 @@ def dtw_pairs(spark, d):
         return pd.Series([N.dtw(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(a, b)])
 
     other = prof.select(F.col("series_id").alias("other"), F.col("v").alias("w"))
-    return prof.join(other, F.col("series_id") < F.col("other")).select("series_id", "other", distance("v", "w").alias("dtw"))
+    return prof.join(other, F.col("series_id") < F.col("other")).select("series_id", "other", F.round(distance("v", "w"), 6).alias("dtw"))
 
 
 def _wide(spark, d):
@@ -277,15 +351,26 @@ def robust_decomposition(spark, d):
     return N.per_series(hourly_full(spark, d), lambda y: N.robust_decompose(y, 24), "t long, trend double, seasonal double, resid double")
 
 
-@query()
+@query(
+    f"WITH {FULL}, {_DFT}, g AS (SELECT *, CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END / n::DOUBLE AS c, k * (1::DOUBLE / n) <= 0.1 AS low, row_number() OVER (PARTITION BY series_id ORDER BY re * re + im * im DESC, k) <= 5 AS top FROM f) "
+    "SELECT series_id, i AS t, round(coalesce(sum(x) FILTER (low), 0), 4) + 0.0 AS low, round(coalesce(sum(x) FILTER (top), 0), 4) + 0.0 AS top FROM ("
+    "SELECT series_id, i, low, top, c * (re * cos(2 * pi() * ((k * i) % n) / n) - im * sin(2 * pi() * ((k * i) % n) / n)) AS x FROM n JOIN g USING (series_id, n) WHERE low OR top) GROUP BY ALL"
+)
 def fft_filter(spark, d):
     f = lambda y: pd.DataFrame({"t": np.arange(len(y)), "low": S.low_pass(y), "top": S.strongest(y, 5)})
-    return N.per_series(hourly_full(spark, d), f, "t long, low double, top double")
+    return rounded(N.per_series(hourly_full(spark, d), f, "t long, low double, top double"), 4)
 
 
-@query()
+@query(
+    f"WITH {FULL}, n AS (SELECT series_id, y, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM p), "
+    "s AS (SELECT series_id, least(256, n) AS size, unnest(range((n - least(256, n)) // 64 + 1)) AS frame FROM (SELECT DISTINCT series_id, n FROM n)), "
+    "x AS (SELECT s.series_id, size, frame, i - 64 * frame AS j, y * CASE WHEN size = 1 THEN 1 ELSE 0.5 - 0.5 * cos(2 * pi() * (i - 64 * frame) / (size - 1)) END AS y FROM s JOIN n ON n.series_id = s.series_id AND i >= 64 * frame AND i < 64 * frame + size), "
+    "b AS (SELECT DISTINCT size, unnest(range(size // 2 + 1)) AS bin FROM s), "
+    "f AS (SELECT series_id, frame, bin, sqrt(sum(y * cos(2 * pi() * ((bin * j) % size) / size)) ** 2 + sum(y * sin(2 * pi() * ((bin * j) % size) / size)) ** 2) AS mag FROM x JOIN b USING (size) GROUP BY ALL) "
+    "SELECT series_id, frame, bin, round(greatest(20 * log10(greatest(mag, 1e-10) / greatest(max(mag) OVER (PARTITION BY series_id), 1e-10)), -80), 4) + 0.0 AS db FROM f"
+)
 def stft_frames(spark, d):
-    return N.per_series(hourly_full(spark, d), S.stft_db, "frame long, bin long, db double")
+    return rounded(N.per_series(hourly_full(spark, d), S.stft_db, "frame long, bin long, db double"), 4)
 
 
 @query()
