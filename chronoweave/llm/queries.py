@@ -13,7 +13,7 @@ from chronoweave.llm.minhash import near_duplicates
 from chronoweave.llm.packing import pack_documents
 from chronoweave.llm.piece_codec import encode_pieces
 from chronoweave.llm.quality import score_quality
-from chronoweave.llm.simhash import compare_with_next
+from chronoweave.llm.simhash import compare_with_next, near_fingerprints
 from chronoweave.llm.suffix_dedup import remove_repeats
 from chronoweave.llm.token_counts import count_tokens
 from chronoweave.llm.toxicity import score_toxicity
@@ -59,6 +59,11 @@ def op9_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(_documents(spark, sf_dir))
 
 
+def fingerprint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block tables of op9's operator, which the contract of op9 doesn't ask for."""
+    return near_fingerprints(_documents(spark, sf_dir), radius=7)
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash_fingerprints": op9_simhash_fingerprints,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "fingerprint_groups": fingerprint_groups,
 }
 
 #: Components of links (a, b), each listed once, over ids (id): a closing part of both queries' SQL.

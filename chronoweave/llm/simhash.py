@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from chronoweave.llm.arrow import map_texts, with_id_and_text
 from chronoweave.llm.buckets import bucket_components
 from chronoweave.llm.hashing import WordCodes, constants, mix, words_of
-from chronoweave.session import materialise
+from chronoweave.session import intermediate, materialise
 
 _U = np.uint64
 
@@ -91,7 +91,7 @@ class BitTest:
 
 
 def within_radius(prints: DataFrame, radius: int, bits: int = 256) -> DataFrame:
-    """(doc_id, component_id): groups of fingerprints linked by at most ``radius`` different bits.
+    """(doc_id, fingerprint, component_id): groups of fingerprints linked by at most ``radius`` different bits.
 
     The bits, dealt out by a fixed permutation, are cut into radius + 1 blocks, one
     table each: two fingerprints within the radius agree in at least one whole
@@ -124,7 +124,22 @@ def within_radius(prints: DataFrame, radius: int, bits: int = 256) -> DataFrame:
     payload = lambda ids: classes.select("id", "fingerprint").join(ids, "id")
     found = bucket_components(banded, check, payload, lambda table: BitTest(table, radius))
     named = prints.join(classes, "fingerprint", "left").join(found, "id", "left")
-    return named.select("doc_id", F.coalesce("component", "id", "doc_id").alias("component_id"))
+    return named.select("doc_id", "fingerprint", F.coalesce("component", "id", "doc_id").alias("component_id"))
+
+
+def near_fingerprints(docs: DataFrame, radius: int = 7, bits: int = 256) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row of docs: fingerprints linked by at most ``radius`` different bits.
+
+    Every text is hashed once. A component is named by the smallest doc_id that has one of its fingerprints; texts
+    without words, null and empty ones included, share the fingerprint of no votes
+    and are one group. A row without a doc_id doesn't name a group; if no other row has its
+    fingerprint, its component is null. Rows that share a doc_id have a line each.
+    Further columns don't matter; no rows give no rows. A table's blocks are of bits / (radius + 1) bits,
+    32 by default, which keeps buckets of unlike texts small up to billions of different fingerprints.
+    """
+    with intermediate(docs.sparkSession) as keep:
+        prints = materialise(fingerprint(docs, bits), "prints")
+        return keep(materialise(within_radius(prints, radius, bits), "groups"))
 
 
 _PAIRED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

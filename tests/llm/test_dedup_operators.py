@@ -15,7 +15,8 @@ from chronoweave.llm.embedding_dedup import near_vectors
 from chronoweave.llm.hashing import common_shingles
 from chronoweave.llm.lattice import LatticeHash, minimal_vectors, nearest_e8
 from chronoweave.llm.minhash import fewest_matches, near_duplicates
-from chronoweave.llm.simhash import SimHash, compare_with_next, fingerprint, within_radius
+from chronoweave.llm.queries import QUERIES
+from chronoweave.llm.simhash import SimHash, compare_with_next, fingerprint, near_fingerprints, within_radius
 from chronoweave.llm.suffix_array import SuffixArray
 from chronoweave.llm.suffix_dedup import SuffixFamily, remove_repeats
 
@@ -301,3 +302,30 @@ def test_block_tables_find_all_within_the_radius(spark):
     want = components(len(texts), lambda i, j: apart[i, j] <= 5)
     got = {r["doc_id"]: r["component_id"] for r in within_radius(fingerprint(d, 64), 5, 64).collect()}
     assert got == dict(enumerate(want))
+
+
+def test_near_fingerprints_odd_rows(spark):
+    base = " ".join(f"w{i}" for i in range(2000))
+    rows = [(0, None), (1, ""), (2, base), (3, base + " end"), (3, base), (None, base), (None, "alone here"), (4, "other words " * 50), (5, "\t \n")]
+    rows += [(10 + i, base) for i in range(30)]
+    d = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, fingerprint string, component_id string")
+    got = near_fingerprints(d).collect()
+    prints = SimHash().fingerprints([t or "" for _, t in rows])
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    root = components(len(rows), lambda i, j: apart[i, j] <= 7)
+    least = {}
+    for (doc, _), c in zip(rows, root):
+        least[c] = min((v for v in (doc, least.get(c)) if v is not None), default=None)
+    want = [(doc, p.tobytes().hex(), least[c]) for (doc, _), p, c in zip(rows, prints, root)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert near_fingerprints(d.limit(0)).collect() == []
+
+
+def test_registered_fingerprint_groups(spark):
+    """The registered radius and bits against all pairs, on the smallest table."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    prints = SimHash().fingerprints([r["text"] or "" for r in rows])
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    root = components(len(rows), lambda i, j: apart[i, j] <= 7)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in QUERIES["fingerprint_groups"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {r["doc_id"]: (p.tobytes().hex(), rows[c]["doc_id"]) for r, p, c in zip(rows, prints, root)}
