@@ -9,23 +9,58 @@ from pyspark.sql import functions as F
 KEY = "series_id"
 
 
-def summary(df: DataFrame, by: str = KEY, col: str = "y") -> DataFrame:
-    """n, mean, sample and population deviation, variance, range, median and interquartile range in one pass."""
-    p = lambda q: F.percentile(col, F.lit(q))
+def moments(df: DataFrame, by: str = KEY, col: str = "y") -> DataFrame:
+    """n, mean, sample and population deviation, variance and range in one pass."""
     return df.groupBy(by).agg(
         F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.stddev_pop(col).alias("std_pop"), F.var_samp(col).alias("var"),
-        F.min(col).alias("low"), F.max(col).alias("high"), p(0.5).alias("median"), (p(0.75) - p(0.25)).alias("iqr"),
+        F.min(col).alias("low"), F.max(col).alias("high"),
     )
 
 
+def summary(df: DataFrame, by: str = KEY, col: str = "y") -> DataFrame:
+    """The moments with the exact median and interquartile range."""
+    q = percentiles(df, {"median": 0.5, "q1_": 0.25, "q3_": 0.75}, by, col).withColumnRenamed(by, "by_")
+    both = moments(df, by, col).join(q, F.col(by).eqNullSafe(F.col("by_")))
+    return both.withColumn("iqr", F.col("q3_") - F.col("q1_")).drop("by_", "q1_", "q3_")
+
+
 def first_last(df: DataFrame, by: str = KEY, col: str = "y") -> DataFrame:
     return df.groupBy(by).agg(F.min_by(col, "ts").alias("first"), F.max_by(col, "ts").alias("last"))
 
 
-def percentiles(df: DataFrame, qs: dict[str, float], by: str = KEY, col: str = "y", exact: bool = True) -> DataFrame:
-    """Interpolated percentiles; exact=False gives bounded memory at any group size."""
-    f = (lambda q: F.percentile(col, F.lit(q))) if exact else (lambda q: F.percentile_approx(col, q, 10_000))
-    return df.groupBy(by).agg(*(f(q).alias(n) for n, q in qs.items()))
+def percentiles(df: DataFrame, qs: dict[str, float], by: str = KEY, col: str = "y", exact: bool = True, near: float = 1e-3) -> DataFrame:
+    """Interpolated percentiles of each group, NULL where it holds no value; exact=False gives the sketch's alone.
+
+    Exact without a task that holds a group: a sketch marks the values just below and
+    above each quantile (``near`` of the rows to either side), rows are counted
+    between the marks, and only the stretches that hold a wanted rank are looked at
+    value by value, each with its count. The sketch's error moves rows between the
+    stretches and never changes the result.
+    """
+    if not exact:
+        return df.groupBy(by).agg(*(F.percentile_approx(col, q, 10_000).alias(n) for n, q in qs.items()))
+    cuts = sorted({min(max(q + s, 0.0), 1.0) for q in qs.values() for s in (-near, near)})
+    v = df.select(F.col(by).alias("g_"), F.col(col).cast("double").alias("v_"))
+    marks = v.groupBy(F.col("g_").alias("h_")).agg(F.percentile_approx("v_", cuts, 10_000).alias("m_"), F.count("v_").alias("n_"))
+    above = sum(((F.col("v_") > F.col("m_")[i]).cast("int") for i in range(len(cuts))), F.lit(0))
+    placed = v.where("v_ IS NOT NULL").join(marks, F.col("g_").eqNullSafe(F.col("h_"))).select("g_", above.alias("bin_"), "v_")
+
+    so_far = W.partitionBy("g_").orderBy("bin_").rowsBetween(W.unboundedPreceding, 0)
+    ends = placed.groupBy("g_", "bin_").agg(F.count("*").alias("c_")).withColumn("to_", F.sum("c_").over(so_far)).select("g_", "bin_", (F.col("to_") - F.col("c_")).alias("from_"), "to_")
+    asked = F.explode(F.array(*(F.struct(F.lit(i).alias("q_"), (F.lit(q) * (F.col("n_") - 1)).alias("at_")) for i, q in enumerate(qs.values()))))
+    wanted = marks.where("n_ > 0").select("h_", asked.alias("a_")).select("h_", "a_.q_", "a_.at_", F.explode(F.array(F.floor("a_.at_"), F.ceil("a_.at_"))).alias("rank_")).distinct()
+    hit = wanted.join(ends, F.col("h_").eqNullSafe(F.col("g_")) & (F.col("rank_") >= F.col("from_")) & (F.col("rank_") < F.col("to_")))
+    hit = hit.select(F.col("h_"), F.col("bin_").alias("b_"), "q_", "at_", "rank_", "from_")
+
+    same = F.col("h_").eqNullSafe(F.col("g_")) & (F.col("b_") == F.col("bin_"))
+    values = placed.join(hit.select("h_", "b_").distinct(), same, "left_semi").groupBy("g_", "bin_", "v_").agg(F.count("*").alias("c_"))
+    upto = F.sum("c_").over(W.partitionBy("g_", "bin_").orderBy("v_").rowsBetween(W.unboundedPreceding, 0))
+    rank = F.col("rank_") - F.col("from_")
+    found = values.withColumn("upto_", upto).join(hit, same & (rank >= F.col("upto_") - F.col("c_")) & (rank < F.col("upto_")))
+    low, high = F.min_by("v_", "rank_"), F.max_by("v_", "rank_")
+    each = found.groupBy("g_", "q_", "at_").agg((low + (F.col("at_") - F.floor("at_")) * (high - low)).alias("p_"))
+    wide = each.groupBy("g_").agg(*(F.max(F.when(F.col("q_") == i, F.col("p_"))).alias(n) for i, n in enumerate(qs)))
+    return marks.join(wide, F.col("h_").eqNullSafe(F.col("g_")), "left").select(F.col("h_").alias(by), *qs)
 
 
 def histogram(df: DataFrame, bins: int, by: str = KEY, col: str = "y", low: float | None = None, high: float | None = None) -> DataFrame:

@@ -68,13 +68,36 @@ def folds(n: int, scheme: str, k: int = 5, window: int = 0, step: int = 0) -> li
     raise ValueError(scheme)
 
 
-def with_folds(df: DataFrame, bounds: list[tuple[int, int, int, int, int]], index: str = "i") -> DataFrame:
-    """Each row once for each fold it is in, with fold and part; in blocked folds tests aren't in train."""
-    spark = df.sparkSession
-    b = F.broadcast(spark.createDataFrame(bounds, "fold long, a_ long, b_ long, c_ long, d_ long"))
-    test = (F.col(index) >= F.col("c_")) & (F.col(index) < F.col("d_"))
-    train = (F.col(index) >= F.col("a_")) & (F.col(index) < F.col("b_")) & ~test
-    return df.join(b, test | train).withColumn("part", F.when(test, "test").otherwise("train")).drop("a_", "b_", "c_", "d_")
+def with_folds(df: DataFrame, scheme: str, k: int = 5, window: int = 0, step: int = 0, index: str = "i", by: str = KEY) -> DataFrame:
+    """Each row once for each fold of folds() that it is in, with fold and part; in blocked folds tests aren't in train.
+
+    The folds of a row follow from its index and its series' length alone, so no fold
+    table meets the rows. Series whose length gives no fold are left out.
+    """
+    i, n = F.col(index), F.col("n_")
+    f = F.col("fold")
+    if scheme in ("rolling", "sliding"):
+        first = F.greatest(F.lit(0).cast("long"), F.ceil((i - window - step + 1) / step))
+        last = F.least(F.floor(i / step), F.floor((n - window - step) / step))
+        begin, test_from, test_to = f * step, f * step + window, f * step + window + step
+    else:
+        first, last = F.lit(0).cast("long"), F.lit(k - 1).cast("long")
+        size = F.floor(n / (k if scheme == "blocked" else k + 1))
+        if scheme == "ts_split":
+            test_from = n - (k - f) * size
+        elif scheme == "expanding":
+            test_from = (f + 1) * size
+        elif scheme == "blocked":
+            test_from = f * size
+        else:
+            raise ValueError(scheme)
+        begin, test_to = F.lit(0), test_from + size
+    train_to = k * size if scheme == "blocked" else test_from
+    sizes = df.groupBy(F.col(by).alias("s_")).agg(F.count("*").alias("n_"))
+    each = df.join(sizes, F.col(by).eqNullSafe(F.col("s_"))).where(first <= last).withColumn("fold", F.explode(F.sequence(first, last)))
+    test = (i >= test_from) & (i < test_to)
+    part = F.when(test, "test").when((i >= begin) & (i < train_to), "train")
+    return each.withColumn("part", part).where("part IS NOT NULL").drop("s_", "n_")
 
 
 def metrics(actual: Column | str = "y", predicted: Column | str = "yhat") -> dict[str, Column]:

@@ -36,36 +36,51 @@ def zip_forecast(actual: DataFrame, forecast: DataFrame, by: str = "series_id")
     return actual.withColumn("h", h).join(forecast, [by, "h"])
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, id_col: str, vector_col: str, block: int = 2048) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, k: int, id_col: str, vector_col: str, query_block: int = 8192, point_block: int = 65_536) -> DataFrame:
     """The k nearest points (Euclidean, of equals the smaller id) of each query, itself left out: (query, neighbour, distance, rank).
 
-    The points, in blocks of Arrow rows, meet the stated queries, whose vectors go to
-    the tasks (give a bounded set of queries); a task sends only k rows for each
-    query, so that nothing quadratic is shuffled.
+    Queries and points are dealt out in blocks of about the given sizes and each
+    block of queries meets each block of points in one task, which sends only k rows
+    for each query. Ids are whole numbers; rows without an id or a vector are left out.
     """
     import numpy as np
     import pyarrow as pa
 
-    rows = queries.select(id_col, vector_col).collect()
-    qid = np.array([r[0] for r in rows], np.int64)
-    q = np.array([r[1] for r in rows], np.float64)
-
-    def run(batches):
-        best_d, best_i = np.full((len(qid), k), np.inf), np.full((len(qid), k), -1, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                ids = part.column(0).to_numpy()
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-                for s in range(0, len(qid), 256):
-                    d = np.sqrt(((q[s : s + 256, None, :] - x[None]) ** 2).sum(axis=2)) if len(ids) < 64 else np.sqrt(np.maximum((q[s : s + 256] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * q[s : s + 256] @ x.T, 0))
-                    d = np.where(qid[s : s + 256, None] == ids, np.inf, d)
-                    all_d, all_i = np.concatenate([best_d[s : s + 256], d], 1), np.concatenate([best_i[s : s + 256], np.broadcast_to(ids, d.shape)], 1)
-                    order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                    best_d[s : s + 256], best_i[s : s + 256] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
-        ok = np.isfinite(best_d)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, k)[ok.ravel()]), pa.array(best_i[ok]), pa.array(best_d[ok])], names=["query", "neighbour", "distance"])
-
-    found = points.select(F.col(id_col).cast("long"), vector_col).mapInArrow(run, "query long, neighbour long, distance double")
+    def dealt(df: DataFrame, block: int) -> tuple[DataFrame, int]:
+        have = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
+        n = max(1, -(-have.count() // block))
+        place = F.pmod(F.xxhash64(id_col, vector_col, F.monotonically_increasing_id()), F.lit(n)).cast("int")
+        return have.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), place.alias("at_")), n
+
+    (q, nq), (x, nx) = dealt(queries, query_block), dealt(points, point_block)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select("id", "v", F.col("at_").alias("qb"), every(nx).alias("pb"))
+    x = x.select("id", "v", every(nq).alias("qb"), F.col("at_").alias("pb"))
+
+    def arrays(t: pa.Table) -> tuple:
+        t = t.combine_chunks()
+        flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return t.column("id").to_numpy(), flat.reshape(t.num_rows, -1)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if left.num_rows and right.num_rows:
+            (qid, a), (pid, b) = arrays(left), arrays(right)
+            norms = (b * b).sum(axis=1)
+            for s in range(0, len(qid), 128):
+                part, ids = a[s : s + 128], qid[s : s + 128]
+                d = np.sqrt(np.maximum((part * part).sum(axis=1)[:, None] + norms - 2 * part @ b.T, 0))
+                d[ids[:, None] == pid] = np.inf
+                most = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                row, at = np.nonzero((d <= most[:, None]) & np.isfinite(d))
+                dist = d[row, at]
+                order = np.lexsort((pid[at], dist, row))
+                row, at, dist = row[order], at[order], dist[order]
+                ok = np.arange(len(row)) - np.searchsorted(row, row) < k
+                parts.append((ids[row[ok]], pid[at[ok]], dist[ok]))
+        cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table({"query": cols[0], "neighbour": cols[1], "distance": cols[2]})
+
+    found = q.groupBy("qb", "pb").cogroup(x.groupBy("qb", "pb")).applyInArrow(meet, "query long, neighbour long, distance double")
     w = W.partitionBy("query").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)

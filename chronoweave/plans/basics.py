@@ -348,7 +348,7 @@ def pivot_type_by_day(spark, d):
 
 @query("SELECT series_id, metric, round(v, 6) AS v FROM (SELECT event_type AS series_id, avg(value) AS mean, min(value) AS low, max(value) AS high FROM events GROUP BY 1) UNPIVOT (v FOR metric IN (mean, low, high))")
 def melt_metrics(spark, d):
-    wide = A.summary(raw_events(spark, d)).select("series_id", "mean", "low", "high")
+    wide = A.moments(raw_events(spark, d)).select("series_id", "mean", "low", "high")
     return rounded(reshape.melt(wide, ["series_id"], ["mean", "low", "high"], "metric", "v"))
 
 

@@ -127,9 +127,7 @@ def fraction_split(spark, d):
 
 
 def _folded(spark, d, scheme, **how):
-    p = X.numbered(daily(spark, d))
-    n = p.count()
-    both = V.with_folds(p, V.folds(n, scheme, **how))
+    both = V.with_folds(X.numbered(daily(spark, d)), scheme, **how)
     return rounded(both.groupBy("fold", "part").agg(F.count("*").alias("n"), F.min("i").alias("first"), F.max("i").alias("last"), F.avg("y").alias("mean")))
 
 
@@ -159,8 +157,7 @@ def blocked_folds(spark, d):
 
 @query(f"{_N}, b AS (SELECT f AS fold, 0 AS a_, n - (5 - f) * (n // 6) AS b_, n - (5 - f) * (n // 6) AS c_, n - (4 - f) * (n // 6) AS d_ FROM c, (SELECT unnest(range(5)) AS f)), e AS (SELECT i, y, fold, CASE WHEN i >= c_ AND i < d_ THEN 'test' WHEN i < b_ THEN 'train' END AS part FROM i, b), m AS (SELECT fold, regr_slope(y, i) AS s, regr_intercept(y, i) AS o FROM e WHERE part = 'train' GROUP BY 1) SELECT fold, count(*) AS n, round(avg((y - o - s * i) ** 2) / 1e6, 4) AS mse FROM e JOIN m USING (fold) WHERE part = 'test' GROUP BY 1")
 def ts_split_cv_mse(spark, d):
-    p = X.numbered(daily(spark, d))
-    both = V.with_folds(p, V.folds(p.count(), "ts_split", k=5))
+    both = V.with_folds(X.numbered(daily(spark, d)), "ts_split", k=5)
     line = both.where("part = 'train'").groupBy("fold").agg(F.regr_slope("y", "i").alias("s"), F.regr_intercept("y", "i").alias("o"))
     err = F.pow(F.col("y") - F.col("o") - F.col("s") * F.col("i"), 2)
     return both.where("part = 'test'").join(line, "fold").groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg(err) / 1e6, 4).alias("mse"))

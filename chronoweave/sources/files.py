@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import wave
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,12 +32,16 @@ def read_series(spark: SparkSession, path: str, series_id: str = "series") -> Da
 
 
 def read_folder(spark: SparkSession, paths: list[str], source: str = "source_file") -> DataFrame:
-    """CSVs, whose headers may differ, by name in one frame with the file each row comes from."""
-    frames = [read_csv(spark, p).withColumn(source, F.col("_metadata.file_name")) for p in paths]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    """CSVs, whose headers may differ, by name in one frame with the file each row comes from.
+
+    Files with one header are one scan, so a plan grows with the headers, not the files.
+    """
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for p in paths:
+        alike.setdefault(tuple(read_csv(spark, p).columns), []).append(p)
+    reader = spark.read.option("header", True)
+    frames = [reader.schema(", ".join(f"`{c}` string" for c in cols)).csv(same).withColumn(source, F.col("_metadata.file_name")) for cols, same in alike.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:

@@ -104,6 +104,32 @@ def test_folds():
     assert evaluate.folds(10, "rolling", window=4, step=2) == [(0, 0, 4, 4, 6), (1, 2, 6, 6, 8), (2, 4, 8, 8, 10)]
 
 
+@pytest.mark.parametrize("how", [{"scheme": "ts_split", "k": 5}, {"scheme": "expanding", "k": 4}, {"scheme": "blocked", "k": 3}, {"scheme": "rolling", "window": 4, "step": 3}, {"scheme": "sliding", "window": 30, "step": 5}])
+def test_rows_find_their_folds(spark, how):
+    sizes = {"a": 23, "b": 40, "c": 3}
+    d = spark.createDataFrame([(s, i) for s, n in sizes.items() for i in range(n)], "series_id string, i long")
+    got = {tuple(r) for r in evaluate.with_folds(d, **how).select("series_id", "i", "fold", "part").collect()}
+    want = set()
+    for s, n in sizes.items():
+        for fold, a, b, c, e in evaluate.folds(n, **how):
+            want |= {(s, i, fold, "test") for i in range(c, e)} | {(s, i, fold, "train") for i in range(a, b) if not c <= i < e}
+    assert got == want
+
+
+@pytest.mark.parametrize("near", [1e-3, 0.2])
+def test_percentiles_are_exact(spark, near):
+    rng = np.random.default_rng(4)
+    groups = {"even": rng.standard_normal(5000), "tied": np.r_[np.full(900, 3.0), rng.integers(0, 9, 100)], "one": np.array([7.0]), "tail": np.exp(6 * rng.standard_normal(3000)), None: np.array([1.0, 2.0])}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("even", None), ("none", None)]
+    qs = {"low": 0.0, "a": 0.025, "mid": 0.5, "b": 0.99, "top": 1.0}
+    got = {r[0]: r[1:] for r in aggregates.percentiles(spark.createDataFrame(rows, "series_id string, y double"), qs, near=near).collect()}
+    assert got.pop("none") == (None,) * 5
+    assert got.keys() == groups.keys()
+    for g, x in groups.items():
+        assert got[g] == pytest.approx(np.quantile(x, list(qs.values())), rel=1e-12)
+    assert aggregates.percentiles(spark.createDataFrame([], "series_id string, y double"), qs).count() == 0
+
+
 def test_metrics(spark):
     d = spark.createDataFrame([("a", 2.0, 1.0), ("a", 4.0, 5.0)], "series_id string, y double, yhat double")
     r = evaluate.score(d, ["series_id"]).first()
@@ -122,6 +148,17 @@ def test_nearest_leaves_itself_out(spark):
     assert [r["neighbour"] for r in got] == [1, 2]
 
 
+def test_nearest_in_blocks(spark):
+    x = np.random.default_rng(5).integers(0, 3, (60, 4)).astype(float)  # many equal distances and equal vectors
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "id long, v array<double>")
+    got = {(r["query"], r["rank"]): r["neighbour"] for r in reshape.nearest(d.where("id % 3 = 0"), d, 4, "id", "v", query_block=7, point_block=11).collect()}
+    want = {}
+    for i in range(0, 60, 3):
+        best = sorted((float(np.linalg.norm(x[i] - x[j])), j) for j in range(60) if j != i)[:4]
+        want |= {(i, k + 1): j for k, (_, j) in enumerate(best)}
+    assert got == want
+
+
 def test_arima_recovers_a_coefficient():
     rng = np.random.default_rng(0)
     z = np.zeros(1500)
@@ -259,6 +296,9 @@ def test_sources(spark, tmp_path):
     (tmp_path / "b.csv").write_text("date,other\n2025-01-08,2\n")
     both = files.read_folder(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
     assert both.count() == 3 and set(both.columns) == {"date", "value", "other", "source_file"}
+    (tmp_path / "c.csv").write_text("date,value\n2025-01-09,7\n")
+    three = files.read_folder(spark, [str(tmp_path / f"{n}.csv") for n in "abc"])
+    assert {(r["source_file"], r["value"], r["other"]) for r in three.collect()} >= {("c.csv", "7", None), ("b.csv", None, "2")}
     body = {"series_id": "s", "observations": [{"date": "2020-01-01", "value": "1.0"}, {"date": "2020-01-02", "value": "."}]}
     (tmp_path / "o.json").write_text(json.dumps(body))
     assert files.read_observations(spark, str(tmp_path / "o.json")).count() == 1
