@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoweave.operators.aggregates import histogram, percentiles
 from chronoweave.operators.models import design, ols
 
 KEY = "series_id"
@@ -181,3 +182,49 @@ def granger(pairs: DataFrame, lags: int = 2) -> DataFrame:
         return pd.DataFrame([(pdf[KEY].iloc[0], float(f), p, p < 0.05)])
 
     return pairs.groupBy(KEY).applyInPandas(run, "series_id string, f double, p double, causes boolean")
+
+
+def residual_panel(df: DataFrame, bins: int = 20, nlags: int = 10, quantiles: int = 20, col: str = "e") -> DataFrame:
+    """What a residual plot shows, as rows (series_id, kind, k, value): density by bin, autocorrelation by lag, quantiles k / quantiles.
+
+    Residuals are standardised for the density and the quantiles.
+    """
+    line = df.groupBy(F.col(KEY).alias("s_")).agg(F.avg(col).alias("m_"), F.stddev_samp(col).alias("d_"))
+    z = df.join(line, F.col(KEY).eqNullSafe(F.col("s_"))).select(KEY, "ts", F.col(col).alias("y"), F.try_divide(F.col(col) - F.col("m_"), F.col("d_")).alias("z"))
+    named = lambda kind, k, value: [KEY, F.lit(kind).alias("kind"), F.col(k).cast("long").alias("k"), F.col(value).alias("value")]
+    density = histogram(z, bins, col="z").select(*named("density", "bin", "density"))
+    lagged = acf(z.select(KEY, "ts", "y"), nlags).select(*named("acf", "lag", "r"))
+    names = {str(k): k / quantiles for k in range(1, quantiles)}
+    spread = percentiles(z, names, col="z").unpivot([KEY], list(names), "k", "q").select(*named("quantile", "k", "q"))
+    return density.unionByName(lagged).unionByName(spread)
+
+
+def random_effects(df: DataFrame, entity: str, x: str, y: str) -> DataFrame:
+    """Random-effects line of y on x over a panel, one row: slope, intercept, theta (mean share of the entity means taken off), var_within, var_entity.
+
+    The variances come from the within and the between regression; an entity of T rows
+    loses theta = 1 - sqrt(within / (within + T * entity)) of its means. All sums are
+    by entity, so the rows are read and shuffled once, as partial sums. Rows that lack
+    x or y don't count; too few entities or rows give NULLs.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    each = rows.groupBy(entity).agg(
+        F.count("*").alias("t"), F.avg(x).alias("mx"), F.avg(y).alias("my"), (F.var_pop(x) * F.count("*")).alias("xx"), (F.var_pop(y) * F.count("*")).alias("yy"), (F.covar_pop(x, y) * F.count("*")).alias("xy")
+    )
+    total = each.agg(
+        F.sum("t").alias("n"), F.count("*").alias("g"), F.sum(1 / F.col("t")).alias("inv"), F.sum("xx").alias("wxx"), F.sum("yy").alias("wyy"), F.sum("xy").alias("wxy"),
+        F.var_pop("mx").alias("bxx"), F.var_pop("my").alias("byy"), F.covar_pop("mx", "my").alias("bxy"),
+    )
+    within = F.try_divide(F.col("wyy") - F.try_divide(F.col("wxy") * F.col("wxy"), F.col("wxx")), F.when(F.col("n") > F.col("g") + 1, F.col("n") - F.col("g") - 1))
+    between = F.try_divide((F.col("byy") - F.try_divide(F.col("bxy") * F.col("bxy"), F.col("bxx"))) * F.col("g"), F.when(F.col("g") > 2, F.col("g") - 2))
+    total = total.select(within.alias("var_within"), F.greatest(F.lit(0.0), between - within * F.col("inv") / F.col("g")).alias("var_entity"))
+    spread = F.col("var_within") + F.col("t") * F.col("var_entity")
+    d = each.join(F.broadcast(total)).withColumn("theta", F.when(spread == 0, 0.0).otherwise(1 - F.sqrt(F.try_divide(F.col("var_within"), spread))))
+    d = d.withColumn("w", F.col("t") * (1 - F.col("theta")) * (1 - F.col("theta")))
+    s = d.agg(
+        F.sum("w").alias("s"), F.sum(F.col("w") * F.col("mx")).alias("sx"), F.sum(F.col("w") * F.col("my")).alias("sy"),
+        F.sum(F.col("xx") + F.col("w") * F.col("mx") * F.col("mx")).alias("sxx"), F.sum(F.col("xy") + F.col("w") * F.col("mx") * F.col("my")).alias("sxy"),
+        F.avg("theta").alias("theta"), F.max("var_within").alias("var_within"), F.max("var_entity").alias("var_entity"),
+    )
+    s = s.withColumn("slope", F.try_divide(F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("s") * F.col("sxx") - F.col("sx") * F.col("sx")))
+    return s.select("slope", F.try_divide(F.col("sy") - F.col("slope") * F.col("sx"), F.col("s")).alias("intercept"), "theta", "var_within", "var_entity")

@@ -357,3 +357,11 @@ def synthetic(spark: SparkSession, n: int, low: float = 10.0, high: float = 50.0
     eps = F.randn(seed) * noise if noise else F.lit(0.0)
     y = low + (high - low) * i / max(n - 1, 1) + amplitude * F.sin(2 * np.pi * i / period) + eps
     return spark.range(n).select(F.lit("synthetic").alias(KEY), F.expr("TIMESTAMP_NTZ'2020-01-01' + make_dt_interval(CAST(id AS INT))").alias("ts"), y.alias("y"))
+
+
+def terminal(df: DataFrame, col: str = "price", width: float = 0.67) -> DataFrame:
+    """Of final values: number, mean, deviation, mean -/+ width deviations and the share of values between them."""
+    line = df.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_pop(col).alias("sd"))
+    line = line.withColumns({"lower": F.col("mean") - width * F.col("sd"), "upper": F.col("mean") + width * F.col("sd")})
+    inside = F.avg(F.col(col).between(F.col("lower"), F.col("upper")).cast("double"))
+    return df.select(col).join(F.broadcast(line)).groupBy("n", "mean", "sd", "lower", "upper").agg(inside.alias("inside"))

@@ -565,11 +565,12 @@ def forecast(panel: DataFrame, models: dict[str, Model], h: int, fallback: Model
     return dealt.groupBy("series_id", "model").applyInPandas(fit, FORECAST)
 
 
-def backtest(panel: DataFrame, models: dict[str, Model], h: int, step: int, windows: int) -> DataFrame:
+def backtest(panel: DataFrame, models: dict[str, Model], h: int, step: int, windows: int, window: int | None = None) -> DataFrame:
     """Forecasts from several cutoffs: (series_id, model, cutoff, h, y, yhat).
 
     Cutoff 0 is the latest; each is step rows before the one after it. Every cutoff is a series of
-    its own, so that fits run side by side.
+    its own, so that fits run side by side; a window fits each on the last so many
+    rows before it instead of on all of them.
     """
     from pyspark.sql import Window as W
 
@@ -577,7 +578,64 @@ def backtest(panel: DataFrame, models: dict[str, Model], h: int, step: int, wind
     back = panel.where("y IS NOT NULL").withColumn("r_", r)
     cut = F.explode(F.sequence(F.lit(0), F.lit(windows - 1)))
     each = back.select("*", cut.alias("cutoff")).withColumn("from_", F.col("cutoff") * step)
-    train = each.where(F.col("r_") >= F.col("from_") + h).select(F.concat_ws("|", KEY, "cutoff").alias(KEY), "ts", "y")
+    before = F.col("r_") - F.col("from_") - h
+    train = each.where((before >= 0) & (before < window) if window else before >= 0).select(F.concat_ws("|", KEY, "cutoff").alias(KEY), "ts", "y")
     fc = forecast(train, models, h).withColumns({"cutoff": F.element_at(F.split(KEY, r"\|"), -1).cast("int"), KEY: F.regexp_replace(KEY, r"\|\d+$", "")})
     test = each.where((F.col("r_") >= F.col("from_")) & (F.col("r_") < F.col("from_") + h)).select(KEY, "cutoff", "ts", "y", (F.col("from_") + h - F.col("r_")).cast("long").alias("h"))
     return test.join(fc, [KEY, "cutoff", "h"]).select(KEY, "model", F.col("cutoff").cast("long").alias("cutoff"), "ts", "h", "y", "yhat")
+
+
+def historical_forecasts(panel: DataFrame, lags: tuple[int, ...] = (1,), start: float = 0.8, h: int = 12, stride: int = 1) -> DataFrame:
+    """Forecasts of an autoregression fitted once: (series_id, ts, h, y, yhat) from every stride-th origin on.
+
+    The first floor(n * start) values of a series fit the coefficients; the first
+    origin is the last of them, and the last one leaves h values to compare with.
+    Series too short for that give no rows.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts")
+        y, m, top = pdf["y"].to_numpy(float), int(len(pdf) * start), max(lags)
+        if m < top + len(lags) + 1 or m - 1 + h >= len(y):
+            return pd.DataFrame(columns=["series_id", "ts", "h", "y", "yhat"])
+        b, _ = ols(*design(y[:m], list(lags)))
+        origins = np.arange(m - 1, len(y) - h, stride)
+        past = y[origins[:, None] - np.arange(top)[::-1]]
+        for _ in range(h):
+            past = np.column_stack([past, b[0] + past[:, [-k for k in lags]] @ b[1:]])
+        at = origins[:, None] + np.arange(1, h + 1)
+        steps = np.broadcast_to(np.arange(1, h + 1), at.shape)
+        return pd.DataFrame({"series_id": key[0], "ts": pdf["ts"].to_numpy()[at.ravel()], "h": steps.ravel(), "y": y[at.ravel()], "yhat": past[:, top:].ravel()})
+
+    have = panel.where("y IS NOT NULL").select("series_id", "ts", "y")
+    return have.groupBy("series_id").applyInPandas(run, f"series_id string, ts {dict(have.dtypes)['ts']}, h long, y double, yhat double")
+
+
+def recursive_forecast(model, panel: DataFrame, lags: tuple[int, ...], h: int, step: str = "1 hour", features: str = "features") -> DataFrame:
+    """A fitted Spark model on ``feature_names(lags)`` carried on from its own forecasts: (series_id, h, yhat).
+
+    One row a series holds its last values; each step appends a forecast to them, so
+    no lag within the horizon is a true value.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import Window as W
+
+    top = max(lags)
+    r = F.row_number().over(W.partitionBy(KEY).orderBy(F.col("ts").desc()))
+    last = panel.where("y IS NOT NULL").withColumn("r_", r).where(F.col("r_") <= top)
+    state = last.groupBy(KEY).agg(F.max("ts").alias("ts"), F.transform(F.array_sort(F.collect_list(F.struct("ts", "y"))), lambda s: s["y"]).alias("past")).where(F.size("past") == top)
+    row = VectorAssembler(inputCols=feature_names(lags), outputCol=features)
+    for _ in range(h):
+        state = state.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {step}"))
+        state = calendar_lags(state, {k: F.element_at("past", -k) for k in lags})
+        state = model.transform(row.transform(state)).withColumn("past", F.concat("past", F.array("prediction"))).select(KEY, "ts", "past")
+    return state.select(KEY, F.posexplode(F.slice("past", top + 1, h)).alias("h", "yhat")).select(KEY, (F.col("h") + 1).cast("long").alias("h"), "yhat")
+
+
+def feature_names(lags: tuple[int, ...]) -> list[str]:
+    return [*(f"lag_{k}" for k in lags), "hour", "dow"]
+
+
+def calendar_lags(df: DataFrame, values: dict) -> DataFrame:
+    """Adds the columns of feature_names() from each lag's column and the time."""
+    return df.withColumns({f"lag_{k}": c for k, c in values.items()} | {"hour": F.hour("ts"), "dow": F.weekday("ts")})

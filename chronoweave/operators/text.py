@@ -53,6 +53,18 @@ def topics(docs: DataFrame, k: int = 5, vocabulary: int = 1000, words: int = 10,
     return top, model.transform(d).withColumn("topic", dominant).select(*docs.columns, "topic")
 
 
+def classify(features: DataFrame, cols: list[str], label: str, test, trees: int = 20, seed: int = 42) -> DataFrame:
+    """(label, n, accuracy) of the rows for which test holds, by a forest fitted on all others; missing features count as 0."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    steps = [StringIndexer(inputCol=label, outputCol="l_", handleInvalid="keep"), VectorAssembler(inputCols=cols, outputCol="f_"), RandomForestClassifier(labelCol="l_", featuresCol="f_", numTrees=trees, seed=seed)]
+    d = features.na.fill(0.0, cols)
+    scored = Pipeline(stages=steps).fit(d.where(~test)).transform(d.where(test))
+    return scored.groupBy(label).agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("l_")).cast("double")).alias("accuracy"))
+
+
 def first_links(pages: DataFrame, n: int, html: str = "html") -> DataFrame:
     """(page_id, place, link) of the first n href values in their order, from 0."""
     found = F.posexplode(F.slice(F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), 1), 1, n)).alias("place", "link")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoweave.catalogue import query
 from chronoweave.operators import aggregates as A
 from chronoweave.operators import decompose as D
+from chronoweave.operators import diagnostics as G
 from chronoweave.operators import evaluate as V
 from chronoweave.operators import models as M
 from chronoweave.operators import windows as X
@@ -237,10 +238,8 @@ def leaderboard(spark, d):
 
 
 def _features(spark, d):
-    p = X.lags(hourly_full(spark, d), 1, 2, 24).withColumns({"hour": F.hour("ts"), "dow": F.weekday("ts")}).dropna()
-    cols = ["lag_1", "lag_2", "lag_24", "hour", "dow"]
-    parts = V.holdout(p, 24)
-    return VectorAssembler(inputCols=cols, outputCol="features").transform(parts)
+    p = M.calendar_lags(hourly_full(spark, d), {k: F.lag("y", k).over(X.ordered()) for k in (1, 2, 24)}).dropna()
+    return VectorAssembler(inputCols=M.feature_names((1, 2, 24)), outputCol="features").transform(V.holdout(p, 24))
 
 
 def _fitted(spark, d, model):
@@ -264,6 +263,69 @@ def gbt_lags(spark, d):
     return _fitted(spark, d, GBTRegressor(labelCol="y", maxIter=10, seed=42))
 
 
+@query()
+def gbt_recursive(spark, d):
+    """The same trees over the held-out day from their own forecasts: no true value of that day is a feature."""
+    from pyspark.ml.regression import GBTRegressor
+
+    model = GBTRegressor(labelCol="y", maxIter=10, seed=42).fit(_features(spark, d).where("part = 'train'"))
+    train, test = _split(spark, d)
+    return rounded(V.score(test.join(M.recursive_forecast(model, train, (1, 2, 24), 24), ["series_id", "h"]), ["series_id"]))
+
+
+_I = "n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n, lag(y) OVER (PARTITION BY series_id ORDER BY ts) AS l FROM p)"
+
+
+@query(
+    f"WITH {FULL}, {_I}, m AS (SELECT series_id, regr_slope(y, l) AS b, regr_intercept(y, l) AS a FROM n WHERE i < floor(n * 0.8) GROUP BY 1), o AS (SELECT series_id, i, y AS last FROM n WHERE i >= floor(n * 0.8) - 1 AND i + 12 < n), k AS (SELECT unnest(range(1, 13)) AS h) "
+    "SELECT series_id, n.ts, h, round(n.y, 6) AS y, round(a * (1 - b ** h) / (1 - b) + b ** h * last, 6) AS yhat FROM o JOIN m USING (series_id), k JOIN n ON n.series_id = o.series_id AND n.i = o.i + h"
+)
+def historical_forecasts(spark, d):
+    """An autoregression of one lag fitted on the first four fifths, twelve hours ahead from every later hour."""
+    return rounded(M.historical_forecasts(hourly_full(spark, d), (1,), 0.8, 12))
+
+
+@query(
+    f"WITH {FULL}, q AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) - 1 AS r FROM p), c AS (SELECT unnest(range(4)) AS cutoff), f AS (SELECT series_id, cutoff, avg(y) AS yhat FROM q, c WHERE r >= 12 * cutoff + 12 AND r < 12 * cutoff + 112 GROUP BY 1, 2) "
+    "SELECT series_id, cutoff::BIGINT AS cutoff, 12 * cutoff + 12 - r AS h, round(y, 6) AS y, round(yhat, 6) AS yhat FROM q JOIN f USING (series_id) WHERE r >= 12 * cutoff AND r < 12 * cutoff + 12"
+)
+def rolling_refit(spark, d):
+    """A mean refitted on the last 100 hours before each of four cutoffs."""
+    out = M.backtest(hourly_full(spark, d), {"average": M.average()}, 12, 12, 4, window=100)
+    return rounded(out.select("series_id", "cutoff", "h", "y", "yhat"))
+
+
+@query(f"WITH RECURSIVE {FULL}, n AS (SELECT series_id, ts, y, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i FROM p), r AS (SELECT series_id, i, ts, y, NULL::DOUBLE AS fitted, y AS l FROM n WHERE i = 1 UNION ALL SELECT r.series_id, n.i, n.ts, n.y, l, 0.5 * n.y + 0.5 * l FROM r JOIN n ON n.series_id = r.series_id AND n.i = r.i + 1) SELECT series_id, ts, round(y, 6) AS y, round(fitted, 6) AS fitted FROM r")
+def ses_path(spark, d):
+    return rounded(D.smoothed_path(hourly_full(spark, d), 0.5))
+
+
+@query(
+    f"WITH RECURSIVE {FULL}, n AS (SELECT series_id, ts, y, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i FROM p), r AS (SELECT series_id, i, ts, y, NULL::DOUBLE AS fitted, y AS l, 0.0::DOUBLE AS b FROM n WHERE i = 1 UNION ALL SELECT r.series_id, n.i, n.ts, n.y, l + b, 0.5 * n.y + 0.5 * (l + b), 0.5 * (0.5 * n.y + 0.5 * (l + b) - l) + 0.5 * b FROM r JOIN n ON n.series_id = r.series_id AND n.i = r.i + 1) "
+    "SELECT series_id, ts, round(y, 6) AS y, round(fitted, 6) AS fitted FROM r"
+)
+def holt_path(spark, d):
+    return rounded(D.smoothed_path(hourly_full(spark, d), 0.5, 0.5))
+
+
+_PANEL = "c AS (SELECT o_custkey AS e, o_totalprice AS y, (epoch(o_orderdate) / 86400.0 - 9000) / 365 AS x FROM orders)"
+
+
+@query(
+    f"WITH {_PANEL}, w AS (SELECT e, y, x, avg(y) OVER g AS my, avg(x) OVER g AS mx, count(*) OVER g AS t FROM c WINDOW g AS (PARTITION BY e)), b AS (SELECT sum((x - mx) * (y - my)) / sum((x - mx) ** 2) AS b, count(*) AS n FROM w), "
+    "m AS (SELECT e, any_value(my) AS my, any_value(mx) AS mx, any_value(t) AS t FROM w GROUP BY 1), g AS (SELECT count(*) AS g, avg(1.0 / t) AS inv, regr_slope(my, mx) AS s, regr_intercept(my, mx) AS o FROM m), "
+    "v AS (SELECT sum((y - my - b * (x - mx)) ** 2) / (any_value(n) - any_value(g) - 1) AS vw FROM w, b, g), u AS (SELECT vw, greatest(0, (SELECT sum((my - o - s * mx) ** 2) / (any_value(g) - 2) FROM m, g) - vw * (SELECT inv FROM g)) AS ve FROM v), "
+    "q AS (SELECT e, 1 - sqrt(vw / (vw + t * ve)) AS th, y, x, my, mx, vw, ve FROM w, u), z AS (SELECT 1 - th AS k, y - th * my AS y, x - th * mx AS x FROM q), "
+    "n AS (SELECT sum(k * k) AS kk, sum(k * x) AS kx, sum(k * y) AS ky, sum(x * x) AS xx, sum(x * y) AS xy FROM z), r AS (SELECT (kk * xy - kx * ky) / (kk * xx - kx * kx) AS slope, kk, kx, ky FROM n) "
+    "SELECT round(slope, 3) AS slope, round((ky - slope * kx) / kk, 3) AS intercept, round((SELECT avg(th) FROM (SELECT e, any_value(th) AS th FROM q GROUP BY 1)), 6) AS theta, round(vw / 1e6, 3) AS var_within, round(ve / 1e6, 3) AS var_entity FROM r, u"
+)
+def panel_re(spark, d):
+    """Random effects of customers on their orders' prices over time; variances in millions."""
+    o = table(spark, d, "orders").select("o_custkey", F.col("o_totalprice").alias("y"), ((F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) / 86400.0 - 9000) / 365).alias("x"))
+    r = G.random_effects(o, "o_custkey", "x", "y")
+    return r.selectExpr("round(slope, 3) AS slope", "round(intercept, 3) AS intercept", "round(theta, 6) AS theta", "round(var_within / 1e6, 3) AS var_within", "round(var_entity / 1e6, 3) AS var_entity")
+
+
 @query()
 def calendar_regression(spark, d):
     from pyspark.ml.regression import LinearRegression

@@ -392,3 +392,38 @@ def imputation(spark, d):
 @query("SELECT 'synthetic' AS series_id, TIMESTAMP '2020-01-01' + to_days(i::INT) AS ts, round(10 + 40 * i / 199.0 + 10 * sin(2 * pi() * i / 30), 6) AS y FROM (SELECT unnest(range(200)) AS i)")
 def synthetic_series(spark, d):
     return rounded(N.synthetic(spark, 200))
+
+
+@query(
+    f"WITH {FULL}, {_ACF}, z AS (SELECT series_id, (y - avg(y) OVER s) / stddev_samp(y) OVER s AS z FROM p WINDOW s AS (PARTITION BY series_id)), e AS (SELECT series_id, min(z) AS lo, max(z) AS hi, count(*) AS n FROM z GROUP BY 1), "
+    "b AS (SELECT series_id, least(floor((z - lo) / ((hi - lo) / 20)), 19) AS k, any_value(n * (hi - lo) / 20) AS w, count(*) AS c FROM z JOIN e USING (series_id) GROUP BY 1, 2), "
+    "q AS (SELECT series_id, unnest(range(1, 20)) AS k, unnest(quantile_cont(z, [" + ", ".join(str(k / 20) for k in range(1, 20)) + "])) AS v FROM z GROUP BY 1) "
+    "SELECT series_id, 'density' AS kind, k::BIGINT AS k, round(c / w, 6) AS value FROM b UNION ALL SELECT series_id, 'acf', lag, round(r, 6) + 0.0 FROM acf WHERE lag <= 10 UNION ALL SELECT series_id, 'quantile', k, round(v, 6) + 0.0 FROM q"
+)
+def residual_panel(spark, d):
+    """Residuals of hourly values from their series' mean."""
+    p = hourly_full(spark, d)
+    mean = p.groupBy("series_id").agg(F.avg("y").alias("m"))
+    return rounded(G.residual_panel(p.join(mean, "series_id").withColumn("e", F.col("y") - F.col("m"))))
+
+
+@query(f"WITH {DAILY}, m AS (SELECT count(y) AS n, avg(y) AS mean, stddev_pop(y) AS sd FROM d) SELECT n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(mean - 0.67 * sd, 4) AS lower, round(mean + 0.67 * sd, 4) AS upper, round((SELECT avg((y BETWEEN mean - 0.67 * sd AND mean + 0.67 * sd)::INT) FROM d), 4) AS inside FROM m")
+def terminal_bands(spark, d):
+    """The daily mean order prices as final values, so that SQL can say the result too."""
+    return rounded(N.terminal(daily(spark, d), "y"), 4)
+
+
+@query()
+def topic_trend(spark, d):
+    """Documents by dominant topic and language."""
+    return T.topics(table(spark, d, "documents"), k=4)[1].groupBy("lang", "topic").agg(F.count("*").alias("n"))
+
+
+@query()
+def classify_days(spark, d):
+    """Event types told from a day's hourly values: a forest on the summary of each day; accuracy by type, one day in five held out."""
+    p = hourly_full(spark, d).withColumn("day", F.date_trunc("day", "ts"))
+    features = {"mean": F.avg("y"), "sd": F.stddev_samp("y"), "low": F.min("y"), "high": F.max("y"), "first": F.min_by("y", "ts"), "last": F.max_by("y", "ts"), "skew": F.skewness("y"), "kurtosis": F.kurtosis("y")}
+    days = p.groupBy("series_id", "day").agg(F.count("y").alias("n_"), *(c.alias(n) for n, c in features.items())).where("n_ = 24")
+    test = F.pmod(F.datediff(F.col("day"), F.lit("2000-01-01")), F.lit(5)) == 0
+    return rounded(T.classify(days, list(features), "series_id", test))

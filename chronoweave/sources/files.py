@@ -85,3 +85,16 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None, mode: s
 
 def write_text(df: DataFrame, col: str, path: str, mode: str = "overwrite") -> None:
     df.select(F.col(col).cast("string").alias("value")).write.mode(mode).text(path)
+
+
+def save_model(model, path: str) -> None:
+    """A fitted Spark ML model as a folder; as a pipeline of one stage where it is not one already."""
+    from pyspark.ml import PipelineModel
+
+    (model if isinstance(model, PipelineModel) else PipelineModel([model])).write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)

@@ -320,3 +320,57 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(120)
     assert sorted(r["n"] for r in spark.table("w").collect()) == [3, 3]
     assert [r["level"] for r in spark.table("s").orderBy("ts").collect()][:3] == [0.0, 0.5, 1.25]
+
+
+def test_historical_forecasts_of_two_lags(spark):
+    rng = np.random.default_rng(6)
+    y = [0.0, 0.0]
+    for _ in range(60):
+        y.append(0.5 * y[-1] - 0.3 * y[-2] + rng.standard_normal())
+    d = spark.createDataFrame([("a", day(i), v) for i, v in enumerate(y)] + [("short", day(i), 1.0) for i in range(4)], "series_id string, ts timestamp_ntz, y double")
+    got = {(r["ts"], r["h"]): r["yhat"] for r in models.historical_forecasts(d, (1, 2), 0.8, 3, stride=2).collect()}
+    m = int(len(y) * 0.8)
+    b = np.linalg.lstsq(np.array([[1, y[t - 1], y[t - 2]] for t in range(2, m)]), np.array(y[2:m]), rcond=None)[0]
+    want = {}
+    for o in range(m - 1, len(y) - 3, 2):
+        past = y[: o + 1]
+        for h in range(1, 4):
+            past = [*past, b[0] + b[1] * past[-1] + b[2] * past[-2]]
+            want[(day(o + h), h)] = past[-1]
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_recursive_forecast_and_saved_models(spark, tmp_path):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    d = spark.createDataFrame([(s, day(i), float((i * 7 + len(s)) % 11)) for s in ("a", "bb") for i in range(40)], "series_id string, ts timestamp_ntz, y double")
+    f = models.calendar_lags(d, {k: F.lag("y", k).over(windows.ordered()) for k in (1, 3)}).dropna()
+    fitted = LinearRegression(labelCol="y", solver="normal").fit(VectorAssembler(inputCols=models.feature_names((1, 3)), outputCol="features").transform(f))
+    files.save_model(fitted, str(tmp_path / "model"))
+    kept = files.load_model(str(tmp_path / "model"))
+    for model in (fitted, kept):
+        got = {(r["series_id"], r["h"]): r["yhat"] for r in models.recursive_forecast(model, d, (1, 3), 4, "1 day").collect()}
+        for s in ("a", "bb"):
+            past = [float((i * 7 + len(s)) % 11) for i in range(40)]
+            for h in range(1, 5):
+                x = [past[-1], past[-3], 0, day(39 + h).weekday()]
+                past.append(float(np.dot(fitted.coefficients.toArray(), x)) + fitted.intercept)
+                assert got[(s, h)] == pytest.approx(past[-1])
+
+
+def test_backtest_on_a_window(primer):
+    out = models.backtest(primer, {"average": models.average()}, 2, 2, 2, window=3).collect()
+    assert {(r["cutoff"], r["h"], r["y"], r["yhat"]) for r in out} == {(0, 1, 8.0, 6.0), (0, 2, 9.0, 6.0), (1, 1, 6.0, 4.0), (1, 2, 7.0, 4.0)}
+
+
+def test_random_effects_of_odd_panels(spark):
+    schema = "e long, x double, y double"
+    assert diagnostics.random_effects(spark.createDataFrame([], schema), "e", "x", "y").first()["slope"] is None
+    flat = spark.createDataFrame([(i, float(j), 2.0 * j + 1) for i in range(4) for j in range(5)] + [(9, None, 1.0)], schema)
+    r = diagnostics.random_effects(flat, "e", "x", "y").first()
+    assert (r["slope"], r["intercept"], r["var_entity"]) == pytest.approx((2.0, 1.0, 0.0))
+
+
+def test_smoothed_path_starts_open(primer):
+    assert values(decompose.smoothed_path(primer, 0.5), "fitted")[:4] == [None, 0.0, 0.5, 1.25]
