@@ -63,14 +63,19 @@ def percentiles(df: DataFrame, qs: dict[str, float], by: str = KEY, col: str = "
     return marks.join(wide, F.col("h_").eqNullSafe(F.col("g_")), "left").select(F.col("h_").alias(by), *qs)
 
 
-def histogram(df: DataFrame, bins: int, by: str = KEY, col: str = "y", low: float | None = None, high: float | None = None) -> DataFrame:
-    """Counts and density of equal bins over each group's range, or over [low, high] with values outside left out."""
+def histogram(df: DataFrame, bins: int, by: str = KEY, col: str = "y", low: float | None = None, high: float | None = None, snap: int | None = None) -> DataFrame:
+    """Counts and density of equal bins over each group's range, or over [low, high] with values outside left out.
+
+    snap rounds a value's place among the bins to so many digits first, so that computed
+    values on an edge fall into the upper bin whatever their last bits are.
+    """
     ends = df.groupBy(by).agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(col).alias("n"))
     if low is not None:
         df = df.where(F.col(col).between(low, high))
         ends = df.groupBy(by).agg(F.lit(float(low)).alias("lo"), F.lit(float(high)).alias("hi"), F.count(col).alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins
-    bin_ = F.least(F.floor((F.col(col) - F.col("lo")) / width), F.lit(bins - 1)).cast("long")
+    place = (F.col(col) - F.col("lo")) / width
+    bin_ = F.least(F.floor(F.round(place, snap) if snap else place), F.lit(bins - 1)).cast("long")
     counted = df.where(F.col(col).isNotNull()).join(ends, by).where("hi > lo").groupBy(by, bin_.alias("bin"), "lo", "hi", "n").agg(F.count("*").alias("c"))
     return counted.select(by, "bin", "c", (F.col("c") / (F.col("n") * width)).alias("density"))
 

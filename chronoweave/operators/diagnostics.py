@@ -192,7 +192,7 @@ def residual_panel(df: DataFrame, bins: int = 20, nlags: int = 10, quantiles: in
     line = df.groupBy(F.col(KEY).alias("s_")).agg(F.avg(col).alias("m_"), F.stddev_samp(col).alias("d_"))
     z = df.join(line, F.col(KEY).eqNullSafe(F.col("s_"))).select(KEY, "ts", F.col(col).alias("y"), F.try_divide(F.col(col) - F.col("m_"), F.col("d_")).alias("z"))
     named = lambda kind, k, value: [KEY, F.lit(kind).alias("kind"), F.col(k).cast("long").alias("k"), F.col(value).alias("value")]
-    density = histogram(z, bins, col="z").select(*named("density", "bin", "density"))
+    density = histogram(z, bins, col="z", snap=6).select(*named("density", "bin", "density"))
     lagged = acf(z.select(KEY, "ts", "y"), nlags).select(*named("acf", "lag", "r"))
     names = {str(k): k / quantiles for k in range(1, quantiles)}
     spread = percentiles(z, names, col="z").unpivot([KEY], list(names), "k", "q").select(*named("quantile", "k", "q"))

@@ -396,7 +396,7 @@ def synthetic_series(spark, d):
 
 @query(
     f"WITH {FULL}, {_ACF}, z AS (SELECT series_id, (y - avg(y) OVER s) / stddev_samp(y) OVER s AS z FROM p WINDOW s AS (PARTITION BY series_id)), e AS (SELECT series_id, min(z) AS lo, max(z) AS hi, count(*) AS n FROM z GROUP BY 1), "
-    "b AS (SELECT series_id, least(floor((z - lo) / ((hi - lo) / 20)), 19) AS k, any_value(n * (hi - lo) / 20) AS w, count(*) AS c FROM z JOIN e USING (series_id) GROUP BY 1, 2), "
+    "b AS (SELECT series_id, least(floor(round((z - lo) / ((hi - lo) / 20), 6)), 19) AS k, any_value(n * (hi - lo) / 20) AS w, count(*) AS c FROM z JOIN e USING (series_id) GROUP BY 1, 2), "
     "q AS (SELECT series_id, unnest(range(1, 20)) AS k, unnest(quantile_cont(z, [" + ", ".join(str(k / 20) for k in range(1, 20)) + "])) AS v FROM z GROUP BY 1) "
     "SELECT series_id, 'density' AS kind, k::BIGINT AS k, round(c / w, 6) AS value FROM b UNION ALL SELECT series_id, 'acf', lag, round(r, 6) + 0.0 FROM acf WHERE lag <= 10 UNION ALL SELECT series_id, 'quantile', k, round(v, 6) + 0.0 FROM q"
 )
