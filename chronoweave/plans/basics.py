@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoweave.catalogue import query
 from chronoweave.operators import aggregates as A
-from chronoweave.operators import clean, evaluate, grid, reshape, text
+from chronoweave.operators import clean, evaluate, grid, reshape, segments, text
 from chronoweave.operators import windows as X
 from chronoweave.plans.panels import DAILY, FULL, HOURLY, RAW, SHIPPED, SPINE, daily, hourly, hourly_full, raw_events, rounded, shipped, table
 
 SET = ["series_id", "ts"]
+#: Rows of a segment here, so few that the test tables' series are cut too.
+SEGMENT = 300
 
 
 @query(f"WITH {SPINE} SELECT series_id, ts, round(y, 6) AS y FROM gaps")
@@ -50,7 +51,7 @@ def business_days(spark, d):
 
 @query(f"WITH {FULL} SELECT series_id, ts, round(y, 6) AS y FROM p")
 def ffill_grid(spark, d):
-    return rounded(hourly_full(spark, d))
+    return rounded(segments.forward_fill(grid.on_grid(hourly(spark, d), "hour"), rows=SEGMENT))
 
 
 _KNOWN = "CASE WHEN y IS NOT NULL THEN i END"
@@ -119,7 +120,7 @@ _SOFAR = "OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECED
 
 @query(f"WITH {FULL} SELECT series_id, ts, round(y, 6) AS y, round(avg(y) {_SOFAR}, 6) AS mean, round(coalesce(stddev_samp(y) {_SOFAR}, 0), 6) AS std, count(y) {_SOFAR} AS n FROM p")
 def expanding_stats(spark, d):
-    return rounded(X.expanding(hourly_full(spark, d)))
+    return rounded(segments.expanding(hourly_full(spark, d), rows=SEGMENT).select("series_id", "ts", "y", "mean", "std", "n"))
 
 
 @query(f"WITH {DAILY} SELECT series_id, ts, round(y, 6) AS y, round(y - lag(y) OVER w, 6) AS diff, round((y - lag(y) OVER w) / lag(y) OVER w, 6) AS pct, round(ln(y / lag(y) OVER w), 6) AS logret FROM d {_W}")
@@ -131,13 +132,13 @@ def diff_pct_logret(spark, d):
 def cumsum_undiff(spark, d):
     """Differences summed up again onto the first value give the series back."""
     diff = X.changes(daily(spark, d)).withColumn("step", F.coalesce("diff", "y"))
-    return X.cumulated(diff, "step", "back").select("series_id", "ts", F.round("back", 6).alias("back"))
+    return segments.cumulated(diff, "step", "back", rows=SEGMENT).select("series_id", "ts", F.round("back", 6).alias("back"))
 
 
 @query(f"WITH {DAILY} SELECT series_id, ts, round(exp(sum(ln(1 + 1 / (100 + abs(y)))) {_SOFAR}), 6) AS product FROM d")
 def compound_growth(spark, d):
     factor = daily(spark, d).withColumn("f", 1 + 1 / (100 + F.abs("y")))
-    return rounded(X.compounded(factor, "f").select("series_id", "ts", "product"))
+    return rounded(segments.compounded(factor, "f", rows=SEGMENT).select("series_id", "ts", "product"))
 
 
 @query(f"WITH {FULL}, g AS (SELECT *, lag(y) OVER w AS a, lead(y) OVER w AS b FROM p {_W}) SELECT series_id, ts, round(y, 6) AS y, round(CASE WHEN a IS NULL THEN b - y WHEN b IS NULL THEN y - a ELSE (b - a) / 2 END, 6) AS grad FROM g")
@@ -194,7 +195,7 @@ def distinct_types(spark, d):
 def sorted_values(spark, d):
     """Every row with its place in ascending order."""
     e = table(spark, d, "events").select("event_type", "event_id", "value")
-    return e.withColumn("place", F.row_number().over(W.partitionBy("event_type").orderBy(F.col("value").asc_nulls_last(), "event_id")).cast("long"))
+    return segments.ranked(e, "value", ("event_id",), by="event_type", rows=SEGMENT)
 
 
 @query("SELECT o_orderkey AS order_id, o_totalprice AS y FROM orders")
@@ -297,7 +298,7 @@ def sigma_bands(spark, d):
 
 @query(f"WITH {FULL}, v AS (SELECT series_id, ts, y, avg(y) OVER (PARTITION BY series_id) AS m FROM p) SELECT series_id, ts, round(y, 6) AS y, round(avg((y - m) ** 2) {_SOFAR}, 6) AS running_var FROM v")
 def running_variance(spark, d):
-    return rounded(A.variance_about_mean(hourly_full(spark, d)))
+    return rounded(segments.variance_about_mean(hourly_full(spark, d), rows=SEGMENT))
 
 
 @query(
