@@ -29,36 +29,6 @@ def per_series(df: DataFrame, f: Callable[[np.ndarray], pd.DataFrame], schema: s
     return df.dropna(subset=list(cols)).groupBy(KEY).applyInPandas(run, f"series_id string, {schema}")
 
 
-def embed(y: np.ndarray, dims: int, delay: int) -> np.ndarray:
-    n = len(y) - (dims - 1) * delay
-    return np.column_stack([y[d * delay : d * delay + n] for d in range(dims)])
-
-
-def cross_map(source: np.ndarray, target: np.ndarray, dims: int = 3, delay: int = 10, block: int = 512) -> float:
-    """Correlation of source with its estimate from the target's manifold: k = dims + 1 nearest points, never the point itself."""
-    e = embed(target, dims, delay)
-    n, k = len(e), dims + 1
-    guess = np.empty(n)
-    for at in range(0, n, block):
-        d = np.sqrt(np.maximum(((e[at : at + block, None] - e[None]) ** 2).sum(axis=2), 0))
-        d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
-        w = 1 / (np.take_along_axis(d, near, 1) + 1e-9)
-        guess[at : at + block] = (w / w.sum(axis=1, keepdims=True) * source[near]).sum(axis=1)
-    return float(np.corrcoef(source[:n], guess)[0, 1])
-
-
-def false_neighbours(y: np.ndarray, dims: int, delay: int = 1, ratio: float = 10.0, block: int = 512) -> float:
-    """Pairs whose distance one step on is more than ratio times theirs, over the number of rows; both orders count."""
-    e = embed(y, dims, delay)
-    now, ahead = e[:-1], e[1:]
-    hits = 0
-    for at in range(0, len(now), block):
-        d = np.sqrt(((now[at : at + block, None] - now[None]) ** 2).sum(axis=2)) + 1e-10
-        hits += int((np.sqrt(((ahead[at : at + block, None] - ahead[None]) ** 2).sum(axis=2)) / d > ratio).sum())
-    return hits / len(now)
-
-
 def dtw(a: np.ndarray, b: np.ndarray) -> float:
     """Squared differences along the cheapest alignment; rows are filled by anti-diagonals."""
     n, m = len(a), len(b)

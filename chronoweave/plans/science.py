@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from chronoweave.catalogue import query
 from chronoweave.operators import diagnostics as G
 from chronoweave.operators import dynamics as N
+from chronoweave.operators import manifold as M
 from chronoweave.operators import signal as S
 from chronoweave.operators import text as T
 from chronoweave.operators import windows as X
@@ -210,28 +211,28 @@ def granger_test(spark, d):
     return rounded(G.granger(_pairs(spark, d)))
 
 
-_CLICK_VIEW = "u AS (SELECT a.ts, a.y AS click, b.y AS view FROM p a JOIN p b ON a.ts = b.ts AND a.series_id = 'click' AND b.series_id = 'view' WHERE a.y IS NOT NULL AND b.y IS NOT NULL)"
+#: Values at the times at which every series has one.
+_COMMON = "u AS (SELECT series_id, ts, y FROM p WHERE y IS NOT NULL QUALIFY count(*) OVER (PARTITION BY ts) = (SELECT count(DISTINCT series_id) FROM p))"
 
 
 @query(
-    f"WITH {FULL}, {_CLICK_VIEW}, s AS (SELECT 'click_to_view' AS way, ts, click AS s, view AS t FROM u UNION ALL SELECT 'view_to_click', ts, view, click FROM u), "
-    "z AS (SELECT way, row_number() OVER g AS i, s, t AS t0, lead(t, 10) OVER g AS t1, lead(t, 20) OVER g AS t2 FROM s WINDOW g AS (PARTITION BY way ORDER BY ts)), z_ AS (SELECT * FROM z WHERE t2 IS NOT NULL), "
-    "near AS (SELECT a.way, a.i, a.s, b.s AS other, 1 / (sqrt((a.t0 - b.t0) ** 2 + (a.t1 - b.t1) ** 2 + (a.t2 - b.t2) ** 2) + 1e-9) AS w FROM z_ a JOIN z_ b ON a.way = b.way AND a.i <> b.i QUALIFY row_number() OVER (PARTITION BY a.way, a.i ORDER BY w DESC, b.i) <= 4), "
-    "g AS (SELECT way, i, any_value(s) AS s, sum(w * other) / sum(w) AS guess FROM near GROUP BY 1, 2) "
-    "SELECT 'click~view' AS series_id, round(corr(s, guess) FILTER (way = 'click_to_view'), 6) AS click_to_view, round(corr(s, guess) FILTER (way = 'view_to_click'), 6) AS view_to_click FROM g"
+    f"WITH {FULL}, {_COMMON}, v AS (SELECT series_id, y, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i FROM u), "
+    "z AS (SELECT series_id, i, y AS t0, lead(y, 10) OVER g AS t1, lead(y, 20) OVER g AS t2 FROM v WINDOW g AS (PARTITION BY series_id ORDER BY i)), z_ AS (SELECT * FROM z WHERE t2 IS NOT NULL), "
+    "near AS (SELECT a.series_id AS target, a.i, b.i AS j, 1 / (sqrt((a.t0 - b.t0) ** 2 + (a.t1 - b.t1) ** 2 + (a.t2 - b.t2) ** 2) + 1e-9) AS w FROM z_ a JOIN z_ b ON a.series_id = b.series_id AND a.i <> b.i QUALIFY row_number() OVER (PARTITION BY a.series_id, a.i ORDER BY w DESC, b.i) <= 4), "
+    "g AS (SELECT v.series_id AS source, target, near.i, sum(w * v.y) / sum(w) AS guess FROM near JOIN v ON v.i = near.j AND v.series_id <> target GROUP BY ALL) "
+    "SELECT source, target, round(corr(v.y, guess), 6) AS r FROM g JOIN v ON v.series_id = source AND v.i = g.i GROUP BY ALL"
 )
 def ccm_hourly(spark, d):
-    """Cross mapping of one stated pair, clicks and views, both ways; other pairs are left out."""
-    p = hourly_full(spark, d).where("series_id IN ('click', 'view')")
-    wide = p.groupBy("ts").pivot("series_id", ["click", "view"]).agg(F.first("y")).dropna().withColumn("series_id", F.lit("click~view"))
-    f = lambda v: pd.DataFrame({"click_to_view": [N.cross_map(v[:, 0], v[:, 1])], "view_to_click": [N.cross_map(v[:, 1], v[:, 0])]})
-    return rounded(N.per_series(wide, f, "click_to_view double, view_to_click double", "click", "view"))
+    """Cross mapping of every ordered pair of event types, over the hours that all of them have."""
+    p = hourly_full(spark, d).where("y is not null")
+    types = p.select("series_id").distinct().count()
+    whole = p.groupBy("ts").agg(F.count("*").alias("n")).where(F.col("n") == types).select("ts")
+    return rounded(M.cross_maps(p.join(whole, "ts"), block=128))
 
 
 @query(f"WITH {FULL}, l AS (SELECT series_id, list(y ORDER BY ts) AS x FROM p GROUP BY 1), k AS (SELECT unnest(range(1, 6)) AS k), i AS (SELECT series_id, x, k, len(x) - k AS n, unnest(range(1, len(x) - k + 1)) AS i FROM l, k), ij AS (SELECT *, unnest(range(1, n + 1)) AS j FROM i), r AS (SELECT series_id, k, n, list_distance(x[i + 1:i + k], x[j + 1:j + k]) / (list_distance(x[i:i + k - 1], x[j:j + k - 1]) + 1e-10) > 10 AS hit FROM ij) SELECT series_id, k AS dims, round(count_if(hit) / any_value(n), 6) AS ratio FROM r GROUP BY 1, 2")
 def fnn_ratio(spark, d):
-    f = lambda y: pd.DataFrame({"dims": np.arange(1, 6), "ratio": [N.false_neighbours(y, k) for k in range(1, 6)]})
-    return rounded(N.per_series(hourly_full(spark, d), f, "dims long, ratio double"))
+    return rounded(M.false_neighbour_ratios(hourly_full(spark, d), 5, block=256))
 
 
 _KALMAN = (

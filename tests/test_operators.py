@@ -251,12 +251,6 @@ def test_dtw_kalman_and_spline():
     assert dynamics.savgol(y, 5) == pytest.approx(y)
 
 
-def test_cross_map_and_lorenz():
-    u = dynamics.lorenz(1500, 0.02)
-    assert dynamics.cross_map(u[500:, 1], u[500:, 0], 3, 5) > 0.9
-    assert dynamics.false_neighbours(u[500:, 0], 3, 5) < dynamics.false_neighbours(u[500:, 0], 1, 5)
-
-
 def test_var_and_gibbs():
     y = dynamics.simulate_var(3000, np.array([[0.5, 0.1], [0.0, 0.3]]))
     assert dynamics.var_fit(y, 1)[0][1:].T == pytest.approx(np.array([[0.5, 0.1], [0.0, 0.3]]), abs=0.08)
