@@ -315,7 +315,7 @@ def score_texts(docs: DataFrame, model_path: str, train: Column | None = None, s
         weights = lattice.normal(found[:-1], float(found[-1]))
     both = np.stack([weights, own])
     seen = 1.0 - max(sizes.get(1, 0), 1) / total if types else 0.0  # Good-Turing: words that occur once stand for unseen ones
-    floor = total + 0.5 * (types + 2)  # V counts the end
+    floor = total + 0.5 * (types + (ends > 0) + 1)  # V counts the end where a text ends
     top = counts.where(F.col("c") >= least).toPandas() if sizes else None
     known_words = top["word"].tolist() if top is not None else []
     known_counts = top["c"].to_numpy(np.float64) if top is not None else np.empty(0)
@@ -323,7 +323,7 @@ def score_texts(docs: DataFrame, model_path: str, train: Column | None = None, s
     sub, own_of = np.exp(sub), own_of / np.log(10)
     base_of = np.log10((known_counts + 0.5) / floor) if known_words else np.empty(0)
     score_of = np.log10(seen * known_counts / total + (1 - seen) * sub) if known_words else np.empty(0)
-    end_base = log10((ends + 0.5) / floor) if total else 0.0
+    end_base = log10((ends + 0.5) / floor)
     end_score = log10(seen * ends / total) if total and ends and seen else 0.0
 
     def run(batches):

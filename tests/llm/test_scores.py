@@ -78,6 +78,22 @@ def test_scores_against_brute_force(spark, lattice):
     assert score_texts(d.limit(0), PIECES).count() == 0
 
 
+def test_no_rows_to_learn_from_and_odd_ids(spark):
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
+    out = score_texts(spark.createDataFrame([(i, "hello world") for i in held], "doc_id long, text string"), PIECES).collect()
+    assert [r["base_score"] for r in out] == [0.0] * 3 and {r["train_tokens"] for r in out} == {0} and {r["n_known"] for r in out} == {0}
+    assert all(r["held_out"] and r["n_tokens"] == 3 and r["score"] < 0 for r in out)
+    learnt = next(i for i in range(40) if i not in held and zlib.crc32(str(i).encode()) % 5 != 1)
+    rows = [(learnt, "a b a"), (learnt, "a b a"), (learnt, "c"), (None, "a c d"), (None, "a c d"), (None, None)]
+    got = [r.asDict() for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()]
+    assert len(got) == 6 and {r["train_tokens"] for r in got} == {7 + 3}  # rows without an id aren't learnt from
+    c, floor = Counter({"a": 4, "b": 2, "c": 1}), 10 + 0.5 * (4 + 1)
+    for words, ids in ((["a", "b", "a"], learnt), (["a", "c", "d"], None), ([], None)):
+        base = sum(math.log10((n + 0.5) / floor) for n in [*(c[w] for w in words), 3])
+        mine = [r for r in got if r["doc_id"] == ids and r["n_tokens"] == len(words) + 1]
+        assert mine and all(r["base_score"] == pytest.approx(base) for r in mine)
+
+
 def test_ordinal_regression_orders_its_grades():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 4, 400)
