@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.llm.arrow import slices
 from chronoweave.llm.hashing import RollingHash, WordCodes, mix
 from chronoweave.session import intermediate, materialise
 
@@ -17,6 +20,8 @@ _U = np.uint64
 _LOW = _U(0xFFFFFF)
 #: Words that are hashed at once; positions in them fit 24 bits.
 BLOCK = 1 << 20
+#: Rows that are turned into words at once.
+ROWS = 1024
 #: The id that rows without one are given: they come after all others.
 LAST = 2**63 - 1
 
@@ -43,16 +48,16 @@ class WindowHasher:
             np.cumsum(mix(self.codes.of(words)) * self.roll.up[: len(words)], dtype=_U, out=out[1:])
         return out
 
-    def windows(self, words: list[bytes]) -> np.ndarray:
-        start = np.arange(len(words) - self.size + 1)
+    def windows(self, words: list[bytes], start: np.ndarray) -> np.ndarray:
         return self.roll.ranges(self.sums(words), start, start + self.size).view(np.int64)
 
     def packs(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
         """text (index), start, number of windows, name and code of the packs of all texts together."""
         size, gram = self.size, self.gram
-        words = [w for t in texts for w in t]
-        stops = np.cumsum([len(t) for t in texts], dtype=np.int64)
-        starts = stops - [len(t) for t in texts]
+        words = list(chain.from_iterable(texts))
+        lengths = np.array([len(t) for t in texts], np.int64)
+        stops = np.cumsum(lengths)
+        starts = stops - lengths
         if len(words) < size:
             none = np.empty(0, np.int64)
             return none, none, none, none, none
@@ -67,8 +72,8 @@ class WindowHasher:
             have += step
         chosen = (_LOW - (low & _LOW)).astype(np.int64)  # of the window that starts at each word
         pos = np.arange(len(chosen))
-        text = np.searchsorted(stops, pos, side="right")
-        inside = pos + size <= stops[text]
+        text = np.repeat(np.arange(len(texts)), lengths)[: len(pos)]
+        inside = pos + size <= np.repeat(stops, lengths)[: len(pos)]
         new = np.ones(len(pos), bool)
         new[1:] = (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1]) | (inside[1:] != inside[:-1])
         first = np.flatnonzero(new)
@@ -91,13 +96,27 @@ class WindowHasher:
             at = to
 
 
+def _lists(column: pa.Array, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A column of lists of structs as the lists' edges and the structs' fields, one after the other; a null is an empty list."""
+    n = np.array(pc.fill_null(pc.list_value_length(column), 0))
+    flat = column.flatten()
+    return np.concatenate([[0], np.cumsum(n)]), [flat.field(f).to_numpy(zero_copy_only=False) for f in fields]
+
+
+def _members(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of packs: its pack and its place there."""
+    n = at & 15
+    owner = np.repeat(np.arange(len(at)), n)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+
+
 def _scan(docs: DataFrame, hasher: Callable[[], WindowHasher], whole: bool) -> DataFrame:
     """whole: every pack as (name, code, doc, twin, at), at holding start * 16 + number of windows; else each name of a batch with its least and greatest document."""
     fields = ["name", "code", "doc", "twin", "at"] if whole else ["name", "low", "high"]
 
     def run(batches):
         make = hasher()
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             doc, twin = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for text, start, n, name, code in make.packs_in_blocks([t.encode().split() for t in batch.column(2).to_pylist()]):
                 if whole:
@@ -117,14 +136,17 @@ def _opened(docs: DataFrame, probes: DataFrame, hasher: Callable[[], WindowHashe
 
     def run(batches):
         make = hasher()
-        for batch in batches:
-            rows = []
-            for doc, text, packs in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found = make.windows(text.encode().split())
-                for p in packs:
-                    start, n = p["at"] >> 4, p["at"] & 15
-                    rows += [(p["name"], p["code"], doc, k, h) for k, h in enumerate(found[start : start + n].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, names=["name", "code", "low", "k", "window"])
+        for batch in slices(batches, ROWS):
+            doc, edge, (at, name, code) = batch.column(0).to_numpy(), *_lists(batch.column(2), "at", "name", "code")
+            owner, k = _members(at)
+            start = (at >> 4)[owner] + k
+            found = np.empty(len(start), np.int64)
+            cut = np.searchsorted(owner, edge)  # of each text's windows
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                found[cut[i] : cut[i + 1]] = make.windows(text.encode().split(), start[cut[i] : cut[i + 1]])
+            low = np.repeat(doc, np.diff(edge))
+            cols = [name[owner], code[owner], low[owner], k, found]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["name", "code", "low", "k", "window"])
 
     return docs.join(probes, ["doc", "twin"]).select("doc", "text", "packs").mapInArrow(run, "name long, code long, low long, k long, window long")
 
@@ -133,21 +155,23 @@ def _cut(docs: DataFrame, size: int, with_text: bool) -> DataFrame:
     fields = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text", "spans"] * with_text
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text, packs in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for batch in slices(batches, ROWS):
+            rows, (edge, (at, late)) = [], _lists(batch.column(2), "at", "late")
+            owner, k = _members(at)
+            start = ((at >> 4)[owner] + k)[hit := (late[owner] >> k & 1).astype(bool)]
+            cut = np.searchsorted(owner[hit], edge)
+            for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 words = text.encode().split()
-                kept, spans = words, []
-                if packs:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    for p in packs:
-                        starts = (p["at"] >> 4) + np.flatnonzero([p["late"] >> k & 1 for k in range(p["at"] & 15)])
-                        edge[starts] += 1
-                        edge[starts + size] -= 1
-                    gone = np.cumsum(edge)[:-1] > 0
-                    kept = [words[i] for i in np.flatnonzero(~gone).tolist()]
-                    turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).view(np.int8))).tolist()
-                    spans = [list(s) for s in zip(turn[::2], turn[1::2])]
+                kept, spans, starts = words, [], start[cut[i] : cut[i + 1]]
+                if len(starts):
+                    ends = np.zeros(len(words) + 1, np.int64)
+                    ends[starts] += 1
+                    ends[starts + size] -= 1
+                    gone = np.cumsum(ends)[:-1] > 0
+                    kept = list(compress(words, (~gone).tolist()))
+                    if with_text:
+                        turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).view(np.int8))).tolist()
+                        spans = [list(s) for s in zip(turn[::2], turn[1::2])]
                 left = b" ".join(kept)
                 rows.append([doc_id, len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest()] + [left.decode(), spans] * with_text)
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.list_(pa.list_(pa.int64()))]
