@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.operators.windows import numbered
+from chronoweave.session import intermediate, materialise
 
 KEY = "series_id"
 
@@ -47,24 +48,54 @@ def stft_db(y: np.ndarray, size: int = 256, hop: int = 64) -> pd.DataFrame:
     return pd.DataFrame({"frame": t.ravel(), "bin": k.ravel(), "db": db.ravel()})
 
 
-def latent_factors(df: DataFrame, rank: int = 3) -> DataFrame:
-    """(ts, error): mean squared error over series of a truncated SVD of the series-by-time matrix.
+def _summed(rows: DataFrame, vectors: DataFrame, on: str, to: str, width: int) -> DataFrame:
+    """Of each ``to`` the sum of y times the vector of its rows' ``on``."""
+    return rows.join(vectors, on).groupBy(to).agg(*(F.sum(F.col("y") * F.col(f"v{k}")).alias(f"v{k}") for k in range(width)))
 
-    The Gram matrix of the series (their number squared, not the times') is added
-    up by Spark; its eigenvectors rebuild each time's values by themselves.
-    """
-    names = [r[0] for r in df.select(KEY).distinct().orderBy(KEY).collect()]
-    wide = df.groupBy("ts").pivot(KEY, names).agg(F.first("y")).na.fill(0.0)
-    cols = [f"`{n}`" for n in names]
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    sums = wide.agg(*(F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"g{i}_{j}") for i, j in pairs)).first()
-    g = np.zeros((len(names), len(names)))
+
+def _gram(vectors: DataFrame, width: int) -> np.ndarray:
+    """The sums of all products of two of the vectors' few components."""
+    pairs = [(i, j) for i in range(width) for j in range(i, width)]
+    sums = vectors.agg(*(F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"g{i}_{j}") for i, j in pairs)).first()
+    g = np.zeros((width, width))
     for i, j in pairs:
-        g[i, j] = g[j, i] = sums[f"g{i}_{j}"]
-    top = np.linalg.eigh(g)[1][:, ::-1][:, :rank]
-    rest = np.eye(len(names)) - top @ top.T
-    misses = [sum((F.col(c) * float(rest[i, j]) for j, c in enumerate(cols)), F.lit(0.0)) for i in range(len(names))]
-    return wide.select("ts", (sum((m * m for m in misses), F.lit(0.0)) / len(names)).alias("error"))
+        g[i, j] = g[j, i] = sums[f"g{i}_{j}"] or 0.0
+    return g
+
+
+def _turned(vectors: DataFrame, key: str, m: np.ndarray) -> DataFrame:
+    """The vectors times a small matrix."""
+    return vectors.select(key, *(sum((F.col(f"v{i}") * float(m[i, k]) for i in range(len(m))), F.lit(0.0)).alias(f"v{k}") for k in range(m.shape[1])))
+
+
+def latent_factors(df: DataFrame, rank: int = 3, spare: int = 10, rounds: int = 6, seed: int = 1) -> DataFrame:
+    """(ts, error): mean squared error over series of a truncated SVD of the series-by-time matrix, missing values being 0.
+
+    A randomised projection: rank + spare hashed normal directions of the series are multiplied by the matrix and its transpose
+    in turn, each time one join and one sum a series or a time, and made orthogonal by their Gram matrix of
+    rank + spare squared numbers, which is all that the driver sees. Neither the number of series nor that of times matters to it.
+    With no more series than directions the result is exact, else it closes in on the factors by every round.
+    """
+    with intermediate(df.sparkSession) as keep:
+        rows = keep(materialise(df.where("y is not null").select(KEY, "ts", F.col("y").cast("double").alias("y")), "matrix"))
+        names = df.select(KEY).where(F.col(KEY).isNotNull()).distinct()
+        width, count = rank + spare, names.count()
+        unit = lambda k, i: (F.pmod(F.xxhash64(KEY, F.lit(k), F.lit(i), F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+        basis = names.select(KEY, *((F.sqrt(-2 * F.log(unit(k, 0))) * F.cos(2 * np.pi * unit(k, 1))).alias(f"v{k}") for k in range(width)))
+        for turn in range(rounds + 1):
+            basis = materialise(basis, "basis")
+            values, vectors = np.linalg.eigh(_gram(basis, width))
+            some = values > max(values.max(initial=0.0), 0.0) * 1e-13
+            basis, width = _turned(basis, KEY, vectors[:, some] / np.sqrt(values[some])), int(some.sum())
+            if turn < rounds:
+                basis = _summed(rows, materialise(_summed(rows, basis, KEY, "ts", width), "times"), "ts", KEY, width)
+        inside = materialise(_summed(rows, materialise(basis, "basis"), KEY, "ts", width), "times")
+        top = np.linalg.eigh(_gram(inside, width))[1][:, ::-1][:, :rank]
+        caught = _turned(inside, "ts", top)
+        caught = caught.select("ts", sum((F.col(c) * F.col(c) for c in caught.columns[1:]), F.lit(0.0)).alias("caught"))
+        every = df.select("ts").distinct().join(rows.groupBy("ts").agg(F.sum(F.col("y") * F.col("y")).alias("all")), "ts", "left").join(caught, "ts", "left")
+        error = F.greatest(F.coalesce("all", F.lit(0.0)) - F.coalesce("caught", F.lit(0.0)), F.lit(0.0)) / count
+        return keep(every.select("ts", error.alias("error")))
 
 
 def ellipse(df: DataFrame, x: str, y: str, by: str = KEY, points: int = 100) -> DataFrame:

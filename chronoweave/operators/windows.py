@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from math import pi
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,6 +50,33 @@ def rolling_band(df: DataFrame, k: int, width: float = 1.0, col: str = "y") -> D
     return df.withColumns({"mean": mean, "lower": mean - width * std, "upper": mean + width * std, "q25": quantile(0.25), "q75": quantile(0.75)})
 
 
+def rolling_apply(df: DataFrame, k: int, name: str, f: Callable[[Column], Column], col: str = "y") -> DataFrame:
+    """Any aggregate of the last k values: f gets them as an array, in order, and returns an expression; NULL until k values are there."""
+    held = F.collect_list(col).over(ordered().rowsBetween(1 - k, 0))
+    return df.withColumn("held_", held).withColumn(name, F.when(F.size("held_") == k, f(F.col("held_")))).drop("held_")
+
+
+def rolling_apply_numpy(df: DataFrame, k: int, name: str, f: Callable[[np.ndarray], np.ndarray], col: str = "y") -> DataFrame:
+    """As rolling_apply() for what expressions can't say: f gets full windows as rows of a matrix and returns a number for each."""
+
+    @F.pandas_udf("double")
+    def apply(held: pd.Series) -> pd.Series:
+        out = pd.Series(np.nan, index=held.index)
+        whole = held.map(len) == k
+        if whole.any():
+            out[whole] = f(np.stack(held[whole].to_list()))
+        return out.astype(object).where(whole, None)
+
+    held = F.collect_list(col).over(ordered().rowsBetween(1 - k, 0))
+    return df.withColumn("held_", held).withColumn(name, apply("held_")).drop("held_")
+
+
+def convolved(df: DataFrame, kernel: list[float], name: str = "convolved", col: str = "y") -> DataFrame:
+    """Discrete convolution where the kernel lies wholly on the series ("valid"): kernel[0] meets the latest value; other rows are left out."""
+    parts = [F.lag(col, i).over(ordered()) * w for i, w in enumerate(kernel)]
+    return df.withColumn(name, reduce(lambda a, b: a + b, parts)).where(F.col(name).isNotNull())
+
+
 def expanding(df: DataFrame, col: str = "y") -> DataFrame:
     """Mean and sample deviation of all rows so far; the first deviation is 0."""
     w = ordered().rowsBetween(W.unboundedPreceding, 0)

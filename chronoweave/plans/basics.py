@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.catalogue import query
 from chronoweave.operators import aggregates as A
-from chronoweave.operators import clean, evaluate, grid, reshape, segments, text
+from chronoweave.operators import clean, evaluate, grid, hierarchy, reshape, segments, text
 from chronoweave.operators import windows as X
 from chronoweave.plans.panels import DAILY, FULL, HOURLY, RAW, SHIPPED, SPINE, daily, hourly, hourly_full, raw_events, rounded, shipped, table
 
@@ -379,6 +379,58 @@ def asof_last_view(spark, d):
     return rounded(grid.asof_join(left, right, "latest", within="day").select("event_id", "ts", "latest"))
 
 
+_EDGES = (
+    "e(child, parent) AS (SELECT 'customer ' || c_custkey, 'nation ' || c_nationkey FROM customer UNION ALL SELECT 'supplier ' || s_suppkey, 'nation ' || s_nationkey FROM supplier "
+    "UNION ALL SELECT 'nation ' || n_nationkey, 'region ' || n_regionkey FROM nation UNION ALL SELECT 'region ' || r_regionkey, 'all' FROM region), "
+    "up(node, ancestor, level) AS (SELECT child, parent, 1::BIGINT FROM e UNION ALL SELECT node, parent, level + 1 FROM up JOIN e ON child = ancestor)"
+)
+
+
+def _edges(spark, d):
+    t = {n: table(spark, d, n) for n in ("customer", "supplier", "nation", "region")}
+    name = lambda kind, col: F.concat(F.lit(f"{kind} "), F.col(col))
+    edge = lambda df, c, p: df.select(c.alias("child"), p.alias("parent"))
+    parts = [
+        edge(t["customer"], name("customer", "c_custkey"), name("nation", "c_nationkey")), edge(t["supplier"], name("supplier", "s_suppkey"), name("nation", "s_nationkey")),
+        edge(t["nation"], name("nation", "n_nationkey"), name("region", "n_regionkey")), edge(t["region"], name("region", "r_regionkey"), F.lit("all")),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(f"WITH RECURSIVE {_EDGES} SELECT node, ancestor, level FROM up WHERE node NOT IN (SELECT parent FROM e)")
+def hierarchy_closure(spark, d):
+    """Every leaf with each of its ancestors, from a table of children and parents alone."""
+    return hierarchy.leaves(hierarchy.closure(_edges(spark, d)))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, v AS (SELECT 'customer ' || o_custkey AS node, sum(o_totalprice) AS y FROM orders GROUP BY 1) SELECT node, round(sum(y), 3) AS y FROM (SELECT node, y FROM v UNION ALL SELECT ancestor, y FROM v JOIN up USING (node)) GROUP BY 1")
+def closure_sums(spark, d):
+    """Orders added up at each customer and at all above it."""
+    orders = table(spark, d, "orders").select(F.concat(F.lit("customer "), F.col("o_custkey")).alias("node"), F.col("o_totalprice").alias("y"))
+    return rounded(hierarchy.rolled_up(orders, hierarchy.closure(_edges(spark, d))), 3)
+
+
+_LAST7 = "OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
+
+
+@query(
+    f"WITH {FULL}, h AS (SELECT series_id, ts, list(y) {_LAST7} AS x FROM p), s AS (SELECT *, list_sort(x) AS o, list_avg(x) AS m FROM h) "
+    "SELECT series_id, ts, CASE WHEN len(x) = 7 THEN round(list_avg(o[2:6]), 6) END AS trimmed, CASE WHEN len(x) = 7 THEN round(list_avg(list_transform(x, lambda v: abs(v - m))), 6) END AS deviation, "
+    "CASE WHEN len(x) = 7 THEN round(sqrt(list_sum(list_transform(x, lambda v: v * v)) / 7), 6) END AS rms FROM s"
+)
+def rolling_any(spark, d):
+    """A trimmed mean and a mean deviation as expressions over each window, a root mean square in numpy."""
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+    p = X.rolling_apply(hourly_full(spark, d), 7, "trimmed", lambda x: mean(F.slice(F.array_sort(x), 2, 5)))
+    p = X.rolling_apply(p, 7, "deviation", lambda x: mean(F.transform(x, lambda v: F.abs(v - mean(x)))))
+    return rounded(X.rolling_apply_numpy(p, 7, "rms", lambda m: (m * m).mean(axis=1) ** 0.5).drop("y"))
+
+
+@query(f"WITH {FULL}, c AS (SELECT series_id, ts, 0.5 * y + 0.3 * lag(y) OVER w + 0.2 * lag(y, 2) OVER w AS v FROM p WINDOW w AS (PARTITION BY series_id ORDER BY ts)) SELECT series_id, ts, round(v, 6) AS convolved FROM c WHERE v IS NOT NULL")
+def convolution_valid(spark, d):
+    return rounded(X.convolved(hourly_full(spark, d), [0.5, 0.3, 0.2]).drop("y"))
+
+
 _H = "customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey JOIN orders o ON o.o_custkey = c.c_custkey"
 
 

@@ -7,13 +7,16 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from chronoweave.catalogue import query
+from chronoweave.operators import aggregates as A
 from chronoweave.operators import diagnostics as G
 from chronoweave.operators import dynamics as N
 from chronoweave.operators import manifold as M
+from chronoweave.operators import sampled as P
 from chronoweave.operators import signal as S
 from chronoweave.operators import text as T
 from chronoweave.operators import windows as X
 from chronoweave.plans.panels import DAILY, FULL, SHIPPED, daily, hourly_full, rounded, shipped, table
+from chronoweave.session import intermediate, materialise
 
 
 #: Each series' transform at frequencies 0 to n / 2 from p, as sums over its n values i.
@@ -408,6 +411,46 @@ def residual_panel(spark, d):
     return rounded(G.residual_panel(p.join(mean, "series_id").withColumn("e", F.col("y") - F.col("m"))))
 
 
+_SAMPLED = (
+    "l AS (SELECT series_id, ts, y, lag(y) OVER w AS x1, lag(y, 2) OVER w AS x2 FROM p WINDOW w AS (PARTITION BY series_id ORDER BY ts)), "
+    "c AS (SELECT series_id, count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, covar_pop(x1, x1) AS s11, covar_pop(x2, x2) AS s22, covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y, covar_pop(y, y) AS syy FROM l WHERE x2 IS NOT NULL GROUP BY 1), "
+    "b AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM c), "
+    "fit AS (SELECT series_id, my - b1 * m1 - b2 * m2 AS b0, b1, b2, sqrt(n * (syy - b1 * s1y - b2 * s2y) / (n - 3)) AS sigma FROM b), "
+    "last AS (SELECT series_id, max_by(y, ts) AS y, max_by(x1, ts) AS x FROM l GROUP BY 1), "
+    "walk AS (SELECT series_id, draw, 0::BIGINT AS step, y, x FROM last, (SELECT unnest(range(200)) AS draw) UNION ALL "
+    "SELECT series_id, draw, step + 1, b0 + b1 * y + b2 * x + sigma * sqrt(-2 * ln((('0x' || substr(m, 1, 8))::BIGINT + 0.5) / 4294967296)) * cos(2 * pi() * (('0x' || substr(m, 9, 8))::BIGINT + 0.5) / 4294967296), y "
+    "FROM (SELECT walk.*, fit.* EXCLUDE (series_id), md5(concat_ws(':', series_id, draw, step + 1, '0')) AS m FROM walk JOIN fit USING (series_id) WHERE step < 24))"
+)
+
+
+def _paths(spark, d):
+    return P.sampled_paths(P.autoregression(hourly_full(spark, d), 2), 24, draws=200)
+
+
+@query(f"WITH RECURSIVE {FULL}, {_SAMPLED} SELECT series_id, step, round(avg(y), 5) AS mean, round(quantile_cont(y, 0.05), 5) AS p5, round(quantile_cont(y, 0.5), 5) AS p50, round(quantile_cont(y, 0.95), 5) AS p95 FROM walk WHERE step > 0 GROUP BY 1, 2")
+def sampled_forecast(spark, d):
+    """Bands of 200 sampled paths of each hourly series' autoregression, a day ahead."""
+    with intermediate(spark) as keep:
+        return keep(rounded(P.bands(materialise(_paths(spark, d), "paths"), {"p5": 0.05, "p50": 0.5, "p95": 0.95}), 5))
+
+
+@query(
+    f"WITH RECURSIVE {FULL}, {_SAMPLED}, e AS (SELECT series_id, y FROM walk WHERE step = 24), m AS (SELECT series_id, count(*) AS n, avg(y) AS mean, stddev_pop(y) AS sd FROM e GROUP BY 1) "
+    "SELECT series_id, n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(mean - 0.67 * sd, 4) AS lower, round(mean + 0.67 * sd, 4) AS upper, round((SELECT avg((y BETWEEN mean - 0.67 * sd AND mean + 0.67 * sd)::INT) FROM e WHERE e.series_id = m.series_id), 4) AS inside FROM m"
+)
+def terminal_distribution(spark, d):
+    """Bands of the sampled paths' ends."""
+    return rounded(P.terminal_bands(_paths(spark, d).where("step = 24")), 4)
+
+
+@query(
+    f"WITH RECURSIVE {FULL}, {_SAMPLED}, e AS (SELECT series_id, y FROM walk WHERE step = 24), r AS (SELECT series_id, min(y) AS lo, max(y) AS hi, count(*) AS n FROM e GROUP BY 1) "
+    "SELECT series_id, least(floor(round((y - lo) / ((hi - lo) / 20), 6)), 19)::BIGINT AS bin, count(*) AS c, round(count(*) / (any_value(n) * any_value((hi - lo) / 20)), 6) AS density FROM e JOIN r USING (series_id) GROUP BY 1, 2"
+)
+def terminal_histogram(spark, d):
+    return rounded(A.histogram(_paths(spark, d).where("step = 24"), 20, snap=6))
+
+
 @query(f"WITH {DAILY}, m AS (SELECT count(y) AS n, avg(y) AS mean, stddev_pop(y) AS sd FROM d) SELECT n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(mean - 0.67 * sd, 4) AS lower, round(mean + 0.67 * sd, 4) AS upper, round((SELECT avg((y BETWEEN mean - 0.67 * sd AND mean + 0.67 * sd)::INT) FROM d), 4) AS inside FROM m")
 def terminal_bands(spark, d):
     """The daily mean order prices as final values, so that SQL can say the result too."""
