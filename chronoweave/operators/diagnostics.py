@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from math import erf, exp, lgamma, log
+from math import exp, lgamma, log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoweave.operators.aggregates import histogram, percentiles
-from chronoweave.operators.models import design, ols
+from chronoweave.operators.regress import fitted, products, solved
 
 KEY = "series_id"
 
@@ -90,52 +90,81 @@ ADF_POINTS = {0.01: (-3.43035, -6.5393, -16.786), 0.05: (-2.86154, -2.8903, -4.2
 EG_POINTS = {0.01: (-3.89644, -10.9519, -22.527), 0.05: (-3.33613, -6.1101, -6.823), 0.10: (-3.04445, -4.2412, -2.720)}
 
 
-def points(table: dict, n: int) -> dict[float, float]:
-    return {p: a + b / n + c / n**2 for p, (a, b, c) in table.items()}
+# Published polynomials of the statistic whose normal distribution function is its approximate p-value (constant, no trend), for one
+# series and for the residuals of two: least and largest statistic, the one up to which the first polynomial holds, and both polynomials.
+ADF_P = (-18.83, 2.74, -1.61, (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368))
+EG_P = (-16.18, 0.92, -2.62, (2.92, 1.5012, 0.039796), (2.1945, 0.64695, -0.29198, -0.042377))
+# The published rational approximation of the error function (to 1.5e-7).
+ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
 
-def adf_statistic(y: np.ndarray, max_lag: int | None = None) -> tuple[float, int, int]:
-    """The t value of the level in the regression of differences on it and their lags; lags by AIC on common rows."""
-    n = len(y)
-    top = int(12 * (n / 100) ** 0.25) if max_lag is None else max_lag
-    top = min(top, max(0, n // 2 - 3))
-    dy = np.diff(y)
-    best = None
-    for p in range(top + 1):
-        at = np.arange(top if max_lag is None else p, len(dy))
-        x = np.column_stack([np.ones(len(at)), y[at], *(dy[at - k] for k in range(1, p + 1))])
-        b, e = ols(x, dy[at])
-        s2 = e @ e / max(len(at) - x.shape[1], 1)
-        aic = len(at) * log(max(e @ e / len(at), 1e-300)) + 2 * x.shape[1]
-        t = b[1] / np.sqrt(max(s2 * np.linalg.pinv(x.T @ x)[1, 1], 1e-300))
-        if best is None or aic < best[0]:
-            best = (aic, float(t), p, len(at))
-    return best[1:]
+def normal_cdf_column(z: Column) -> Column:
+    x = F.abs(z) / 2**0.5
+    k = 1 / (1 + 0.3275911 * x)
+    tail = 0.5 * sum((c * F.pow(k, F.lit(i + 1)) for i, c in enumerate(ERF)), F.lit(0.0)) * F.exp(-x * x)
+    return F.when(z < 0, tail).otherwise(1 - tail)
 
 
-def adf(df: DataFrame, max_lag: int | None = None) -> DataFrame:
-    """(series_id, statistic, lags, crit_1, crit_5, crit_10, stationary at 5 %)."""
+def unit_root_p(t: Column, table: tuple) -> Column:
+    """The approximate p-value of a unit root statistic."""
+    low, high, split, small, large = table
+    polynomial = lambda cs: sum((c * F.pow(t, F.lit(i)) for i, c in enumerate(cs)), F.lit(0.0))
+    p = F.when(t > high, 1.0).when(t < low, 0.0).otherwise(normal_cdf_column(F.when(t <= split, polynomial(small)).otherwise(polynomial(large))))
+    return F.when(t.isNotNull(), p)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, p, n = adf_statistic(pdf.sort_values("ts")["y"].to_numpy(float), max_lag)
-        c = points(ADF_POINTS, n)
-        return pd.DataFrame([(pdf[KEY].iloc[0], t, p, c[0.01], c[0.05], c[0.10], t < c[0.05])])
 
-    return df.where("y IS NOT NULL").groupBy(KEY).applyInPandas(run, "series_id string, statistic double, lags long, crit_1 double, crit_5 double, crit_10 double, stationary boolean")
+def _dickey_fuller(df: DataFrame, max_lag: int | None) -> DataFrame:
+    """(series_id, statistic, lags, rows): the t value of the level in the regression of differences on it and their lags; lags by AIC on common rows.
 
+    The regressions share one aggregate of sums of products; a series is never held in a task's memory for it. Series too short have no statistic.
+    """
+    known = df.where("y IS NOT NULL")
+    size = known.groupBy(F.col(KEY).alias("s_")).agg(F.count("*").alias("n_"), F.avg("y").alias("m_"))
+    most = F.floor(12 * F.pow(F.col("n_") / 100, F.lit(0.25))) if max_lag is None else F.lit(max_lag)
+    size = size.withColumn("top", F.least(most, F.greatest(F.lit(0), F.floor(F.col("n_") / 2) - 3)).cast("int"))
+    top = size.agg(F.max("top")).first()[0] or 0
+    w = W.partitionBy(KEY).orderBy("ts")
+    rows = known.join(size, F.col(KEY).eqNullSafe(F.col("s_"))).withColumns({"z_": F.col("y") - F.col("m_"), "d_": F.lead("y").over(w) - F.col("y"), "t_": F.row_number().over(w) - 1})
+    rows = rows.withColumns({f"d{k}_": F.lag("d_", k).over(w) for k in range(1, top + 1)})
+    cols = [F.lit(1.0), F.col("z_"), *(F.col(f"d{k}_") for k in range(1, top + 1)), F.col("d_")]
+    sums = products(rows, KEY, cols, (F.col("t_") >= F.col("top")) & F.col("d_").isNotNull(), F.first("top").alias("top"))
 
-def cointegration(pairs: DataFrame) -> DataFrame:
-    """Engle and Granger's test of (series_id, ts, y, x): statistic of the residuals of y on x."""
+    def choose(n: int, g: np.ndarray, top: int) -> tuple:
+        best = (np.inf, None, 0)
+        for p in range(top + 1):
+            x = list(range(p + 2))
+            if n <= len(x):
+                break
+            b, rest = fitted(g, x, len(g) - 1)
+            aic = n * log(max(rest / n, 1e-300)) + 2 * len(x)
+            spread = rest / (n - len(x)) * np.linalg.pinv(g[np.ix_(x, x)])[1, 1]
+            best = min(best, (aic, float(b[1] / np.sqrt(max(spread, 1e-300))), p), key=lambda r: r[0])
+        return best[1], best[2], n
+
+    return solved(sums, KEY, choose, "statistic double, lags long, rows long", "top")
+
+
+def _points(table: dict, level: float) -> Column:
+    a, b, c = table[level]
+    return a + b / F.col("rows") + c / F.pow("rows", F.lit(2))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        y, x = pdf["y"].to_numpy(float), pdf["x"].to_numpy(float)
-        _, e = ols(np.column_stack([np.ones(len(x)), x]), y)
-        t, p, n = adf_statistic(e)
-        c = points(EG_POINTS, n)
-        return pd.DataFrame([(pdf[KEY].iloc[0], t, p, c[0.05], t < c[0.05])])
 
-    return pairs.groupBy(KEY).applyInPandas(run, "series_id string, statistic double, lags long, crit_5 double, cointegrated boolean")
+def adf(df: DataFrame, max_lag: int | None = None) -> DataFrame:
+    """(series_id, statistic, lags, p, crit_1, crit_5, crit_10, stationary at 5 %); the statistic of a constant or very short series is NULL or without meaning."""
+    t = F.col("statistic")
+    crit = {f"crit_{n}": _points(ADF_POINTS, n / 100) for n in (1, 5, 10)}
+    out = _dickey_fuller(df, max_lag).withColumns({"p": unit_root_p(t, ADF_P), **crit}).withColumn("stationary", t < F.col("crit_5"))
+    return out.select(KEY, "statistic", "lags", "p", *crit, "stationary")
+
+
+def cointegration(pairs: DataFrame) -> DataFrame:
+    """Engle and Granger's test of (series_id, ts, y, x): statistic of the residuals of y on x, its lags, p and the 5 % point."""
+    known = pairs.where("y IS NOT NULL AND x IS NOT NULL")
+    line = known.groupBy(F.col(KEY).alias("r_")).agg(F.regr_slope("y", "x").alias("b_"), F.regr_intercept("y", "x").alias("a_"))
+    rest = known.join(line, F.col(KEY).eqNullSafe(F.col("r_"))).select(KEY, "ts", (F.col("y") - F.col("a_") - F.col("b_") * F.col("x")).alias("y"))
+    t = F.col("statistic")
+    out = _dickey_fuller(rest, None).withColumns({"p": unit_root_p(t, EG_P), "crit_5": _points(EG_POINTS, 0.05)})
+    return out.select(KEY, "statistic", "lags", "p", "crit_5", (t < F.col("crit_5")).alias("cointegrated"))
 
 
 def beta_tail(a: float, b: float, x: float) -> float:
@@ -162,26 +191,25 @@ def f_tail(f: float, d1: int, d2: int) -> float:
     return beta_tail(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
-def normal_cdf(x: float) -> float:
-    return 0.5 * (1 + erf(x / 2**0.5))
-
-
 def granger(pairs: DataFrame, lags: int = 2) -> DataFrame:
-    """Whether lags of x help to explain y of (series_id, ts, y, x): F, p and p < 0.05."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        own, want = design(pdf["y"].to_numpy(float), list(range(1, lags + 1)))
-        other, _ = design(pdf["x"].to_numpy(float), list(range(1, lags + 1)))
-        _, short = ols(own, want)
-        both = np.column_stack([own, other[:, 1:]])
-        _, full = ols(both, want)
-        d2 = len(want) - both.shape[1]
-        f = ((short @ short - full @ full) / lags) / (full @ full / d2)
-        p = f_tail(float(f), lags, d2)
-        return pd.DataFrame([(pdf[KEY].iloc[0], float(f), p, p < 0.05)])
-
-    return pairs.groupBy(KEY).applyInPandas(run, "series_id string, f double, p double, causes boolean")
+    """Whether lags of x help to explain y of (series_id, ts, y, x): F, p and p < 0.05, from one aggregate of sums of products."""
+    known = pairs.where("y IS NOT NULL AND x IS NOT NULL")
+    mean = known.groupBy(F.col(KEY).alias("s_")).agg(F.avg("y").alias("my_"), F.avg("x").alias("mx_"))
+    w = W.partitionBy(KEY).orderBy("ts")
+    rows = known.join(mean, F.col(KEY).eqNullSafe(F.col("s_"))).withColumns({"y_": F.col("y") - F.col("my_"), "x_": F.col("x") - F.col("mx_")})
+    rows = rows.withColumns({f"{c}{k}_": F.lag(f"{c}_", k).over(w) for c in "yx" for k in range(1, lags + 1)})
+    cols = [F.lit(1.0), *(F.col(f"{c}{k}_") for c in "yx" for k in range(1, lags + 1)), F.col("y_")]
+
+    def test(n: int, g: np.ndarray) -> tuple:
+        free = n - 2 * lags - 1
+        if free < 1:
+            return None, None, None
+        short, full = (fitted(g, list(range(1 + k)), len(g) - 1)[1] for k in (lags, 2 * lags))
+        f = ((short - full) / lags) / max(full / free, 1e-300)
+        p = f_tail(float(f), lags, free)
+        return float(f), p, p < 0.05
+
+    return solved(products(rows, KEY, cols, F.col(f"x{lags}_").isNotNull()), KEY, test, "f double, p double, causes boolean")
 
 
 def residual_panel(df: DataFrame, bins: int = 20, nlags: int = 10, quantiles: int = 20, col: str = "e") -> DataFrame:

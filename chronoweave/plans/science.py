@@ -53,6 +53,16 @@ _ACF = (
 )
 
 
+def _p_sql(t: str, table: tuple) -> str:
+    """unit_root_p() in SQL."""
+    low, high, split, small, large = table
+    polynomial = lambda cs: " + ".join(f"({c}) * ({t}) ** {i}" for i, c in enumerate(cs))
+    z = f"(CASE WHEN {t} <= {split} THEN {polynomial(small)} ELSE {polynomial(large)} END)"
+    x = f"(abs({z}) / sqrt(2))"
+    tail = f"(0.5 * (" + " + ".join(f"({c}) / (1 + 0.3275911 * {x}) ** {i + 1}" for i, c in enumerate(G.ERF)) + f") * exp(-{x} * {x}))"
+    return f"round(CASE WHEN {t} > {high} THEN 1 WHEN {t} < {low} THEN 0 WHEN {z} < 0 THEN {tail} ELSE 1 - {tail} END, 6)"
+
+
 @query(f"WITH {FULL}, {_ACF} SELECT series_id, lag, round(r, 6) AS r FROM acf")
 def acf_24(spark, d):
     return rounded(G.acf(hourly_full(spark, d), 24))
@@ -179,7 +189,7 @@ def pacf_24(spark, d):
 
 
 @query(
-    f"WITH RECURSIVE {FULL}, e AS (SELECT * FROM p), {_ADF} SELECT series_id, round(t, 6) AS statistic, lags, round(-3.43035 - 6.5393 / rows - 16.786 / rows ** 2, 6) AS crit_1, "
+    f"WITH RECURSIVE {FULL}, e AS (SELECT * FROM p), {_ADF} SELECT series_id, round(t, 6) AS statistic, lags, {_p_sql('t', G.ADF_P)} AS p, round(-3.43035 - 6.5393 / rows - 16.786 / rows ** 2, 6) AS crit_1, "
     "round(-2.86154 - 2.8903 / rows - 4.234 / rows ** 2, 6) AS crit_5, round(-2.56677 - 1.5384 / rows - 2.809 / rows ** 2, 6) AS crit_10, t < -2.86154 - 2.8903 / rows - 4.234 / rows ** 2 AS stationary FROM best"
 )
 def adf_test(spark, d):
@@ -197,7 +207,7 @@ _PAIRS = f"{DAILY}, {SHIPPED}, q AS (SELECT 'orders~lines' AS series_id, ts, d.y
 @query(
     f"WITH RECURSIVE {_PAIRS}, g AS (SELECT series_id, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM q GROUP BY 1), e AS (SELECT series_id, ts, y - a - b * x AS y FROM q JOIN g USING (series_id)), "
     f"{_ADF.replace('l AS (SELECT', 'lv AS (SELECT').replace('FROM l)', 'FROM lv)').replace('JOIN l b', 'JOIN lv b')} "
-    "SELECT series_id, round(t, 6) AS statistic, lags, round(-3.33613 - 6.1101 / rows - 6.823 / rows ** 2, 6) AS crit_5, t < -3.33613 - 6.1101 / rows - 6.823 / rows ** 2 AS cointegrated FROM best"
+    f"SELECT series_id, round(t, 6) AS statistic, lags, {_p_sql('t', G.EG_P)} AS p, round(-3.33613 - 6.1101 / rows - 6.823 / rows ** 2, 6) AS crit_5, t < -3.33613 - 6.1101 / rows - 6.823 / rows ** 2 AS cointegrated FROM best"
 )
 def cointegration_test(spark, d):
     return rounded(G.cointegration(_pairs(spark, d)))
@@ -251,7 +261,7 @@ def kalman_track(spark, d):
     return rounded(N.per_series(hourly_full(spark, d), N.kalman, "t long, position double, velocity double"))
 
 
-@query(f"WITH {FULL}, c AS (SELECT series_id, ts, y AS x, lead(y) OVER (PARTITION BY series_id ORDER BY ts) - y AS dy FROM p), r AS (SELECT series_id, count(dy) AS n, regr_slope(dy, x) AS b, regr_sxx(dy, x) AS xx, regr_syy(dy, x) AS yy FROM c WHERE dy IS NOT NULL GROUP BY 1), t AS (SELECT series_id, n, b / sqrt((yy - b * b * xx) / (n - 2) / xx) AS t FROM r) SELECT series_id, round(t, 6) AS statistic, 0 AS lags, round(-3.43035 - 6.5393 / n - 16.786 / n ** 2, 6) AS crit_1, round(-2.86154 - 2.8903 / n - 4.234 / n ** 2, 6) AS crit_5, round(-2.56677 - 1.5384 / n - 2.809 / n ** 2, 6) AS crit_10, t < -2.86154 - 2.8903 / n - 4.234 / n ** 2 AS stationary FROM t")
+@query(f"WITH {FULL}, c AS (SELECT series_id, ts, y AS x, lead(y) OVER (PARTITION BY series_id ORDER BY ts) - y AS dy FROM p), r AS (SELECT series_id, count(dy) AS n, regr_slope(dy, x) AS b, regr_sxx(dy, x) AS xx, regr_syy(dy, x) AS yy FROM c WHERE dy IS NOT NULL GROUP BY 1), t AS (SELECT series_id, n, b / sqrt((yy - b * b * xx) / (n - 2) / xx) AS t FROM r) SELECT series_id, round(t, 6) AS statistic, 0 AS lags, {_p_sql('t', G.ADF_P)} AS p, round(-3.43035 - 6.5393 / n - 16.786 / n ** 2, 6) AS crit_1, round(-2.86154 - 2.8903 / n - 4.234 / n ** 2, 6) AS crit_5, round(-2.56677 - 1.5384 / n - 2.809 / n ** 2, 6) AS crit_10, t < -2.86154 - 2.8903 / n - 4.234 / n ** 2 AS stationary FROM t")
 def dickey_fuller(spark, d):
     """The test without lags of differences; adf_test chooses their number."""
     return rounded(G.adf(hourly_full(spark, d), 0))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 import wave
 
 import numpy as np
@@ -229,10 +230,44 @@ def test_partial_autocorrelation_of_ar1():
     assert diagnostics.durbin_levinson(r) == pytest.approx([1, 0.5, 0, 0, 0, 0], abs=1e-12)
 
 
-def test_adf_tells_noise_from_a_walk():
-    rng = np.random.default_rng(3)
-    assert diagnostics.adf_statistic(rng.standard_normal(400))[0] < -2.9
-    assert diagnostics.adf_statistic(np.cumsum(rng.standard_normal(400)))[0] > -2.9
+def plain_adf(y, top):
+    """The regressions one by one on common rows."""
+    dy, best = np.diff(y), None
+    for p in range(top + 1):
+        at = np.arange(top, len(dy))
+        x = np.column_stack([np.ones(len(at)), y[at], *(dy[at - k] for k in range(1, p + 1))])
+        b = np.linalg.lstsq(x, dy[at], rcond=None)[0]
+        e = dy[at] - x @ b
+        aic = len(at) * math.log(e @ e / len(at)) + 2 * x.shape[1]
+        t = b[1] / math.sqrt(e @ e / (len(at) - x.shape[1]) * np.linalg.inv(x.T @ x)[1, 1])
+        if best is None or aic < best[0]:
+            best = (aic, t, p)
+    return best[1:]
+
+
+def test_adf_tells_noise_from_a_walk(spark):
+    rng = np.random.default_rng(1)
+    series = {"noise": 1e5 + rng.standard_normal(400), "walk": np.cumsum(rng.standard_normal(400)), "short": rng.standard_normal(60), "tiny": np.array([1.0, 2.0])}
+    rows = [(s, day(i), float(v)) for s, y in series.items() for i, v in enumerate(y)]
+    got = {r["series_id"]: r for r in diagnostics.adf(spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, y double")).collect()}
+    for s, y in series.items():
+        if s == "tiny":
+            assert got[s]["statistic"] is None and got[s]["p"] is None
+            continue
+        t, lags = plain_adf(y, min(int(12 * (len(y) / 100) ** 0.25), max(0, len(y) // 2 - 3)))
+        assert got[s]["statistic"] == pytest.approx(t, rel=1e-6) and got[s]["lags"] == lags
+    assert got["noise"]["stationary"] and got["noise"]["p"] < 0.01 and not got["walk"]["stationary"] and got["walk"]["p"] > 0.05
+
+
+def test_p_values_agree_with_the_published_points(spark):
+    tables = ((diagnostics.ADF_P, diagnostics.ADF_POINTS), (diagnostics.EG_P, diagnostics.EG_POINTS))
+    for table, points in tables:
+        rows = [(level, c[0]) for level, c in points.items()] + [(0.0, -30.0), (1.0, 5.0)]
+        out = spark.createDataFrame(rows, "level double, t double").select("level", diagnostics.unit_root_p(F.col("t"), table).alias("p")).collect()
+        assert all(r["p"] == pytest.approx(r["level"], abs=0.002) for r in out)
+    z = [-4.0, -1.0, 0.0, 0.5, 3.0]
+    got = spark.createDataFrame([(v,) for v in z], "z double").select(diagnostics.normal_cdf_column(F.col("z"))).collect()
+    assert [r[0] for r in got] == pytest.approx([0.5 * (1 + math.erf(v / 2**0.5)) for v in z], abs=2e-7)
 
 
 def test_f_tail():
