@@ -55,55 +55,6 @@ def kalman(y: np.ndarray, dt: float = 0.1, q: float = 0.1, r: float = 1.0) -> pd
     return pd.DataFrame({"t": np.arange(len(y)), "position": out[:, 0], "velocity": out[:, 1]})
 
 
-def var_fit(y: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients (1 + p * k rows, k columns) and residuals of a vector autoregression."""
-    x = np.column_stack([np.ones(len(y) - p)] + [y[p - i : len(y) - i] for i in range(1, p + 1)])
-    b = np.linalg.lstsq(x, y[p:], rcond=None)[0]
-    return b, y[p:] - x @ b
-
-
-def var_order(y: np.ndarray, top: int = 15) -> int:
-    """The order with the least AIC on common rows."""
-    best = []
-    for p in range(1, min(top, len(y) // (3 * y.shape[1])) + 1):
-        _, e = var_fit(y[top - p :] if len(y) > 2 * top else y, p)
-        best.append((np.linalg.slogdet(e.T @ e / len(e))[1] + 2 * p * y.shape[1] ** 2 / len(e), p))
-    return min(best)[1]
-
-
-def var_path(y: np.ndarray, b: np.ndarray, h: int) -> np.ndarray:
-    p, past = (len(b) - 1) // y.shape[1], list(y)
-    for _ in range(h):
-        past.append(b[0] + sum(past[-i] @ b[1 + (i - 1) * y.shape[1] : 1 + i * y.shape[1]] for i in range(1, p + 1)))
-    return np.array(past[len(y) :])
-
-
-def varma_path(y: np.ndarray, p: int, h: int) -> np.ndarray:
-    """VARMA(p, 1): shocks from a long VAR, then one regression on lags and the last shock; shocks to come are 0."""
-    long = p + 4
-    _, e = var_fit(y, long)
-    z = y[long:]
-    x = np.column_stack([np.ones(len(z) - p)] + [z[p - i : len(z) - i] for i in range(1, p + 1)] + [e[p - 1 : -1]])
-    b = np.linalg.lstsq(x, z[p:], rcond=None)[0]
-    k, past, shock = y.shape[1], list(z), e[-1]
-    for _ in range(h):
-        past.append(b[0] + sum(past[-i] @ b[1 + (i - 1) * k : 1 + i * k] for i in range(1, p + 1)) + shock @ b[1 + p * k :])
-        shock = np.zeros(k)
-    return np.array(past[len(z) :])
-
-
-def impulse(b: np.ndarray, k: int, periods: int, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Structural responses psi (periods, k, k) for A e = u, and each shock's share of the forecast variance."""
-    p, inv = (len(b) - 1) // k, np.linalg.inv(a)
-    phi = [b[1 + i * k : 1 + (i + 1) * k].T for i in range(p)]
-    psi = [inv]
-    for i in range(1, periods):
-        psi.append(sum(phi[j] @ psi[i - 1 - j] for j in range(min(i, p))))
-    psi = np.array(psi)
-    total = np.cumsum(psi**2, axis=0)
-    return psi, total / total.sum(axis=2, keepdims=True)
-
-
 def garch(r: np.ndarray, arch_only: bool = False) -> np.ndarray:
     """omega, alpha, beta by Gaussian quasi-likelihood (beta 0 for ARCH(1))."""
     e = r - r.mean()

@@ -528,8 +528,16 @@ def naive(season: int = 1) -> Model:
     return fit
 
 
-def average() -> Model:
-    return lambda y, h: (np.full(h, y.mean()), np.full(h, y.std()))
+def average(last: int | None = None) -> Model:
+    """The mean of all values, or of the last so many."""
+
+    def fit(y: np.ndarray, h: int):
+        if last and len(y) < last:
+            raise ValueError("too short")
+        held = y[-last:] if last else y
+        return np.full(h, held.mean()), np.full(h, held.std())
+
+    return fit
 
 
 #: Models by name; a user adds their own.

@@ -11,6 +11,7 @@ from chronoweave.operators import decompose as D
 from chronoweave.operators import diagnostics as G
 from chronoweave.operators import evaluate as V
 from chronoweave.operators import models as M
+from chronoweave.operators import tuning
 from chronoweave.operators import windows as X
 from chronoweave.plans.panels import DAILY, FULL, SHIPPED, daily, hourly_full, rounded, shipped, table
 
@@ -237,6 +238,26 @@ def leaderboard(spark, d):
     return board.unionByName(V.score(stacked.withColumn("model", F.lit("top3_mean")), ["series_id", "model"]))
 
 
+#: Candidates of tuned_models: what SQL can say too.
+_CANDIDATES = [*(("naive", {"season": m}) for m in (1, 2, 12, 24, 48)), *(("average", {"last": m}) for m in (6, 24, 72))]
+
+
+@query(
+    f"WITH {FULL}, r AS (SELECT series_id, y, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) - 1 AS r FROM p), l AS (SELECT series_id, list(y ORDER BY r) AS x FROM r GROUP BY 1), "
+    "c(candidate, model, m) AS (VALUES " + ", ".join(f"({i}, '{n}', {next(iter(p.values()))})" for i, (n, p) in enumerate(_CANDIDATES)) + "), "
+    "e AS (SELECT series_id, candidate, model, m, k, CASE WHEN len(x) >= 24 * k + 24 + m THEN list_avg(list_transform(range(1, 25), lambda h: (x[24 * k + 25 - h] - CASE WHEN model = 'naive' THEN x[24 * k + 24 + m - (h - 1) % m] ELSE list_avg(x[24 * k + 25:24 * k + 24 + m]) END) ** 2)) END AS e "
+    "FROM l, c, (SELECT unnest(range(4)) AS k)), "
+    + ", ".join(
+        f"s{i} AS (SELECT series_id, candidate, model, m, CASE WHEN count(e) = {n} THEN sqrt(avg(e)) END AS rmse FROM e WHERE k < {n}{f' AND (series_id, candidate) IN (SELECT (series_id, candidate) FROM s{i - 1})' if i else ''} GROUP BY series_id, candidate, model, m QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(rmse, 9) NULLS LAST, candidate) <= {left})"
+        for i, (n, left) in enumerate(((1, 4), (2, 2), (4, 1)))
+    )
+    + " SELECT series_id, candidate::BIGINT AS candidate, model, CASE WHEN model = 'naive' THEN '{\"season\": ' ELSE '{\"last\": ' END || m || '}' AS params, 4::BIGINT AS cutoffs, round(rmse, 6) AS rmse FROM s2"
+)
+def tuned_models(spark, d):
+    """Of eight models the best a day ahead for each hourly series: all from one cutoff, the best four from two, the best two from four."""
+    return rounded(tuning.successive_halving(hourly_full(spark, d), _CANDIDATES, 24))
+
+
 def _features(spark, d):
     p = M.calendar_lags(hourly_full(spark, d), {k: F.lag("y", k).over(X.ordered()) for k in (1, 2, 24)}).dropna()
     return VectorAssembler(inputCols=M.feature_names((1, 2, 24)), outputCol="features").transform(V.holdout(p, 24))

@@ -11,6 +11,7 @@ from chronoweave.operators import aggregates as A
 from chronoweave.operators import diagnostics as G
 from chronoweave.operators import dynamics as N
 from chronoweave.operators import manifold as M
+from chronoweave.operators import multivariate as V
 from chronoweave.operators import sampled as P
 from chronoweave.operators import signal as S
 from chronoweave.operators import text as T
@@ -294,31 +295,18 @@ def dtw_pairs(spark, d):
     return prof.join(other, F.col("series_id") < F.col("other")).select("series_id", "other", F.round(distance("v", "w"), 6).alias("dtw"))
 
 
-def _wide(spark, d):
-    """The stated pair of clicks and views; other series are left out."""
-    p = hourly_full(spark, d).where("series_id IN ('click', 'view')")
-    return p.groupBy("ts").pivot("series_id", ["click", "view"]).agg(F.first("y")).dropna().withColumn("series_id", F.lit("click~view"))
-
-
 @query()
 def var_forecast(spark, d):
-    def f(v):
-        p = N.var_order(v)
-        out = N.var_path(v, N.var_fit(v, p)[0], 24)
-        mixed = N.varma_path(v, 1, 24)
-        return pd.DataFrame({"h": np.arange(1, 25), "order": p, "click": out[:, 0], "view": out[:, 1], "click_varma": mixed[:, 0], "view_varma": mixed[:, 1]})
-
-    return N.per_series(_wide(spark, d), f, "h long, order long, click double, view double, click_varma double, view_varma double", "click", "view")
+    """A day ahead for every pair of event types, by vector autoregressions with and without a moving average."""
+    with intermediate(spark) as keep:
+        both = materialise(V.pairs(hourly_full(spark, d)), "pairs")
+        mixed = V.varma_forecast(both, ["a", "b"], 24).select("series_id", "h", F.col("a").alias("a_varma"), F.col("b").alias("b_varma"))
+        return keep(V.var_forecast(both, ["a", "b"], 24).join(mixed, ["series_id", "h"]))
 
 
 @query()
 def impulse_response(spark, d):
-    def f(v):
-        psi, share = N.impulse(N.var_fit(v, 2)[0], 2, 20, np.array([[1.0, 0.0], [-0.5, 1.0]]))
-        t, i, j = np.indices(psi.shape)
-        return pd.DataFrame({"t": t.ravel(), "of": i.ravel(), "shock": j.ravel(), "response": psi.ravel(), "share": share.ravel()})
-
-    return N.per_series(_wide(spark, d), f, "t long, of long, shock long, response double, share double", "click", "view")
+    return V.impulse_responses(V.pairs(hourly_full(spark, d)), ["a", "b"], 2, 20, np.array([[1.0, 0.0], [-0.5, 1.0]]))
 
 
 @query()
