@@ -64,7 +64,7 @@ def op9_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fingerprint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The block tables of op9's operator, which the contract of op9 doesn't ask for."""
-    return near_fingerprints(_documents(spark, sf_dir), radius=7)
+    return near_fingerprints(_documents(spark, sf_dir), radius=16, together=2)
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.arrow import map_texts, with_id_and_text
+from chronoweave.llm.arrow import map_texts, slices, with_id_and_text
 from chronoweave.llm.buckets import bucket_components
 from chronoweave.llm.hashing import WordCodes, constants, mix, words_of
 from chronoweave.session import intermediate, materialise
@@ -90,28 +91,32 @@ class BitTest:
         return i != j
 
 
-def within_radius(prints: DataFrame, radius: int, bits: int = 256) -> DataFrame:
+def within_radius(prints: DataFrame, radius: int, bits: int = 256, together: int = 1) -> DataFrame:
     """(doc_id, fingerprint, component_id): groups of fingerprints linked by at most ``radius`` different bits.
 
-    The bits, dealt out by a fixed permutation, are cut into radius + 1 blocks, one
-    table each: two fingerprints within the radius agree in at least one whole
-    block and so meet in its table. Equal fingerprints are one class; a table's
+    The bits, dealt out by a fixed permutation, are cut into radius + together blocks: two fingerprints within the
+    radius differ in at most ``radius`` of them and agree in ``together`` whole ones. There is a table for every choice of so many
+    blocks, keyed by their bits, so that they meet in one of the tables; more blocks together make keys longer, and buckets of
+    unlike texts rarer, for more tables. Equal fingerprints are one class; a table's
     bucket is compared as bucket_components() says.
     """
     order = np.random.default_rng(13).permutation(bits)
-    cuts = np.array_split(order, radius + 1)
+    cuts = np.array_split(order, radius + together)
+    choices = list(combinations(range(len(cuts)), together))
     classes = materialise(prints.where(F.col("doc_id").isNotNull() & F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "classes")
 
     def tables(batches):
-        names = constants(radius + 1, 31)
-        for part in batches:
-            if not part.num_rows:
-                continue
+        names, widths = constants(len(choices), 31), [np.uint64(1) << np.arange(len(cut), dtype=np.uint64) for cut in cuts]
+        for part in slices(batches):
             raw = np.frombuffer(bytes.fromhex("".join(part.column(1).to_pylist())), np.uint8).reshape(part.num_rows, -1)
             each = np.unpackbits(raw, axis=1)
-            for cut, name in zip(cuts, names):
-                key = [int.from_bytes(hashlib.blake2b(np.packbits(x).tobytes(), digest_size=8, key=name.tobytes()).digest(), "little", signed=True) for x in each[:, cut]]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key, pa.int64())], names=["id", "key"])
+            codes = [each[:, cut].astype(np.uint64) @ width for cut, width in zip(cuts, widths)]
+            with np.errstate(over="ignore"):
+                for choice, name in zip(choices, names):
+                    key = np.full(part.num_rows, name)
+                    for block in choice:
+                        key = mix(key + codes[block])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key.view(np.int64))], names=["id", "key"])
 
     banded = classes.select("id", "fingerprint").mapInArrow(tables, "id long, key long")
     of = lambda c: classes.select(F.col("id").alias(c), F.col("fingerprint").alias(f"f_{c}"))
@@ -127,19 +132,20 @@ def within_radius(prints: DataFrame, radius: int, bits: int = 256) -> DataFrame:
     return named.select("doc_id", "fingerprint", F.coalesce("component", "id", "doc_id").alias("component_id"))
 
 
-def near_fingerprints(docs: DataFrame, radius: int = 7, bits: int = 256) -> DataFrame:
+def near_fingerprints(docs: DataFrame, radius: int = 16, bits: int = 256, together: int = 2) -> DataFrame:
     """doc_id, fingerprint and component_id of every row of docs: fingerprints linked by at most ``radius`` different bits.
 
     Every text is hashed once. A component is named by the smallest doc_id that has one of its fingerprints; texts
     without words, null and empty ones included, share the fingerprint of no votes
     and are one group. A row without a doc_id doesn't name a group; if no other row has its
     fingerprint, its component is null. Rows that share a doc_id have a line each.
-    Further columns don't matter; no rows give no rows. A table's blocks are of bits / (radius + 1) bits,
-    32 by default, which keeps buckets of unlike texts small up to billions of different fingerprints.
+    Further columns don't matter; no rows give no rows. Near copies' fingerprints lie some 14 to 25 bits apart, so that a radius of 16
+    finds the nearer ones; its 18 blocks make 153 tables keyed by two blocks, 28 bits, which keeps buckets of unlike
+    texts small up to a hundred million different fingerprints (three together, 40 bits and 969 tables beyond).
     """
     with intermediate(docs.sparkSession) as keep:
         prints = materialise(fingerprint(docs, bits), "prints")
-        return keep(materialise(within_radius(prints, radius, bits), "groups"))
+        return keep(materialise(within_radius(prints, radius, bits, together), "groups"))
 
 
 _PAIRED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

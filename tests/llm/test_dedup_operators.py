@@ -300,8 +300,9 @@ def test_block_tables_find_all_within_the_radius(spark):
     prints = SimHash(64).fingerprints(texts)
     apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
     want = components(len(texts), lambda i, j: apart[i, j] <= 5)
-    got = {r["doc_id"]: r["component_id"] for r in within_radius(fingerprint(d, 64), 5, 64).collect()}
-    assert got == dict(enumerate(want))
+    for together in (1, 2, 3):
+        got = {r["doc_id"]: r["component_id"] for r in within_radius(fingerprint(d, 64), 5, 64, together).collect()}
+        assert got == dict(enumerate(want))
 
 
 def test_near_fingerprints_odd_rows(spark):
@@ -322,10 +323,12 @@ def test_near_fingerprints_odd_rows(spark):
 
 
 def test_registered_fingerprint_groups(spark):
-    """The registered radius and bits against all pairs, on the smallest table."""
-    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    """The registered radius and bits against all pairs, on a whole table; unlike fingerprints are linked too."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     prints = SimHash().fingerprints([r["text"] or "" for r in rows])
-    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
-    root = components(len(rows), lambda i, j: apart[i, j] <= 7)
-    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in QUERIES["fingerprint_groups"](spark, "/root/testdata/sf0.001").collect()}
+    words = prints.view(np.uint64)
+    near = [set(np.flatnonzero(np.bitwise_count(words ^ w).sum(axis=1) <= 16).tolist()) for w in words]
+    assert any((words[i] != words[j]).any() for i, others in enumerate(near) for j in others)
+    root = components(len(rows), lambda i, j: j in near[i])
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in QUERIES["fingerprint_groups"](spark, "/root/testdata/sf0.01").collect()}
     assert got == {r["doc_id"]: (p.tobytes().hex(), rows[c]["doc_id"]) for r, p, c in zip(rows, prints, root)}
