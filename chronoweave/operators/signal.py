@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.operators.windows import numbered
@@ -109,9 +109,10 @@ def ellipse(df: DataFrame, x: str, y: str, by: str = KEY, points: int = 100) ->
     return s.select(by, F.col("i").cast("long").alias("i"), (F.col("mx") + px * F.cos("tilt") - py * F.sin("tilt")).alias("x"), (F.col("my") + px * F.sin("tilt") + py * F.cos("tilt")).alias("y"))
 
 
-def impulse_curve(spark: SparkSession, n: int = 50, decay: float = 0.1, period: float = 10.0) -> DataFrame:
-    t = F.col("id").cast("double")
-    return spark.range(n).select(F.col("id").alias("t"), (F.exp(-decay * t) * F.sin(2 * np.pi * t / period)).alias("response"))
+def damped_wave(n: int, decay: float = 0.1, period: float = 10.0) -> list[float]:
+    """The response to an impulse at the times 0 to n - 1."""
+    t = np.arange(n)
+    return (np.exp(-decay * t) * np.sin(2 * np.pi * t / period)).tolist()
 
 
 def blend(pairs: DataFrame, source: str, target: str, steps: int = 50) -> DataFrame:

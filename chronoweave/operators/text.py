@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -77,6 +79,97 @@ def links(pages: DataFrame, html: str = "html", containing: str = "") -> DataFra
     return pages.select("page_id", found.alias("link")).where(F.contains("link", F.lit(containing)))
 
 
+# Elements that have no end tag.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_PART = re.compile(r"\s*(?P<child>>)?\s*(?P<tag>\*|[\w-]+)?(?P<rest>(?:[.#][\w-]+|\[[\w-]+(?:[*^$]?=(?:\"[^\"]*\"|'[^']*'|[^\]]*))?\])*)")
+_TERM = re.compile(r"([.#])([\w-]+)|\[([\w-]+)(?:([*^$]?=)(?:\"([^\"]*)\"|'([^']*)'|([^\]]*)))?\]")
+
+
+def compiled(selector: str) -> list[tuple[bool, Callable[[str, dict], bool]]]:
+    """The steps of a selector: whether each must be a child of the one before, and its test of a tag and its attributes.
+
+    Understood are tags, ``*``, .class, #id, [name], [name=value] (also ``*=``, ``^=``, ``$=``), descendants and ``>``.
+    """
+    steps, at = [], 0
+    while at < len(selector.rstrip()):
+        m = _PART.match(selector, at)
+        if m.end() == at or not (m["tag"] or m["rest"]):
+            raise ValueError(f"not a selector: {selector!r}")
+        terms = [(k, n, a, op or "", next((v for v in (x, y, z) if v is not None and v != ""), "")) for k, n, a, op, x, y, z in _TERM.findall(m["rest"])]
+
+        def test(tag: str, attrs: dict, want=m["tag"], terms=terms) -> bool:
+            if want not in (None, "*", tag):
+                return False
+            for kind, name, attr, op, value in terms:
+                if kind:
+                    have = attrs.get("class" if kind == "." else "id") or ""
+                    if name not in have.split() if kind == "." else name != have:
+                        return False
+                    continue
+                have = attrs.get(attr)
+                fits = {"": lambda: True, "=": lambda: have == value, "*=": lambda: value in have, "^=": lambda: have.startswith(value), "$=": lambda: have.endswith(value)}
+                if attr not in attrs or op and (have is None or not fits[op]()):
+                    return False
+            return True
+
+        steps.append((bool(m["child"]), test))
+        at = m.end()
+    return steps
+
+
+class _Matches(HTMLParser):
+    """The attribute of every element that a selector's steps lead to, in the page's order; ends that are missing close with the element around them."""
+
+    def __init__(self, steps: list, attribute: str):
+        super().__init__()
+        self.steps, self.attribute, self.found = steps, attribute, []
+        self.path: list[tuple[str, frozenset]] = []  # open elements: tag, and the numbers of steps that end in it
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        within = frozenset().union(*(met for _, met in self.path))
+        above = self.path[-1][1] if self.path else frozenset()
+        met = frozenset(i for i, (child, test) in enumerate(self.steps) if (i == 0 and not (child and self.path) or i and i - 1 in (above if child else within)) and test(tag, attrs))
+        if len(self.steps) - 1 in met and attrs.get(self.attribute) is not None:
+            self.found.append(attrs[self.attribute])
+        if tag not in VOID:
+            self.path.append((tag, met))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.path.pop()
+
+    def handle_endtag(self, tag):
+        for i in range(len(self.path) - 1, -1, -1):
+            if self.path[i][0] == tag:
+                del self.path[i:]
+                break
+
+
+def selected(pages: DataFrame, selector: str, attribute: str = "href", html: str = "html") -> DataFrame:
+    """(page_id, place, value): an attribute of every element that a selector matches, in the page's order from 0.
+
+    Pages are parsed, so that quoting, entities and comments are what a browser takes them for; a null page has no elements.
+    """
+    compiled(selector)  # an error at once, not in a task
+
+    def run(batches):
+        steps = compiled(selector)
+        for b in batches:
+            owner, place, value = [], [], []
+            for page, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                m = _Matches(steps, attribute)
+                m.feed(text or "")
+                m.close()
+                owner += [page] * len(m.found)
+                place += range(len(m.found))
+                value += m.found
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(place, pa.int64()), pa.array(value, pa.string())], names=["page_id", "place", "value"])
+
+    return pages.select("page_id", html).mapInArrow(run, "page_id long, place long, value string")
+
+
 class _Record(HTMLParser):
     """Title, paragraphs and dt / dd pairs of a page."""
 

@@ -44,9 +44,18 @@ def asfreq_15min(spark, d):
     return rounded(grid.on_grid(grid.resample(raw_events(spark, d), "15min"), "15min"))
 
 
-@query("SELECT strftime(d, '%Y-%m-%d') AS d FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-03-31', INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6")
+@query("SELECT strftime(d, '%Y-%m-%d') AS d FROM (SELECT unnest(generate_series(min(o_orderdate)::DATE, max(o_orderdate)::DATE, INTERVAL 1 DAY)) AS d FROM orders) WHERE isodow(d) < 6")
 def business_days(spark, d):
-    return grid.date_range(spark, "2024-01-01", "2024-03-31", "B").select(F.date_format("d", "yyyy-MM-dd").alias("d"))
+    """Business days from the first order's day to the last one's."""
+    ends = table(spark, d, "orders").agg(*(f(F.col("o_orderdate").cast("date")).cast("string").alias(n) for f, n in ((F.min, "first"), (F.max, "last")))).first()
+    return grid.date_range(spark, ends["first"], ends["last"], "B").select(F.date_format("d", "yyyy-MM-dd").alias("d"))
+
+
+@query("SELECT strftime(d, '%Y-%m-%d') AS d FROM (SELECT unnest(generate_series(min(ts)::DATE, max(ts)::DATE + 60, INTERVAL 1 DAY)) AS d FROM events) WHERE d = last_day(d)")
+def month_ends(spark, d):
+    """Month ends from the first event's day to 60 days after the last one's."""
+    ends = table(spark, d, "events").agg(F.min("ts").cast("date").cast("string").alias("first"), F.date_add(F.max("ts").cast("date"), 60).cast("string").alias("last")).first()
+    return grid.date_range(spark, ends["first"], ends["last"], "ME").select(F.date_format("d", "yyyy-MM-dd").alias("d"))
 
 
 @query(f"WITH {FULL} SELECT series_id, ts, round(y, 6) AS y FROM p")
@@ -252,13 +261,24 @@ def json_prop_extract(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
 
 
-_DIRTY = "(VALUES ('1,234', '1/15/2024 3:04 PM', '1.2K'), ('abc', 'no date', '15'), ('7.5', '12/1/2023 11:59 AM', '2.5M'), (NULL, NULL, NULL)) AS t(a, b, c)"
+#: Orders as an untidy file would show them: thousands commas, a missing word, times with AM and PM, counts in K and M.
+_DIRTY = (
+    "t AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' WHEN o_orderkey % 3 = 0 THEN (o_orderkey * 1000)::VARCHAR ELSE (o_custkey // 1000)::VARCHAR || ',' || lpad((o_custkey % 1000)::VARCHAR, 3, '0') || CASE WHEN o_orderkey % 2 = 0 THEN '.5' ELSE '' END END AS a, "
+    "CASE WHEN o_orderkey % 5 = 0 THEN 'no date' ELSE strftime(o_orderdate + to_minutes((o_orderkey % 1440)::INT), '%-m/%-d/%Y %-I:%M %p') END AS b, (o_custkey % 90)::VARCHAR || CASE WHEN o_orderkey % 4 = 0 THEN '.5K' WHEN o_orderkey % 4 = 1 THEN 'M' ELSE '' END AS c FROM orders)"
+)
 
 
-@query(f"SELECT a, TRY_CAST(replace(a, ',', '') AS DOUBLE) AS x, CASE WHEN a IS NOT NULL THEN TRY_CAST(replace(a, ',', '') AS DOUBLE) IS NOT NULL AND strpos(a, '.') = 0 END AS whole, try_strptime(b, '%m/%d/%Y %I:%M %p') AS t, round(TRY_CAST(regexp_replace(c, '[KM]$', '') AS DOUBLE) * CASE WHEN c LIKE '%K' THEN 1000 WHEN c LIKE '%M' THEN 1000000 ELSE 1 END, 2) AS n FROM {_DIRTY}")
+@query(f"WITH {_DIRTY} SELECT k, a, TRY_CAST(replace(a, ',', '') AS DOUBLE) AS x, TRY_CAST(replace(a, ',', '') AS DOUBLE) IS NOT NULL AND strpos(a, '.') = 0 AS whole, try_strptime(b, '%m/%d/%Y %I:%M %p') AS t, round(TRY_CAST(regexp_replace(c, '[KM]$', '') AS DOUBLE) * CASE WHEN c LIKE '%K' THEN 1000 WHEN c LIKE '%M' THEN 1000000 ELSE 1 END, 2) AS n FROM t")
 def parse_coerce(spark, d):
-    t = spark.sql(f"SELECT * FROM {_DIRTY}")
-    return t.select("a", clean.to_number("a").alias("x"), F.when(F.col("a").isNotNull(), clean.to_whole("a").isNotNull()).alias("whole"), clean.to_time("b", "M/d/yyyy h:mm a").alias("t"), F.round(clean.suffixed_number("c"), 2).alias("n"))
+    """Orders' keys, days and customers, written untidily and read back."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    number = F.concat(F.floor(c / 1000), F.lit(","), F.lpad((c % 1000).cast("string"), 3, "0"), F.when(k % 2 == 0, ".5").otherwise(""))
+    a = F.when(k % 7 == 0, "n/a").when(k % 3 == 0, (k * 1000).cast("string")).otherwise(number)
+    at = F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + k % 1440 * 60)
+    b = F.when(k % 5 == 0, "no date").otherwise(F.date_format(at, "M/d/yyyy h:mm a"))
+    n = F.concat(c % 90, F.when(k % 4 == 0, ".5K").when(k % 4 == 1, "M").otherwise(""))
+    t = table(spark, d, "orders").select(k.alias("k"), a.alias("a"), b.alias("b"), n.alias("c"))
+    return t.select("k", "a", clean.to_number("a").alias("x"), clean.to_whole("a").isNotNull().alias("whole"), clean.to_time("b", "M/d/yyyy h:mm a").alias("t"), F.round(clean.suffixed_number("c"), 2).alias("n"))
 
 
 @query("SELECT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS code, count(*) AS n FROM events GROUP BY event_type")

@@ -11,9 +11,11 @@ from chronoweave.operators import decompose as D
 from chronoweave.operators import diagnostics as G
 from chronoweave.operators import evaluate as V
 from chronoweave.operators import models as M
+from chronoweave.operators import trend as K
 from chronoweave.operators import tuning
 from chronoweave.operators import windows as X
 from chronoweave.plans.panels import DAILY, FULL, SHIPPED, daily, hourly_full, rounded, shipped, table
+from chronoweave.plans.science import _CROSS, _SWEEP
 
 _PART = "q AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS r FROM p), train AS (SELECT * FROM q WHERE r > 24), test AS (SELECT series_id, ts, y, 25 - r AS h FROM q WHERE r <= 24)"
 _METRICS = (
@@ -222,6 +224,12 @@ def holt_winters(spark, d):
     return _models("ets", "damped_trend", "theta", "fft")(spark, d)
 
 
+@query()
+def smoothing_choice(spark, d):
+    """Of six forms of smoothing the one with the least corrected AIC for each hourly series, a day ahead."""
+    return K.smoothing_choice(hourly_full(spark, d), 24)
+
+
 @query()
 def mlp_forecast(spark, d):
     return _models("mlp")(spark, d)
@@ -347,8 +355,16 @@ def panel_re(spark, d):
     return r.selectExpr("round(slope, 3) AS slope", "round(intercept, 3) AS intercept", "round(theta, 6) AS theta", "round(var_within / 1e6, 3) AS var_within", "round(var_entity / 1e6, 3) AS var_entity")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {FULL}, r AS (SELECT series_id, ts, y, [lag(y) OVER w, lag(y, 2) OVER w, lag(y, 24) OVER w, hour(ts), isodow(ts) - 1, y] AS xs FROM p WINDOW w AS (PARTITION BY series_id ORDER BY ts)), "
+    "f AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) > 24 AS train, row_number() OVER (ORDER BY series_id, ts) AS t FROM r WHERE xs[3] IS NOT NULL), "
+    "v AS (SELECT 'all' AS series_id, t, 6 AS d, unnest(range(6)) AS j, unnest(xs)::DOUBLE AS x FROM f WHERE train), " + _CROSS + ", " + _SWEEP + ", "
+    "b AS (SELECT list_transform(range(5), lambda i: a[i * 6 + 6]) AS b FROM w WHERE k = 5), means AS (SELECT list(x ORDER BY j) AS m FROM (SELECT j, avg(x) AS x FROM v GROUP BY j)), "
+    "g AS (SELECT series_id, y, m[6] + list_sum(list_transform(range(1, 6), lambda i: b[i] * (xs[i] - m[i]))) AS yhat FROM f, b, means WHERE NOT train) "
+    "SELECT series_id, count(*) AS n, round(avg((y - yhat) ** 2), 4) AS mse, round(sqrt(avg((y - yhat) ** 2)), 4) AS rmse, round(avg(abs(y - yhat)), 4) AS mae, round(avg(abs((y - yhat) / nullif(y, 0))), 4) AS mape, "
+    "round(avg(2 * abs(y - yhat) / nullif(abs(y) + abs(yhat), 0)), 4) AS smape, round(1 - sum((y - yhat) ** 2) / (var_pop(y) * count(*)), 4) AS r2 FROM g GROUP BY 1"
+)
 def calendar_regression(spark, d):
     from pyspark.ml.regression import LinearRegression
 
-    return _fitted(spark, d, LinearRegression(labelCol="y", solver="normal"))
+    return rounded(_fitted(spark, d, LinearRegression(labelCol="y", solver="normal")), 4)

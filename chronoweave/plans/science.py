@@ -15,6 +15,7 @@ from chronoweave.operators import multivariate as V
 from chronoweave.operators import sampled as P
 from chronoweave.operators import signal as S
 from chronoweave.operators import text as T
+from chronoweave.operators import trend as K
 from chronoweave.operators import windows as X
 from chronoweave.plans.panels import DAILY, FULL, SHIPPED, daily, hourly_full, rounded, shipped, table
 from chronoweave.session import intermediate, materialise
@@ -115,9 +116,14 @@ def domain_blend(spark, d):
     return S.blend(j, "s", "t").select(F.round("a", 6).alias("a"), F.round(F.col("mse") / 1e6, 4).alias("mse"))
 
 
-@query("SELECT t, round(exp(-0.1 * t) * sin(2 * pi() * t / 10), 6) + 0.0 AS response FROM (SELECT unnest(range(50)) AS t)")
+@query(
+    f"WITH {DAILY}, n AS (SELECT ts, y - lag(y) OVER (ORDER BY ts) AS step, row_number() OVER (ORDER BY ts) AS i FROM d), c AS (SELECT unnest(range(50)) AS t) "
+    "SELECT n.ts, round(sum(m.step * exp(-0.1 * t) * sin(2 * pi() * t / 10)), 4) + 0.0 AS response FROM n, c JOIN n m ON m.i = n.i - t WHERE n.i > 50 GROUP BY n.ts"
+)
 def impulse_curve(spark, d):
-    return S.impulse_curve(spark).select("t", (F.round("response", 6) + 0.0).alias("response"))
+    """What each day's change of the mean order price leaves behind: changes convolved with a damped wave over 50 days."""
+    steps = X.changes(daily(spark, d)).select("series_id", "ts", "diff")
+    return X.convolved(steps, S.damped_wave(50), "response", "diff").select("ts", (F.round("response", 4) + 0.0).alias("response"))
 
 
 @query(f"WITH {FULL}, c AS (SELECT series_id, ts, y, stddev_samp(y) OVER (PARTITION BY series_id) AS s FROM p) SELECT series_id, ts, round(y - 1.96 * s, 6) AS lo, round(y + 1.96 * s, 6) AS hi FROM c")
@@ -161,6 +167,12 @@ def page_links(spark, d):
     return T.links(table(spark, d, "pages"))
 
 
+@query("SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS place, value FROM (SELECT page_id, unnest(regexp_extract_all(n, '<li><a href=\"([^\"]*)\"', 1)) AS value, unnest(range(len(regexp_extract_all(n, '<li><a href=\"([^\"]*)\"', 1)))) AS k FROM (SELECT page_id, regexp_extract(html, '<nav>.*?</nav>', 0, 's') AS n FROM pages))")
+def selected_links(spark, d):
+    """Links of the pages' navigation, by a selector."""
+    return T.selected(table(spark, d, "pages"), "nav li > a[href]")
+
+
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
 def page_titles(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
@@ -391,9 +403,14 @@ def imputation(spark, d):
     return N.per_series(hourly_full(spark, d), f, "t long, y double, drawn double, cubic double")
 
 
-@query("SELECT 'synthetic' AS series_id, TIMESTAMP '2020-01-01' + to_days(i::INT) AS ts, round(10 + 40 * i / 199.0 + 10 * sin(2 * pi() * i / 30), 6) AS y FROM (SELECT unnest(range(200)) AS i)")
+@query(
+    f"WITH {DAILY}, e AS (SELECT min(y) AS lo, max(y) AS hi, stddev_samp(y) AS s, count(y) AS n FROM d) "
+    "SELECT 'synthetic' AS series_id, TIMESTAMP '2020-01-01' + to_days(i::INT) AS ts, round(lo + (hi - lo) * i / (n - 1) + s * sin(2 * pi() * i / 30), 4) AS y FROM (SELECT *, unnest(range(n)) AS i FROM e)"
+)
 def synthetic_series(spark, d):
-    return rounded(N.synthetic(spark, 200))
+    """A trend and a wave as long, as high and as wide as the daily mean order prices."""
+    e = daily(spark, d).agg(F.min("y").alias("low"), F.max("y").alias("high"), F.stddev_samp("y").alias("amplitude"), F.count("y").alias("n")).first()
+    return rounded(N.synthetic(spark, e["n"], e["low"], e["high"], e["amplitude"]), 4)
 
 
 @query(
@@ -449,6 +466,28 @@ def terminal_histogram(spark, d):
     return rounded(A.histogram(_paths(spark, d).where("step = 24"), 20, snap=6))
 
 
+_KERNEL = (
+    "placed AS (SELECT series_id, ts, y, (row_number() OVER w - 1) / (count(*) OVER (PARTITION BY series_id) - 1) AS a FROM p WINDOW w AS (PARTITION BY series_id ORDER BY ts)), "
+    "rw AS (SELECT *, list_transform(range(6), lambda j: exp(-(((a - j / 5) / 0.15) ** 2) / 2)) AS r FROM placed), kw AS (SELECT *, list_transform(r, lambda v: v / list_sum(r)) AS k FROM rw), "
+    "v AS (SELECT series_id, ts AS t, unnest(range(7)) AS j, unnest(list_append(k, y)) AS x FROM kw), "
+    "s AS (SELECT p.series_id, p.j AS i, q.j, count(*) AS rows, sum(p.x * q.x) AS s FROM v p JOIN v q ON p.series_id = q.series_id AND p.t = q.t GROUP BY ALL), m AS (SELECT series_id, 7::BIGINT AS d, rows, list(s ORDER BY i, j) AS a FROM s GROUP BY ALL), "
+)
+
+
+@query(
+    f"WITH RECURSIVE {FULL}, {_KERNEL}{_SWEEP}, b AS (SELECT series_id, list_transform(range(6), lambda i: a[i * 7 + 7]) AS b FROM w WHERE k = 6) "
+    "SELECT series_id, ts, round(list_dot_product(kw.k, b), 4) AS trend FROM kw JOIN b USING (series_id)"
+)
+def kernel_trend(spark, d):
+    """A trend of six knots through each hourly series."""
+    return rounded(K.kernel_trend(hourly_full(spark, d))[0].select("series_id", "ts", "trend"), 4)
+
+
+@query()
+def kernel_forecast(spark, d):
+    return K.kernel_forecast(K.kernel_trend(hourly_full(spark, d))[1], 24)
+
+
 @query(f"WITH {DAILY}, m AS (SELECT count(y) AS n, avg(y) AS mean, stddev_pop(y) AS sd FROM d) SELECT n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(mean - 0.67 * sd, 4) AS lower, round(mean + 0.67 * sd, 4) AS upper, round((SELECT avg((y BETWEEN mean - 0.67 * sd AND mean + 0.67 * sd)::INT) FROM d), 4) AS inside FROM m")
 def terminal_bands(spark, d):
     """The daily mean order prices as final values, so that SQL can say the result too."""

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.operators import dynamics, hierarchy, models, multivariate, sampled, signal, tuning, windows
+from chronoweave.operators import dynamics, hierarchy, models, multivariate, sampled, signal, text, trend, tuning, windows
 from chronoweave.sources import files
 from chronoweave.streaming import streams
 
@@ -210,3 +210,52 @@ def test_streamed_filter_is_the_batch_filter(spark, tmp_path):
 
 def test_average_of_the_last_values():
     assert models.average(2)(np.array([1.0, 2.0, 4.0]), 2)[0].tolist() == [3.0, 3.0]
+
+
+def test_selectors(spark):
+    page = (
+        '<html><body><nav class="top main"><ul><li><a href="/a?x=1&amp;y=2">A</a><li><a href=\'/b\' id=two>B</a></ul></nav><!-- <a href="/no"> --><div class="main"><p><a href=/c>C</a><img src="i.png"><br>'
+        '<span><a href="http://x.org/d.pdf" rel="next">D</a></span></p></div><script>var s = \'<a href="/no2">\';</script><a name="none">E</a></body></html>'
+    )
+    d = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")
+
+    def found(selector, attribute="href"):
+        return [r["value"] for r in text.selected(d, selector, attribute).orderBy("place").collect()]
+
+    assert found("a") == ["/a?x=1&y=2", "/b", "/c", "http://x.org/d.pdf"]
+    assert found("nav li > a") == ["/a?x=1&y=2", "/b"] and found("nav > a") == [] and found(".main.top a[href]") == ["/a?x=1&y=2", "/b"]
+    assert found("div.main p > a") == ["/c"] and found("div a") == ["/c", "http://x.org/d.pdf"] and found("#two") == ["/b"]
+    assert found("a[href^=http]") == ["http://x.org/d.pdf"] and found('a[href$=".pdf"]') == ["http://x.org/d.pdf"] and found("a[rel='next'][href*=org]") == ["http://x.org/d.pdf"]
+    assert found("div *", "src") == ["i.png"]
+    with pytest.raises(ValueError, match="selector"):
+        text.selected(d, "a:hover")
+
+
+def test_kernel_trend(spark):
+    y = np.array([3 + np.sin(i / 8) + 0.1 * (i % 3) for i in range(60)])
+    d = frame(spark, {"a": y, "short": [1.0, 2.0]})
+    at = np.arange(60) / 59
+    w = np.exp(-(((at[:, None] - np.arange(5) / 4) / 0.2) ** 2) / 2)
+    w /= w.sum(axis=1, keepdims=True)
+    b = np.linalg.lstsq(w, y, rcond=None)[0]
+    rows, levels = trend.kernel_trend(d, 5, 0.2)
+    got = [r["trend"] for r in rows.where("series_id = 'a'").orderBy("ts").collect()]
+    assert got == pytest.approx((w @ b).tolist(), abs=1e-6)
+    found = {r["series_id"]: r for r in levels.collect()}
+    rest = y - w @ b
+    assert found["a"]["level"] == pytest.approx(b.tolist(), abs=1e-5) and found["a"]["sigma"] == pytest.approx(np.sqrt(rest @ rest / 55)) and found["short"]["level"] is None
+    ahead = trend.kernel_forecast(levels, 12, draws=400).orderBy("h").collect()
+    assert len(ahead) == 12 and all(r["lo"] < r["yhat"] < r["hi"] for r in ahead) and ahead[-1]["hi"] - ahead[-1]["lo"] > ahead[0]["hi"] - ahead[0]["lo"]
+
+
+def test_smoothing_choice(spark):
+    rng = np.random.default_rng(9)
+    season = np.tile([0.0, 10.0, -5.0, 3.0], 20)
+    series = {"season": season + 0.2 * rng.standard_normal(80), "trend": np.arange(80) * 2.0 + 0.5 * rng.standard_normal(80), "noise": rng.standard_normal(80), "short": np.arange(3.0)}
+    got = {}
+    for r in trend.smoothing_choice(frame(spark, series), 4, season=4).orderBy("h").collect():
+        got.setdefault(r["series_id"], []).append(r)
+    assert set(got) == {"season", "trend", "noise"}
+    assert got["season"][0]["seasonal"] and [r["yhat"] for r in got["season"]] == pytest.approx([0.0, 10.0, -5.0, 3.0], abs=0.6)
+    assert got["trend"][0]["trend"] != "none" and got["trend"][3]["yhat"] == pytest.approx(2 * 83, abs=3)
+    assert got["noise"][0]["trend"] == "none" and not got["noise"][0]["seasonal"]
