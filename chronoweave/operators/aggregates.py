@@ -120,6 +120,13 @@ def mean_interval(df: DataFrame, z: float = 1.959963984540054, by: str = KEY, co
     return out.withColumns({"t": t, "lower": F.col("mean") - t * F.col("se"), "upper": F.col("mean") + t * F.col("se")})
 
 
+def interval_coverage(intervals: DataFrame, truth: DataFrame, by: str = KEY) -> DataFrame:
+    """Of intervals (by, lower, upper) and a true value a group (by, truth): number, the share that holds the truth, and mean width; without bounds an interval doesn't count."""
+    hit = F.col("truth").between(F.col("lower"), F.col("upper"))
+    known = intervals.where("lower IS NOT NULL AND upper IS NOT NULL").join(truth, by)
+    return known.groupBy(by).agg(F.count("*").alias("n"), F.avg(hit.cast("double")).alias("coverage"), F.avg(F.col("upper") - F.col("lower")).alias("width"))
+
+
 def rollup_sum(df: DataFrame, levels: list[str], col: str = "y", keep: tuple[str, ...] = ()) -> DataFrame:
     """Sums of a hierarchy's levels, from all down to the leaves, in one aggregate; level is the number of keys that are set."""
     sets = [levels[:i] for i in range(len(levels) + 1)]

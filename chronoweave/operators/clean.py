@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoweave.session import intermediate, materialise
+
 
 def nan_to_null(df: DataFrame, *cols: str) -> DataFrame:
     """NaN as NULL in double columns, so that averages and counts skip it."""
@@ -36,9 +38,19 @@ def suffixed_number(c: Column | str) -> Column:
 
 
 def codes(df: DataFrame, col: str, name: str = "code") -> DataFrame:
-    """Categories as whole numbers from 0 in sorted order; the distinct values, not the rows, are ranked."""
-    ranked = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn(name, (F.row_number().over(W.orderBy(col)) - 1).cast("long"))
-    return df.join(ranked, col, "left")
+    """Categories as whole numbers from 0 in sorted order; a null has none.
+
+    The distinct values, not the rows, are ranked: dealt out by ranges and written as a table, each range
+    numbers its own values from where the ranges before it end, one row a range.
+    """
+    with intermediate(df.sparkSession) as keep:
+        values = df.select(col).where(F.col(col).isNotNull()).distinct().repartitionByRange(col)
+        values = materialise(values.withColumn("p_", F.spark_partition_id()), "values")
+        sizes = values.groupBy("p_").agg(F.count("*").alias("n_"))
+        before = F.coalesce(F.sum("n_").over(W.orderBy("p_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        at = F.row_number().over(W.partitionBy("p_").orderBy(col)) - 1
+        ranked = values.join(sizes.withColumn("before_", before), "p_").select(col, (at + F.col("before_")).cast("long").alias(name))
+        return keep(df.join(ranked, col, "left"))
 
 
 def ordinal_date(c: Column | str) -> Column:

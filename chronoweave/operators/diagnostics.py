@@ -28,27 +28,19 @@ def acf(df: DataFrame, nlags: int, centred: bool = True) -> DataFrame:
     return r.selectExpr(KEY, f"stack({nlags + 1}, {stack}) AS (lag, r)")
 
 
-def durbin_levinson(r: np.ndarray) -> np.ndarray:
-    """Partial autocorrelations from autocorrelations r[0] = 1, r[1], ..."""
-    n = len(r) - 1
-    out, phi = np.ones(n + 1), np.zeros(n + 1)
-    var = 1.0
-    for k in range(1, n + 1):
-        a = (r[k] - phi[1:k] @ r[k - 1 : 0 : -1]) / var
-        phi[1:k] = phi[1:k] - a * phi[k - 1 : 0 : -1]
-        phi[k] = out[k] = a
-        var *= 1 - a * a
-    return out
-
-
 def pacf(df: DataFrame, nlags: int) -> DataFrame:
-    """(series_id, lag, r) by Durbin and Levinson's recursion on the autocorrelations."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lag")
-        return pd.DataFrame({KEY: pdf[KEY], "lag": pdf["lag"], "r": durbin_levinson(pdf["r"].to_numpy(float))})
-
-    return acf(df, nlags).groupBy(KEY).applyInPandas(run, "series_id string, lag long, r double")
+    """(series_id, lag, r) by Durbin and Levinson's recursion on the autocorrelations: one fold over a series' few lags."""
+    held = acf(df, nlags).groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "r"))), lambda s: s["r"]).alias("r"))
+    start = F.struct(F.array().cast("array<double>").alias("phi"), F.lit(1.0).alias("v"), F.array(F.lit(1.0)).alias("out"))
+
+    def step(s, k):  # phi has the k - 1 coefficients of the order before
+        dot = F.aggregate(F.zip_with(s["phi"], F.reverse(F.slice("r", F.lit(2), k - 1)), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+        g = F.try_divide(F.element_at("r", k + 1) - dot, s["v"])
+        phi = F.concat(F.zip_with(s["phi"], F.reverse(s["phi"]), lambda a, b: a - g * b), F.array(g))
+        return F.struct(phi.alias("phi"), (s["v"] * (1 - g * g)).alias("v"), F.concat(s["out"], F.array(g)).alias("out"))
+
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(nlags)), start, step)["out"]
+    return held.select(KEY, F.posexplode(out).alias("lag", "r")).select(KEY, F.col("lag").cast("long").alias("lag"), "r")
 
 
 def durbin_watson(df: DataFrame, col: str = "e") -> DataFrame:

@@ -361,6 +361,18 @@ def mean_t_interval(spark, d):
     return rounded(A.mean_interval(raw_events(spark, d)))
 
 
+@query(
+    f"WITH m AS (SELECT event_type AS series_id, ts::DATE AS day, count(value) AS n, avg(value) AS mean, stddev_samp(value) / sqrt(count(value)) AS se FROM events GROUP BY ALL), "
+    f"q AS (SELECT series_id, mean, se * ({_T}) AS w FROM m WHERE n > 1), t AS (SELECT event_type AS series_id, avg(value) AS truth FROM events GROUP BY 1) "
+    "SELECT series_id, count(*) AS n, round(avg((truth BETWEEN mean - w AND mean + w)::INT), 6) AS coverage, round(avg(2 * w), 6) AS width FROM q JOIN t USING (series_id) GROUP BY 1"
+)
+def interval_coverage(spark, d):
+    """How many of the days' intervals of the mean hold the mean of all days."""
+    e = raw_events(spark, d)
+    days = A.mean_interval(e.withColumn("g", F.struct("series_id", F.col("ts").cast("date").alias("day"))), by="g").select("g.series_id", "lower", "upper")
+    return rounded(A.interval_coverage(days, e.groupBy("series_id").agg(F.avg("y").alias("truth"))))
+
+
 @query("SELECT date_trunc('day', ts)::DATE AS day, nullif(count(*) FILTER (event_type = 'click'), 0) AS click, nullif(count(*) FILTER (event_type = 'purchase'), 0) AS purchase, nullif(count(*) FILTER (event_type = 'view'), 0) AS view FROM events GROUP BY 1")
 def pivot_type_by_day(spark, d):
     e = table(spark, d, "events").withColumn("day", F.col("ts").cast("date"))

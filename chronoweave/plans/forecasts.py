@@ -149,7 +149,7 @@ def rolling_folds(spark, d):
     return _folded(spark, d, "rolling", window=400, step=100)
 
 
-@query(f"{_N}, b AS (SELECT f AS fold, f * 30 AS a_, f * 30 + 365 AS b_, f * 30 + 365 AS c_, f * 30 + 395 AS d_ FROM c, (SELECT unnest(range(200)) AS f) WHERE f * 30 + 395 <= n) {_FOLD}")
+@query(f"{_N}, b AS (SELECT f AS fold, f * 30 AS a_, f * 30 + 365 AS b_, f * 30 + 365 AS c_, f * 30 + 395 AS d_ FROM c, (SELECT unnest(range(200)) AS f) WHERE f < (n - 395) // 30) {_FOLD}")
 def sliding_folds(spark, d):
     return _folded(spark, d, "sliding", window=365, step=30)
 

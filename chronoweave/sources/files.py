@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import wave
 from functools import reduce
@@ -34,11 +35,14 @@ def read_series(spark: SparkSession, path: str, series_id: str = "series") -> Da
 def read_folder(spark: SparkSession, paths: list[str], source: str = "source_file") -> DataFrame:
     """CSVs, whose headers may differ, by name in one frame with the file each row comes from.
 
-    Files with one header are one scan, so a plan grows with the headers, not the files.
+    All headers come from one scan of the files' first lines; files with one header are one scan, so a plan grows with the
+    headers, not the files. Headers are single lines; a file without one has no rows.
     """
+    first = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value").where("at = 0 and value <> ''")
+    heads = first.groupBy("path").agg(F.first("value").alias("line")).groupBy("line").agg(F.collect_list("path").alias("paths")).collect()
     alike: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        alike.setdefault(tuple(read_csv(spark, p).columns), []).append(p)
+    for head in sorted(heads, key=lambda r: min(r["paths"])):
+        alike.setdefault(tuple(next(csv.reader([head["line"].removeprefix("\ufeff")]))), []).extend(head["paths"])
     reader = spark.read.option("header", True)
     frames = [reader.schema(", ".join(f"`{c}` string" for c in cols)).csv(same).withColumn(source, F.col("_metadata.file_name")) for cols, same in alike.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

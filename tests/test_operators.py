@@ -225,13 +225,9 @@ def test_failing_models_fall_back(primer):
     assert {r["yhat"] for r in models.forecast(primer, {"bad": bad}, 2).collect()} == {None}
 
 
-def test_partial_autocorrelation_of_ar1():
-    r = 0.5 ** np.arange(6)
-    assert diagnostics.durbin_levinson(r) == pytest.approx([1, 0.5, 0, 0, 0, 0], abs=1e-12)
-
-
 def plain_adf(y, top):
     """The regressions one by one on common rows."""
+    y = y - y.mean()
     dy, best = np.diff(y), None
     for p in range(top + 1):
         at = np.arange(top, len(dy))
