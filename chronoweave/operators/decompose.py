@@ -59,25 +59,6 @@ def holt_state(df: DataFrame, alpha: float = 0.5, beta: float = 0.5) -> DataFram
     return held.select(KEY, F.aggregate(F.slice("ys", 2, F.size("ys") - 1), start, step).alias("s")).select(KEY, F.col("s.l").alias("level"), F.col("s.b").alias("slope"))
 
 
-def smoothed_path(df: DataFrame, alpha: float = 0.5, beta: float | None = None) -> DataFrame:
-    """Each row with fitted, the forecast of it one step before: simple smoothing, or Holt's with beta; NULL at the first row."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        y = pdf["y"].to_numpy(float)
-        fitted, level, slope = np.full(len(y), np.nan), y[0], 0.0
-        for i in range(1, len(y)):
-            fitted[i] = level + slope
-            new = alpha * y[i] + (1 - alpha) * fitted[i]
-            slope = beta * (new - level) + (1 - beta) * slope if beta else 0.0
-            level = new
-        out = pd.DataFrame({"series_id": key[0], "ts": pdf["ts"].to_numpy(), "y": y, "fitted": fitted})
-        return out.astype({"fitted": object}).where(out.notna(), None)
-
-    have = df.where("y IS NOT NULL").select(KEY, "ts", "y")
-    return have.groupBy(KEY).applyInPandas(run, f"series_id string, ts {dict(have.dtypes)['ts']}, y double, fitted double")
-
-
 def croston(df: DataFrame, alpha: float = 0.1) -> DataFrame:
     """Croston's forecast of intermittent demand: smoothed size over smoothed interval of the values above 0."""
     held = df.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "y"))), lambda s: s["y"]).alias("ys"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.operators.aggregates import histogram, percentiles
 from chronoweave.operators.regress import fitted, products, solved
+from chronoweave.operators.segments import scan
 
 KEY = "series_id"
 
@@ -49,11 +50,10 @@ def durbin_watson(df: DataFrame, col: str = "e") -> DataFrame:
 
 
 def cusum(df: DataFrame, col: str = "e") -> DataFrame:
-    """Cumulated residuals over deviation times root of n."""
-    w = W.partitionBy(KEY)
-    total = F.sum(col).over(w.orderBy("ts").rowsBetween(W.unboundedPreceding, 0))
-    d = df.withColumns({"t_": total, "s_": F.stddev_samp(col).over(w), "n_": F.count(col).over(w)})
-    return d.withColumn("cusum", F.col("t_") / (F.col("s_") * F.sqrt("n_"))).drop("t_", "s_", "n_")
+    """Cumulated residuals over deviation times root of n; a long series is spread over tasks."""
+    line = df.groupBy(F.col(KEY).alias("g_")).agg(F.stddev_samp(col).alias("s_"), F.count(col).alias("n_"))
+    d = scan(df, {"t_": ("sum", F.col(col))}).join(line, F.col(KEY).eqNullSafe(F.col("g_")))
+    return d.withColumn("cusum", F.col("t_") / (F.col("s_") * F.sqrt("n_"))).drop("t_", "s_", "n_", "g_")
 
 
 def cusum_test(df: DataFrame, col: str = "e") -> DataFrame:
@@ -66,14 +66,13 @@ def cusum_test(df: DataFrame, col: str = "e") -> DataFrame:
 
 def amoc(df: DataFrame) -> DataFrame:
     """At most one change of the mean: the split with the least sum of squares, its gain and whether it beats 3 log n penalties of variance."""
-    w = W.partitionBy(KEY).orderBy("ts")
-    sofar = w.rowsBetween(W.unboundedPreceding, 0)
-    p = W.partitionBy(KEY)
-    d = df.withColumns({"k": F.row_number().over(w).cast("long"), "a": F.sum("y").over(sofar), "n": F.count("y").over(p), "t": F.sum("y").over(p), "v": F.var_pop("y").over(p)})
+    line = df.groupBy(F.col(KEY).alias("g_")).agg(F.count("y").alias("n"), F.sum("y").alias("t"), F.var_pop("y").alias("v"))
+    d = scan(df, {"k": ("rows", F.lit(1)), "a": ("sum", F.col("y"))}).join(line, F.col(KEY).eqNullSafe(F.col("g_"))).withColumn("k", F.col("k").cast("long"))
     gain = F.pow("a", 2) / F.col("k") + F.pow(F.col("t") - F.col("a"), 2) / (F.col("n") - F.col("k")) - F.pow("t", 2) / F.col("n")
     d = d.where("k < n").withColumn("gain", gain)
-    best = F.row_number().over(W.partitionBy(KEY).orderBy(F.round("gain", 6).desc(), "k"))
-    return d.withColumn("r_", best).where("r_ = 1").select(KEY, "k", "gain", (F.col("gain") > 3 * F.log("n") * F.col("v")).alias("change"))
+    change = F.struct("k", "gain", "n", "v")
+    best = d.groupBy(KEY).agg(F.min_by(change, F.struct(-F.round("gain", 6), "k")).alias("b_")).select(KEY, "b_.*")
+    return best.select(KEY, "k", "gain", (F.col("gain") > 3 * F.log("n") * F.col("v")).alias("change"))
 
 
 # Published response-surface coefficients (constant, no trend) for the 1, 5 and 10 % points of the

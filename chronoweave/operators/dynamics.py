@@ -41,20 +41,6 @@ def dtw(a: np.ndarray, b: np.ndarray) -> float:
     return float(cost[n, m])
 
 
-def kalman(y: np.ndarray, dt: float = 0.1, q: float = 0.1, r: float = 1.0) -> pd.DataFrame:
-    """Position and velocity by a constant-velocity filter from x = 0, P = I on."""
-    f, h = np.array([[1, dt], [0, 1]]), np.array([1.0, 0.0])
-    x, p, out = np.zeros(2), np.eye(2), []
-    for z in y:
-        x, p = f @ x, f @ p @ f.T + q * np.eye(2)
-        k = p @ h / (h @ p @ h + r)
-        x = x + k * (z - h @ x)
-        p = p - np.outer(k, h @ p)
-        out.append(x)
-    out = np.array(out).reshape(-1, 2)
-    return pd.DataFrame({"t": np.arange(len(y)), "position": out[:, 0], "velocity": out[:, 1]})
-
-
 def garch(r: np.ndarray, arch_only: bool = False) -> np.ndarray:
     """omega, alpha, beta by Gaussian quasi-likelihood (beta 0 for ARCH(1))."""
     e = r - r.mean()

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.operators.segments import scan
 from chronoweave.operators.windows import numbered
 from chronoweave.session import intermediate, materialise
 
@@ -39,13 +40,28 @@ def low_pass(y: np.ndarray, most: float = 0.1) -> np.ndarray:
     return np.fft.irfft(f, len(y))
 
 
-def stft_db(y: np.ndarray, size: int = 256, hop: int = 64) -> pd.DataFrame:
-    """Hann-windowed frames' spectra in decibels below the loudest bin."""
-    frames = np.lib.stride_tricks.sliding_window_view(y, min(size, len(y)))[::hop] * np.hanning(min(size, len(y)))
-    mag = np.abs(np.fft.rfft(frames, axis=1))
-    db = np.maximum(20 * np.log10(np.maximum(mag, 1e-10) / max(mag.max(), 1e-10)), -80)
-    t, k = np.indices(db.shape)
-    return pd.DataFrame({"frame": t.ravel(), "bin": k.ravel(), "db": db.ravel()})
+def stft_db(df: DataFrame, size: int = 256, hop: int = 64) -> DataFrame:
+    """(series_id, frame, bin, db): Hann-windowed frames' spectra in decibels below the series' loudest bin, -80 at least.
+
+    A value goes to the size / hop frames that it is in, and each frame is transformed by itself, so that a series of any length is
+    spread over tasks. A series shorter than a frame is one frame.
+    """
+    length = df.groupBy(F.col(KEY).alias("g_")).agg(F.count("y").alias("n_"))
+    rows = scan(df.where("y is not null").select(KEY, "ts", "y"), {"i_": ("rows", F.lit(1))}).withColumn("i_", F.col("i_") - 1)
+    rows = rows.join(length, F.col(KEY).eqNullSafe(F.col("g_"))).withColumn("size_", F.least(F.lit(size), F.col("n_")))
+    first = F.greatest(F.lit(0), F.ceil((F.col("i_") - F.col("size_") + 1) / hop))
+    last = F.least(F.floor(F.col("i_") / hop), F.floor((F.col("n_") - F.col("size_")) / hop))
+    each = rows.where(first <= last).select(KEY, "y", "i_", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("frame"))
+
+    def transform(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values("i_")["y"].to_numpy(float)
+        mag = np.abs(np.fft.rfft(y * np.hanning(len(y))))
+        return pd.DataFrame({KEY: key[0], "frame": key[1], "bin": np.arange(len(mag)), "mag": mag})
+
+    spectra = each.groupBy(KEY, "frame").applyInPandas(transform, f"{KEY} {dict(df.dtypes)[KEY]}, frame long, bin long, mag double")
+    loudest = spectra.groupBy(F.col(KEY).alias("g_")).agg(F.max("mag").alias("top_"))
+    db = 20 * F.log10(F.greatest(F.col("mag"), F.lit(1e-10)) / F.greatest(F.col("top_"), F.lit(1e-10)))
+    return spectra.join(loudest, F.col(KEY).eqNullSafe(F.col("g_"))).select(KEY, "frame", "bin", F.greatest(db, F.lit(-80.0)).alias("db"))
 
 
 def _summed(rows: DataFrame, vectors: DataFrame, on: str, to: str, width: int) -> DataFrame:

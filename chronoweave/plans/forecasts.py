@@ -11,9 +11,11 @@ from chronoweave.operators import decompose as D
 from chronoweave.operators import diagnostics as G
 from chronoweave.operators import evaluate as V
 from chronoweave.operators import models as M
+from chronoweave.operators import recurrences as R
 from chronoweave.operators import trend as K
 from chronoweave.operators import tuning
 from chronoweave.operators import windows as X
+from chronoweave.plans.basics import SEGMENT
 from chronoweave.plans.panels import DAILY, FULL, SHIPPED, daily, hourly_full, rounded, shipped, table
 from chronoweave.plans.science import _CROSS, _SWEEP
 
@@ -326,7 +328,7 @@ def rolling_refit(spark, d):
 
 @query(f"WITH RECURSIVE {FULL}, n AS (SELECT series_id, ts, y, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i FROM p), r AS (SELECT series_id, i, ts, y, NULL::DOUBLE AS fitted, y AS l FROM n WHERE i = 1 UNION ALL SELECT r.series_id, n.i, n.ts, n.y, l, 0.5 * n.y + 0.5 * l FROM r JOIN n ON n.series_id = r.series_id AND n.i = r.i + 1) SELECT series_id, ts, round(y, 6) AS y, round(fitted, 6) AS fitted FROM r")
 def ses_path(spark, d):
-    return rounded(D.smoothed_path(hourly_full(spark, d), 0.5))
+    return rounded(R.run_affine(hourly_full(spark, d), R.smoothing(0.5), 2, ["fitted"], SEGMENT).drop("t"))
 
 
 @query(
@@ -334,7 +336,7 @@ def ses_path(spark, d):
     "SELECT series_id, ts, round(y, 6) AS y, round(fitted, 6) AS fitted FROM r"
 )
 def holt_path(spark, d):
-    return rounded(D.smoothed_path(hourly_full(spark, d), 0.5, 0.5))
+    return rounded(R.run_affine(hourly_full(spark, d), R.smoothing(0.5, 0.5), 2, ["fitted"], SEGMENT).drop("t"))
 
 
 _PANEL = "c AS (SELECT o_custkey AS e, o_totalprice AS y, (epoch(o_orderdate) / 86400.0 - 9000) / 365 AS x FROM orders)"

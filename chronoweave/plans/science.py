@@ -12,11 +12,13 @@ from chronoweave.operators import diagnostics as G
 from chronoweave.operators import dynamics as N
 from chronoweave.operators import manifold as M
 from chronoweave.operators import multivariate as V
+from chronoweave.operators import recurrences as R
 from chronoweave.operators import sampled as P
 from chronoweave.operators import signal as S
 from chronoweave.operators import text as T
 from chronoweave.operators import trend as K
 from chronoweave.operators import windows as X
+from chronoweave.plans.basics import SEGMENT
 from chronoweave.plans.panels import DAILY, FULL, SHIPPED, daily, hourly_full, rounded, shipped, table
 from chronoweave.session import intermediate, materialise
 
@@ -271,7 +273,7 @@ _KALMAN = (
 
 @query(f"WITH RECURSIVE {FULL}, {_KALMAN} SELECT series_id, t, round(a, 6) AS position, round(b, 6) AS velocity FROM f WHERE t >= 0")
 def kalman_track(spark, d):
-    return rounded(N.per_series(hourly_full(spark, d), N.kalman, "t long, position double, velocity double"))
+    return rounded(R.run_affine(hourly_full(spark, d), R.kalman(), 2, ["position", "velocity"], SEGMENT).select("series_id", "t", "position", "velocity"))
 
 
 @query(f"WITH {FULL}, c AS (SELECT series_id, ts, y AS x, lead(y) OVER (PARTITION BY series_id ORDER BY ts) - y AS dy FROM p), r AS (SELECT series_id, count(dy) AS n, regr_slope(dy, x) AS b, regr_sxx(dy, x) AS xx, regr_syy(dy, x) AS yy FROM c WHERE dy IS NOT NULL GROUP BY 1), t AS (SELECT series_id, n, b / sqrt((yy - b * b * xx) / (n - 2) / xx) AS t FROM r) SELECT series_id, round(t, 6) AS statistic, 0 AS lags, {_p_sql('t', G.ADF_P)} AS p, round(-3.43035 - 6.5393 / n - 16.786 / n ** 2, 6) AS crit_1, round(-2.86154 - 2.8903 / n - 4.234 / n ** 2, 6) AS crit_5, round(-2.56677 - 1.5384 / n - 2.809 / n ** 2, 6) AS crit_10, t < -2.86154 - 2.8903 / n - 4.234 / n ** 2 AS stationary FROM t")
@@ -323,17 +325,22 @@ def impulse_response(spark, d):
 
 @query()
 def garch_vol(spark, d):
+    """Ten hours ahead for every event type."""
+
     def f(y):
-        r = np.diff(np.log(y))
+        r = np.diff(np.log(y[y > 0]))
         w = N.garch(r)
         return pd.DataFrame({"h": np.arange(1, 11), "omega": w[0], "alpha": w[1], "beta": w[2], "variance": N.variance_path(r, w, 10)})
 
-    return N.per_series(daily(spark, d), f, "h long, omega double, alpha double, beta double, variance double")
+    return N.per_series(hourly_full(spark, d), f, "h long, omega double, alpha double, beta double, variance double")
 
 
 @query()
 def gibbs_changepoint(spark, d):
-    n = table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("ts")).agg(F.count("*").cast("double").alias("y")).withColumn("series_id", F.lit("orders"))
+    """A change of each market segment's monthly number of orders."""
+    month = F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("ts")
+    orders = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    n = orders.groupBy(F.col("c_mktsegment").alias("series_id"), month).agg(F.count("*").cast("double").alias("y"))
     return N.per_series(n, N.gibbs_change, "change_at double, rate_before double, rate_after double")
 
 
@@ -384,7 +391,7 @@ def fft_filter(spark, d):
     "SELECT series_id, frame, bin, round(greatest(20 * log10(greatest(mag, 1e-10) / greatest(max(mag) OVER (PARTITION BY series_id), 1e-10)), -80), 4) + 0.0 AS db FROM f"
 )
 def stft_frames(spark, d):
-    return rounded(N.per_series(hourly_full(spark, d), S.stft_db, "frame long, bin long, db double"), 4)
+    return rounded(S.stft_db(hourly_full(spark, d)), 4)
 
 
 @query()

@@ -54,7 +54,7 @@ def smoothed(stream: DataFrame, alpha: float = 0.5, by: str = "series_id", late:
 
 
 def tracked(stream: DataFrame, dt: float = 0.1, q: float = 0.1, r: float = 1.0, by: str = "series_id", late: str = "2 hours", idle: int = 7 * 24 * 3600) -> DataFrame:
-    """The constant-velocity filter of dynamics.kalman() on a stream: (series_id, ts, y, position, velocity) of each row.
+    """The constant-velocity filter of recurrences.kalman() on a stream: (series_id, ts, y, position, velocity) of each row.
 
     A series' state is its estimate, its covariance and its last time. Rows of a batch are taken in order of time; rows later than ``late``
     are dropped by the watermark, and a row that comes after one with a later time has gone by has no place in the filter's path and

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.operators import dynamics, hierarchy, models, multivariate, sampled, signal, text, trend, tuning, windows
+from chronoweave.operators import dynamics, hierarchy, models, multivariate, recurrences, sampled, signal, text, trend, tuning, windows
 from chronoweave.sources import files
 from chronoweave.streaming import streams
 
@@ -21,6 +21,20 @@ def frame(spark, series, cols=("y",)):
     return spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, " + ", ".join(f"{c} double" for c in cols))
 
 
+def plain_filter(y: np.ndarray, dt: float = 0.1, q: float = 0.1, r: float = 1.0) -> pd.DataFrame:
+    """Position and velocity by a constant-velocity filter from x = 0, P = I on."""
+    f, h = np.array([[1, dt], [0, 1]]), np.array([1.0, 0.0])
+    x, p, out = np.zeros(2), np.eye(2), []
+    for z in y:
+        x, p = f @ x, f @ p @ f.T + q * np.eye(2)
+        k = p @ h / (h @ p @ h + r)
+        x = x + k * (z - h @ x)
+        p = p - np.outer(k, h @ p)
+        out.append(x)
+    out = np.array(out).reshape(-1, 2)
+    return pd.DataFrame({"t": np.arange(len(y)), "position": out[:, 0], "velocity": out[:, 1]})
+
+
 def plain_var(y, p, top):
     """Coefficients on the rows from top on, of values less their means, and what is left."""
     z = y - y.mean(axis=0)
@@ -183,6 +197,32 @@ def test_rolling_aggregates_and_convolution(spark):
     assert got == pytest.approx(np.convolve(y, [0.5, 2.0, -1.0], mode="valid").tolist())
 
 
+@pytest.mark.parametrize("rows", [7, 10**6])
+def test_recurrences_over_segments(spark, rows):
+    rng = np.random.default_rng(10)
+    series = {"a": 100 + np.cumsum(rng.standard_normal(90)), "b": rng.standard_normal(8), "c": np.array([3.0])}
+    d = frame(spark, series)
+
+    def found(run, names):
+        out = recurrences.run_affine(d, run, 2, names, rows)
+        return {s: out.where(f"series_id = '{s}'").orderBy("t").collect() for s in series}
+
+    for s, got in found(recurrences.kalman(), ["position", "velocity"]).items():
+        want = plain_filter(series[s])
+        assert [r["position"] for r in got] == pytest.approx(want["position"].tolist()) and [r["velocity"] for r in got] == pytest.approx(want["velocity"].tolist())
+        assert [r["ts"] for r in got] == [day(i) for i in range(len(series[s]))]
+    for beta in (None, 0.3):
+        for s, got in found(recurrences.smoothing(0.4, beta), ["fitted"]).items():
+            y, level, slope, want = series[s], series[s][0], 0.0, [None]
+            for v in y[1:]:
+                ahead = level + slope
+                new = 0.4 * v + 0.6 * ahead
+                level, slope = new, beta * (new - level) + (1 - beta) * slope if beta else 0.0
+                want.append(ahead)
+            assert got[0]["fitted"] is None and [r["fitted"] for r in got[1:]] == pytest.approx(want[1:])
+    assert recurrences.run_affine(d.limit(0), recurrences.kalman(), 2, ["p", "v"]).count() == 0
+
+
 def test_streamed_filter_is_the_batch_filter(spark, tmp_path):
     rng = np.random.default_rng(8)
     y = {"a": rng.standard_normal(30), "b": 5 + rng.standard_normal(20)}
@@ -203,7 +243,7 @@ def test_streamed_filter_is_the_batch_filter(spark, tmp_path):
     finally:
         spark.conf.set(key, before)
     for s, v in y.items():
-        want = dynamics.kalman(v)
+        want = plain_filter(v)
         got = spark.table("tracked").where(f"series_id = '{s}'").orderBy("ts").collect()
         assert [r["position"] for r in got] == pytest.approx(want["position"].tolist()) and [r["velocity"] for r in got] == pytest.approx(want["velocity"].tolist())
 

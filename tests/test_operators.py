@@ -270,11 +270,9 @@ def test_f_tail():
     assert diagnostics.f_tail(4.0, 2, 10) == pytest.approx((1 + 2 * 4 / 10) ** -5, rel=1e-9)
 
 
-def test_dtw_kalman_and_spline():
+def test_dtw_and_spline():
     a = np.array([0.0, 1.0, 2.0])
     assert dynamics.dtw(a, np.array([0.0, 0.0, 1.0, 2.0])) == 0.0
-    track = dynamics.kalman(np.full(200, 5.0))
-    assert track["position"].iloc[-1] == pytest.approx(5.0, abs=0.05)
     y = np.arange(12.0) ** 2
     hole = y.copy()
     hole[5] = np.nan
@@ -391,7 +389,3 @@ def test_random_effects_of_odd_panels(spark):
     flat = spark.createDataFrame([(i, float(j), 2.0 * j + 1) for i in range(4) for j in range(5)] + [(9, None, 1.0)], schema)
     r = diagnostics.random_effects(flat, "e", "x", "y").first()
     assert (r["slope"], r["intercept"], r["var_entity"]) == pytest.approx((2.0, 1.0, 0.0))
-
-
-def test_smoothed_path_starts_open(primer):
-    assert values(decompose.smoothed_path(primer, 0.5), "fitted")[:4] == [None, 0.0, 0.5, 1.25]
