@@ -15,10 +15,10 @@ KEY = "series_id"
 
 
 def dft(df: DataFrame, n: int) -> DataFrame:
-    """The first n values' discrete Fourier transform in SQL: (series_id, k, re, im, magnitude, phase); for short series."""
-    d = numbered(df).where(F.col("i") < n).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n // 2))))
-    angle = -2 * np.pi * F.col("k") * F.col("i") / n
-    out = d.groupBy(KEY, F.col("k").cast("long").alias("k")).agg(F.sum(F.col("y") * F.cos(angle)).alias("re"), F.sum(F.col("y") * F.sin(angle)).alias("im"))
+    """The discrete Fourier transform of every n values in a row, in built-ins: (series_id, block, k, re, im, magnitude, phase); the last block is filled up with zeros."""
+    d = numbered(df).withColumns({"block": F.floor(F.col("i") / n), "k": F.explode(F.sequence(F.lit(0), F.lit(n // 2)))})
+    angle = -2 * np.pi * F.col("k") * (F.col("i") % n) / n
+    out = d.groupBy(KEY, "block", F.col("k").cast("long").alias("k")).agg(F.sum(F.col("y") * F.cos(angle)).alias("re"), F.sum(F.col("y") * F.sin(angle)).alias("im"))
     return out.withColumns({"magnitude": F.sqrt(F.col("re") ** 2 + F.col("im") ** 2), "phase": F.atan2("im", "re")})
 
 

@@ -97,10 +97,10 @@ def amoc_changepoint(spark, d):
     return rounded(G.amoc(hourly_full(spark, d)), 3)
 
 
-@query(f"WITH {FULL}, n AS (SELECT series_id, y, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i FROM p), k AS (SELECT unnest(range(33)) AS k), f AS (SELECT series_id, k, sum(y * cos(-2 * pi() * k * i / 64)) AS re, sum(y * sin(-2 * pi() * k * i / 64)) AS im FROM n, k WHERE i < 64 GROUP BY 1, 2) SELECT series_id, k, round(sqrt(re * re + im * im), 4) AS magnitude FROM f")
+@query(f"WITH {FULL}, n AS (SELECT series_id, y, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i FROM p), k AS (SELECT unnest(range(33)) AS k), f AS (SELECT series_id, i // 64 AS block, k, sum(y * cos(-2 * pi() * k * (i % 64) / 64)) AS re, sum(y * sin(-2 * pi() * k * (i % 64) / 64)) AS im FROM n, k GROUP BY ALL) SELECT series_id, block, k, round(sqrt(re * re + im * im), 4) AS magnitude FROM f")
 def dft_spectrum(spark, d):
-    """The transform of the first 64 values in built-ins, as its SQL; full_spectrum takes whole series."""
-    return rounded(S.dft(hourly_full(spark, d), 64).select("series_id", "k", "magnitude"), 4)
+    """The transform of every 64 hours of each series in built-ins; full_spectrum takes whole series at once."""
+    return rounded(S.dft(hourly_full(spark, d), 64).select("series_id", "block", "k", "magnitude"), 4)
 
 
 @query(f"WITH {FULL}, {_DFT}, r AS (SELECT series_id, k, k / n AS frequency, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im, sqrt(re * re + im * im) AS magnitude FROM f) SELECT series_id, k, round(frequency, 6) AS frequency, re, im, round(magnitude, 5) AS magnitude, round(atan2(im, re), 4) + 0.0 AS phase FROM r")
