@@ -29,6 +29,15 @@ class Test(Protocol):
         """Whether two rows are linked."""
 
 
+def _meet(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by sorting, so that neither side is broadcast.
+
+    Spark takes rows that a task or explode() multiplied (an id for each of its tables or tiles) for no more than the
+    rows they come from, and well compressed ones for as few bytes as their files have; the driver would hold them all.
+    """
+    return left.hint("merge").join(right, on, how)
+
+
 def bucket_components(
     banded: DataFrame, links_of: Callable[[DataFrame], DataFrame], payload_of: Callable[[DataFrame], DataFrame], test: Callable[[pa.Table], Test], known: DataFrame | None = None
 ) -> DataFrame:
@@ -45,7 +54,7 @@ def bucket_components(
     pairs whose components have met. Every round is a written table.
     """
     shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-    buckets = materialise(banded.join(shared, "key"), "buckets")
+    buckets = materialise(_meet(banded, shared, "key"), "buckets")
     asked = materialise(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "asked")
     links = links_of(asked)
     found = materialise(connected(links if known is None else links.union(known)), "components")
@@ -55,12 +64,12 @@ def bucket_components(
     label = materialise(label.where("id <> pivot"), "labels")
     # n: ids but the smallest; outside: those of them in another component than its
     wide = label.groupBy("key").agg(F.count("*").alias("rest"), F.sum(F.col("apart").cast("long")).alias("outside"), F.min("c").alias("low"), F.max("c").alias("high"))
-    open_ = materialise(label.drop("n").join(wide.where("outside > 0 and low <> high"), "key"), "open")
+    open_ = materialise(_meet(label.drop("n"), wide.where("outside > 0 and low <> high"), "key"), "open")
 
     small = open_.where(F.col("rest") <= SMALL)
     left, right = small.where("apart").select("key", "id", "c"), small.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"))
-    pairs = left.join(right, "key").where("c <> c2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    more = links_of(materialise(pairs.join(asked, ["a", "b"], "left_anti"), "asked"))
+    pairs = _meet(left, right, "key").where("c <> c2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    more = links_of(materialise(_meet(pairs, asked, ["a", "b"], "left_anti"), "asked"))
     large = open_.where(F.col("rest") > SMALL)
     if not large.isEmpty():
         more = more.union(materialise(_tiled(large, payload_of, test), "tiles"))
@@ -77,7 +86,7 @@ def _tiled(large: DataFrame, payload_of: Callable[[DataFrame], DataFrame], test:
     spread = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     x = of.where("apart").select("key", "id", "c", F.pmod("h", "kx").cast("int").alias("i"), spread("ky").alias("j"), F.lit(True).alias("left"))
     y = of.select("key", "id", "c", spread("kx").alias("i"), F.pmod("h", "ky").cast("int").alias("j"), F.lit(False).alias("left"))
-    rows = x.union(y).join(payload, "id")
+    rows = _meet(x.union(y), payload, "id")
 
     def tile(key, table):
         ids, comp, left = (table[c].to_numpy() for c in ("id", "c", "left"))

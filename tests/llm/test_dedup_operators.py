@@ -6,10 +6,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.llm import embedding_dedup, suffix_dedup
+from chronoweave.llm import buckets, embedding_dedup, suffix_dedup
 from chronoweave.llm.components import connected
 from chronoweave.llm.embedding_dedup import near_vectors
 from chronoweave.llm.hashing import common_shingles
@@ -19,6 +20,7 @@ from chronoweave.llm.queries import QUERIES
 from chronoweave.llm.simhash import SimHash, compare_with_next, fingerprint, near_fingerprints, within_radius
 from chronoweave.llm.suffix_array import SuffixArray
 from chronoweave.llm.suffix_dedup import SuffixFamily, remove_repeats
+from chronoweave.session import materialise
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -332,3 +334,36 @@ def test_registered_fingerprint_groups(spark):
     root = components(len(rows), lambda i, j: j in near[i])
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in QUERIES["fingerprint_groups"](spark, "/root/testdata/sf0.01").collect()}
     assert got == {r["doc_id"]: (p.tobytes().hex(), rows[c]["doc_id"]) for r, p, c in zip(rows, prints, root)}
+
+
+def test_multiplied_rows_of_buckets_are_never_broadcast(spark, monkeypatch):
+    """Spark takes an id's rows in many tables for one row; at 0.1 GB it broadcast those of fingerprint_groups from a driver of 1 GB."""
+    plans = {}
+
+    def written(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, name)
+
+    def tables(batches):
+        for b in batches:
+            ids = np.repeat(b.column(0).to_numpy(), 40)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.tile(np.arange(40), b.num_rows))], names=["id", "key"])
+
+    class Even:
+        def __init__(self, table):
+            self.ids = table["id"].to_numpy()
+
+        def likely(self, a, b):
+            return [(i, j) for i in a.tolist() for j in b.tolist() if self.ids[i] % 2 == self.ids[j] % 2 == 0]
+
+        def same(self, i, j):
+            return i != j
+
+    monkeypatch.setattr(buckets, "materialise", written)
+    ids = spark.range(1, 31).select("id")
+    banded = ids.mapInArrow(tables, "id long, key long")
+    links_of = lambda pairs: materialise(pairs.where("a % 2 = 0 and b % 2 = 0").selectExpr("a AS u", "b AS v"), "verified")
+    found = buckets.bucket_components(banded, links_of, lambda ids: ids, Even)
+    assert {(r["id"], r["component"]) for r in found.collect()} == {(i, 2) for i in range(2, 31, 2)}
+    for name in ("buckets", "open", "tiles"):
+        assert plans[name] and not any("BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p for p in plans[name]), name
