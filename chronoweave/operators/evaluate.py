@@ -51,8 +51,7 @@ def folds(n: int, scheme: str, k: int = 5, window: int = 0, step: int = 0) -> li
 
     ts_split: k tests of n // (k + 1) rows at the end, trained on all before.
     expanding: sizes of n // (k + 1), train grows. rolling and sliding: train of
-    window rows, test of step rows, moved on by step; sliding has one fold less, as
-    it counts (n - window - step) // step of them. blocked: each of k blocks is
+    window rows, test of step rows, moved on by step, as often as both are whole. blocked: each of k blocks is
     tested and the others train (train_from, train_to are then the whole range).
     """
     if scheme == "ts_split":
@@ -62,7 +61,7 @@ def folds(n: int, scheme: str, k: int = 5, window: int = 0, step: int = 0) -> li
         size = n // (k + 1)
         return [(i, 0, (i + 1) * size, (i + 1) * size, (i + 2) * size) for i in range(k)]
     if scheme in ("rolling", "sliding"):
-        return [(i, i * step, i * step + window, i * step + window, (i + 1) * step + window) for i in range((n - window - step) // step + (scheme == "rolling"))]
+        return [(i, i * step, i * step + window, i * step + window, (i + 1) * step + window) for i in range((n - window) // step)]
     if scheme == "blocked":
         size = n // k
         return [(i, 0, k * size, i * size, (i + 1) * size) for i in range(k)]
@@ -79,7 +78,7 @@ def with_folds(df: DataFrame, scheme: str, k: int = 5, window: int = 0, step: in
     f = F.col("fold")
     if scheme in ("rolling", "sliding"):
         first = F.greatest(F.lit(0).cast("long"), F.ceil((i - window - step + 1) / step))
-        last = F.least(F.floor(i / step), F.floor((n - window - step) / step) - (0 if scheme == "rolling" else 1))
+        last = F.least(F.floor(i / step), F.floor((n - window - step) / step))
         begin, test_from, test_to = f * step, f * step + window, f * step + window + step
     else:
         first, last = F.lit(0).cast("long"), F.lit(k - 1).cast("long")

@@ -105,6 +105,13 @@ def test_folds():
     assert evaluate.folds(10, "rolling", window=4, step=2) == [(0, 0, 4, 4, 6), (1, 2, 6, 6, 8), (2, 4, 8, 8, 10)]
 
 
+def test_sliding_folds_reach_the_last_whole_one(spark):
+    assert evaluate.folds(10, "sliding", window=4, step=2) == [(0, 0, 4, 4, 6), (1, 2, 6, 6, 8), (2, 4, 8, 8, 10)]
+    d = spark.createDataFrame([(f"n{n}", i) for n in (5, 6, 7, 11, 12) for i in range(n)], "series_id string, i long")
+    got = evaluate.with_folds(d, "sliding", window=4, step=2).where("part = 'test'").groupBy("series_id").agg({"fold": "max", "i": "max"}).collect()
+    assert {tuple(r)[:1] + (r["max(fold)"], r["max(i)"]) for r in got} == {("n6", 0, 5), ("n7", 0, 5), ("n11", 2, 9), ("n12", 3, 11)}
+
+
 @pytest.mark.parametrize("how", [{"scheme": "ts_split", "k": 5}, {"scheme": "expanding", "k": 4}, {"scheme": "blocked", "k": 3}, {"scheme": "rolling", "window": 4, "step": 3}, {"scheme": "sliding", "window": 30, "step": 5}])
 def test_rows_find_their_folds(spark, how):
     sizes = {"a": 23, "b": 40, "c": 3}
