@@ -38,17 +38,16 @@ def topics(docs: DataFrame, k: int = 5, vocabulary: int = 1000, words: int = 10,
     """LDA: (topic, rank, term, weight) of the strongest words, and docs with their dominant topic."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
+    from pyspark.ml.feature import CountVectorizer, StopWordsRemover
     from pyspark.ml.functions import vector_to_array
 
-    steps = [
-        RegexTokenizer(inputCol="c_", outputCol="w_", pattern=" "), StopWordsRemover(inputCol="w_", outputCol="k_"),
-        CountVectorizer(inputCol="k_", outputCol="f_", vocabSize=vocabulary), LDA(k=k, seed=seed, maxIter=10, featuresCol="f_"),
-    ]
-    d = docs.withColumn("c_", cleaned(text))
+    steps = [CountVectorizer(inputCol="k_", outputCol="f_", vocabSize=vocabulary), LDA(k=k, seed=seed, maxIter=10, featuresCol="f_")]
+    stop = StopWordsRemover().getStopWords()
+    # words by built-ins: each transformer that hands on words would copy all of them out of Spark's rows and back
+    d = docs.withColumn("k_", F.filter(F.split(cleaned(text), " "), lambda w: (w != "") & ~w.isin(stop)))
     model = Pipeline(stages=steps).fit(d)
-    vocab = F.array(*map(F.lit, model.stages[2].vocabulary))
-    top = model.stages[3].describeTopics(words).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
+    vocab = F.array(*map(F.lit, model.stages[0].vocabulary))
+    top = model.stages[1].describeTopics(words).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
     top = top.select("topic", "rank", F.get(vocab, F.col("t.termIndices")).alias("term"), F.col("t.termWeights").alias("weight"))
     share = vector_to_array("topicDistribution")
     dominant = F.array_position(share, F.array_max(share)) - 1

@@ -105,6 +105,21 @@ def test_folds():
     assert evaluate.folds(10, "rolling", window=4, step=2) == [(0, 0, 4, 4, 6), (1, 2, 6, 6, 8), (2, 4, 8, 8, 10)]
 
 
+def test_topics_split_words_with_built_ins(spark):
+    """The words of a tokenizer and a stop word remover, but not their functions: each copies all words out of Spark's rows and back."""
+    from pyspark.ml.feature import RegexTokenizer, StopWordsRemover
+
+    rows = ["The economy, THE war", "  a b\u00e9 \u0130stanbul -- x_1 and don't", "", "... !", "\u03a3\u0391\u03a3 is rights rights"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows * 4)], "doc_id long, text string")
+    plain = StopWordsRemover(inputCol="w", outputCol="k").transform(RegexTokenizer(inputCol="c", outputCol="w", pattern=" ").transform(docs.withColumn("c", text.cleaned("text"))))
+    want = {w for r in plain.select("k").collect() for w in r["k"]}
+    top, out = text.topics(docs, k=2, words=50)
+    assert {r["term"] for r in top.collect()} == want and {"rights", "economy"} < want
+    assert out.columns == ["doc_id", "text", "topic"] and out.count() == len(rows) * 4
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan
+
+
 def test_sliding_folds_reach_the_last_whole_one(spark):
     assert evaluate.folds(10, "sliding", window=4, step=2) == [(0, 0, 4, 4, 6), (1, 2, 6, 6, 8), (2, 4, 8, 8, 10)]
     d = spark.createDataFrame([(f"n{n}", i) for n in (5, 6, 7, 11, 12) for i in range(n)], "series_id string, i long")
