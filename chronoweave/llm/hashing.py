@@ -53,6 +53,11 @@ class RollingHash:
         with np.errstate(over="ignore"):
             return mix((prefix[end] - prefix[start]) * self.down[start] + (end - start).astype(_U))
 
+    def windows(self, prefix: np.ndarray, size: int) -> np.ndarray:
+        """As ranges(), of all ranges of that size."""
+        with np.errstate(over="ignore"):
+            return mix((prefix[size:] - prefix[:-size]) * self.down[: len(prefix) - size] + _U(size))
+
 
 class WordCodes(dict):
     """64 bits of a keyed BLAKE2 of each word; words of up to 64 bytes are kept, at most ``most`` of them before it starts anew."""

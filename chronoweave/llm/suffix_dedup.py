@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.arrow import slices, with_id_and_text
-from chronoweave.llm.hashing import RollingHash
+from chronoweave.llm.hashing import RollingHash, mix
 from chronoweave.llm.suffix_array import SuffixArray
 from chronoweave.session import intermediate, materialise
 
@@ -22,6 +22,8 @@ BLOCK = 1 << 20
 SHARD = 1 << 20
 #: Different segments of one name that stay together in a shard (1.5 MB of bytes); beyond it strings are counted over all tasks.
 ALIKE = 4096
+#: Parts that the strings of a segment are told apart in at most, by their distance to the chosen suffix.
+PARTS = 4
 #: Ids that are broadcast at most (8 MB); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -39,36 +41,55 @@ class Segmenter:
 
     def __init__(self, length: int, gram: int = 32):
         self.length, self.gram = length, gram
+        self.part = -(-(length - gram + 1) // PARTS)
         self.roll = RollingHash(11)
 
     def segments(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """doc (index), start, count and name of the segments of all texts together."""
+        """doc (index), start, count, name and gap of the segments of all texts together; gap is how far the chosen suffix is from the start."""
         length, gram = self.length, self.gram
         data = np.frombuffer(b"".join(texts), np.uint8)
-        stops = np.cumsum([len(t) for t in texts], dtype=np.int64)
-        starts = stops - [len(t) for t in texts]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        stops = np.cumsum(sizes)
+        starts = stops - sizes
         if len(data) < length:
             e = np.empty(0, np.int64)
-            return e, e, e, e
-        prefix = self.roll.prefix(data)
-        at = np.arange(len(data) - gram + 1)
-        named = self.roll.ranges(prefix, at, at + gram)
-        low = (named & ~_LOW) | (_LOW - at.astype(_U))
+            return e, e, e, e, e
+        named = self.roll.windows(self.roll.prefix(data), gram)
+        low = (named & ~_LOW) | (_LOW - np.arange(len(named), dtype=_U))
         width, have = length - gram + 1, 1
-        while have < width:  # the least of a window from those of two shorter windows
+        while have < width:  # the least of a window from those of two shorter windows; of the string that starts at each byte in the end
             step = min(have, width - have)
             low = np.minimum(low[: len(low) - step], low[step:])
             have += step
-        chosen = (_LOW - (low & _LOW)).astype(np.int64)  # of the string that starts at each byte
-        pos = np.arange(len(chosen))
-        doc = np.searchsorted(stops, pos, side="right")
-        inside = pos + length <= stops[doc]
-        new = np.ones(len(pos), bool)
-        new[1:] = (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
+        new = np.ones(len(low) + 1, bool)
+        new[1:-1] = low[1:] != low[:-1]
+        new[starts[starts < len(low)]] = True
+        new[np.maximum(stops - length + 1, starts).clip(max=len(low))] = True  # from here on strings would reach into the next text
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(pos)) - 1
-        first, last = first[inside[first]], last[inside[first]]
-        return doc[first], first - starts[doc[first]], last - first + 1, named[chosen[first]].view(np.int64)
+        first, last = first[:-1], first[1:] - 1
+        doc = np.searchsorted(stops, first, side="right")
+        inside = first + length <= stops[doc]
+        doc, first, last = doc[inside], first[inside], last[inside]
+        chosen = (_LOW - (low[first] & _LOW)).astype(np.int64)
+        return doc, first - starts[doc], last - first + 1, named[chosen].view(np.int64), chosen - first
+
+    def contexts(self, texts: list[bytes], gaps: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each segment (its bytes, gap and name): how many keys it has, and the keys of all of them, one after the other.
+
+        Strings of a segment are told apart by their distance to the chosen suffix, in parts of as many distances. A key is a
+        hash of the bytes that all strings of a part have, with the part's number and the name. Equal strings of
+        two segments are in the same part of both, and so have a key in common.
+        """
+        sizes = np.array([len(t) for t in texts], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        least, most = (gaps - sizes + self.length) // self.part, gaps // self.part
+        n = most - least + 1
+        owner = np.repeat(np.arange(len(texts)), n)
+        part = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + least[owner]
+        at = (begin + gaps)[owner] - part * self.part
+        prefix = self.roll.prefix(np.frombuffer(b"".join(texts), np.uint8))
+        with np.errstate(over="ignore"):
+            return n, mix(self.roll.ranges(prefix, at, at + self.length - self.part + 1) + names.view(_U)[owner] + part.astype(_U)).view(np.int64)
 
 
 def _digest(data: bytes) -> bytes:
@@ -86,16 +107,16 @@ def _scan(keyed: DataFrame, segmenter: Segmenter) -> DataFrame:
                 to, held = at + 1, len(texts[at])
                 while to < len(texts) and held + len(texts[to]) <= BLOCK:
                     held, to = held + len(texts[to]), to + 1
-                doc, start, count, name = _long(segmenter, texts[at:to])
+                doc, start, count, name, gap = _long(segmenter, texts[at:to])
                 some = texts[at:to]
                 reach = segmenter.length - 1
                 codes = b"".join(_digest(some[d][s : s + n + reach]) for d, s, n in zip(doc.tolist(), start.tolist(), count.tolist()))
                 codes = np.frombuffer(codes, np.int64).reshape(-1, 2)
-                cols = [rows[at:to][doc], start, count.astype(np.int32), name, codes[:, 0], codes[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["row", "start", "n", "name", "d1", "d2"])
+                cols = [rows[at:to][doc], start, count.astype(np.int32), gap.astype(np.int32), name, codes[:, 0], codes[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["row", "start", "n", "gap", "name", "d1", "d2"])
                 at = to
 
-    return keyed.select("row", "text").mapInArrow(run, "row long, start long, n int, name long, d1 long, d2 long")
+    return keyed.select("row", "text").mapInArrow(run, "row long, start long, n int, gap int, name long, d1 long, d2 long")
 
 
 def _long(segmenter: Segmenter, texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -104,8 +125,8 @@ def _long(segmenter: Segmenter, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         return segmenter.segments(texts)
     step = BLOCK - segmenter.length + 1
     found = [segmenter.segments([texts[0][at : at + BLOCK]]) for at in range(0, len(texts[0]) - segmenter.length + 1, step)]
-    doc, start, count, name = (np.concatenate(c) for c in zip(*found))
-    return doc, start + np.repeat(np.arange(len(found)) * step, [len(f[0]) for f in found]), count, name
+    doc, start, *rest = (np.concatenate(c) for c in zip(*found))
+    return doc, start + np.repeat(np.arange(len(found)) * step, [len(f[0]) for f in found]), *rest
 
 
 def _affected(keyed: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -117,18 +138,43 @@ def _affected(keyed: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame |
 
 
 def _spelled(near: DataFrame, probes: DataFrame, segmenter: Segmenter) -> DataFrame:
-    """The probed segments with the bytes that their strings cover."""
+    """The probed segments with the bytes that their strings cover and the keys of their parts."""
+    names = ["name", "row", "start", "alike", "gap", "bytes", "keys"]
 
     def run(batches):
         for part in slices(batches):
             rows = []
             for row, text, at in zip(*(part.column(i).to_pylist() for i in range(3))):
                 raw = text.encode()
-                rows += [(s["name"], row, s["start"], s["alike"], raw[s["start"] : s["start"] + s["n"] + segmenter.length - 1]) for s in at]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                rows += [(s["name"], row, s["start"], s["alike"], s["gap"], raw[s["start"] : s["start"] + s["n"] + segmenter.length - 1]) for s in at]
+            cols = list(zip(*rows))
+            n, keys = segmenter.contexts(cols[5], np.array(cols[4], np.int64), np.array(cols[0], np.int64))
+            keys = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary()), keys], names=names)
+
+    schema = "name long, row long, start long, alike long, gap long, bytes binary, keys array<long>"
+    return near.join(probes, "row").select("row", "text", "at").mapInArrow(run, schema)
+
+
+def _alike(spelled: DataFrame, length: int, size: int) -> DataFrame:
+    """(name, row, start, alike, bytes) of the parts of segments that have a key in common with another segment; neighbouring parts stay together."""
+    key = spelled.select("row", "start", F.posexplode("keys").alias("k", "key"))
+    twice = key.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    parts = key.join(twice, "key").groupBy("row", "start").agg(F.collect_list("k").alias("parts"))
+
+    def run(batches):
+        for part in slices(batches):
+            rows = []
+            for name, row, start, alike, gap, text, parts in zip(*(part.column(i).to_pylist() for i in range(7))):
+                least, end = (gap - len(text) + length) // size, len(text) - length + 1
+                # a part's strings start at gap - its distances; part by part they go from the right to the left
+                spans = [(max(gap - (least + k + 1) * size + 1, 0), min(gap - (least + k) * size + 1, end)) for k in sorted(parts, reverse=True)]
+                rows += [(name, row, start + s, alike, text[s : e + length - 1]) for s, e in _runs(*zip(*spans))]
+            kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["name", "row", "start", "alike", "bytes"])
 
-    return near.join(probes, "row").select("row", "text", "at").mapInArrow(run, "name long, row long, start long, alike long, bytes binary")
+    columns = ["name", "row", "start", "alike", "gap", "bytes", "parts"]
+    return spelled.join(parts, ["row", "start"]).select(*columns).mapInArrow(run, "name long, row long, start long, alike long, bytes binary")
 
 
 class SuffixFamily:
@@ -241,7 +287,8 @@ def repeated_spans(keyed: DataFrame, length: int = 200, gram: int = 32, batches:
     ``keyed`` has row (unique) and text. Segments whose name occurs once hold no repeated
     string. Of the others, those whose bytes occur again (by 128 bits of a BLAKE2) are repeated as a
     whole. Those that start alike but differ, where matches begin or end, go to a
-    SuffixFamily, one segment of each kind, in ``batches`` batches; of a name that more than
+    SuffixFamily, one segment of each kind, in ``batches`` batches, but for the parts that differ from all others in bytes that
+    each of their strings holds; of a name that more than
     ALIKE kinds share, which would be one shard, the strings are counted over all tasks.
     """
     segmenter = Segmenter(length, gram)
@@ -250,13 +297,15 @@ def repeated_spans(keyed: DataFrame, length: int = 200, gram: int = 32, batches:
         names = segments.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
         live = keep(materialise(segments.join(materialise(names, "names"), "name"), "live"))
     kind = ["name", "d1", "d2"]
-    kinds = materialise(live.groupBy(*kind).agg(F.count("*").alias("times"), F.min(F.struct("row", "start", "n")).alias("o")), "kinds")
+    kinds = materialise(live.groupBy(*kind).agg(F.count("*").alias("times"), F.min(F.struct("row", "start", "n", "gap")).alias("o")), "kinds")
     counted = materialise(live.join(kinds.select(*kind, "times"), kind).select("row", "start", "n", "times"), "counted")  # a row for each live segment
     found = counted.where("times > 1").select("row", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
     shared = materialise(kinds.groupBy("name").agg(F.count("*").alias("alike")).where("alike > 1"), "shared")
-    at = F.struct("o.start", "o.n", "name", "alike")
+    at = F.struct("o.start", "o.n", "o.gap", "name", "alike")
     probes = materialise(kinds.join(shared, "name").select("o.row", at.alias("at")).groupBy("row").agg(F.collect_list("at").alias("at")), "probes")
-    spelled = materialise(_spelled(_affected(keyed, probes)[0], probes, segmenter), "spelled")
+    with intermediate(keyed.sparkSession) as keep:
+        spelled = materialise(_spelled(_affected(keyed, probes)[0], probes, segmenter), "spelled")
+        spelled = keep(materialise(_alike(spelled, length, segmenter.part), "alike"))
     some, many = spelled.where(F.col("alike") <= ALIKE), spelled.where(F.col("alike") > ALIKE)
     bytes_ = some.agg(F.sum(F.octet_length("bytes"))).first()[0]
     if bytes_:

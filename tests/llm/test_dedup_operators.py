@@ -162,6 +162,24 @@ def test_repeats_equal_brute_force(spark, alike, shard, ids, monkeypatch):
     assert remove_repeats(d.limit(0), length=50, gram=16).count() == 0
 
 
+def test_only_what_can_match_goes_to_the_family(spark, monkeypatch):
+    rng = random.Random(13)
+    noise = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    phrase, passage = noise(150), noise(260)
+    texts = [noise(300) + phrase + noise(300) for _ in range(20)] + [noise(300) + passage + noise(300) for _ in range(2)]
+    sizes, add = [], suffix_dedup.SuffixFamily.add
+
+    def counted(self, batch):
+        sizes.extend(len(r["bytes"]) - self.length + 1 for r in batch.collect())
+        add(self, batch)
+
+    monkeypatch.setattr(suffix_dedup.SuffixFamily, "add", counted)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in remove_repeats(d).collect()}
+    assert [got[i] for i in range(len(texts))] == repeated([t.encode() for t in texts], 200)
+    assert 0 < sum(sizes) < 1000  # none of the thousands of strings that start alike within the phrase
+
+
 def test_kept_texts_are_what_is_left(spark):
     p = "".join(chr(97 + i % 26) + str(i) for i in range(40))
     d = spark.createDataFrame([(1, "x1" + p), (2, "y2" + p + "z"), (3, "q")], "doc_id long, text string")
