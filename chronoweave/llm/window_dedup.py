@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from itertools import chain, compress
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.arrow import slices
-from chronoweave.llm.hashing import RollingHash, WordCodes, mix
+from chronoweave.llm.hashing import RollingHash, word_codes
 from chronoweave.session import intermediate, materialise
 
 _U = np.uint64
 _LOW = _U(0xFFFFFF)
-#: Words that are hashed at once; positions in them fit 24 bits.
+#: Bytes of texts, or words of a longer text, that are hashed at once; positions of words in them fit 24 bits.
 BLOCK = 1 << 20
-#: Rows that are turned into words at once.
+#: Rows that are read at once.
 ROWS = 1024
+#: Packs of one batch whose names are counted at once.
+PACKS = 1 << 20
 #: The id that rows without one are given: they come after all others.
 LAST = 2**63 - 1
 
@@ -38,62 +40,75 @@ class WindowHasher:
         if not gram < size <= gram + 15:
             raise ValueError("a window holds between 1 and 15 words more than a gram")
         self.size, self.gram = size, gram
-        self.roll, self.codes = RollingHash(), WordCodes()
+        self.roll = RollingHash()
 
-    def sums(self, words: list[bytes]) -> np.ndarray:
-        """Prefix sums of code * B^i (mod 2^64), from which ranges() makes the hash of any range."""
-        self.roll.powers(len(words) + 1)
-        out = np.zeros(len(words) + 1, _U)
+    def sums(self, codes: np.ndarray) -> np.ndarray:
+        """Prefix sums of code * B^i (mod 2^64), from which ranges() makes the hash of any range of words."""
+        self.roll.powers(len(codes) + 1)
+        out = np.zeros(len(codes) + 1, _U)
         with np.errstate(over="ignore"):
-            np.cumsum(mix(self.codes.of(words)) * self.roll.up[: len(words)], dtype=_U, out=out[1:])
+            np.cumsum(codes * self.roll.up[: len(codes)], dtype=_U, out=out[1:])
         return out
 
-    def windows(self, words: list[bytes], start: np.ndarray) -> np.ndarray:
-        return self.roll.ranges(self.sums(words), start, start + self.size).view(np.int64)
+    def windows(self, texts: list[bytes], text: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Hashes of the windows that start at these words of these texts (indices)."""
+        codes, lengths = word_codes(texts)
+        at = (np.cumsum(lengths) - lengths)[text] + start
+        return self.roll.ranges(self.sums(codes), at, at + self.size).view(np.int64)
 
-    def packs(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-        """text (index), start, number of windows, name and code of the packs of all texts together."""
+    def packs(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+        """text (index), start, number of windows, name and code of the packs of all texts together, by the words' codes and each text's number of words."""
         size, gram = self.size, self.gram
-        words = list(chain.from_iterable(texts))
-        lengths = np.array([len(t) for t in texts], np.int64)
         stops = np.cumsum(lengths)
         starts = stops - lengths
-        if len(words) < size:
+        if len(codes) < size:
             none = np.empty(0, np.int64)
             return none, none, none, none, none
-        sums = self.sums(words)
-        at = np.arange(len(words) - gram + 1)
-        named = self.roll.ranges(sums, at, at + gram)
-        low = (named & ~_LOW) | (_LOW - at.astype(_U))
+        sums = self.sums(codes)
+        named = self.roll.windows(sums, gram)
+        low = (named & ~_LOW) | (_LOW - np.arange(len(named), dtype=_U))
         width, have = size - gram + 1, 1
-        while have < width:  # the least of a window from those of two shorter ones
+        while have < width:  # the least of a window from those of two shorter ones; of the window that starts at each word in the end
             step = min(have, width - have)
             low = np.minimum(low[: len(low) - step], low[step:])
             have += step
-        chosen = (_LOW - (low & _LOW)).astype(np.int64)  # of the window that starts at each word
-        pos = np.arange(len(chosen))
-        text = np.repeat(np.arange(len(texts)), lengths)[: len(pos)]
-        inside = pos + size <= np.repeat(stops, lengths)[: len(pos)]
-        new = np.ones(len(pos), bool)
-        new[1:] = (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1]) | (inside[1:] != inside[:-1])
+        new = np.ones(len(low) + 1, bool)
+        new[1:-1] = low[1:] != low[:-1]
+        new[starts[starts < len(low)]] = True
+        new[np.maximum(stops - size + 1, starts).clip(max=len(low))] = True  # from here on windows would reach into the next text
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(pos)) - 1
-        first, last = first[inside[first]], last[inside[first]]
+        first, last = first[:-1], first[1:] - 1
+        text = np.searchsorted(stops, first, side="right")
+        inside = first + size <= stops[text]
+        text, first, last = text[inside], first[inside], last[inside]
         code = self.roll.ranges(sums, first, last + size)
-        return text[first], first - starts[text[first]], last - first + 1, named[chosen[first]].view(np.int64), code.view(np.int64)
-
-    def packs_in_blocks(self, texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
-        """As packs(), of as many texts at once as make BLOCK words; a longer text is cut, its windows follow on one another."""
-        at = 0
-        while at < len(texts):
-            to, held = at + 1, len(texts[at])
-            while to < len(texts) and held + len(texts[to]) <= BLOCK:
-                held, to = held + len(texts[to]), to + 1
-            for begin in range(0, max(1, held - self.size + 1), BLOCK - self.size + 1) if to == at + 1 else (0,):
-                some = [texts[at][begin : begin + BLOCK]] if to == at + 1 else texts[at:to]
-                text, start, *rest = self.packs(some)
+        chosen = (_LOW - (low[first] & _LOW)).astype(np.int64)
+        return text, first - starts[text], last - first + 1, named[chosen].view(np.int64), code.view(np.int64)
+
+    def packs_in_blocks(self, texts: list[bytes] | list[list[bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
+        """As packs(), of as many texts (or their words) at once as make BLOCK bytes; one of more words is cut, its windows follow on one another."""
+        texts = [t if isinstance(t, bytes) else b" ".join(t) for t in texts]
+        for at, to in _groups(texts):
+            codes, lengths = word_codes(texts[at:to])
+            if to > at + 1 or len(codes) <= BLOCK:
+                text, *rest = self.packs(codes, lengths)
+                yield text + at, *rest
+                continue
+            for begin in range(0, len(codes) - self.size + 1, BLOCK - self.size + 1):
+                some = codes[begin : begin + BLOCK]
+                text, start, *rest = self.packs(some, np.array([len(some)]))
                 yield text + at, start + begin, *rest
-            at = to
+
+
+def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Neighbouring texts of BLOCK bytes together, or one of more, by their indices."""
+    at = 0
+    while at < len(texts):
+        to, held = at + 1, len(texts[at])
+        while to < len(texts) and held + len(texts[to]) <= BLOCK:
+            held, to = held + len(texts[to]), to + 1
+        yield at, to
+        at = to
 
 
 def _lists(column: pa.Array, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -114,19 +129,31 @@ def _scan(docs: DataFrame, hasher: Callable[[], WindowHasher], whole: bool) -> D
     """whole: every pack as (name, code, doc, twin, at), at holding start * 16 + number of windows; else each name of a batch with its least and greatest document."""
     fields = ["name", "code", "doc", "twin", "at"] if whole else ["name", "low", "high"]
 
+    def ends(names, docs):
+        name, doc = np.concatenate(names), np.concatenate(docs)
+        order = np.lexsort((doc, name))
+        name, doc = name[order], doc[order]
+        new = np.flatnonzero(np.append(True, name[1:] != name[:-1])[: len(name)])
+        return [name[new], doc[new], doc[np.append(new[1:], len(name))[: len(new)] - 1]]
+
     def run(batches):
         make = hasher()
         for batch in slices(batches, ROWS):
             doc, twin = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for text, start, n, name, code in make.packs_in_blocks([t.encode().split() for t in batch.column(2).to_pylist()]):
+            names, docs, held = [], [], 0
+            for text, start, n, name, code in make.packs_in_blocks([t.encode() for t in batch.column(2).to_pylist()]):
                 if whole:
                     cols = [name, code, doc[text], twin[text], start * 16 + n]
-                else:
-                    order = np.lexsort((doc[text], name))
-                    name, owner = name[order], doc[text][order]
-                    new = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.empty(0, np.int64)
-                    cols = [name[new], owner[new], owner[np.append(new[1:], len(name)) - 1] if len(name) else owner]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=fields)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=fields)
+                    continue
+                names.append(name)
+                docs.append(doc[text])
+                held += len(name)
+                if held > PACKS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in ends(names, docs)], names=fields)
+                    names, docs, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in ends(names, docs)], names=fields)
 
     return docs.select("doc", "twin", "text").mapInArrow(run, ", ".join(f"{f} long" for f in fields))
 
@@ -142,8 +169,11 @@ def _opened(docs: DataFrame, probes: DataFrame, hasher: Callable[[], WindowHashe
             start = (at >> 4)[owner] + k
             found = np.empty(len(start), np.int64)
             cut = np.searchsorted(owner, edge)  # of each text's windows
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                found[cut[i] : cut[i + 1]] = make.windows(text.encode().split(), start[cut[i] : cut[i + 1]])
+            texts = [t.encode() for t in batch.column(1).to_pylist()]
+            text = np.repeat(np.arange(len(texts)), np.diff(cut))
+            for i, to in _groups(texts):
+                some = slice(cut[i], cut[to])
+                found[some] = make.windows(texts[i:to], text[some] - i, start[some])
             low = np.repeat(doc, np.diff(edge))
             cols = [name[owner], code[owner], low[owner], k, found]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["name", "code", "low", "k", "window"])

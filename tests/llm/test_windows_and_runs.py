@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from chronoweave.llm import repetitions, window_dedup
+from chronoweave.llm.hashing import word_codes
 from chronoweave.llm.repetitions import SquareCatcher, periodic_runs, word_runs
 from chronoweave.llm.window_dedup import WindowHasher, remove_repeated_windows
 
@@ -75,6 +76,18 @@ def test_packs_don_t_depend_on_blocks(monkeypatch):
     assert seen[0] == seen[1] and len(seen[0]) == sum(max(0, len(t) - 12) for t in texts)
 
 
+def test_word_codes_are_those_of_the_words():
+    rng = random.Random(8)
+    texts = [b"", b" ", b"\t\n", b"a a\0 a\0\0 \0", b"  x \x0b\x0cy\r", b" ".join(b"a" * n for n in range(1, 130)), b"b" * 64 + b" " + b"b" * 65, b""]
+    texts += [bytes(rng.choice(b"ab \t\xc3") for _ in range(rng.randrange(200))) for _ in range(100)]
+    codes, lengths = word_codes(texts)
+    words = [t.split() for t in texts]
+    assert lengths.tolist() == [len(w) for w in words]
+    pairs = set(zip((x for w in words for x in w), codes.tolist(), strict=True))
+    assert len(pairs) == len({x for x, _ in pairs}) == len({c for _, c in pairs})
+    assert [len(x) for x in word_codes([])] == [0, 0]
+
+
 def test_odd_windows(spark):
     text = " ".join(str(i) for i in range(40))
     rows = [(5, text), (5, text), (7, text), (None, text), (None, text + " more"), (3, ""), (4, None), (9, " \n"), (11, "a b"), (12, text.replace(" ", " "))]
