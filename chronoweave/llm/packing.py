@@ -7,6 +7,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from chronoweave.session import materialise
 
 #: A length with more rows than this is ranked in several groups.
 RANK_ROWS = 1024
+#: Characters of a text that are encoded at once, up to the next space.
+STRETCH = 1 << 16
 
 
 # Fixed value: the published pattern of byte-level pre-tokens.
@@ -33,14 +36,14 @@ def _bytes_of_characters() -> dict[str, int]:
 
 
 class ByteWords:
-    """Ids of a byte-level BPE tokenizer as little-endian unsigned 32-bit bytes, each distinct word encoded once.
+    """Ids of a byte-level BPE tokenizer as little-endian unsigned 32-bit bytes.
 
     Byte-level pre-tokens never hold a space after a character that isn't white
     space, so that a text's ids are those of its words, each with the space before
     it. A text with white space before a space, or with a special token's string,
     is encoded whole by the library itself. Where ids follow the order of the merges,
-    words are encoded by the same vocabulary as ranks, which takes a third of the
-    time and gives the same ids. The table is started anew at ``most`` words.
+    other texts are encoded by the same vocabulary as ranks, which takes a fraction of the
+    time and gives the same ids. Else each distinct word is encoded once, in a table that is started anew at ``most`` words.
     """
 
     def __init__(self, path: str, most: int = 250_000):
@@ -55,10 +58,13 @@ class ByteWords:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        specials = [re.escape(x["content"]) for x in spec.get("added_tokens", [])]
-        self.whole = re.compile("|".join([r"\s ", *specials]))
+        self.specials = [x["content"] for x in spec.get("added_tokens", [])]
+        self.spaces = re.compile(r" (?<=\s )")
         self.word = self.ranked(spec) if self.by_word else None
         self.most = most
+        self.anew()
+
+    def anew(self) -> None:
         self.first: dict[str, bytes] = {"": b""}
         self.later: dict[str, bytes] = {}
 
@@ -80,19 +86,39 @@ class ByteWords:
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def words(self, words: list[str]) -> list[bytes]:
-        return [array("I", self.word(x)).tobytes() for x in words] if self.word else self.raw(words)
+    def odd(self, text: str) -> bool:
+        return not self.by_word or self.spaces.search(text) is not None or any(x in text for x in self.specials)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def ranks(self, text: str) -> bytes:
+        out, at = [], 0
+        while at < len(text):
+            to = text.find(" ", at + STRETCH) if at + STRETCH < len(text) else -1
+            to = len(text) if to < 0 else to
+            out.append(array("I", self.word(text[at:to])).tobytes())
+            at = to
+        return b"".join(out)
+
+    def table(self, texts: list[str]) -> list[bytes]:
         if len(self.later) > self.most:
-            self.first, self.later = {"": b""}, {}
-        split = [None if not self.by_word or self.whole.search(t) else t.split(" ") for t in texts]
-        firsts = list({w[0] for w in split if w}.difference(self.first))
-        self.first.update(zip(firsts, self.words(firsts)))
-        new = list(set().union(*(w[1:] for w in split if w)).difference(self.later))
-        self.later.update(zip(new, self.words([" " + x for x in new])))
-        rest = iter(self.raw([t for t, w in zip(texts, split) if w is None]))
-        return [next(rest) if w is None else self.first[w[0]] + b"".join(map(self.later.__getitem__, w[1:])) for w in split]
+            self.anew()
+        split = [t.split(" ") for t in texts]
+        firsts = list({w[0] for w in split}.difference(self.first))
+        self.first.update(zip(firsts, self.raw(firsts)))
+        new = list(set().union(*(w[1:] for w in split)).difference(self.later))
+        self.later.update(zip(new, self.raw([" " + x for x in new])))
+        return [self.first[w[0]] + b"".join(map(self.later.__getitem__, w[1:])) for w in split]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        odd = [self.odd(t) for t in texts]
+        plain = [t for t, o in zip(texts, odd) if not o]
+        whole, plain = iter(self.raw([t for t, o in zip(texts, odd) if o])), iter(map(self.ranks, plain) if self.word else self.table(plain))
+        return [next(whole if o else plain) for o in odd]
+
+
+@lru_cache(1)
+def _byte_words(path: str) -> ByteWords:
+    """A Python worker's vocabulary, which its next tasks take over."""
+    return ByteWords(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -104,7 +130,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id:
     """
 
     def make():
-        words = ByteWords(tokenizer_path)
+        words = _byte_words(tokenizer_path)
+        words.anew()
         end = np.array([end_id], "<u4").tobytes()
 
         def work(doc_ids, texts):

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
+from chronoweave.llm import packing
 from chronoweave.llm.packing import ByteWords, best_fit_plan, pack_documents, place, sequences, token_pieces
 from chronoweave.llm.piece_codec import ChunkTable, encode_pieces
 from chronoweave.llm.token_counts import PieceCounter, count_tokens
@@ -49,6 +50,17 @@ def test_byte_words_equal_the_library():
     assert w.encode(texts) == w.raw(texts)
 
 
+def test_texts_are_encoded_in_stretches_not_word_by_word(monkeypatch):
+    w, texts = ByteWords(BYTES), [" ".join(f"wörd{i} {i}\n" for i in range(400)), " lead", "tail ", " ", "", *odd_texts(seed=5)]
+    plain, calls, word = texts[0].replace("\n", ";"), [], w.word
+    w.word = lambda text: calls.append(text) or word(text)
+    assert w.encode([plain]) == w.raw([plain]) and len(calls) == 1
+    monkeypatch.setattr(packing, "STRETCH", 7)
+    assert w.encode([plain, *texts]) == w.raw([plain, *texts]) and len(calls) > 400
+    w.word = None
+    assert w.encode([plain, *texts]) == w.raw([plain, *texts])
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     d = spark.createDataFrame([(1, None, 5), (1, "a b", 6), (None, "", 7), (2, "a b", 8)], "doc_id long, text string, n_tokens int")
     got = {(r["doc_id"], r["n_tokens"], r["n_bytes"]) for r in count_tokens(d, PIECES).collect()}
